@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import bpe, minhash, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,3 +16,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Digests of every document's ids and of the bytes they decode to."""
+    path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    done = bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdicts of the quality rules."""
+    rated = quality.rate(_table(spark, sf_dir, "documents"))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
