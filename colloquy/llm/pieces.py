@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import re
 
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_CHUNK = re.compile(r"[ \n]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?=[ \n.,]|$)|[.,]+(?=[ \n]|$)|[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
 
 
 def chunks(text: str) -> list[str]:
     """Parts whose encodings concatenate to the text's own.
 
-    The splitting pattern never joins a non-space character with white space after it, and looks ahead only, so a
-    cut before a run of white space is safe. Texts with white space other than space and newline, on whose kinds
+    The splitting pattern never joins a non-space character with white space after it, nor a letter with a full stop or
+    comma, and looks ahead only, so cuts before a run of white space and between letters and such marks are safe. Texts with white space other than space and newline, on whose kinds
     libraries differ, stay whole.
     """
     return [text] if _OTHER_SPACE.search(text) else _CHUNK.findall(text)

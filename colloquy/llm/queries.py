@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, quality
+from . import bpe, minhash, quality, tokenfile
+from .common import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,3 +32,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements and verdicts of the quality rules."""
     rated = quality.rate(_table(spark, sf_dir, "documents"))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """What the token files written from all documents hold for each document."""
+    folder = f"{shared_folder(spark)}/colloquy-{uuid.uuid4().hex}"
+    tokenfile.write(_table(spark, sf_dir, "documents"), folder, path or public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
