@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, quality, tokenfile
+from . import bpe, chat, minhash, mixing, quality, tokenfile
 from .common import shared_folder
 
 
@@ -39,3 +39,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -
     folder = f"{shared_folder(spark)}/colloquy-{uuid.uuid4().hex}"
     tokenfile.write(_table(spark, sf_dir, "documents"), folder, path or public_tokenizers.path("byte_bpe_50k.json"))
     return tokenfile.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of all documents takes from each."""
+    drawn = mixing.draw(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return drawn.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.size("_shards")).alias("taken"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all conversations, and one that speaks in control strings, are once formatted and read back."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(chat.text_turns(rows.unionByName(probe))))

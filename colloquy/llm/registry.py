@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, queries
+from . import chat, quality, queries
 
 QUERIES = {name: f for name, f in vars(queries).items() if name.startswith("op") and callable(f)}
-ORACLES: dict[str, str] = {"op5_quality_rules": quality.oracle()}
+ORACLES: dict[str, str] = {"op5_quality_rules": quality.oracle(), "op6_chat_formatting": chat.oracle()}
