@@ -3,7 +3,7 @@
 Each source's target is its weight's part of all words, at most ``cap`` times what the source has; the excess goes to
 the others by weight. A target is so many whole passes over the source and one partial pass. The documents of a source
 are dealt by a hash into blocks; the partial pass takes blocks in order of their numbers (a random order, as the hash
-is) and of the last one as many documents, in hash order, as come nearest to the target.
+is) and of the last one documents in hash order while they fit, and the one that best fits into what is left.
 
 The copies of blocks are then dealt to output shards: at each node of a binary tree over the shards, the number of
 copies of every source that go left is drawn from the multivariate hypergeometric distribution of what the node holds,
@@ -99,8 +99,11 @@ def draw(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
     edges = edge.select("source", F.col("block").alias("edge"), "room")
     inner = by(by(sized, sources), edges).where(block == F.col("edge")).select("doc_id", "source", "_size", "room")
     ran = inner.withColumn("o", order).withColumn("sum", F.sum("_size").over(Window.partitionBy("source").orderBy("o")))
-    # The documents whose end lies nearer to the room than their start; the sums grow, so these are a prefix.
-    limit = cut(ran.where("sum - _size / 2.0 <= room").groupBy("source").agg(F.max("o").alias("upto")))
+    # Documents in hash order while they fit, then the one that fits best into what is left, if any comes nearer.
+    fit = cut(ran.where("sum <= room").groupBy("source").agg(F.max("o").alias("upto"), F.max("sum").alias("full")))
+    rest = by(ran, fit).where("upto is null or o > upto").withColumn("off", F.abs(F.col("room") - F.coalesce("full", F.lit(0)) - F.col("_size")))
+    extra = rest.where("off < room - coalesce(full, 0)").groupBy("source").agg(F.min(F.struct("off", "o")).alias("best"))
+    limit = cut(by(by(edges.select("source"), fit), extra).select("source", "upto", F.col("best.o").alias("extra")))
 
     counts = {r.source: r.last for r in whole.collect()}
     has_edge = {r.source for r in edge.select("source").collect()}
@@ -118,7 +121,7 @@ def draw(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
     whole = cut(by(by(by(by(sources, edges), limit), whole), dealing))
     out = by(plain, whole)
     out = out.withColumn("_block", block)
-    picked = (F.col("_block") <= F.col("last")) | (F.coalesce(F.col("_block") == F.col("edge"), F.lit(False)) & F.coalesce(order <= F.col("upto"), F.lit(False)))
+    picked = (F.col("_block") <= F.col("last")) | (F.coalesce(F.col("_block") == F.col("edge"), F.lit(False)) & (F.coalesce(order <= F.col("upto"), F.lit(False)) | F.coalesce(order == F.col("extra"), F.lit(False))))
     copies = F.when(F.col("passes") + picked.cast("int") > 0, F.sequence(F.lit(0), F.col("passes") + picked.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     unit = lambda c: F.pmod((c.cast("long") * F.col("blocks") + F.col("_block")) * F.col("stride") + F.col("shift"), F.col("units"))
     shard = lambda c: F.size(F.filter("ends", lambda e: e <= unit(c)))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, mixing, quality, tokenfile
+from . import ann, bpe, chat, minhash, mixing, quality, rules, tokenfile
 from .common import shared_folder
 
 
@@ -53,3 +53,13 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     return chat.read_back(chat.format_turns(chat.text_turns(rows.unionByName(probe))))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every query row of the embeddings."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by rules that the labelled ones teach."""
+    return rules.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
