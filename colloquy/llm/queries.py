@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, minhash, mixing, quality, rules, tokenfile
+from . import ann, bpe, chat, lm, minhash, mixing, quality, rules, tokenfile
 from .common import shared_folder
 
 
@@ -63,3 +63,9 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by rules that the labelled ones teach."""
     return rules.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy differences of all documents; the target are documents labelled good and not toxic."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lm.score(_table(spark, sf_dir, "documents"), good)
