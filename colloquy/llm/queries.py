@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, lm, minhash, mixing, quality, rules, tokenfile
+from . import ann, bpe, chat, lm, minhash, mixing, quality, rules, suffix, tokenfile
 from .common import shared_folder
 
 
@@ -69,3 +69,9 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy differences of all documents; the target are documents labelled good and not toxic."""
     good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
     return lm.score(_table(spark, sf_dir, "documents"), good)
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document once repeated strings of 400 bytes are cut out."""
+    done = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
