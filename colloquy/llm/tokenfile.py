@@ -101,7 +101,7 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path), Recent(400_000)
+        _LOADED[path] = Tokenizer.from_file(path), Recent(1_000_000)
     return _LOADED[path]
 
 
