@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, quality, queries
 
 QUERIES = {name: f for name, f in vars(queries).items() if name.startswith("op") and callable(f)}
 ORACLES: dict[str, str] = {"op5_quality_rules": quality.oracle(), "op6_chat_formatting": chat.oracle()}
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

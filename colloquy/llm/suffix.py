@@ -332,6 +332,16 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     return joined.mapInArrow(_cutter(documents.columns, True), f"{fields}, _n_bytes long, _n_removed long, _n_spans long, _kept binary")
 
 
+def whole_characters(column):
+    """The UTF-8 characters that are whole in a binary column; bytes of split ones are left out."""
+
+    @F.pandas_udf("string")
+    def decode(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+
+    return decode(column)
+
+
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, bytes]]:
     """(bytes, removed, runs, kept) of each text by counting all windows: for tests."""
     raws, seen = [(t or "").encode("utf-8", "surrogatepass") for t in texts], {}
