@@ -120,7 +120,8 @@ def score(documents: DataFrame, target_ids: DataFrame) -> DataFrame:
     top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word").toArrow().column("word").to_pylist()
     known = spark.sparkContext.broadcast({w: k + 1 for k, w in enumerate(top)})
     marks = target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    marked = texts.join(marks, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # The marks grow with the corpus, so they are joined by shuffles at every size.
+    marked = texts.join(marks.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counts = cut(marked.mapInArrow(_counter(known), "kind int, place int, n long, target long").groupBy("kind", "place").agg(F.sum("n").alias("n"), F.sum("target").alias("target")))
     table = counts.toArrow()  # at most BUCKETS + 2 * (VOCABULARY + 2) rows
     drop_cut(counts)
