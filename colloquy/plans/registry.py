@@ -15,4 +15,4 @@ def register(name: str, query, oracle: str | None = None) -> None:
         ORACLES[name] = oracle
 
 
-from . import search  # noqa: E402,F401
+from . import meetings, search, timelines  # noqa: E402,F401
