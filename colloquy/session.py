@@ -27,8 +27,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, also when the driver was started elsewhere."""
+    env, root = spark.sparkContext.environment, root_on_path()
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One table of a data folder, by a path that any Hadoop file system can serve."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
