@@ -11,7 +11,7 @@ overlaps count, and strings are judged on the input.
 3. Grams with several classes are contested: one exemplar of each class goes, with its bytes, to a shard. A shard is
    a number of grams, or a part of the classes of a gram that has many.
 4. In each shard a suffix array is built by Larsson-Sadakane refinement in numpy (ranks double their depth; only
-   groups not yet resolved are sorted again), to LENGTH bytes, and Kasai's common prefixes, all segments in step,
+   groups not yet resolved are sorted again), to LENGTH bytes, and Kasai's common prefixes
    mark the windows that share LENGTH bytes with a neighbour in the array.
 5. Shards of one gram are merged: each deals the sorted fingerprints of its windows out by ranges, and every range
    looks its runs up in each other by binary search.
@@ -123,39 +123,49 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
     return sa
 
 
+def _extend(word: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Common prefixes of the strings at two lists of places, up to ``most``, eight bytes at a time."""
+    n = len(word) - 1
+    room = np.minimum(most, n - np.maximum(a, b))
+    common = np.zeros(len(a), dtype=np.int64)
+    go = np.nonzero(room > 0)[0]
+    while len(go):
+        diff = word[a[go] + common[go]] ^ word[b[go] + common[go]]
+        odd = diff != 0
+        rest, at = diff[odd], go[odd]
+        for k in range(1, 8):
+            common[at] += rest >> np.uint64(64 - 8 * k) == 0
+        go = go[~odd]
+        common[go] += 8
+        go = go[common[go] < room[go]]
+    return np.minimum(common, room)
+
+
 def common_prefixes(raw: np.ndarray, start: np.ndarray, size: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each place, the common prefix (up to ``most``) with the place before it in the suffix array.
+    """For each place, the common prefix with the place before it in the suffix array; from ``most`` on, any such number.
 
-    Kasai: going one byte to the right shortens the common prefix by at most one. The strings at ``start`` advance side
-    by side, one place each a step, and extend eight bytes at a time.
+    Kasai: where the neighbour of a place is one behind the neighbour of the place to its left, the prefix is one
+    shorter. So prefixes are measured only where that chain breaks (at least at each string's start), and again behind
+    the byte that ends a measured prefix; all others follow by subtraction.
     """
     n = len(raw)
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
     word = np.concatenate([_words(raw), np.zeros(1, np.uint64)])
-    out, run = np.zeros(n, dtype=np.int64), np.zeros(len(start), dtype=np.int64)
-    last = np.full(len(start), -2, dtype=np.int64)
-    by_size = np.argsort(-size, kind="stable")
-    longest = -size[by_size]
-    for o in range(-int(longest[0]) if len(size) else 0):
-        lanes = by_size[: np.searchsorted(longest, -o, side="left")]
-        at = start[lanes] + o
-        other = before[at]
-        room = np.where(other < 0, 0, np.minimum(most, n - np.maximum(at, other)))
-        # Places equal over the whole depth stand in no true order: then the bound holds only for the same neighbour.
-        sure = (run[lanes] < most) | (other == last[lanes] + 1)
-        common = np.minimum(np.where(sure, np.maximum(run[lanes] - 1, 0), 0), room)
-        go = np.nonzero(common < room)[0]
-        while len(go):
-            diff = word[at[go] + common[go]] ^ word[other[go] + common[go]]
-            same = np.zeros(len(go), dtype=np.int64)
-            for k in range(1, 9):
-                same += diff >> np.uint64(64 - 8 * k) == 0
-            common[go] = np.minimum(common[go] + same, room[go])
-            go = go[(same == 8) & (common[go] < room[go])]
-        run[lanes] = out[at] = common
-        last[lanes] = other
-    return out
+    head = np.empty(n, dtype=bool)
+    head[:1], head[1:] = True, before[1:] != before[:-1] + 1
+    head[start[size > 0]] = True
+    head |= before < 0
+    value, place = np.zeros(n, dtype=np.int64), np.arange(n)
+    fresh = np.nonzero(head & (before >= 0))[0]
+    while True:
+        value[fresh] = _extend(word, fresh, before[fresh], most + int(size.max()))
+        last = np.maximum.accumulate(np.where(head, place, 0))
+        out = value[last] - (place - last)
+        fresh = np.nonzero((out == -1) & (before >= 0))[0]
+        if not len(fresh):
+            return np.maximum(out, 0)
+        head[fresh] = True
 
 
 def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
