@@ -15,4 +15,4 @@ def register(name: str, query, oracle: str | None = None) -> None:
         ORACLES[name] = oracle
 
 
-from . import evaluation, meetings, search, texts, timelines, voiceprints  # noqa: E402,F401
+from . import evaluation, live, meetings, search, texts, timelines, voiceprints  # noqa: E402,F401
