@@ -4,18 +4,31 @@ from __future__ import annotations
 
 import re
 
-_CHUNK = re.compile(r"[ \n]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?=[ \n.,]|$)|[.,]+(?=[ \n]|$)|[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
+_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: White space (and the separator used below) on which libraries differ, or which the fast way does not know.
+_OTHER_SPACE = "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_RUNS = ("  ", " \n", "\n ", "\n\n")
 
 
 def chunks(text: str) -> list[str]:
     """Parts whose encodings concatenate to the text's own.
 
-    The splitting pattern never joins a non-space character with white space after it, nor a letter with a full stop or
-    comma, and looks ahead only, so cuts before a run of white space and between letters and such marks are safe. Texts with white space other than space and newline, on whose kinds
-    libraries differ, stay whole.
+    The splitting pattern never joins a non-space character with white space after it and looks ahead only, so a cut
+    before a run of white space is safe. Texts with white space other than space and newline stay whole.
     """
-    return [text] if _OTHER_SPACE.search(text) else _CHUNK.findall(text)
+    for c in _OTHER_SPACE:
+        if c in text:
+            return [text]
+    for run in _RUNS:
+        if run in text:
+            return _CHUNK.findall(text)
+    out = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+    return out if out[0] else out[1:]
+
+
+def stem(chunk: str) -> str | None:
+    """A chunk without its closing full stop or comma, where that follows a letter: then both encode apart."""
+    return chunk[:-1] if chunk[-1:] in ".," and chunk[-2:-1].isalpha() and chunk[-2:-1].isascii() else None
 
 
 class Recent(dict):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, slices
-from .pieces import Recent, chunks
+from .pieces import Recent, chunks, stem
 
 STRIDE = 512
 SEGMENT = 1 << 20
@@ -101,19 +101,47 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path), Recent(1_000_000)
+        tokenizer = Tokenizer.from_file(path)
+        size = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, i in tokenizer.get_vocab().items():
+            size[i] = len(token)  # a byte-level token has a character for each byte
+        _LOADED[path] = tokenizer, size, Recent(600_000)
     return _LOADED[path]
 
 
+def _encode_new(new: list[str], tokenizer, size: np.ndarray) -> list[bytes]:
+    """Ids of chunks; those that begin with white space go to the library in one string, since cuts before them are safe.
+
+    Where one chunk ends in the joint string follows from the bytes that each token stands for.
+    """
+    out: list[bytes] = [b""] * len(new)
+    joint = [k for k, c in enumerate(new) if c[0] in " \n" and not c.isspace()]
+    alone = sorted(set(range(len(new))) - set(joint))
+    groups = [joint[a : a + 4096] for a in range(0, len(joint), 4096)]
+    for some, e in zip(groups, tokenizer.encode_batch(["".join(new[k] for k in g) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, dtype="<u4")
+        reach = np.cumsum([len(new[k].encode("utf-8", "surrogatepass")) for k in some])
+        ends = np.searchsorted(np.cumsum(size[ids]), reach) + 1
+        raw, at = ids.tobytes(), 0
+        for k, end in zip(some, (4 * ends).tolist(), strict=True):
+            out[k], at = raw[at:end], end
+    for a in range(0, len(alone), 4096):
+        for k, e in zip(alone[a : a + 4096], tokenizer.encode_batch([new[k] for k in alone[a : a + 4096]], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, dtype="<u4").tobytes()
+    return out
+
+
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text by the tokenizers library, without added special tokens."""
-    tokenizer, known = _tokenizer(path)
+    tokenizer, size, known = _tokenizer(path)
     parts = [chunks(t) if t else [] for t in texts]
     new = [c for c in set().union(*parts) if not known.knows(c)]
-    for at in range(0, len(new), 8192):
-        some = new[at : at + 8192]
-        for c, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, dtype="<u4").tobytes()
+    stems = {c: s for c in new if (s := stem(c))}
+    first = list({stems.get(c, c) for c in new} | {".", ","} if stems else new)
+    first = [c for c in first if not known.knows(c)]
+    known.update(zip(first, _encode_new(first, tokenizer, size), strict=True))
+    for c, s in stems.items():
+        known[c] = known[s] + known[c[-1]]
     out = [b"".join([known[c] for c in p]) for p in parts]
     for c in new:
         if len(c) > 64:
