@@ -25,8 +25,8 @@ from .common import ship, slices
 from .pieces import Recent, chunks
 
 LONG = 64
-REMEMBERED = 250_000
-WORDS_AT_ONCE = 20_000
+REMEMBERED = 120_000
+WORDS_AT_ONCE = 10_000
 BYTES_AT_ONCE = 1 << 20
 
 _ROUND = """
@@ -183,7 +183,7 @@ def _mapper(path: str, pattern: str, keep: list[str], mode: str):
         v = vocabulary(path, pattern)
         for batch in batches:
             column = "ids" if mode == "decode" else "text"
-            for part in slices(batch, 1024, 4 << 20, column):
+            for part in slices(batch, 512, 2 << 20, column):
                 cols = [part.column(k) for k in keep]
                 names = list(keep)
                 if mode == "decode":

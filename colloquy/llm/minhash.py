@@ -43,7 +43,7 @@ BLOCK = 32
 _STEP = 0x9E3779B97F4A7C15
 _FRACTION = np.uint64(48)
 _KNOWN: dict[bytes, int] = {}
-_KNOWN_MOST = 300_000
+_KNOWN_MOST = 100_000
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
