@@ -147,8 +147,8 @@ def subtract(left: DataFrame, cutters: DataFrame, keys: list[str], row: list[str
 def dense_windows(df: DataFrame, width_ms: int, hop_ms: int) -> DataFrame:
     """Windows of a fixed width over each span, the last one clipped; shorter spans are one window."""
     n = F.when(F.col("end_ms") - F.col("start_ms") > width_ms, F.ceil((F.col("end_ms") - F.col("start_ms") - width_ms) / hop_ms)).otherwise(0)
-    k = F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long"))).alias("k")
-    w_start = F.col("start_ms") + F.col("k") * hop_ms
+    k = F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long"))).alias("w_index")
+    w_start = F.col("start_ms") + F.col("w_index") * hop_ms
     return df.select("*", k).withColumn("w_start", w_start).withColumn("w_end", F.least(w_start + width_ms, F.col("end_ms")))
 
 

@@ -70,7 +70,7 @@ _LWW = (
 lww as (select meeting_id, label, min(p_start) as start_ms, max(p_end) as end_ms from (select *, sum(t) over (partition by meeting_id order by p_start) as run from (select *, case when lag(label) over w is not distinct from label and lag(p_end) over w = p_start then 0 else 1 end as t from top window w as (partition by meeting_id order by p_start))) group by meeting_id, label, run)"""
 )
 register("lww_timeline", lambda spark, d: iv.last_writer_timeline(views.emissions(spark, d).where("stable"), KEY, "idx").select("meeting_id", "label", "start_ms", "end_ms"), oracle("select * from lww", "t_emissions", ctes=_LWW))
-register("dense_windows", lambda spark, d: iv.dense_windows(views.spans(spark, d), 3_600_000, 1_800_000).select("meeting_id", "event_id", "k", "w_start", "w_end"), oracle("select meeting_id, event_id, k, start_ms + k * 1800000 as w_start, least(start_ms + k * 1800000 + 3600000, end_ms) as w_end from (select *, unnest(range(0, case when end_ms - start_ms > 3600000 then ceil((end_ms - start_ms - 3600000) / 1800000)::bigint else 0 end + 1)) as k from t_spans)", "t_spans"))
+register("dense_windows", lambda spark, d: iv.dense_windows(views.spans(spark, d), 3_600_000, 1_800_000).select("meeting_id", "event_id", F.col("w_index").alias("k"), "w_start", "w_end"), oracle("select meeting_id, event_id, k, start_ms + k * 1800000 as w_start, least(start_ms + k * 1800000 + 3600000, end_ms) as w_end from (select *, unnest(range(0, case when end_ms - start_ms > 3600000 then ceil((end_ms - start_ms - 3600000) / 1800000)::bigint else 0 end + 1)) as k from t_spans)", "t_spans"))
 register("overlapping_chunks", lambda spark, d: iv.dense_windows(views.spans(spark, d), 600_000, 595_000).groupBy("meeting_id").agg(F.count("*").alias("n_chunks"), F.sum(F.col("w_end") - F.col("w_start")).alias("chunk_ms")), oracle("select meeting_id, count(*) as n_chunks, sum(least(start_ms + k * 595000 + 600000, end_ms) - start_ms - k * 595000)::bigint as chunk_ms from (select *, unnest(range(0, case when end_ms - start_ms > 600000 then ceil((end_ms - start_ms - 600000) / 595000)::bigint else 0 end + 1)) as k from t_spans) group by meeting_id", "t_spans"))
 register(
     "span_subtract",
