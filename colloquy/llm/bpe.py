@@ -21,11 +21,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ship, slices
+from .common import give_back, ship, slices
 from .pieces import Recent, chunks
 
 LONG = 64
-REMEMBERED = 120_000
+REMEMBERED = 100_000
 WORDS_AT_ONCE = 10_000
 BYTES_AT_ONCE = 1 << 20
 
@@ -196,6 +196,8 @@ def _mapper(path: str, pattern: str, keep: list[str], mode: str):
                     cols.append(pa.array(v.decode(ids), pa.binary()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(cols, names)
+                del part, ids, cols
+                give_back()
 
     return run
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -51,6 +54,15 @@ def drop_cut(df: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system, so that idle workers of earlier stages take little room."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+        if trim is not None:
+            trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer on unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(30))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, mix64, ship, slices
+from .common import cut, drop_cut, give_back, mix64, ship, slices
 from .components import connected_components
 
 WORDS, SLOTS, ROWS = 5, 120, 5
@@ -125,6 +125,7 @@ def _sign(batches):
                 [part.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))],
                 ["doc_id", "n_shingles", "fingerprint", "bands"],
             )
+        give_back()
 
 
 def _sets(batches):
@@ -134,6 +135,7 @@ def _sets(batches):
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = (np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "shingles"])
+        give_back()
 
 
 def _links_between(percent: int):

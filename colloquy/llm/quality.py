@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix64, ship, slices
+from .common import give_back, mix64, ship, slices
 from .minhash import _word_hashes
 
 #: n-gram length -> largest share of word characters inside duplicated n-grams.
@@ -118,6 +118,7 @@ def _filter(batches):
     for batch in batches:
         for part in slices(batch, 1024, 8 << 20):
             yield part.filter(pa.array([verdict(measure(t))[1] for t in part.column("text").to_pylist()], pa.bool_()))
+        give_back()
 
 
 def keep_good(documents: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, mix64, ship, slices
+from .common import cut, drop_cut, give_back, mix64, ship, slices
 
 LENGTH, GRAM, SHARD = 400, 32, 512
 _PIECE = 1 << 20
@@ -202,6 +202,7 @@ def _anchor_rows(length: int, gram: int):
                         for k, c in enumerate(zip(*found, strict=True)):
                             cols[k + 2] += c
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.int32()] * 2, strict=True)], ["doc_id", "mark", "gram", "cls", "lo", "hi"])
+                give_back()
 
     return run
 
@@ -241,6 +242,7 @@ def _shard(length: int):
             for k, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(flat)], strict=True)):
                 if b > a:
                     out.append((grams[0], 0, 0, 0, k, flat[a:b].tobytes(), cls[a:b].tobytes(), place[a:b].tobytes()))
+        give_back()
         return pd.DataFrame(out, columns=[x.split()[0] for x in _SHARD_OUT.split(", ")])
 
     return run
@@ -311,7 +313,7 @@ def _keep(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def _cutter(names: list[str], extra: bool):
+def _cutter(names: list[str], as_text: bool):
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1024, 4 << 20):
@@ -321,17 +323,18 @@ def _cutter(names: list[str], extra: bool):
                     size.append(len(raw))
                     done.append(_keep(raw, s))
                 cols = [part.column(n) for n in names]
-                cols += [pa.array(size, pa.int64()), pa.array([n - len(k) for n, (k, _) in zip(size, done, strict=True)], pa.int64()), pa.array([r for _, r in done], pa.int64()), pa.array([k for k, _ in done], pa.binary())]
+                cols += [pa.array(size, pa.int64()), pa.array([n - len(k) for n, (k, _) in zip(size, done, strict=True)], pa.int64()), pa.array([r for _, r in done], pa.int64()), pa.array([k.decode("utf-8", "ignore") for k, _ in done], pa.string()) if as_text else pa.array([k for k, _ in done], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, [*names, "_n_bytes", "_n_removed", "_n_spans", "_kept"])
+                give_back()
 
     return run
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """All columns of documents with _n_bytes, _n_removed, _n_spans (maximal removed runs) and _kept (bytes that remain).
 
     A null text counts as empty. Rows that repeat a doc_id, or have none, are documents of their own. Texts shorter
-    than ``length`` lose nothing. The names above must be free; an empty table gives no rows.
+    than ``length`` lose nothing. With ``as_text`` _kept is a string, without the bytes of characters that a cut splits. The names above must be free; an empty table gives no rows.
     """
     ship(documents.sparkSession)
     marked = documents.withColumn("_mark", F.xxhash64("text"))
@@ -339,17 +342,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     spans = repeated_ranges(texts, length, gram).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("spans").alias("_spans"))
     joined = marked.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left").drop("_d", "_m", "_mark")
     fields = ", ".join(f"`{n}` {t}" for n, t in documents.dtypes)
-    return joined.mapInArrow(_cutter(documents.columns, True), f"{fields}, _n_bytes long, _n_removed long, _n_spans long, _kept binary")
-
-
-def whole_characters(column):
-    """The UTF-8 characters that are whole in a binary column; bytes of split ones are left out."""
-
-    @F.pandas_udf("string")
-    def decode(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
-
-    return decode(column)
+    return joined.mapInArrow(_cutter(documents.columns, as_text), f"{fields}, _n_bytes long, _n_removed long, _n_spans long, _kept {'string' if as_text else 'binary'}")
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, bytes]]:

@@ -27,8 +27,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = suffix.remove_repeats(docs)
-    text = F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(suffix.whole_characters(F.col("_kept")))
+    done = suffix.remove_repeats(docs, as_text=True)
+    text = F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(F.col("_kept"))
     left = done.withColumn("text", text).where("_n_removed = 0 or text <> ''")
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("_n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
