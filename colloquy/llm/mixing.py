@@ -119,14 +119,17 @@ def draw(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
     out = plain
     drop_cut(words)
     whole = cut(by(by(by(by(sources, edges), limit), whole), dealing))
-    out = by(plain, whole)
-    out = out.withColumn("_block", block)
-    picked = (F.col("_block") <= F.col("last")) | (F.coalesce(F.col("_block") == F.col("edge"), F.lit(False)) & (F.coalesce(order <= F.col("upto"), F.lit(False)) | F.coalesce(order == F.col("extra"), F.lit(False))))
-    copies = F.when(F.col("passes") + picked.cast("int") > 0, F.sequence(F.lit(0), F.col("passes") + picked.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    unit = lambda c: F.pmod((c.cast("long") * F.col("blocks") + F.col("_block")) * F.col("stride") + F.col("shift"), F.col("units"))
-    shard = lambda c: F.size(F.filter("ends", lambda e: e <= unit(c)))
-    keep = [*documents.columns, "_size", "_source_size", "_target"]
-    return out.select(*keep, F.transform(copies, shard).alias("_shards"))
+    # One struct, so that no name of it can clash with a column of the documents.
+    out = by(plain, whole.select("source", F.struct(*[c for c in whole.columns if c != "source"]).alias("_mix")))
+    m = lambda name: F.col(f"_mix.{name}")
+    out = out.withColumn("_block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), m("blocks")))
+    on_edge = F.coalesce(F.col("_block") == m("edge"), F.lit(False))
+    picked = (F.col("_block") <= m("last")) | (on_edge & (F.coalesce(order <= m("upto"), F.lit(False)) | F.coalesce(order == m("extra"), F.lit(False))))
+    n = m("passes") + picked.cast("int")
+    copies = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    unit = lambda c: F.pmod((c.cast("long") * m("blocks") + F.col("_block")) * m("stride") + m("shift"), m("units"))
+    shard = lambda c: F.size(F.filter(m("ends"), lambda e: e <= unit(c)))
+    return out.select(*documents.columns, "_size", m("_source_size").alias("_source_size"), m("_target").alias("_target"), F.transform(copies, shard).alias("_shards"))
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:
