@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import changes, relational
 from ..session import table
 from ..sources import views
@@ -154,12 +155,12 @@ register("non_blank", lambda spark, d: views.transcripts(spark, d).where(F.trim(
 
 
 def drop_sensitive(spark, d):
-    props = F.from_json("props", "map<string,string>")
-    kept = F.map_filter(props, lambda k, v: ~F.lower(k).isin("email", "token", "password", "api_key", "user_id", "ip", "k"))
+    props = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("device_name"), F.col("event_type")))
+    kept = text.without_sensitive(props)
     return table(spark, d, "events").select("event_id", F.size(kept).alias("n_kept"), F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("keys"))
 
 
-register("drop_sensitive", drop_sensitive, "select event_id, len(k)::int as n_kept, array_to_string(list_sort(k), ',') as keys from (select event_id, list_filter(json_keys(props), lambda x: lower(x) not in ('email', 'token', 'password', 'api_key', 'user_id', 'ip', 'k')) as k from events)")
+register("drop_sensitive", drop_sensitive, f"select event_id, len(k)::int as n_kept, array_to_string(list_sort(k), ',') as keys from (select event_id, list_filter(list_append(json_keys(props), 'device_name'), lambda x: x not in {text.SENSITIVE_KEYS}) as k from events)")
 
 # -- windows, top lists, sets ------------------------------------------------------------------------------------------
 
