@@ -83,6 +83,17 @@ def normalize_words(text: Column) -> Column:
     return F.array_join(F.filter(F.split(F.trim(t), " +"), lambda x: ~x.isin(*FILLERS)), " ")
 
 
+#: Sounds that are no words.
+SOUNDS = ("uh", "um", "er", "ah", "oh", "hm", "hmm", "uhh", "umm", "err", "ahh", "ohh")
+
+
+def tidy(text: Column) -> Column:
+    """Without sounds, without spaces before marks, with a capital first letter."""
+    kept = F.filter(words(text), lambda w: ~F.lower(F.regexp_replace(w, "[^A-Za-z]", "")).isin(*SOUNDS))
+    joined = F.regexp_replace(F.array_join(kept, " "), r" +([,.!?])", "$1")
+    return F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 1 << 30))
+
+
 def has_loop(text: Column) -> Column:
     """One to four words said four times or more in a row."""
     return text.rlike(r"(?i)\b((?:[\w'-]+[ ,.!?]+){1,4}?)(?:\1){3,}")

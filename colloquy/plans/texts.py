@@ -50,3 +50,17 @@ def wer_by_speaker(spark, d):
 
 
 register("wer_by_speaker", wer_by_speaker)
+
+
+def pairwise_wer(spark, d):
+    """Word error rates between all ordered pairs of three renderings of the turns, and each one's mean against the others."""
+    t = table(spark, d, "conversations").withColumn("ref", x.normalize_words(F.col("text")))
+    said = t.select("conv_id", "turn", F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col("ref").alias("w")), F.struct(F.lit("b").alias("s"), F.regexp_replace("ref", r"\bth(\w)\w*", "th$1").alias("w")), F.struct(F.lit("c").alias("s"), F.regexp_replace("ref", r" on ", " ").alias("w")))).alias("v")).select("conv_id", "turn", "v.s", "v.w")
+    other = said.select("conv_id", "turn", F.col("s").alias("other"), F.col("w").alias("o"))
+    pairs = said.join(other, ["conv_id", "turn"]).where("s <> other").select("s", "other", x.word_errors("w", "o").alias("e"))
+    rate = pairs.groupBy("s", "other").agg(F.round(F.sum(F.col("e.substitutions") + F.col("e.deletions") + F.col("e.insertions")) / F.sum("e.n_ref"), 6).alias("wer"))
+    return rate.groupBy("s").pivot("other", ["a", "b", "c"]).agg(F.first("wer")).join(rate.groupBy("s").agg(F.round(F.avg("wer"), 6).alias("mean_wer")), "s")
+
+
+register("pairwise_wer", pairwise_wer)
+register("tidy_text", lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2(x.tidy(F.col("text")), 256).alias("tidy_sha256")), f"select doc_id, sha256(upper(substring(j, 1, 1)) || substring(j, 2)) as tidy_sha256 from (select doc_id, regexp_replace(array_to_string(list_filter({_TW}, lambda w: lower(regexp_replace(w, '[^A-Za-z]', '', 'g')) not in {x.SOUNDS}), ' '), ' +([,.!?])', '\\1', 'g') as j from documents)")
