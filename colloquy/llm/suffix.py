@@ -288,7 +288,8 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     wanted = contested.groupBy("doc_id", "mark").agg(F.collect_list("w").alias("wanted"))
     units = max(1, classes.where("classes > 1 and parts = 1").count() // SHARD)
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
-    found = documents.join(wanted, same(documents, wanted)).select("text", "wanted").mapInArrow(_content(length), "gram long, cls long, n long, parts int, content binary")
+    # What is wanted, and the ranges below, grow with the corpus: joined by shuffles at every size.
+    found = documents.join(wanted.hint("merge"), same(documents, wanted)).select("text", "wanted").mapInArrow(_content(length), "gram long, cls long, n long, parts int, content binary")
     unit = F.when(F.col("parts") > 1, F.struct(F.col("gram"), F.pmod(F.col("cls"), F.col("parts").cast("long")))).otherwise(F.struct(F.pmod(F.xxhash64("gram"), F.lit(units)).alias("gram"), F.lit(-1).cast("long")))
     sharded = cut(found.withColumn("unit", unit).groupBy("unit").applyInPandas(_shard(length), _SHARD_OUT))
     merged = sharded.where("range >= 0").groupBy("gram", "range").applyInPandas(_merge, "gram long, cls long, lo int, hi int")
@@ -340,7 +341,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     marked = documents.withColumn("_mark", F.xxhash64("text"))
     texts = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_mark").alias("mark"), "text")
     spans = repeated_ranges(texts, length, gram).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("spans").alias("_spans"))
-    joined = marked.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left").drop("_d", "_m", "_mark")
+    joined = marked.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left").drop("_d", "_m", "_mark")
     fields = ", ".join(f"`{n}` {t}" for n, t in documents.dtypes)
     return joined.mapInArrow(_cutter(documents.columns, as_text), f"{fields}, _n_bytes long, _n_removed long, _n_spans long, _kept {'string' if as_text else 'binary'}")
 
