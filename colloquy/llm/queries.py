@@ -68,7 +68,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy differences of all documents; the target are documents labelled good and not toxic."""
     good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return lm.score(_table(spark, sf_dir, "documents"), good)
+    return lm.score_exact(_table(spark, sf_dir, "documents"), good)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
