@@ -1,7 +1,7 @@
 """A training corpus from documents in five stages, each of one operator; every stage is written and read again.
 
 1. quality: documents that the repetition rules reject go.
-2. near_dedup: of each group of near-duplicates the document of smallest id stays.
+2. near_dedup: of each group of near-duplicates (similarity 0.8 or more) the document of smallest id stays.
 3. substring_dedup: strings of 400 bytes that also start elsewhere are cut out; what is left of a text stays, without
    the bytes of characters that a cut splits, and n_chars is counted anew. A document of which nothing is left goes.
 4. mixing: sources are brought to their target weights; a document that the mix takes several times has as many rows.
@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.near_dedup(docs)
+    return minhash.near_dedup(docs, percent=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
