@@ -5,8 +5,8 @@ so the order of distances is that of inner products, whatever the norms. All vec
 Lists are cells of k-means centroids, fitted on a bounded sample (``SAMPLE`` rows, lowest hash of vec_id first); every
 row is assigned to its list, and a query probes the lists of the nearest centroids, ``PROBE`` of all.
 
-A query's limit is its 20th distance within the sample, whose rows are candidates too and join the result. Inside a
-list the columns come in blocks. After each block a candidate's partial distance d' of k out of D dimensions is tested:
+A query's limit is its 40th distance among the sampled rows of the lists it probes (fewer: no limit). The sample serves
+centroids and limits only: every candidate comes out of a probed list, whatever the size of the table. Inside a list the columns come in blocks. After each block a candidate's partial distance d' of k out of D dimensions is tested:
 if d' exceeds k / D * (1 + EPSILON / sqrt(k))^2 times the limit, the hypothesis that the candidate is nearer is
 rejected and its other columns are never read. What survives gets its exact inner product on the original vectors in
 double precision.
@@ -68,14 +68,10 @@ def _placer(centroids: np.ndarray, d: int, largest: float):
     return run
 
 
-def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to the smaller id."""
-    return np.lexsort((ids, -score))[:k]
-
-
 def _asker(centroids: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, d: int, largest: float, probes: int, k: int):
-    """For each query its lists, its best rows of the sample and the distance of the k-th of them."""
-    kinds = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
+    """For each query its lists and a limit: the distance of the k-th nearest row of the sample in these lists."""
+    lifted = _lift(sample, largest, False)
+    sample_list = np.argmin((centroids * centroids).sum(1)[None, :] - 2 * (lifted @ centroids.T), axis=1)
 
     def run(batches):
         for whole in batches:
@@ -85,18 +81,11 @@ def _asker(centroids: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, d:
                 far = (centroids * centroids).sum(1)[None, :] - 2 * (_lift(x, largest, True) @ centroids.T)
                 near = np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32)
                 ids, inner = batch.column("vec_id").to_numpy(), x @ sample.T
-                limits, hits = [], []
+                limits = []
                 for i in range(len(x)):
-                    inner[i, sample_ids == ids[i]] = -np.inf
-                    level = np.partition(inner[i], -k)[-k] if len(sample) >= k else -np.inf
-                    some = np.nonzero(np.isfinite(inner[i]) & (inner[i] >= level - 1e-9 * abs(level) if np.isfinite(level) else True))[0]
-                    score = (sample[some] * x[i]).sum(axis=1)
-                    top = _best(sample_ids[some], score, k)
-                    hits.append([{"vec_id": int(v), "score": float(z)} for v, z in zip(sample_ids[some][top], score[top], strict=True)])
-                    limits.append(float((x[i] ** 2).sum() + largest**2 - 2 * score[top][-1]) if len(top) == k else np.inf)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(near), pa.list_(pa.int32())), pa.array(limits), pa.array(hits, kinds)], ["vec_id", "v", "lists", "limit", "hits"]
-                )
+                    some = inner[i, np.isin(sample_list, near[i]) & (sample_ids != ids[i])]
+                    limits.append(float((x[i] ** 2).sum() + largest**2 - 2 * np.partition(some, -k)[-k]) if len(some) >= k else np.inf)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(near), pa.list_(pa.int32())), pa.array(limits)], ["vec_id", "v", "lists", "limit"])
 
     return run
 
@@ -168,9 +157,8 @@ def nearest(embeddings: DataFrame, queries: DataFrame | None = None, k: int = NE
     lists = int(min(max(1, np.sqrt(n) / 4), max(1, len(x) // 20), 1024))
     centroids = k_means(_lift(x, largest, False), lists, np.random.default_rng(SEED))
     placed = cut(rows.mapInArrow(_placer(centroids, d, largest), "vec_id long, list int, v binary"))
-    ask = _asker(centroids, sample.column("vec_id").to_numpy(), x, d, largest, int(np.ceil(probe * lists)), k)
-    asked = cut(asked.dropDuplicates(["vec_id"]).mapInArrow(ask, "vec_id long, v binary, lists array<int>, limit double, hits array<struct<vec_id:long,score:double>>"))
-    piloted = asked.select(F.col("vec_id").alias("query_id"), F.inline("hits"))
+    ask = _asker(centroids, sample.column("vec_id").to_numpy(), x, d, largest, int(np.ceil(probe * lists)), 2 * k)
+    asked = cut(asked.dropDuplicates(["vec_id"]).mapInArrow(ask, "vec_id long, v binary, lists array<int>, limit double"))
     asked = asked.select("vec_id", "v", "limit", F.explode("lists").alias("list"))
     sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     loads = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).alias("asks"))
@@ -181,6 +169,6 @@ def nearest(embeddings: DataFrame, queries: DataFrame | None = None, k: int = NE
     right = placed.join(F.broadcast(both), "list").select("list", every("asks").alias("ask"), some("parts").alias("part"), "vec_id", "v")
     keys = ["list", "part", "ask"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_scanner(d, largest, k), "query_id long, vec_id long, score double")
-    found = found.union(piloted).distinct()
+    found = found.distinct()
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
