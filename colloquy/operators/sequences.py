@@ -74,26 +74,37 @@ def greedy_matches(shared: DataFrame, keys: list[str], left: str, right: str, we
 
 def agglomerate(x: np.ndarray, threshold: float, most: int = 128) -> np.ndarray:
     """Cluster numbers by average linkage on cosine: the closest pair merges while its cosine is at least ``threshold``, or
-    while there are more than ``most`` clusters. Numbers follow first members. (Our own choice of linkage.)"""
+    while there are more than ``most`` clusters. Numbers follow first members. (Our own choice of linkage.)
+
+    The mean cosine of two clusters is the product of their sums of unit vectors over their sizes, so no matrix of pairs is
+    held. Chains of nearest neighbours find all merges, which are then taken from the closest on."""
     n = len(x)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-    sim, size, label = unit @ unit.T, np.ones(n), np.arange(n)
-    np.fill_diagonal(sim, -np.inf)
-    alive = n
-    while alive > 1:
-        i, j = np.unravel_index(sim.argmax(), sim.shape)
-        if sim[i, j] < threshold and alive <= most:
+    sums, size, alive = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0), np.ones(n), np.ones(n, bool)
+    height, merges, chain = np.full(n, np.inf), [], []
+    while len(merges) < n - 1:
+        chain = chain or [int(alive.argmax())]
+        i = chain[-1]
+        sim = np.where(alive, sums @ sums[i] / (size * size[i]), -np.inf)
+        sim[i] = -np.inf
+        j = int(sim.argmax())
+        if len(chain) == 1 or sim[chain[-2]] < sim[j] - 1e-12:
+            chain.append(j)
+            continue
+        j = chain[-2]
+        del chain[-2:]
+        a, b = min(i, j), max(i, j)
+        height[a] = min(sim[j], height[a], height[b])  # no merge before those it consists of
+        merges.append((height[a], a, b))
+        sums[a] += sums[b]
+        size[a] += size[b]
+        alive[b] = False
+    label, left = np.arange(n), n
+    for h, a, b in sorted(merges, key=lambda m: -m[0]):
+        if h < threshold and left <= most:
             break
-        i, j = min(i, j), max(i, j)
-        mean = (size[i] * sim[i] + size[j] * sim[j]) / (size[i] + size[j])
-        sim[i], sim[:, i] = mean, mean
-        sim[j], sim[:, j], sim[i, i] = -np.inf, -np.inf, -np.inf
-        dead = np.isneginf(sim[:, i]) | (np.arange(n) == i)
-        sim[i, dead], sim[dead, i] = -np.inf, -np.inf
-        size[i] += size[j]
-        label[label == label[j]] = label[i]
-        alive -= 1
+        label[label == b] = a
+        left -= 1
     return np.unique(label, return_inverse=True)[1]
 
 

@@ -30,7 +30,7 @@ def greedy_labels(spark, d):
 
 
 register("greedy_labels", greedy_labels)
-register("cluster_vectors", lambda spark, d: sq.cluster_vectors(views.prototypes(spark, d).withColumn("part", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.lit(8)))), ["meeting_id", "channel", "part"], "id", "embedding", 0.25).select("meeting_id", "channel", "id", "cluster"))
+register("cluster_vectors", lambda spark, d: sq.cluster_vectors(views.prototypes(spark, d), ["meeting_id", "channel"], "id", "embedding", 0.25).select("meeting_id", "channel", "id", "cluster"))
 register("pack_spans", lambda spark, d: sq.pack_spans(views.transcripts(spark, d).select("meeting_id", "seq", "start_ms", "end_ms"), ["meeting_id"], ["seq"], 250_000, 300))
 
 
