@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, slices
-from .pieces import Recent, chunks, stem
+from .pieces import Memory, begins_with_space, binary_column, column_bytes, ragged
 
 STRIDE = 512
 SEGMENT = 1 << 20
@@ -91,6 +91,7 @@ class Segment:
         return out
 
 
+REMEMBERED = 2_000_000
 _LOADED: dict[str, tuple] = {}
 
 
@@ -105,75 +106,78 @@ def _tokenizer(path: str):
         size = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
         for token, i in tokenizer.get_vocab().items():
             size[i] = len(token)  # a byte-level token has a character for each byte
-        _LOADED[path] = tokenizer, size, Recent(600_000)
+        _LOADED[path] = tokenizer, size, Memory(REMEMBERED)
     return _LOADED[path]
 
 
-def _encode_new(new: list[str], tokenizer, size: np.ndarray) -> list[bytes]:
-    """Ids of chunks; those that begin with white space go to the library in one string, since cuts before them are safe.
+JOINT = 512
 
-    Where one chunk ends in the joint string follows from the bytes that each token stands for.
+
+def _encode_new(tokenizer, size: np.ndarray):
+    """The ids of parts. Those that begin with white space go to the library in one string, since a cut before it is safe.
+
+    Such a part neither holds white space further on nor ends in it: then the next part's white space would be read
+    with its own. Where a part ends in the joint string follows from the bytes that each token stands for.
     """
-    out: list[bytes] = [b""] * len(new)
-    joint = [k for k, c in enumerate(new) if c[0] in " \n" and not c.isspace()]
-    alone = sorted(set(range(len(new))) - set(joint))
-    groups = [joint[a : a + 4096] for a in range(0, len(joint), 4096)]
-    for some, e in zip(groups, tokenizer.encode_batch(["".join(new[k] for k in g) for g in groups], add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, dtype="<u4")
-        reach = np.cumsum([len(new[k].encode("utf-8", "surrogatepass")) for k in some])
-        ends = np.searchsorted(np.cumsum(size[ids]), reach) + 1
-        raw, at = ids.tobytes(), 0
-        for k, end in zip(some, (4 * ends).tolist(), strict=True):
-            out[k], at = raw[at:end], end
-    for a in range(0, len(alone), 4096):
-        for k, e in zip(alone[a : a + 4096], tokenizer.encode_batch([new[k] for k in alone[a : a + 4096]], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, dtype="<u4").tobytes()
-    return out
+
+    def run(new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        joint = begins_with_space(*column_bytes(new))
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        data, bounds = column_bytes(new.filter(pa.array(joint)))
+        for a in range(0, len(bounds) - 1, 64 * JOINT):
+            groups = [bounds[b : b + JOINT + 1] for b in range(a, min(a + 64 * JOINT, len(bounds) - 1), JOINT)]
+            for at, e in zip(groups, tokenizer.encode_batch([data[at[0] : at[-1]].tobytes().decode("utf-8") for at in groups], add_special_tokens=False), strict=True):
+                flat.append(np.array(e.ids, dtype=np.uint32))
+                ends = np.searchsorted(np.cumsum(size[flat[-1]]), at[1:] - at[0]) + 1
+                sizes.append(np.diff(ends, prepend=0))
+        alone = new.filter(pa.array(~joint)).cast(pa.string())
+        for a in range(0, len(alone), 4096):
+            found = [e.ids for e in tokenizer.encode_batch(alone.slice(a, 4096).to_pylist(), add_special_tokens=False)]
+            flat += [np.array(ids, dtype=np.uint32) for ids in found]
+            sizes.append(np.array([len(ids) for ids in found], dtype=np.int64))
+        n = np.empty(len(new), np.int64)
+        order = np.concatenate([np.nonzero(joint)[0], np.nonzero(~joint)[0]])
+        n[order] = np.concatenate(sizes)
+        start = np.empty(len(new), np.int64)
+        start[order] = np.cumsum(n[order]) - n[order]
+        return ragged(np.concatenate(flat), start, n), n
+
+    return run
+
+
+def encode_column(col: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts of a column (null: none) by the tokenizers library, without added special tokens, and the number of ids of each."""
+    tokenizer, size, memory = _tokenizer(path)
+    return memory.encode(col, _encode_new(tokenizer, size))
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text by the tokenizers library, without added special tokens."""
-    tokenizer, size, known = _tokenizer(path)
-    parts = [chunks(t) if t else [] for t in texts]
-    new = [c for c in set().union(*parts) if not known.knows(c)]
-    stems = {c: s for c in new if (s := stem(c))}
-    first = list({stems.get(c, c) for c in new} | {".", ","} if stems else new)
-    first = [c for c in first if not known.knows(c)]
-    known.update(zip(first, _encode_new(first, tokenizer, size), strict=True))
-    for c, s in stems.items():
-        known[c] = known[s] + known[c[-1]]
-    out = [b"".join([known[c] for c in p]) for p in parts]
-    for c in new:
-        if len(c) > 64:
-            del known[c]
-    known.turn()
-    return out
+    """Little-endian unsigned 32-bit ids of each text."""
+    return binary_column(*encode_column(pa.array(texts, pa.string()), path)).to_pylist()
 
 
 def _writer(path: str, end: int):
-    last = end.to_bytes(4, "little")
-
     def run(batches):
         from pyspark import TaskContext
 
         part, number, before = TaskContext.get().partitionId(), 0, 0
-        docs, parts, total = [], [], 0
+        docs, counts, parts, total = [], [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(parts), dtype="<u4")
-            ends = np.cumsum([len(x) // 4 for x in parts])
-            raw = pack(np.array(docs, dtype=np.int64), ends, ids)
+            ids = np.concatenate(parts)
+            raw = pack(np.concatenate(docs), np.cumsum(np.concatenate(counts)), ids)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([raw], pa.binary())], ["part", "number", "before", "n_tokens", "segment"])
 
         for batch in batches:
-            for piece in slices(batch, 2048, 4 << 20):
-                for doc, ids in zip(piece.column("doc_id").to_pylist(), encode_texts(piece.column("text").to_pylist(), path), strict=True):
-                    docs.append(doc)
-                    parts.append(ids + last)
-                    total += len(parts[-1]) // 4
-                    if total >= SEGMENT:
-                        yield flush()
-                        number, before, docs, parts, total = number + 1, before + total, [], [], 0
+            for piece in slices(batch, 8192, 16 << 20):
+                ids, n = encode_column(piece.column("text"), path)
+                docs.append(piece.column("doc_id").to_numpy())
+                parts.append(np.insert(ids, np.cumsum(n), np.uint32(end)))
+                counts.append(n + 1)
+                total += len(parts[-1])
+                if total >= SEGMENT:
+                    yield flush()
+                    number, before, docs, counts, parts, total = number + 1, before + total, [], [], [], 0
         if docs:
             yield flush()
 
