@@ -1,14 +1,15 @@
 """Byte-level BPE by recursive DuckDB queries inside Spark tasks.
 
-Encoding: a text is cut into the matches of the vocabulary's pattern. Each distinct match that is no token itself
-becomes rows (word, position, token) of one token a byte. A recursive query joins the rows of neighbouring positions
-to the merge table (left, right -> token, whose id is its rank) and contracts in every word its leftmost pair of
-least rank, until no word has a pair. Words of over ``LONG`` bytes contract all occurrences of that pair at once
-where no token that extends the new one ranks before it, which gives the same result in fewer rounds.
-Decoding: rows (document, position, token) join the vocabulary and are aggregated in the order of positions.
-
-Every Spark task works on Arrow batches in bounded parts, with one DuckDB connection of one thread; encodings of short
-chunks are remembered up to a fixed number, over all tasks of a worker. Nothing is shuffled.
+Encoding: a text is cut into parts (``pieces``) and these into the matches of the vocabulary's pattern. Each distinct
+match that is no token itself becomes rows (word, position, token) of one token a byte. A recursive query joins the
+rows of neighbouring positions to the merge table (left, right -> token, whose id is its rank) and contracts in every
+word its leftmost pair of least rank, until no word has a pair. For words of over ``LONG`` bytes the recursive query
+contracts all occurrences of that pair in a round where no token that extends the new one ranks before it, which gives
+the same result in fewer rounds.
+Decoding: rows (document, position, token) are aggregated in the order of positions and looked up in the vocabulary.
+
+Every Spark task works on Arrow batches in bounded parts, with one DuckDB connection of one thread; encodings of
+parts are remembered up to ``REMEMBERED``, over all tasks of a worker. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -22,29 +23,55 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import give_back, ship, slices
-from .pieces import Recent, chunks
+from .pieces import Memory, binary_column, column_bytes
 
 LONG = 64
-REMEMBERED = 100_000
-WORDS_AT_ONCE = 10_000
+REMEMBERED = 2_000_000
+WORDS_AT_ONCE = 30_000
 BYTES_AT_ONCE = 1 << 20
+TOKENS_AT_ONCE = 1_000_000
 
-_ROUND = """
-with recursive st(w, p, tok) using key (w, p) as (
-  select w, p, tok from words
+#: A row's key is its word and position; each round emits what is left of the words that it contracts.
+_ROUNDS = """
+with recursive st(i, k, tok) as (
+  select 0, (w::bigint << 10) | p, tok from words
   union all
-  select a.w, a.p, case when a.p = k.best & 1023 then (k.best >> 20)::int when a.p = (k.best >> 10) & 1023 then -1 else a.tok end
+  select a.i + 1, a.k, case when a.k & 1023 = best.of & 1023 then (best.of >> 20)::int else a.tok end
   from st a join (
-    select w, min((m.new::bigint << 20) | (s.after << 10) | s.p) as best
-    from (select w, p, tok, lead(tok) over g as nxt, lead(p) over g as after from st where tok >= 0 window g as (partition by w order by p)) s
+    select s.k >> 10 as w, min((m.new::bigint << 20) | ((s.after & 1023) << 10) | (s.k & 1023)) as of
+    from (select k, tok, lead(tok) over g as nxt, lead(k) over g as after from st window g as (order by k)) s
     join merges m on m.l = s.tok and m.r = s.nxt
-    group by w
-  ) k on a.w = k.w where a.tok >= 0
+    where s.k >> 10 = s.after >> 10
+    group by s.k >> 10
+  ) best on a.k >> 10 = best.w where a.k & 1023 <> (best.of >> 10) & 1023
+), last as (select k >> 10 as w, max(i) as i from st group by k >> 10)
+select w, list(tok order by k) as ids from st join last on st.k >> 10 = last.w and st.i = last.i group by w order by w
+"""
+
+#: Rows are replaced by their key, so that many rounds take no more room than one; -1 marks what is contracted away.
+_LONG_ROUNDS = """
+with recursive st(w, p, tok) using key (w, p) as (
+  select w, p, tok from words
+  union all
+  (with s as (select w, p, tok, lead(tok) over g as nxt, lead(p) over g as after, row_number() over g as i from st where tok >= 0 window g as (partition by w order by p)),
+   pair as (select s.*, m.new, m.free, min(m.new) over (partition by w) as best from s join merges m on m.l = s.tok and m.r = s.nxt),
+   least as (select *, i - row_number() over (partition by w order by i) as run from pair where new = best),
+   odd as (select *, row_number() over (partition by w, run order by i) % 2 = 1 as take, i = min(i) over (partition by w) as first from least),
+   hit as (select w, p, after, new from odd where take and (free or first)),
+   change as (select w, p, new as tok from hit union all select w, after, -1 from hit)
+   select s.w, s.p, coalesce(c.tok, s.tok) from s join (select distinct w from hit) using (w) left join change c on c.w = s.w and c.p = s.p)
 )
 select w, list(tok order by p) as ids from st where tok >= 0 group by w order by w
 """
 
 
+#: Tokens of a document in the order of their positions, each looked up in the vocabulary's list.
+_DECODE = """
+with seq as (select d, list_sort(list((p::bigint << 32) | tok)) as ids from given group by d)
+select d, array_to_string(list_transform(ids, lambda x: parts[(x & 4294967295) + 1]), '') as s from seq, vocab
+"""
+
+
 class Vocabulary:
     """A rank file (base64 token and rank a line) with its splitting pattern, loaded into a DuckDB connection."""
 
@@ -69,9 +96,11 @@ class Vocabulary:
         self.sql.execute("create table merges as select * from m")
         self.sql.unregister("m")
         self.sql.register("v", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "part": [k.decode("latin-1") for k in self.ranks]}))
-        self.sql.execute("create table vocab as select * from v")
+        self.sql.execute("create table vocab as select list(part order by i) as parts from range((select max(tok) + 1 from v)) t(i) left join v on tok = i")
         self.sql.unregister("v")
-        self.known, self.known_words = Recent(REMEMBERED), Recent(REMEMBERED)
+        self.named = np.zeros(max(self.ranks.values()) + 1, dtype=bool)
+        self.named[list(self.ranks.values())] = True
+        self.memory = Memory(REMEMBERED)
 
     def _merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word (none of them empty), by the recursive query."""
@@ -81,91 +110,70 @@ class Vocabulary:
         self.sql.register("given", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "p": at.astype(np.int32), "tok": flat}))
         self.sql.execute("create or replace temp table words as select * from given")
         self.sql.unregister("given")
-        if size.max() > LONG:
-            return self._merge_long(len(words))
-        ids = self.sql.sql(_ROUND).to_arrow_table().column("ids").combine_chunks()
-        values, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
+        ids = self.sql.sql(_LONG_ROUNDS if size.max() > LONG else _ROUNDS).to_arrow_table().column("ids").combine_chunks()
+        values, ends = ids.values.to_numpy().astype(np.uint32), ids.offsets.to_numpy()
         return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-    def _merge_long(self, n: int) -> list[np.ndarray]:
-        """As ``_merge``, one statement a round over a table that shrinks; all free occurrences of the least pair at once."""
-        run = self.sql.execute
-        run("create or replace temp table done(w int, p int, tok int)")
-        while True:
-            run(
-                """create or replace temp table hit as
-                with s as (select w, p, tok, lead(tok) over g as nxt, lead(p) over g as after, row_number() over g as i from words window g as (partition by w order by p)),
-                pair as (select s.*, m.new, m.free, min(m.new) over (partition by w) as best from s join merges m on m.l = s.tok and m.r = s.nxt),
-                least as (select *, i - row_number() over (partition by w order by i) as run from pair where new = best),
-                odd as (select *, row_number() over (partition by w, run order by i) % 2 = 1 as take, i = min(i) over (partition by w) as first from least)
-                select w, p, after, new from odd where take and (free or first)"""
-            )
-            if not run("select count(*) from hit").fetchone()[0]:
-                break
-            run("insert into done select * from words where w not in (select w from hit)")
-            run(
-                """create or replace temp table words as
-                select a.w, a.p, coalesce(k.new, a.tok) as tok from (select * from words where w in (select w from hit)) a
-                left join hit k on a.w = k.w and a.p = k.p
-                anti join hit b on a.w = b.w and a.p = b.after"""
-            )
-        run("insert into done select * from words")
-        out = self.sql.sql("select w, list(tok order by p) as ids from done group by w order by w").to_arrow_table().column("ids").to_pylist()
-        assert len(out) == n
-        return [np.array(x, dtype="<u4") for x in out]
-
-    def _encode_words(self, words: set[str]) -> dict[str, bytes]:
-        """Little-endian unsigned 32-bit ids of each distinct match of the pattern."""
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
+        """The ids of each distinct match of the pattern."""
         out, todo = {}, []
-        for w in words:
-            raw = w.encode("utf-8", "surrogatepass")
+        for raw in words:
             rank = self.ranks.get(raw)
             if rank is None:
-                todo.append((len(raw) > LONG, w, raw))
+                todo.append(raw)
             else:
-                out[w] = rank.to_bytes(4, "little")
-        todo.sort(key=lambda x: x[0])
+                out[raw] = np.array([rank], dtype=np.uint32)
+        todo.sort(key=len)
         start = 0
         while start < len(todo):
             end, total = start, 0
-            while end < len(todo) and end - start < WORDS_AT_ONCE and todo[end][0] == todo[start][0] and (end == start or total + len(todo[end][2]) <= BYTES_AT_ONCE):
-                total += len(todo[end][2])
+            while end < len(todo) and end - start < WORDS_AT_ONCE and (len(todo[end]) > LONG) == (len(todo[start]) > LONG) and (end == start or total + len(todo[end]) <= BYTES_AT_ONCE):
+                total += len(todo[end])
                 end += 1
-            for (_, w, _), ids in zip(todo[start:end], self._merge([x[2] for x in todo[start:end]]), strict=True):
-                out[w] = ids.tobytes()
+            out.update(zip(todo[start:end], self._merge(todo[start:end]), strict=True))
             start = end
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _matches(self, part: bytes) -> list[bytes]:
+        text = part.decode("utf-8")
+        word = text[1:] if text[0] == " " else text
+        if word.isalpha() and max(word) < "\u0250":  # letters behind at most one space are one match
+            return [part]
+        return [m.encode("utf-8") for m in self.split(text)]
+
+    def _encode_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        matches = [self._matches(p) for p in parts.to_pylist()]
+        words = self._encode_words(list({m for found in matches for m in found}))
+        done = [words[found[0]] if len(found) == 1 else np.concatenate([words[m] for m in found]) for found in matches]
+        return np.concatenate(done), np.fromiter(map(len, done), np.int64, len(done))
+
+    def encode_column(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts of a column (null: none), and the number of ids of each."""
+        return self.memory.encode(col, self._encode_parts)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        known, words = self.known, self.known_words
-        parts = [chunks(t) if t else [] for t in texts]
-        matches = {c: self.split(c) for c in set().union(*parts) if not known.knows(c)}
-        fresh = self._encode_words({m for m in set().union(*matches.values()) if not words.knows(m)})
-        words.update(fresh)
-        known.update((c, b"".join([words[m] for m in found])) for c, found in matches.items())
-        out = [b"".join([known[c] for c in p]) for p in parts]
-        for memory, new in ((words, fresh), (known, matches)):
-            for x in new:
-                if len(x) > LONG:
-                    del memory[x]
-            memory.turn()
-        return out
+        ids, n = self.encode_column(pa.array(texts, pa.string()))
+        ends = np.cumsum(n)
+        return [ids[b - k : b].astype("<u4").tobytes() for b, k in zip(ends, n, strict=True)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes behind each document's ids; an id outside the vocabulary is an error."""
-        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        flat = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), size)
-        self.sql.register("given", pa.table({"d": doc, "p": np.arange(len(flat), dtype=np.int32), "tok": flat}))
-        found = self.sql.sql("select d, string_agg(part, '' order by p) as s, count(*) as n from given join vocab using (tok) group by d").fetchall()
-        self.sql.unregister("given")
-        if sum(x[2] for x in found) != len(flat):
+        n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        return self.decode_column(np.frombuffer(b"".join(ids), dtype="<u4"), n).to_pylist()
+
+    def decode_column(self, ids: np.ndarray, n: np.ndarray) -> pa.Array:
+        """As ``decode``, of all ids in a row and their number in each document; in windows of ``TOKENS_AT_ONCE`` ids."""
+        if len(ids) and (ids.max() >= len(self.named) or not self.named[ids].all()):
             raise ValueError("an id is outside the vocabulary")
-        out = [b""] * len(ids)
-        for d, s, _ in found:
-            out[d] = s.encode("latin-1")
-        return out
+        doc, out = np.repeat(np.arange(len(n), dtype=np.int32), n), [b""] * len(n)
+        for at in range(0, len(ids), TOKENS_AT_ONCE):
+            some = slice(at, at + TOKENS_AT_ONCE)
+            self.sql.register("given", pa.table({"d": doc[some], "p": np.arange(len(ids[some]), dtype=np.int32), "tok": ids[some].astype(np.int32)}))
+            for d, s in self.sql.sql(_DECODE).fetchall():
+                out[d] += s.encode("latin-1")
+            self.sql.unregister("given")
+        return pa.array(out, pa.binary())
 
 
 _LOADED: dict[tuple[str, str], Vocabulary] = {}
@@ -183,21 +191,22 @@ def _mapper(path: str, pattern: str, keep: list[str], mode: str):
         v = vocabulary(path, pattern)
         for batch in batches:
             column = "ids" if mode == "decode" else "text"
-            for part in slices(batch, 512, 2 << 20, column):
+            for part in slices(batch, 8192, 16 << 20, column):
                 cols = [part.column(k) for k in keep]
                 names = list(keep)
                 if mode == "decode":
-                    ids = [x or b"" for x in part.column("ids").to_pylist()]
+                    raw, bounds = column_bytes(part.column("ids"))
+                    ids, n = raw.view("<u4"), np.diff(bounds) // 4
                 else:
-                    ids = v.encode(part.column("text").to_pylist())
-                    cols += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                    ids, n = v.encode_column(part.column("text"))
+                    cols += [pa.array(n, pa.int64()), binary_column(ids, n)]
                     names += ["n_tokens", "ids"]
                 if mode != "encode":
-                    cols.append(pa.array(v.decode(ids), pa.binary()))
+                    cols.append(v.decode_column(ids, n))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(cols, names)
                 del part, ids, cols
-                give_back()
+            give_back()
 
     return run
 

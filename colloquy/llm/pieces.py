@@ -135,54 +135,3 @@ class Memory:
         else:
             self.keys = self.keys.filter(pa.array(keep))
             self.flat, self.size, self.used = ragged(flat, start[keep], size[keep]), size[keep], used[keep]
-
-
-# the cutting that the byte-level BPE uses until it moves over
-import re
-
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: White space (and the separator used below) on which libraries differ, or which the fast way does not know.
-_OTHER_SPACE = "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
-_RUNS = ("  ", " \n", "\n ", "\n\n")
-
-
-def chunks(text: str) -> list[str]:
-    """Parts whose encodings concatenate to the text's own.
-
-    The splitting pattern never joins a non-space character with white space after it and looks ahead only, so a cut
-    before a run of white space is safe. Texts with white space other than space and newline stay whole.
-    """
-    for c in _OTHER_SPACE:
-        if c in text:
-            return [text]
-    for run in _RUNS:
-        if run in text:
-            return _CHUNK.findall(text)
-    out = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-    return out if out[0] else out[1:]
-
-
-def stem(chunk: str) -> str | None:
-    """A chunk without its closing full stop or comma, where that follows a letter: then both encode apart."""
-    return chunk[:-1] if chunk[-1:] in ".," and chunk[-2:-1].isalpha() and chunk[-2:-1].isascii() else None
-
-
-class Recent(dict):
-    """A bounded memory in two generations: what is used moves to the young one; the old one goes when that is full."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.half, self.old = most // 2, {}
-
-    def __missing__(self, key):
-        value = self[key] = self.old[key]
-        return value
-
-    def turn(self) -> None:
-        """Called between batches only, so that what a batch has found stays for its duration."""
-        if len(self) > self.half:
-            self.old = dict(self)
-            self.clear()
-
-    def knows(self, key) -> bool:
-        return key in self or key in self.old
