@@ -26,7 +26,7 @@ from .common import give_back, ship, slices
 from .pieces import Memory, binary_column, column_bytes
 
 LONG = 64
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 WORDS_AT_ONCE = 30_000
 BYTES_AT_ONCE = 1 << 20
 TOKENS_AT_ONCE = 1_000_000
@@ -191,7 +191,7 @@ def _mapper(path: str, pattern: str, keep: list[str], mode: str):
         v = vocabulary(path, pattern)
         for batch in batches:
             column = "ids" if mode == "decode" else "text"
-            for part in slices(batch, 8192, 16 << 20, column):
+            for part in slices(batch, 4096, 8 << 20, column):
                 cols = [part.column(k) for k in keep]
                 names = list(keep)
                 if mode == "decode":

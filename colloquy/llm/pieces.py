@@ -74,8 +74,11 @@ def cut_places(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The slices flat[start : start + size], one behind the other."""
-    shift = np.repeat(start - (np.cumsum(size) - size), size)
-    shift += np.arange(len(shift))
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    small = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    shift = np.repeat((start - (ends - size)).astype(small), size)
+    shift += np.arange(total, dtype=small)
     return flat[shift]
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import give_back, ship, slices
 from .pieces import Memory, begins_with_space, binary_column, column_bytes, ragged
 
 STRIDE = 512
@@ -91,7 +91,7 @@ class Segment:
         return out
 
 
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 _LOADED: dict[str, tuple] = {}
 
 
@@ -169,7 +169,7 @@ def _writer(path: str, end: int):
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([raw], pa.binary())], ["part", "number", "before", "n_tokens", "segment"])
 
         for batch in batches:
-            for piece in slices(batch, 8192, 16 << 20):
+            for piece in slices(batch, 4096, 8 << 20):
                 ids, n = encode_column(piece.column("text"), path)
                 docs.append(piece.column("doc_id").to_numpy())
                 parts.append(np.insert(ids, np.cumsum(n), np.uint32(end)))
@@ -178,6 +178,7 @@ def _writer(path: str, end: int):
                 if total >= SEGMENT:
                     yield flush()
                     number, before, docs, counts, parts, total = number + 1, before + total, [], [], [], 0
+            give_back()
         if docs:
             yield flush()
 
