@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, drop_cut, give_back, mix64, ship, slices
 
@@ -314,18 +315,21 @@ def _keep(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def _cutter(names: list[str], as_text: bool):
+ADDED = ["_n_bytes", "_n_removed", "_n_spans", "_kept"]
+
+
+def _cutter(as_text: bool):
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1024, 4 << 20):
                 done, size = [], []
-                for t, s in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist(), strict=True):
+                for t, s in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
                     raw = (t or "").encode("utf-8", "surrogatepass")
                     size.append(len(raw))
                     done.append(_keep(raw, s))
-                cols = [part.column(n) for n in names]
-                cols += [pa.array(size, pa.int64()), pa.array([n - len(k) for n, (k, _) in zip(size, done, strict=True)], pa.int64()), pa.array([r for _, r in done], pa.int64()), pa.array([k.decode("utf-8", "ignore") for k, _ in done], pa.string()) if as_text else pa.array([k for k, _ in done], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, [*names, "_n_bytes", "_n_removed", "_n_spans", "_kept"])
+                cols = [part.column("row"), pa.array(size, pa.int64()), pa.array([n - len(k) for n, (k, _) in zip(size, done, strict=True)], pa.int64()), pa.array([r for _, r in done], pa.int64())]
+                cols.append(pa.array([k.decode("utf-8", "ignore") for k, _ in done], pa.string()) if as_text else pa.array([k for k, _ in done], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, ["row", *ADDED])
                 give_back()
 
     return run
@@ -335,15 +339,18 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     """All columns of documents with _n_bytes, _n_removed, _n_spans (maximal removed runs) and _kept (bytes that remain).
 
     A null text counts as empty. Rows that repeat a doc_id, or have none, are documents of their own. Texts shorter
-    than ``length`` lose nothing. With ``as_text`` _kept is a string, without the bytes of characters that a cut splits. The names above must be free; an empty table gives no rows.
+    than ``length`` lose nothing. With ``as_text`` _kept is a string, without the bytes of characters that a cut splits.
+    A column of documents that bears one of the four names is replaced; all others pass through, whatever their names.
+    An empty table gives no rows.
     """
     ship(documents.sparkSession)
-    marked = documents.withColumn("_mark", F.xxhash64("text"))
-    texts = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_mark").alias("mark"), "text")
-    spans = repeated_ranges(texts, length, gram).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("spans").alias("_spans"))
-    joined = marked.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left").drop("_d", "_m", "_mark")
-    fields = ", ".join(f"`{n}` {t}" for n, t in documents.dtypes)
-    return joined.mapInArrow(_cutter(documents.columns, as_text), f"{fields}, _n_bytes long, _n_removed long, _n_spans long, _kept {'string' if as_text else 'binary'}")
+    kept = [c for c in documents.columns if c.lower() not in ADDED]
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    spans = repeated_ranges(rows.select("doc_id", "mark", "text"), length, gram).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "spans")
+    joined = rows.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select("row", "text", "spans")
+    kinds = [T.LongType()] * 3 + [T.StringType() if as_text else T.BinaryType()]
+    schema = T.StructType([joined.schema["row"], *(T.StructField(n, t) for n, t in zip(ADDED, kinds, strict=True))])
+    return joined.mapInArrow(_cutter(as_text), schema).select("row.*", *ADDED)
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, bytes]]:

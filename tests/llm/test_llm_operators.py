@@ -173,6 +173,12 @@ def test_removal_equals_brute_force(spark, odd_texts, monkeypatch, shard):
 
 def test_removal_of_nothing(spark, empty):
     assert suffix.remove_repeats(empty).count() == 0
+    names = ["_d", "_m", "_mark", "_spans", "mark", "spans", "row", "d", "m", "gram", "a.b", "_n_bytes"]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in names:
+        odd = odd.withColumn(n, F.lit("own"))
+    clash = suffix.remove_repeats(odd, 100, 24).collect()
+    assert sorted((r.doc_id, r._n_removed, r["a.b"]) for r in clash if r.doc_id is not None) == sorted((r.doc_id, r._n_removed, "own") for r in done if r.doc_id is not None)
     assert suffix.remove_repeats(spark.createDataFrame([(1, "short"), (2, "short")], "doc_id long, text string")).agg(F.sum("_n_removed")).first()[0] == 0
 
 

@@ -26,10 +26,10 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     sf_dir = str(tmp_path)
 
     good = [r for r in rows if quality.verdict(quality.measure(r[1]))[1]]
-    component = minhash.brute_force([(r[0], r[1]) for r in good])
+    component = minhash.brute_force([(r[0], r[1]) for r in good], 80)
     single = sorted({r[0]: r for r in good if component[r[0]] == r[0]}.values())
     left = []
-    for r, (_, removed, _, kept) in zip(single, suffix.brute_force([r[1] for r in single]), strict=True):
+    for r, (_, removed, _, kept) in zip(single, suffix.brute_force([r[1] for r in single], corpus_pipeline.REPEATED), strict=True):
         text = kept.decode("utf-8", "ignore") if removed else r[1]
         if text or not removed:
             left.append((r[0], text, r[2], r[3], len(text) if removed else r[4]))
@@ -72,3 +72,18 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_passages_of_55_words_go_and_their_surroundings_stay(spark):
+    rng = random.Random(55)
+    prose = lambda n: " ".join("".join(rng.choice("aeioustrnl") for _ in range(rng.randint(1, 8))) for _ in range(n))
+    passages = [prose(55) for _ in range(12)]
+    rows = [(i, prose(120) + "\n" + passages[i % 12] + "\n" + prose(120), "en", "s", 0) for i in range(48)] + [(100 + i, prose(200), "en", "s", 0) for i in range(20)]
+    assert min(len(p) for p in passages) < 400
+    got = {r.doc_id: r.text for r in corpus_pipeline.substring_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+    for i, text, *_ in rows:
+        if i < 100:
+            before, after = text.split("\n" + passages[i % 12] + "\n")
+            assert passages[i % 12] not in got[i] and got[i].startswith(before[:-12]) and got[i].endswith(after[12:])  # a repeat may reach over equal neighbours
+        else:
+            assert got[i] == text
