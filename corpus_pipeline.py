@@ -2,10 +2,15 @@
 
 1. quality: documents that the repetition rules reject go.
 2. near_dedup: of each group of near-duplicates (similarity 0.8 or more) the document of smallest id stays.
-3. substring_dedup: strings of 400 bytes that also start elsewhere are cut out; what is left of a text stays, without
-   the bytes of characters that a cut splits, and n_chars is counted anew. A document of which nothing is left goes.
+3. substring_dedup: strings of ``REPEATED`` bytes that also start elsewhere are cut out; what is left of a text stays,
+   without the bytes of characters that a cut splits, and n_chars is counted anew. A document of which nothing is left
+   goes.
 4. mixing: sources are brought to their target weights; a document that the mix takes several times has as many rows.
 5. tokens: byte-level BPE ids of every row, and a digest of the text they decode to.
+
+A null text counts as empty: it has no words and goes with the first stage. Rows that repeat a doc_id with its text are
+copies of each other, so one of them stays; columns other than doc_id, text and source pass through; no documents give
+no rows. ``source`` may be null.
 """
 
 from __future__ import annotations
@@ -17,6 +22,10 @@ from pyspark.sql import functions as F
 from colloquy.llm import bpe, minhash, mixing, quality, suffix
 from colloquy.llm.common import cut, ship
 
+#: Shorter than 51 words of ordinary prose (266 bytes and more where passages repeat in the test tables), so that a
+#: repeated passage of over 50 words is found whatever its words.
+REPEATED = 240
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
@@ -27,7 +36,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = suffix.remove_repeats(docs, as_text=True)
+    done = suffix.remove_repeats(docs, REPEATED, as_text=True)
     text = F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(F.col("_kept"))
     left = done.withColumn("text", text).where("_n_removed = 0 or text <> ''")
     if "n_chars" in docs.columns:
