@@ -27,9 +27,9 @@ from .pieces import Memory, binary_column, column_bytes
 
 LONG = 64
 REMEMBERED = 1_000_000
-WORDS_AT_ONCE = 30_000
+WORDS_AT_ONCE = 10_000
 BYTES_AT_ONCE = 1 << 20
-TOKENS_AT_ONCE = 1_000_000
+TOKENS_AT_ONCE = 250_000
 
 #: A row's key is its word and position; each round emits what is left of the words that it contracts.
 _ROUNDS = """
@@ -91,7 +91,7 @@ class Vocabulary:
         for a, b, n in zip(left, right, new, strict=True):
             for part in (a, b):
                 first[part] = min(first.get(part, n), n)
-        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self.sql.register("m", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "new": pa.array(new, pa.int32()), "free": [first.get(n, n + 1) > n for n in new]}))
         self.sql.execute("create table merges as select * from m")
         self.sql.unregister("m")
@@ -191,7 +191,7 @@ def _mapper(path: str, pattern: str, keep: list[str], mode: str):
         v = vocabulary(path, pattern)
         for batch in batches:
             column = "ids" if mode == "decode" else "text"
-            for part in slices(batch, 4096, 8 << 20, column):
+            for part in slices(batch, 2048, 4 << 20, column):
                 cols = [part.column(k) for k in keep]
                 names = list(keep)
                 if mode == "decode":
@@ -204,8 +204,10 @@ def _mapper(path: str, pattern: str, keep: list[str], mode: str):
                 if mode != "encode":
                     cols.append(v.decode_column(ids, n))
                     names.append("decoded")
-                yield pa.RecordBatch.from_arrays(cols, names)
-                del part, ids, cols
+                done = pa.RecordBatch.from_arrays(cols, names)
+                for at in range(0, done.num_rows, 256):  # small batches keep the reader's buffers small
+                    yield done.slice(at, 256)
+                del part, ids, cols, done
             give_back()
 
     return run
