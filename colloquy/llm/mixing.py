@@ -2,15 +2,18 @@
 
 Each source's target is its weight's part of all words, at most ``cap`` times what the source has; the excess goes to
 the others by weight. A target is so many whole passes over the source and one partial pass. The documents of a source
-are dealt by a hash into blocks; the partial pass takes blocks in order of their numbers (a random order, as the hash
-is) and of the last one documents in hash order while they fit, and the one that best fits into what is left.
-
-The copies of blocks are then dealt to output shards: at each node of a binary tree over the shards, the number of
-copies of every source that go left is drawn from the multivariate hypergeometric distribution of what the node holds,
-so quotas are exact at every level. A source's copies are permuted, and each shard takes its quota of them in a row:
-disjoint draws. Documents are shuffled inside a shard by a hash.
-
-The driver sees one row a source and draws a table of (sources x shards); documents and blocks stay in Spark.
+are dealt by a hash into blocks, whose places in a pass are a random permutation. A source's quota is a number of
+block places: those of the whole passes, then the first places of the partial pass while they fit, and the place at
+which the target is reached. Of that last block documents go in hash order while they fit, and the one that best fits
+into what is left.
+
+The quotas are dealt to output shards: at each node of a binary tree over the shards, the number of places of every
+source that go left is drawn from the multivariate hypergeometric distribution of what the node holds, so quotas are
+exact at every level. Each shard takes its quota of a source's places in a row: disjoint draws of permuted blocks. A
+document is taken as often as a place of its block lies in some shard's draw. Documents are shuffled inside a shard by
+a hash.
+
+The driver sees one row a source and at most ``BLOCKS`` block places a pass, whatever the input; documents stay in Spark.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ from .common import cut, drop_cut
 
 WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3.0
-BLOCK_WORDS = 500_000
-SHARDS = 16
+BLOCK_WORDS, BLOCKS = 500_000, 1 << 17
+SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS = 16_000_000, 16, 4096
 SEED = 20240229
+ADDED = ["_size", "_source_size", "_target", "_shards"]
 
 
 def word_count(text: Column) -> Column:
@@ -65,74 +69,90 @@ def _stride(n: int, rng: np.random.Generator) -> int:
     return step
 
 
-def draw(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """All columns of documents with _size, _source_size, _target and _shards (the shard of each copy that the mix takes).
+def _by(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Left join by source, where null equals null."""
+    return df.join(other.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
-    Sources stand in order of code points, null last, and a null source is a source. A null text has no words; its
-    documents follow their block. Reruns agree: nothing depends on partitions. Rows that repeat
-    a doc_id are taken or left together. An empty table stays empty. The names above must be free; other columns pass through.
-    """
+
+def _shards(words: float) -> tuple[int, int]:
+    """Number of shards, and of parts that a shard is written in."""
+    shards = min(max(LEAST_SHARDS, math.ceil(words / SHARD_WORDS)), MOST_SHARDS)
+    return shards, max(1, math.ceil(words / shards / SHARD_WORDS))
+
+
+def _drawn(documents: DataFrame, weights: tuple[float, ...], cap: float, seed: int) -> tuple[DataFrame, int, int]:
+    """row (all columns of documents), id, size, source_size, target and shards of each document; shards and their parts."""
     spark = documents.sparkSession
-    plain = documents.withColumn("_size", word_count(F.col("text")))
-    sized = cut(plain.select("doc_id", "source", "_size"))
-    found = sized.groupBy("source").agg(F.sum("_size").alias("n")).collect()
+    kept = [c for c in documents.columns if c.lower() not in ADDED]
+    plain = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size"))
+    sized = cut(plain.select("id", "source", "size"))
+    found = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     found = sorted(found, key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
     totals = [int(r.n) for r in found]
+    per_block = max(BLOCK_WORDS, sum(totals) / BLOCKS)
     rng = np.random.default_rng(seed)
     plan = []
     for r, total, target in zip(found, totals, targets(totals, weights, cap), strict=True):
-        passes = min(int(target // total), int(cap)) if total else 0
-        plan.append((r.source, total, float(target), passes, target - passes * total, max(1, math.ceil(total / BLOCK_WORDS))))
-    schema = "source string, _source_size long, _target double, passes int, rest double, blocks long"
-    sources = cut(spark.createDataFrame(plan, schema).coalesce(1))
-
-    by = lambda df, other: df.join(other.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).alias("block")
-    order = F.xxhash64("doc_id", F.lit(seed + 1))
-    dealt = by(sized, sources).select("doc_id", "source", "_size", "rest", "blocks", "passes", block)
-    words = cut(dealt.groupBy("source", "block", "rest").agg(F.sum("_size").alias("words")))
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
-    upto = words.select("source", "block", "rest", "words", (before - F.col("words")).alias("before"))
-    edge = cut(upto.where("before < rest and before + words > rest").select("source", "block", (F.col("rest") - F.col("before")).alias("room")))
-    whole = upto.where("before + words <= rest").groupBy("source").agg(F.max("block").alias("last"))
-    whole = cut(by(sources.select("source"), whole).select("source", F.coalesce("last", F.lit(-1)).alias("last")))
-    edges = edge.select("source", F.col("block").alias("edge"), "room")
-    inner = by(by(sized, sources), edges).where(block == F.col("edge")).select("doc_id", "source", "_size", "room")
-    ran = inner.withColumn("o", order).withColumn("sum", F.sum("_size").over(Window.partitionBy("source").orderBy("o")))
+        passes = min(int(target // total), int(cap)) if total else 1
+        blocks = max(1, math.ceil(total / per_block))
+        plan.append((r.source, total, float(target), passes, max(0.0, target - passes * total), blocks, _stride(blocks, rng), int(rng.integers(0, blocks))))
+    sources = cut(spark.createDataFrame(plan, "source string, source_size long, target double, passes int, rest double, blocks long, stride long, shift long").coalesce(1))
+
+    block = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks"))
+    place = F.pmod(block * F.col("stride") + F.col("shift"), F.col("blocks"))
+    order = F.xxhash64("id", F.lit(seed + 1))
+    partial = _by(sized, sources).where("rest > 0").select("id", "source", "size", "rest", place.alias("place"))
+    words = cut(partial.groupBy("source", "place", "rest").agg(F.sum("size").alias("words")))
+    before = F.sum("words").over(Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    upto = words.select("source", "place", "rest", "words", before.alias("before"))
+    edge = cut(upto.where("before < rest and before + words > rest").select("source", F.col("place").alias("edge"), (F.col("rest") - F.col("before")).alias("room")))
+    whole = upto.where("before + words <= rest").groupBy("source").agg(F.max("place").alias("last")).collect()
+    edges = edge.collect()
+    inner = _by(partial, edge).where("place = edge").select("id", "source", "size", "room", order.alias("o"))
+    ran = inner.withColumn("sum", F.sum("size").over(Window.partitionBy("source").orderBy("o")))
     # Documents in hash order while they fit, then the one that fits best into what is left, if any comes nearer.
     fit = cut(ran.where("sum <= room").groupBy("source").agg(F.max("o").alias("upto"), F.max("sum").alias("full")))
-    rest = by(ran, fit).where("upto is null or o > upto").withColumn("off", F.abs(F.col("room") - F.coalesce("full", F.lit(0)) - F.col("_size")))
+    rest = _by(ran, fit).where("upto is null or o > upto").withColumn("off", F.abs(F.col("room") - F.coalesce("full", F.lit(0)) - F.col("size")))
     extra = rest.where("off < room - coalesce(full, 0)").groupBy("source").agg(F.min(F.struct("off", "o")).alias("best"))
-    limit = cut(by(by(edges.select("source"), fit), extra).select("source", "upto", F.col("best.o").alias("extra")))
-
-    counts = {r.source: r.last for r in whole.collect()}
-    has_edge = {r.source for r in edge.select("source").collect()}
-    quota, rows = np.zeros(len(plan), dtype=np.int64), []
-    for k, (source, _, _, passes, _, blocks) in enumerate(plan):
-        quota[k] = passes * blocks + counts[source] + 1 + (source in has_edge)
-    table = split(quota, shards, rng) if len(plan) else np.zeros((0, shards), dtype=np.int64)
-    for k, (source, *_rest) in enumerate(plan):
-        n = int(quota[k])
-        rows.append((source, n, _stride(n, rng) if n else 1, int(rng.integers(0, max(1, n))), [int(x) for x in np.cumsum(table[k])]))
-    dealing = cut(spark.createDataFrame(rows, "source string, units long, stride long, shift long, ends array<long>").coalesce(1))
-
-    out = plain
+    limits = cut(_by(_by(edge.select("source"), fit), extra).select("source", "upto", F.col("best.o").alias("extra")))
     drop_cut(words)
-    whole = cut(by(by(by(by(sources, edges), limit), whole), dealing))
-    # One struct, so that no name of it can clash with a column of the documents.
-    out = by(plain, whole.select("source", F.struct(*[c for c in whole.columns if c != "source"]).alias("_mix")))
-    m = lambda name: F.col(f"_mix.{name}")
-    out = out.withColumn("_block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), m("blocks")))
-    on_edge = F.coalesce(F.col("_block") == m("edge"), F.lit(False))
-    picked = (F.col("_block") <= m("last")) | (on_edge & (F.coalesce(order <= m("upto"), F.lit(False)) | F.coalesce(order == m("extra"), F.lit(False))))
-    n = m("passes") + picked.cast("int")
-    copies = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    unit = lambda c: F.pmod((c.cast("long") * m("blocks") + F.col("_block")) * m("stride") + m("shift"), m("units"))
-    shard = lambda c: F.size(F.filter(m("ends"), lambda e: e <= unit(c)))
-    return out.select(*documents.columns, "_size", m("_source_size").alias("_source_size"), m("_target").alias("_target"), F.transform(copies, shard).alias("_shards"))
-
-
-def mix(documents: DataFrame, **options) -> DataFrame:
+    drop_cut(sized)
+
+    # Quotas, the tree, and which shard draws each block place.
+    last, at_edge = {r.source: r["last"] for r in whole}, {r.source: r.edge for r in edges}
+    quota = np.array([p[3] * p[5] + at_edge.get(p[0], last.get(p[0], -1)) + 1 for p in plan], dtype=np.int64)
+    shards, parts = _shards(sum(p[2] for p in plan))
+    drawn = split(quota, shards, rng)
+    rows = []
+    for (source, _, _, passes, _, blocks, stride, shift), ends in zip(plan, np.cumsum(drawn, axis=1), strict=True):
+        places = (np.arange(blocks) * stride + shift) % blocks
+        shard = np.searchsorted(ends, places[:, None] + blocks * np.arange(passes + 1)[None, :], side="right")
+        rows += [(source, b, [s for s in some if s < shards], place == at_edge.get(source, -1)) for b, (some, place) in enumerate(zip(shard.tolist(), places.tolist(), strict=True))]
+    dealt = cut(spark.createDataFrame(rows, "source string, block long, shards array<int>, on_edge boolean").coalesce(1))
+
+    named = _by(_by(plain, sources.drop("rest", "passes", "stride", "shift")), limits).withColumn("block", block)
+    same = named["source"].eqNullSafe(dealt["source"]) & (named["block"] == dealt["block"])
+    out = named.join(F.broadcast(dealt.select("source", "block", "shards", "on_edge")), same)  # at most BLOCKS and one a source
+    fits = F.coalesce(order <= F.col("upto"), F.lit(False)) | F.coalesce(order == F.col("extra"), F.lit(False))
+    # The last place of a quota is the edge's: there only the documents that fit are taken.
+    taken = F.when(F.col("on_edge") & ~fits, F.slice("shards", F.lit(1), F.size("shards") - 1)).otherwise(F.col("shards"))
+    return out.select("row", "id", "size", "source_size", "target", taken.alias("shards")), shards, parts
+
+
+def draw(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """All columns of documents with _size, _source_size, _target and _shards (the shard of each copy that the mix takes).
+
+    Sources stand in order of code points, null last, and a null source is a source. A null text has no words; its
+    documents follow their block, and a source without words is taken once. Reruns agree: nothing depends on partitions.
+    Rows that repeat a doc_id are taken or left together. An empty table stays empty. A column of documents that bears
+    one of the four names is replaced; all others pass through, whatever their names.
+    """
+    out, _, _ = _drawn(documents, weights, cap, seed)
+    return out.select("row.*", *(F.col(n[1:]).alias(n) for n in ADDED))
+
+
+def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """The mix itself: documents' columns, a row for each copy, dealt by shard and shuffled inside each shard."""
-    drawn = draw(documents, **options).select(*documents.columns, F.posexplode("_shards").alias("_copy", "_shard"))
-    return drawn.repartition(F.col("_shard"), F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("_shard", F.xxhash64("doc_id", "_copy")).select(*documents.columns)
+    out, shards, parts = _drawn(documents, weights, cap, seed)
+    copies = out.select("row", "id", F.posexplode("shards").alias("copy", "shard")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    return copies.repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", F.xxhash64("id", "copy")).select("row.*")

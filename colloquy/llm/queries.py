@@ -42,9 +42,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix of all documents takes from each."""
+    """What the mix of all documents takes from each; shards: where each copy goes."""
     drawn = mixing.draw(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return drawn.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.size("_shards")).alias("taken"))
+    taken = (F.col("_size") * F.size("_shards")).alias("taken")
+    return drawn.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken, F.col("_shards").alias("shards"))
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ def test_mix_meets_targets(spark, empty):
     rng = random.Random(9)
     rows = [(i, prose(rng, rng.randint(1, 40)) if i % 50 else None, ["a", "b", None][0 if i % 10 else 1 + i % 20 // 10]) for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for clash in ("block", "blocks", "rest", "last", "ends", "passes"):
+    for clash in ("block", "blocks", "rest", "last", "row", "id", "size", "_s", "_mix", "shards", "place", "a.b"):
         df = df.withColumn(clash, F.lit(1))
     a = mixing.draw(df).select("doc_id", "source", "_size", "_source_size", "_target", "_shards").toPandas()
     b = mixing.draw(df.repartition(7)).select("doc_id", "_shards").toPandas()
