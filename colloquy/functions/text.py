@@ -39,6 +39,15 @@ def collapse_repeated_words(text: Column) -> Column:
     return F.array_join(F.transform(fresh, lambda p: p["now"]), " ")
 
 
+def collapse_repeated_phrases(text: Column) -> Column:
+    """A phrase of two to five words that is said again at once loses that one copy; scanning goes on behind it.
+
+    Shorter phrases come first at every word. Words are joined by spaces.
+    """
+    spaced = F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
+    return F.trim(F.regexp_replace(spaced, r"(?<= )(\S++(?: \S++){1,4}?) \1(?= )", "$1"))
+
+
 def repetition_ratio(text: Column) -> Column:
     """Share of words that repeat an earlier one, lower-cased; 0 below four words."""
     w = F.transform(words(text), lambda x: F.lower(x))
@@ -72,15 +81,61 @@ def title_script(text: Column) -> Column:
     return F.when(text.rlike(r"[\x{0400}-\x{04FF}]"), "ru").when(text.rlike(r"[\x{4E00}-\x{9FFF}]"), "zh").otherwise("en")
 
 
-FILLERS = ("a", "the", "of", "to")
+#: Sounds that an error rate leaves out, and the mark of a word that nobody could hear.
+FILLERS = ("э", "эм", "ээ", "эээ", "мм", "м", "ммм", "хм", "а-а", "э-э")
+UNHEARD, WILD = "[неразб]", "<unk>"
+#: Russian number words.
+ONES = ("", "один", "два", "три", "четыре", "пять", "шесть", "семь", "восемь", "девять", "десять", "одиннадцать", "двенадцать", "тринадцать", "четырнадцать", "пятнадцать", "шестнадцать", "семнадцать", "восемнадцать", "девятнадцать")
+TENS = ("", "", "двадцать", "тридцать", "сорок", "пятьдесят", "шестьдесят", "семьдесят", "восемьдесят", "девяносто")
+HUNDREDS = ("", "сто", "двести", "триста", "четыреста", "пятьсот", "шестьсот", "семьсот", "восемьсот", "девятьсот")
+SCALES = (("", "", ""), ("тысяча", "тысячи", "тысяч"), ("миллион", "миллиона", "миллионов"), ("миллиард", "миллиарда", "миллиардов"), ("триллион", "триллиона", "триллионов"))
+
+
+def number_words(digits: Column) -> Column:
+    """A string of at most 15 digits in Russian words; longer ones stay."""
+    lists = {k: F.array(*map(F.lit, v)) for k, v in (("o", ONES), ("t", TENS), ("h", HUNDREDS))}
+    n = digits.cast("long")
+    parts = []
+    for k in reversed(range(len(SCALES))):
+        g = F.floor(n / F.lit(1000**k)) % 1000 if k else n % 1000
+        low = F.when(g % 100 < 20, g % 100).otherwise(g % 10)
+        one = F.element_at(lists["o"], (low + 1).cast("int"))
+        if k == 1:  # thousands are feminine
+            one = F.when(low == 1, "одна").when(low == 2, "две").otherwise(one)
+        ten = F.when(g % 100 < 20, "").otherwise(F.element_at(lists["t"], (F.floor(g % 100 / 10) + 1).cast("int")))
+        name = F.when(low == 1, SCALES[k][0]).when(low.between(2, 4), SCALES[k][1]).otherwise(SCALES[k][2])
+        parts.append(F.when(g > 0, F.concat_ws(" ", F.element_at(lists["h"], (F.floor(g / 100) + 1).cast("int")), ten, one, name)).otherwise(""))
+    said = F.trim(F.regexp_replace(F.concat_ws(" ", *parts), " +", " "))
+    return F.when(F.length(digits) > 15, digits).when(n == 0, "ноль").otherwise(said)
 
 
 def normalize_words(text: Column) -> Column:
-    """Lower case, marks to spaces, digit groups joined, fillers dropped: for word error rates."""
-    t = F.regexp_replace(F.lower(text), "ё", "е")
-    t = F.regexp_replace(t, r"(\d)[ ,](?=\d{3}\b)", "$1")
-    t = F.regexp_replace(t, r"[^a-z0-9а-яß-ÿ]+", " ")
-    return F.array_join(F.filter(F.split(F.trim(t), " +"), lambda x: ~x.isin(*FILLERS)), " ")
+    """Lower case, one letter for ё, digit groups joined and said in words, marks to spaces, fillers dropped: for error rates."""
+    t = F.replace(F.replace(F.lower(text), F.lit("ё"), F.lit("е")), F.lit(UNHEARD), F.lit(f" {WILD} "))
+    t = F.regexp_replace(t, r"(\d)[\s.,](?=\d{3}(?![\p{L}\p{N}_]))", "$1")
+    t = F.regexp_replace(t, r"(\d+)", " $1 ")
+    said = F.transform(F.split(F.replace(t, F.lit("-"), F.lit(" ")), r"[^\p{L}\p{N}_<>]+"), lambda w: F.when(w.rlike(r"^\d+$"), number_words(w)).otherwise(w))
+    return F.array_join(F.filter(said, lambda w: (w != "") & ~w.isin(*FILLERS)), " ")
+
+
+def fnv1a_32(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of a short text's UTF-8 bytes, as a long."""
+    raw = F.hex(F.encode(text, "utf-8"))
+    value = lambda k: F.conv(F.substring(raw, 2 * k + 1, 2), 16, 10).cast("long")
+    octets = F.when(F.length(raw) > 0, F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), value)).otherwise(F.array().cast("array<long>"))
+    return F.aggregate(octets, F.lit(0x811C9DC5).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 0x01000193).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+
+
+#: The keys of a tag's colour, plain and deep.
+HUES = ("blue", "green", "purple", "amber", "rose", "cyan", "teal", "orange", "lime", "fuchsia", "red", "yellow", "emerald", "sky", "indigo", "violet", "pink", "slate")
+GREYS = ("gray", "zinc", "neutral", "stone")
+PALETTE = HUES + GREYS + tuple(f"{h}-deep" for h in HUES)
+
+
+def palette_key(name: Column) -> Column:
+    """The colour key of a tag name: the same for the same name, whatever its case and the space around it."""
+    place = F.pmod(fnv1a_32(F.lower(F.trim(name))), F.lit(len(PALETTE)))
+    return F.element_at(F.array(*map(F.lit, PALETTE)), (place + 1).cast("int"))
 
 
 #: Sounds that are no words.
@@ -118,29 +173,6 @@ def most_recent(previous: Column, new: Column, most: int) -> Column:
 # -- scans that jump: Arrow-batched -------------------------------------------------------------------------------------
 
 
-def _phrases(found: list[str]) -> list[str]:
-    out, i = [], 0
-    while i < len(found):
-        for n in range(2, 6):
-            if found[i : i + n] == found[i + n : i + 2 * n] and len(found[i : i + 2 * n]) == 2 * n:
-                out += found[i : i + n]
-                j = i + 2 * n
-                while found[j : j + n] == found[i : i + n]:
-                    j += n
-                i = j
-                break
-        else:
-            out.append(found[i])
-            i += 1
-    return out
-
-
-@arrow("string")
-def collapse_repeated_phrases(text: pd.Series) -> pd.Series:
-    """Phrases of two to five words said again at once are said once, scanning left to right, shortest first."""
-    return text.map(lambda t: None if t is None else " ".join(_phrases(re.findall(WORD, t))))
-
-
 #: Sign-offs that must be the whole sentence, and credits and calls anywhere in it; quotes, closers, marks.
 INVENTED_WHOLE = ("продолжение следует", "спасибо за просмотр", "до новых встреч")
 INVENTED_PART = (

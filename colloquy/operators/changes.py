@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,18 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*keys), keys, "left_anti").select(*old.columns))
 
 
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """Rows with their number in the order of a string key, from 1; keys are distinct.
+
+    Numbers are counted inside prefixes of two characters, and prefixes are then put one behind the other.
+    """
+    rows = df.withColumn("_prefix", F.substring(key, 1, 2))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("_prefix").agg(F.count("*").alias("_n")).select("_prefix", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_prefix").orderBy(key))
+    return rows.join(starts, "_prefix").withColumn("number", inside + F.col("_before")).drop("_prefix", "_before")
+
+
 def compare_and_set(state: DataFrame, asked: DataFrame, key: str, expected: str, column: str, value: Column) -> DataFrame:
     """``column`` becomes ``value`` where ``asked`` (key, expected) names the row's current expected value."""
     hit = asked.select(F.col(key).alias("_key"), F.col(expected).alias("_want"), F.lit(True).alias("_hit"))

@@ -6,6 +6,8 @@ reported only in the first bucket that both touch, so no pair comes twice and a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,11 +71,10 @@ def overlap_vote(left: DataFrame, right: DataFrame, keys: list[str], row: list[s
 def without_overlap(left: DataFrame, right: DataFrame, keys: list[str], bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Left rows that no right span (r_start, r_end) of their key overlaps: an anti join on key and bucket.
 
-    Left rows are joined once for each bucket they touch, and those that were hit are taken out by their own identity.
+    Left rows are joined once for each bucket they touch, and rows equal to a hit one, nulls included, are taken out.
     """
-    marked = left.withColumn("_id", F.xxhash64(*[F.col(c) for c in left.columns]))
-    hit = overlap_join(marked, right, keys, bucket_ms).select(*left.columns).distinct()
-    return left.join(hit, left.columns, "left_anti")
+    hit = overlap_join(left, right, keys, bucket_ms).select(*[F.col(c).alias(f"_hit_{c}") for c in left.columns]).distinct()
+    return left.join(hit, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_hit_{c}")) for c in left.columns]), "left_anti")
 
 
 def merge_gaps(df: DataFrame, keys: list[str], gap_ms: int, order: list[str], end: str = "last") -> DataFrame:

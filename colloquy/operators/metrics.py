@@ -84,6 +84,28 @@ def error_components(ref: DataFrame, hyp: DataFrame, keys: list[str], mapping: D
     return n.groupBy(*keys).agg(total(F.col("nr"), "total"), total(F.greatest(F.lit(0), F.col("nr") - F.col("nh")), "miss"), total(F.greatest(F.lit(0), F.col("nh") - F.col("nr")), "false_alarm"), total(F.least("nr", "nh") - F.col("nc"), "confusion"))
 
 
+def _named(spans: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans with their label's reference name; a label without one keeps its own, apart from all reference names."""
+    j = spans.join(mapping.withColumnRenamed("h_label", "label"), [*keys, "label"], "left")
+    return j.withColumn("label", F.when(F.col("r_label").isNotNull(), F.struct(F.lit(0).alias("raw"), F.col("r_label").alias("name"))).otherwise(F.struct(F.lit(1).alias("raw"), F.col("label").alias("name")))).drop("r_label")
+
+
+def live_final_agreement(live: DataFrame, final: DataFrame, ref: DataFrame, keys: list[str]) -> DataFrame:
+    """flip_ms, judged_ms, uncovered_ms and the ratios flip and uncovered of each key.
+
+    Each side's labels go to reference names by their own optimal mapping, so that new numbers at the end are no flips.
+    Time of the final spans is judged where live spans cover it, and uncovered elsewhere. Spans of a side do not overlap.
+    """
+    sides = [_named(s, label_mapping(ref, s, keys), keys) for s in (live, final)]
+    shown = sides[0].select(*keys, F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.col("label").alias("shown"))
+    shared = iv.overlap_join(sides[1].select(*keys, "label", "start_ms", "end_ms"), shown, keys)
+    judged = shared.groupBy(*keys).agg(F.sum("overlap_ms").alias("judged_ms"), F.coalesce(F.sum(F.when(F.col("shown") != F.col("label"), F.col("overlap_ms"))), F.lit(0)).alias("flip_ms"))
+    total = final.groupBy(*keys).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("total_ms"))
+    out = total.join(judged, keys, "left").select(*keys, F.coalesce("flip_ms", F.lit(0)).alias("flip_ms"), F.coalesce("judged_ms", F.lit(0)).alias("judged_ms"), (F.col("total_ms") - F.coalesce("judged_ms", F.lit(0))).alias("uncovered_ms"))
+    ratio = lambda a, b: F.col(a) / F.nullif(b, F.lit(0))
+    return out.withColumn("flip", ratio("flip_ms", F.col("judged_ms"))).withColumn("uncovered", ratio("uncovered_ms", F.col("judged_ms") + F.col("uncovered_ms")))
+
+
 def emission_lag(ref: DataFrame, emissions: DataFrame, keys: list[str], turn: str) -> DataFrame:
     """For each reference turn the first emission (smallest idx) that covers its start, and max(0, its end - the start)."""
     points = ref.select(*keys, turn, F.col("start_ms"), (F.col("start_ms") + 1).alias("end_ms"))

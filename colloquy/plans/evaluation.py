@@ -23,13 +23,28 @@ register("der_components", lambda spark, d: m.error_components(views.reference(s
 register("der_rate", lambda spark, d: m.error_components(views.reference(spark, d), views.spans(spark, d), KEY).agg(*[F.sum(c).alias(c) for c in ("total", "miss", "false_alarm", "confusion")]).withColumn("der", F.round((F.col("miss") + F.col("false_alarm") + F.col("confusion")) / F.nullif("total", F.lit(0)), 9)), oracle("select sum(total)::bigint as total, sum(miss)::bigint as miss, sum(false_alarm)::bigint as false_alarm, sum(confusion)::bigint as confusion, round((sum(miss) + sum(false_alarm) + sum(confusion)) / sum(total), 9) as der from der", "t_spans", "t_reference", ctes=_DER))
 
 
+_LABELS = 5  # the five event types: the best of all 120 one-to-one mappings is the optimal one
+
+
+def _map_sql(name: str, hyp: str) -> str:
+    """Common table expressions for {name} (meeting_id, h_label, r_label): the optimal mapping of a table's labels."""
+    pick = ", ".join(f"l{k}.label" for k in range(_LABELS))
+    apart = " and ".join(f"l{a}.label <> l{b}.label" for a in range(_LABELS) for b in range(a))
+    return f"""{name}_w as (select r.meeting_id, h.label as h_label, r.label as r_label, sum(least(r.end_ms, h.end_ms) - greatest(r.start_ms, h.start_ms)) as w from t_reference r join {hyp} h on h.meeting_id = r.meeting_id and h.start_ms < r.end_ms and r.start_ms < h.end_ms group by all),
+{name}_l as (select label, row_number() over (order by label) as i from (select distinct label from t_reference)),
+{name}_p as (select row_number() over () as p, [{pick}] as names from {", ".join(f"{name}_l l{k}" for k in range(_LABELS))} where {apart}),
+{name}_c as (select p, unnest(names) as r_label, generate_subscripts(names, 1) as i from {name}_p),
+{name}_b as (select meeting_id, max_by(p, s) as p from (select meeting_id, p, sum(w) as s from {name}_w w join {name}_c c using (r_label) join {name}_l l using (i) where l.label = w.h_label group by all) group by meeting_id),
+{name} as (select meeting_id, l.label as h_label, c.r_label from {name}_b join {name}_c c using (p) join {name}_l l using (i) semi join {name}_w w on w.meeting_id = {name}_b.meeting_id and w.h_label = l.label and w.r_label = c.r_label)"""
+
+
 def der_mapped(spark, d):
     ref, hyp = views.reference(spark, d), views.spans(spark, d)
     return m.error_components(ref, hyp, KEY, m.label_mapping(ref, hyp, KEY))
 
 
-register("der_mapped", der_mapped)
-register("label_mapping", lambda spark, d: m.label_mapping(views.reference(spark, d), views.spans(spark, d), KEY))
+register("der_mapped", der_mapped, oracle("select * from der", "t_spans", "t_reference", ctes=_map_sql("mp", "t_spans") + ",\nhyp as (select s.* exclude (label), coalesce(mp.r_label, 'hyp ' || s.label) as label from t_spans s left join mp on mp.meeting_id = s.meeting_id and mp.h_label = s.label),\n" + _DER.replace("from t_spans", "from hyp")))
+register("label_mapping", lambda spark, d: m.label_mapping(views.reference(spark, d), views.spans(spark, d), KEY), oracle("select * from mp", "t_spans", "t_reference", ctes=_map_sql("mp", "t_spans")))
 _LAG = "lag as (select r.meeting_id, r.event_id, r.start_ms, case when c.e_end is not null then greatest(0, c.e_end - r.start_ms) end as lag_ms from t_reference r left join (select r.event_id, min_by(e.end_ms, e.idx) as e_end from t_reference r join t_emissions e on e.meeting_id = r.meeting_id and e.start_ms <= r.start_ms and r.start_ms < e.end_ms group by r.event_id) c using (event_id))"
 _lag = lambda spark, d: m.emission_lag(views.reference(spark, d), views.emissions(spark, d), KEY, "event_id")
 register("emission_lag", lambda spark, d: _lag(spark, d).select("meeting_id", "event_id", "lag_ms"), oracle("select meeting_id, event_id, lag_ms from lag", "t_emissions", "t_reference", ctes=_LAG))
@@ -48,14 +63,33 @@ def runs_per_speaker(spark, d):
 register("runs_per_speaker", runs_per_speaker, oracle("select meeting_id, count(*) filter (fresh) as n_runs, round(count(*) filter (fresh) / count(distinct label), 9) as runs_per_speaker, round((count(*) filter (fresh) - 1) * 60000 / sum(end_ms - start_ms), 9) as switches_per_minute from (select *, lag(label) over (partition by meeting_id order by idx) is distinct from label as fresh from t_emissions where stable) group by meeting_id", "t_emissions"))
 
 
+def _timelines(spark, d):
+    """What was shown live (stable emissions) and what stands at the end (all of them, clicks and errors under new names)."""
+    e = views.emissions(spark, d)
+    live = iv.last_writer_timeline(e.where("stable"), KEY, "idx")
+    final = iv.last_writer_timeline(e.withColumn("label", F.when(F.col("label") == "click", "error").when(F.col("label") == "error", "click").otherwise(F.col("label"))), KEY, "idx")
+    return live, final
+
+
 def live_final_flip(spark, d):
-    live = iv.last_writer_timeline(views.emissions(spark, d).where("stable"), KEY, "idx").select("meeting_id", "start_ms", "end_ms", F.col("label").alias("live"))
-    final = iv.last_writer_timeline(views.emissions(spark, d), KEY, "idx").select("meeting_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.col("label").alias("final"))
-    both = iv.overlap_join(live, final, KEY)
-    return both.groupBy("meeting_id").agg(F.sum("overlap_ms").alias("shared_ms"), F.coalesce(F.sum(F.when(F.col("live") != F.col("final"), F.col("overlap_ms"))), F.lit(0)).alias("flip_ms"))
+    live, final = _timelines(spark, d)
+    a = m.live_final_agreement(live, final, views.reference(spark, d), KEY)
+    return a.withColumn("flip", F.round("flip", 9)).withColumn("uncovered", F.round("uncovered", 9))
+
+
+def _timeline_sql(name: str, rows: str) -> str:
+    """{name} (meeting_id, start_ms, end_ms, label): elementary pieces of the timeline in which a later index overwrites."""
+    return f"""{name}_r as ({rows}),
+{name}_e as (select distinct meeting_id, unnest([start_ms, end_ms]) as p from {name}_r where end_ms > start_ms), {name}_q as (select meeting_id, p, lead(p) over (partition by meeting_id order by p) as q from {name}_e),
+{name} as (select e.meeting_id, p as start_ms, q as end_ms, max_by(label, idx) as label from {name}_q e join {name}_r r on r.meeting_id = e.meeting_id and r.start_ms <= p and r.end_ms >= q and r.end_ms > r.start_ms where q is not null group by all)"""
 
 
-register("live_final_flip", live_final_flip)
+_AGREE = ",\n".join((_timeline_sql("live", "select * from t_emissions where stable"), _timeline_sql("fin", "select * exclude (label), case label when 'click' then 'error' when 'error' then 'click' else label end as label from t_emissions"), _map_sql("ml", "live"), _map_sql("mf", "fin"))) + """,
+nl as (select l.* exclude (label), coalesce('ref ' || r_label, 'raw ' || label) as label from live l left join ml on ml.meeting_id = l.meeting_id and h_label = label),
+nf as (select f.* exclude (label), coalesce('ref ' || r_label, 'raw ' || label) as label from fin f left join mf on mf.meeting_id = f.meeting_id and h_label = label),
+j as (select f.meeting_id, sum(o) as judged_ms, coalesce(sum(o) filter (f.label <> l_label), 0) as flip_ms from (select f.meeting_id, f.label, l.label as l_label, least(f.end_ms, l.end_ms) - greatest(f.start_ms, l.start_ms) as o from nf f join nl l on l.meeting_id = f.meeting_id and l.start_ms < f.end_ms and f.start_ms < l.end_ms) f group by f.meeting_id),
+t as (select meeting_id, sum(end_ms - start_ms) as total_ms from fin group by meeting_id)"""
+register("live_final_flip", live_final_flip, oracle("select meeting_id, coalesce(flip_ms, 0)::bigint as flip_ms, coalesce(judged_ms, 0)::bigint as judged_ms, (total_ms - coalesce(judged_ms, 0))::bigint as uncovered_ms, round(flip_ms / nullif(judged_ms, 0), 9) as flip, round((total_ms - coalesce(judged_ms, 0)) / nullif(total_ms, 0), 9) as uncovered from t left join j using (meeting_id)", "t_emissions", "t_reference", ctes=_AGREE))
 register("weighted_metric", lambda spark, d: views.spans(spark, d).groupBy("label").agg(F.round(m.weighted_mean(F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 100), F.col("end_ms") - F.col("start_ms")), 6).alias("mean")), oracle("select label, round(sum(case when event_id % 4 <> 0 then event_id % 100 end * (end_ms - start_ms)) / nullif(sum(case when event_id % 4 <> 0 then end_ms - start_ms end), 0), 6) as mean from t_spans group by label", "t_spans"))
 _METRIC = "mt as (select meeting_id, 'mean_minutes' as metric, avg(end_ms - start_ms) / 60000 as value from t_spans group by meeting_id union all select meeting_id, 'clicks', nullif(count(*) filter (label = 'click'), 0)::double from t_spans group by meeting_id)"
 

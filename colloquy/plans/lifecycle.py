@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as x
 from ..operators import changes, relational
 from ..operators import intervals as iv
 from ..operators import vectors as v
+from ..session import table
 from ..sources import views
 from ..sources.views import oracle
 from .registry import register
@@ -48,29 +49,32 @@ register("cluster_cache", cluster_cache, oracle("select * from p where speaker_i
 
 
 def demote_foreign(spark, d):
-    """Rows of a speaker that no span of its own label supports lose their owner, unless a user verified them."""
-    s = views.spans(spark, d)
-    rows = s.where("event_id % 2 = 0").select("meeting_id", "event_id", "label", "start_ms", "end_ms")
-    own = s.where("event_id % 2 = 1").select("meeting_id", "label", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    """Rows whose label no reference span of their meeting supports lose their owner, unless a user verified them."""
+    rows = views.spans(spark, d).select("meeting_id", "event_id", "label", "start_ms", "end_ms")
+    own = views.reference(spark, d).select("meeting_id", "label", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
     foreign = iv.without_overlap(rows, own, ["meeting_id", "label"]).select("event_id", F.lit(True).alias("foreign"))
     return rows.join(foreign, "event_id", "left").select("event_id", F.when(F.col("foreign") & (F.col("event_id") % 3 != 0), F.lit(None)).otherwise(F.col("label")).alias("owner"))
 
 
-register("demote_foreign", demote_foreign, oracle("select event_id, case when event_id % 3 <> 0 and not exists (select 1 from t_spans o where o.event_id % 2 = 1 and o.meeting_id = s.meeting_id and o.label = s.label and o.start_ms < s.end_ms and s.start_ms < o.end_ms) then null else label end as owner from t_spans s where event_id % 2 = 0", "t_spans"))
+register("demote_foreign", demote_foreign, oracle("select event_id, case when event_id % 3 <> 0 and not exists (select 1 from t_reference o where o.meeting_id = s.meeting_id and o.label = s.label and o.start_ms < s.end_ms and s.start_ms < o.end_ms) then null else label end as owner from t_spans s", "t_spans", "t_reference"))
 register("purge_voiceprints", lambda spark, d: views.prototypes(spark, d).where("is_verified or duration >= 2").select("id", "speaker_id", F.when(F.col("duration") < 5, F.lit(None)).otherwise(F.col("duration")).alias("clip")), oracle("select id, speaker_id, case when duration < 5 then null else duration end as clip from t_prototypes where is_verified or duration >= 2", "t_prototypes"))
 
 
 def tag_create(spark, d):
-    """Names that exist in any case come back as they are; the others get an id behind the last one and a palette colour."""
-    t = views.tags(spark, d).select(F.col("tag_id").cast("long").alias("tag_id"), "name", "palette")
-    known = t.where("tag_id = 3").select(F.lower("name").alias("name"))
-    asked = spark.createDataFrame([("Team A",), ("team a",), ("Budget",)], "name string").unionByName(known).withColumn("key", F.lower("name")).groupBy("key").agg(F.max("name").alias("name"))
+    """Names that exist in any case come back as they are; the others get an id behind the last one and a palette colour.
+
+    Asked for are the tags' own names in lower case and the market segments; ids follow the names' order.
+    """
+    t = views.tags(spark, d).select(F.col("tag_id").cast("long").alias("tag_id"), "name", x.palette_key(F.col("name")).alias("palette"))
+    asked = t.select(F.lower("name").alias("name")).unionByName(table(spark, d, "customer").select(F.col("c_mktsegment").alias("name"))).unionByName(table(spark, d, "customer").select(F.lower("c_mktsegment").alias("name")))
+    asked = asked.groupBy(F.lower("name").alias("key")).agg(F.max("name").alias("name"))
     fresh = asked.join(t.select(F.lower("name").alias("key")), "key", "left_anti")
-    last = t.agg(F.max("tag_id").alias("last"))
-    numbered = fresh.crossJoin(F.broadcast(last)).select((F.col("last") + F.rank().over(Window.orderBy("key"))).alias("tag_id"), "name", (F.crc32(F.col("key").cast("binary")) % 40).cast("int").alias("palette"))
-    return changes.insert_ignore(t, numbered, ["name"]).select("tag_id", "name")
+    return changes.insert_ignore(t, changes.numbered(fresh, "key").select((F.col("number") + t.agg(F.max("tag_id")).scalar()).alias("tag_id"), "name", x.palette_key(F.col("name")).alias("palette")), ["name"])
 
 
-register("tag_create", tag_create, oracle("select tag_id::bigint as tag_id, name from t_tags union all select * from (values (25::bigint, 'Budget'), (26::bigint, 'team a'))", "t_tags"))
+_PALETTE_SQL = f"({list(x.PALETTE)})[list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(lower(trim(name)), ''), lambda c: ascii(c)::bigint)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) % 40 + 1]"
+_FRESH_SQL = "f as (select lower(c_mktsegment) as key, max(n) as name from (select c_mktsegment, unnest([c_mktsegment, lower(c_mktsegment)]) as n from customer) group by 1 having lower(c_mktsegment) not in (select lower(name) from t_tags)), made as (select tag_id::bigint as tag_id, name from t_tags union all select (select max(tag_id) from t_tags) + row_number() over (order by key), name from f)"
+register("tag_create", tag_create, oracle(f"select tag_id, name, {_PALETTE_SQL} as palette from made", "t_tags", ctes=_FRESH_SQL))
+register("unused_tags", lambda spark, d: tag_create(spark, d).join(views.tag_links(spark, d), "tag_id", "left_anti").select("tag_id", "name"), oracle("select tag_id, name from made where tag_id not in (select tag_id from t_tag_links)", "t_tags", "t_tag_links", ctes=_FRESH_SQL))
 register("channel_gauge", lambda spark, d: views.spans(spark, d).groupBy("meeting_id").agg(F.count("*").alias("n"), F.max("end_ms").alias("e"), F.min("start_ms").alias("s")).select("meeting_id", F.least(F.lit(1.0), F.round(F.col("n") / 120, 6)).alias("filled"), F.round(1 - F.least(F.lit(1.0), F.col("n") / 120), 6).alias("rest"), (F.col("e") - F.col("s") > 2_505_600_350).alias("stuck")), oracle("select meeting_id, least(1.0, round(n / 120, 6)) as filled, round(1 - least(1.0, n / 120), 6) as rest, e - s > 2505600350 as stuck from (select meeting_id, count(*) as n, max(end_ms) as e, min(start_ms) as s from t_spans group by meeting_id)", "t_spans"))
 register("all_refined", lambda spark, d: views.spans(spark, d).groupBy("meeting_id", F.expr("start_ms div 86400000").alias("day")).agg(F.collect_list(F.col("event_id") % 7 != 0).alias("refined")).select("meeting_id", "day", (F.forall("refined", lambda r: r) & (F.size("refined") > 0)).alias("all_refined")), oracle("select meeting_id, start_ms // 86400000 as day, bool_and(event_id % 7 <> 0) as all_refined from t_spans group by all", "t_spans"))

@@ -71,7 +71,7 @@ register("parent_fallback", parent_fallback, "select l_orderkey, l_linenumber, c
 
 register("meeting_list", lambda spark, d: views.meetings(spark, d).orderBy(F.desc("created_at"), "meeting_id").select("meeting_id", "title", "created_at"), oracle("select meeting_id, title, created_at from t_meetings order by created_at desc, meeting_id", "t_meetings"))
 register("meeting_by_id", lambda spark, d: views.transcripts(spark, d).where("meeting_id = 7").select("meeting_id", "seq", "speaker", "start_ms", "end_ms"), oracle("select meeting_id, seq, speaker, start_ms, end_ms from t_transcripts where meeting_id = 7", "t_transcripts"))
-register("transcript_page", lambda spark, d: relational.page(views.transcripts(spark, d).where("meeting_id % 3 = 0").select("meeting_id", "seq", "start_ms"), ["start_ms", "meeting_id", "seq"], 20, 25), oracle("select *, count(*) over () as total, 20 + 25 < count(*) over () as has_more from (select meeting_id, seq, start_ms from t_transcripts where meeting_id % 3 = 0) order by start_ms, meeting_id, seq limit 25 offset 20", "t_transcripts"))
+register("transcript_page", lambda spark, d: relational.page(views.transcripts(spark, d).select("meeting_id", "seq", "start_ms"), ["start_ms", "meeting_id", "seq"], 20, 25), oracle("select *, count(*) over () as total, 20 + 25 < count(*) over () as has_more from (select meeting_id, seq, start_ms from t_transcripts) order by start_ms, meeting_id, seq limit 25 offset 20", "t_transcripts"))
 register("tag_usage", lambda spark, d: relational.usage(views.tags(spark, d), views.tag_links(spark, d), "tag_id"), oracle("select tag_id, name, palette, count(meeting_id) as n_links from t_tags left join t_tag_links using (tag_id) group by all", "t_tags", "t_tag_links"))
 
 
@@ -127,12 +127,11 @@ register("daily_counts", daily_counts, "select ts::date::varchar as day, count(*
 
 # -- joins and predicates ----------------------------------------------------------------------------------------------
 
-register("search_case_insensitive", lambda spark, d: views.tags(spark, d).where(F.lower("name") == F.lower(F.lit("FraNCE"))), oracle("select * from t_tags where lower(name) = lower('FraNCE')", "t_tags"))
+register("search_case_insensitive", lambda spark, d: views.tags(spark, d).where(F.lower("name") == F.lower(F.lit("NaTioN_7"))), oracle("select * from t_tags where lower(name) = lower('NaTioN_7')", "t_tags"))
 register("pair_filter", lambda spark, d: views.spans(spark, d).join(spark.createDataFrame([(1, "click"), (2, "view"), (3, "purchase")], "meeting_id long, label string"), ["meeting_id", "label"], "left_semi"), oracle("select * from t_spans where (meeting_id, label) in (values (1, 'click'), (2, 'view'), (3, 'purchase'))", "t_spans"))
 register("status_in_list", lambda spark, d: views.meetings(spark, d).where(F.col("status").isin("F", "P")).groupBy("status").agg(F.count("*").alias("n")), oracle("select status, count(*) as n from t_meetings where status in ('F', 'P') group by status", "t_meetings"))
 register("bound_left_join", lambda spark, d: (lambda t, k: t.join(k.where("user_bound"), "meeting_id", "left").select("meeting_id", "seq", "bound_to"))(views.transcripts(spark, d), table(spark, d, "conversations").groupBy(F.col("conv_id").alias("meeting_id")).agg((F.max("turn") % 2 == 0).alias("user_bound"), F.min("role").alias("bound_to"))), oracle("select t.meeting_id, t.seq, k.bound_to from t_transcripts t left join (select conv_id, max(turn) % 2 = 0 as user_bound, min(role) as bound_to from conversations group by conv_id) k on k.conv_id = t.meeting_id and user_bound", "t_transcripts"))
 register("existence_guard", lambda spark, d: table(spark, d, "lineitem").join(table(spark, d, "orders").where("o_totalprice > 1000").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").groupBy("l_returnflag").agg(F.count("*").alias("n")), "select l_returnflag, count(*) as n from lineitem join orders on o_orderkey = l_orderkey where o_totalprice > 1000 group by l_returnflag")
-register("unused_tags", lambda spark, d: views.tags(spark, d).join(views.tag_links(spark, d).where("meeting_id % 2 = 0"), "tag_id", "left_anti"), oracle("select * from t_tags where tag_id not in (select tag_id from t_tag_links where meeting_id % 2 = 0)", "t_tags", "t_tag_links"))
 
 
 def meeting_search(spark, d):
@@ -145,12 +144,12 @@ register("meeting_search", meeting_search, oracle("select meeting_id, title from
 
 
 def recovery_window(spark, d):
-    now = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    now = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
     last = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_update"))
     return last.where((F.col("last_update") > now - F.expr("interval 7 days")) & (F.col("last_update") < now - F.expr("interval 2 seconds"))).select("user_id", F.expr("unix_micros(cast(last_update as timestamp))").alias("last_us"))
 
 
-register("recovery_window", recovery_window, "select user_id, epoch_us(max(ts)) as last_us from events group by user_id having max(ts) > timestamp '2024-01-20' - interval 7 day and max(ts) < timestamp '2024-01-20' - interval 2 second")
+register("recovery_window", recovery_window, "select user_id, epoch_us(max(ts)) as last_us from events group by user_id having max(ts) > timestamp '2024-01-30' - interval 7 day and max(ts) < timestamp '2024-01-30' - interval 2 second")
 register("non_blank", lambda spark, d: views.transcripts(spark, d).where(F.trim("text") != "").groupBy("speaker").agg(F.count("*").alias("n")), oracle("select speaker, count(*) as n from t_transcripts where trim(text) <> '' group by speaker", "t_transcripts"))
 
 

@@ -20,7 +20,7 @@ def snippet(text: Column, term: str, around: int = 100, without: int = 200) -> C
 
 def search_snippet(spark, sf_dir, term: str = "thing"):
     turns = table(spark, sf_dir, "conversations")
-    hits = turns.where(F.contains(F.lower("text"), F.lit(term.lower())))
+    hits = turns.where(F.contains(F.lower("text"), F.lit(term.lower())) & F.lit(term.strip() != ""))  # a blank term finds nothing
     return hits.select("conv_id", "turn", snippet(F.col("text"), term).alias("snippet"))
 
 

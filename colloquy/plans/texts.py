@@ -13,6 +13,7 @@ from .registry import register
 _W = r"regexp_extract_all({}, '[^ \t\r\n\f\x0B]+')"
 _TW = _W.format("text")
 
+register("tag_palette", lambda spark, d: table(spark, d, "part").select("p_partkey", F.concat(F.lit(" "), F.col("p_name")).alias("name")).select("p_partkey", x.palette_key(F.col("name")).alias("palette")), f"select p_partkey, ({list(x.PALETTE)})[list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(lower(trim(p_name)), ''), lambda c: ascii(c)::bigint)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) % 40 + 1] as palette from part")
 register("word_dedupe", lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2(x.collapse_repeated_words(F.col("text")), 256).alias("clean_sha256")), f"select doc_id, sha256(array_to_string(list_transform(list_filter(list_zip(w, list_concat([null], w[:-2])), lambda z: z[2] is null or z[1] <> z[2]), lambda z: z[1]), ' ')) as clean_sha256 from (select doc_id, {_TW} as w from documents)")
 register("repetition_ratio", lambda spark, d: table(spark, d, "documents").select("doc_id", F.round(x.repetition_ratio(F.col("text")), 9).alias("ratio")), f"select doc_id, round(case when len(w) < 4 then 0.0 else 1 - len(list_distinct(w)) / len(w) end, 9) as ratio from (select doc_id, list_transform({_TW}, lambda y: lower(y)) as w from documents)")
 register("meaningless", lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", x.is_meaningless(F.col("text")).alias("meaningless")), f"select conv_id, turn, regexp_matches(lower(text), '{'|'.join(x.MEANINGLESS)}') or (len(list_distinct(string_split(text, ''))) <= 3 and strlen(text) > 10) as meaningless from conversations")
@@ -21,6 +22,7 @@ register("meaningless", lambda spark, d: table(spark, d, "conversations").select
 def clean_chain(spark, d):
     t = table(spark, d, "documents").withColumn("n", F.size(x.words(F.col("text"))))
     done = x.collapse_repeated_phrases(x.collapse_repeated_words(F.col("text")))
+    done = F.when(x.is_meaningless(F.col("text")) | (F.col("n") < 3), F.lit("")).otherwise(done)
     t = t.withColumn("clean", F.when(x.is_meaningless(F.col("text")), "").when(F.col("n") < 3, F.col("text")).otherwise(done))
     return t.select("doc_id", F.when(x.repetition_ratio(F.col("clean")) > 0.7, "").otherwise(F.col("clean")).alias("clean"))
 
@@ -29,8 +31,24 @@ register("clean_chain", clean_chain)
 register("drop_invented", lambda spark, d: table(spark, d, "documents").select("doc_id", x.drop_invented("text").alias("r")).select("doc_id", "r.kept", "r.n_removed"))
 register("overlap_text_chunks", lambda spark, d: table(spark, d, "documents").select("doc_id", F.posexplode(x.overlap_chunks(1400, 140)("text")).alias("k", "c")).select("doc_id", "k", "c.from_char", "c.to_char", F.sha2("c.chunk", 256).alias("chunk_sha256")))
 register("strip_reasoning", lambda spark, d: table(spark, d, "pages").select("page_id", F.sha2(x.strip_reasoning(F.concat(F.lit("<think>a\nb</think>"), F.regexp_replace("url", "/", "\n"))), 256).alias("clean_sha256")), "select page_id, sha256(trim(regexp_replace(regexp_replace('<think>a' || chr(10) || 'b</think>' || replace(url, '/', chr(10)), '(?is)<think(?:ing)?>.*?</think(?:ing)?>', '', 'g'), '(?m)^```[a-z]*\\s*$', '', 'g'))) as clean_sha256 from pages")
-register("title_script", lambda spark, d: table(spark, d, "documents").select("doc_id", x.title_script(F.substring("text", 1, 40)).alias("script")), "select doc_id, case when regexp_matches(substring(text, 1, 40), '[\\x{0400}-\\x{04FF}]') then 'ru' when regexp_matches(substring(text, 1, 40), '[\\x{4E00}-\\x{9FFF}]') then 'zh' else 'en' end as script from documents")
-register("normalize_words", lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2(x.normalize_words(F.col("text")), 256).alias("words_sha256")), "select doc_id, sha256(array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(replace(lower(text), 'ё', 'е'), '(\\d)[ ,](\\d{3})\\b', '\\1\\2', 'g'), '[^a-z0-9а-яß-ÿ]+', ' ', 'g')), ' +'), lambda y: y not in ('a', 'the', 'of', 'to')), ' ')) as words_sha256 from documents where not regexp_matches(text, '\\d[ ,]\\d{3}[ ,]\\d{3}') or true")
+register("title_script", lambda spark, d: table(spark, d, "documents").select("doc_id", x.title_script(F.col("text")).alias("script")), "select doc_id, case when regexp_matches(text, '[\\x{0400}-\\x{04FF}]') then 'ru' when regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]') then 'zh' else 'en' end as script from documents")
+_HUNDREDS, _TENS, _ONES = ([*w] for w in (x.HUNDREDS, x.TENS, x.ONES))
+
+
+def _group_sql(n: str, scale: int) -> str:
+    g = f"(({n}::bigint // {1000**scale}) % 1000)"
+    low = f"(case when {g} % 100 < 20 then {g} % 100 else {g} % 10 end)"
+    one = f"({_ONES})[{low} + 1]" if scale != 1 else f"case {low} when 1 then 'одна' when 2 then 'две' else ({_ONES})[{low} + 1] end"
+    names = x.SCALES[scale]
+    return f"case when {g} > 0 then concat_ws(' ', ({_HUNDREDS})[{g} // 100 + 1], case when {g} % 100 < 20 then '' else ({_TENS})[{g} % 100 // 10 + 1] end, {one}, case when {low} = 1 then '{names[0]}' when {low} between 2 and 4 then '{names[1]}' else '{names[2]}' end) else '' end"
+
+
+_NUMBER = f"case when length(y) > 15 then y when try_cast(y as bigint) = 0 then 'ноль' else trim(regexp_replace(concat_ws(' ', {', '.join(_group_sql('try_cast(y as bigint)', k) for k in (4, 3, 2, 1, 0))}), ' +', ' ', 'g')) end"
+_JOINED = "replace(replace(lower(text), 'ё', 'е'), '[неразб]', ' <unk> ')"
+for _ in range(2):  # neighbouring groups share their boundary, so every second one is met in each round
+    _JOINED = rf"regexp_replace({_JOINED}, '(\d)[ \t\n\r\f\v.,](\d\d\d)($|[^\pL\pN_])', '\1' || chr(1) || '\2\3', 'g')"
+_SAID = rf"list_transform(regexp_split_to_array(replace(regexp_replace(replace({_JOINED}, chr(1), ''), '(\d+)', ' \1 ', 'g'), '-', ' '), '[^\pL\pN_<>]+'), lambda y: case when regexp_matches(y, '^[0-9]+$') then {_NUMBER} else y end)"
+register("normalize_words", lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2(x.normalize_words(F.col("text")), 256).alias("words_sha256")), f"select doc_id, sha256(array_to_string(list_filter({_SAID}, lambda y: y <> '' and y not in {x.FILLERS}), ' ')) as words_sha256 from documents")
 register("speech_loops", lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", x.has_loop(F.col("text")).alias("loops")))
 register("fingerprint", lambda spark, d: table(spark, d, "documents").select("doc_id", F.concat(F.lower(F.hex(x.fnv1a_64("text"))), F.lit(":"), F.octet_length("text").cast("string")).alias("fingerprint")))
 register("clock_labels", lambda spark, d: views.transcripts(spark, d).select("meeting_id", "seq", x.clock(F.when(F.col("seq") > 1, F.col("start_ms"))).alias("label")), oracle("select meeting_id, seq, case when seq > 1 then printf('[%02d:%02d]', start_ms // 60000, start_ms // 1000 % 60) else '[--:--]' end as label from t_transcripts", "t_transcripts"))

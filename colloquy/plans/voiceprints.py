@@ -24,12 +24,13 @@ register("suspect_prototypes", lambda spark, d: v.suspects(views.prototypes(spar
 
 
 def cosine_best_match(spark, d):
+    """Every row whose id is divisible by 100 against all others."""
     p = views.prototypes(spark, d)
-    q = p.where("id % 10 = 3").select(F.col("id").alias("q_id"), F.col("channel").alias("q_channel"), F.col("embedding").alias("q_vec"))
-    return v.best_match(q, p.where("id % 10 <> 3"), 0.3).select("q_id", "speaker_id", F.round("score", 6).alias("score"))
+    q = p.where("id % 100 = 0").select(F.col("id").alias("q_id"), F.col("channel").alias("q_channel"), F.col("embedding").alias("q_vec"))
+    return v.best_match(q, p, 0.3).select("q_id", "speaker_id", F.round("score", 6).alias("score"))
 
 
-register("cosine_best_match", cosine_best_match, oracle("select q_id, speaker_id, round(score, 6) as score from (select q_id, speaker_id, coalesce(max(case when same then c end), max(c)) as score from c group by all) where true qualify row_number() over (partition by q_id order by score desc, speaker_id) = 1 and score > 0.3", "t_prototypes", ctes="n as (select *, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as l from t_prototypes), c as (select q.id as q_id, p.speaker_id, q.channel = p.channel as same, list_dot_product(q.v, p.v) / (q.l * p.l) as c from n q join n p on q.id % 10 = 3 and p.id % 10 <> 3)"))
+register("cosine_best_match", cosine_best_match, oracle("select q_id, speaker_id, round(score, 6) as score from (select q_id, speaker_id, coalesce(max(case when same then c end), max(c)) as score from c group by all) where true qualify row_number() over (partition by q_id order by score desc, speaker_id) = 1 and score > 0.3", "t_prototypes", ctes="n as (select *, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as l from t_prototypes), c as (select q.id as q_id, p.speaker_id, q.channel = p.channel as same, list_dot_product(q.v, p.v) / (q.l * p.l) as c from n q join n p on q.id % 100 = 0 and p.id <> q.id)"))
 register("coherent_pick", lambda spark, d: v.coherent_pick(views.prototypes(spark, d), "speaker_id", "id", "embedding", "duration", 16, 8, -0.05).select("speaker_id", "id", "pick"), oracle("select speaker_id, id, row_number() over (partition by speaker_id order by rn) as pick from own qualify pick <= 8", "t_prototypes", ctes="t as (select *, row_number() over (partition by speaker_id order by duration desc, id) as rn from t_prototypes qualify rn <= 16), " + _OWN.replace("from t_prototypes)", "from t)").replace("where n >= 3)", "where n < 3 or list_dot_product(unit, others) / sqrt(list_dot_product(others, others)) >= -0.05)")))
 register("reconfirm_similarity", lambda spark, d: (lambda p: p.where("not is_verified").join(v.centroids(p.where("is_verified"), ["speaker_id"], "embedding").where("n >= 2"), "speaker_id").select("id", "speaker_id", F.round(v.cosine(F.col("embedding"), F.col("centroid")), 6).alias("similarity")))(views.prototypes(spark, d)), oracle("select p.id, p.speaker_id, round(list_dot_product(p.embedding::double[], total) / sqrt(list_dot_product(total, total)) / sqrt(list_dot_product(p.embedding::double[], p.embedding::double[])), 6) as similarity from t_prototypes p join raw using (speaker_id) where not is_verified and n >= 2", "t_prototypes", ctes=f"raw as (select speaker_id, max(n) as n, list(s order by pos) as total from (select speaker_id, pos, sum(x) as s, count(*) as n from (select speaker_id, unnest({_D}) as x, generate_subscripts(embedding, 1) as pos from t_prototypes where is_verified) group by all) group by speaker_id)"))
 register("allowlist_filter", lambda spark, d: (lambda p, allow: p.join(allow, ["meeting_id", "speaker_id"], "left_semi").unionByName(p.join(allow.select("meeting_id").distinct(), "meeting_id", "left_anti")).select("id", "meeting_id", "speaker_id"))(views.prototypes(spark, d), views.prototypes(spark, d).where("meeting_id < 10 and duration > 20").select("meeting_id", "speaker_id").distinct()), oracle("select id, meeting_id, speaker_id from t_prototypes where (meeting_id, speaker_id) in (select meeting_id, speaker_id from a) or meeting_id not in (select meeting_id from a)", "t_prototypes", ctes="a as (select distinct meeting_id, speaker_id from t_prototypes where meeting_id < 10 and duration > 20)"))
