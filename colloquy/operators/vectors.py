@@ -84,7 +84,7 @@ def best_pairs(queries: DataFrame, candidates: DataFrame, block: int = BLOCK) ->
     some = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.withColumn("qb", some("q_id", parts[0])).withColumn("cb", every(parts[1]))
-    c = candidates.withColumn("cb", some("c_key", parts[1])).withColumn("qb", every(parts[0]))
+    c = candidates.withColumn("cb", some("c_vec", parts[1])).withColumn("qb", every(parts[0]))
     types = dict(queries.dtypes) | dict(candidates.dtypes)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -118,14 +118,15 @@ def suspects(df: DataFrame, owner: str, row: str, vector: str, floor: float = 0.
 
 
 def best_match(queries: DataFrame, prototypes: DataFrame, threshold: float) -> DataFrame:
-    """For each query (q_id, q_channel, q_vec) the best speaker among prototypes (id, speaker_id, channel, embedding).
+    """For each query (q_id, q_channel, q_vec) the best speaker among prototypes (speaker_id, channel, embedding).
 
     A speaker's pool is its prototypes of the query's channel if it has any, else all; its score is the largest cosine;
-    ties go to the smallest speaker; the best is accepted only above ``threshold`` (strictly). A prototype is no match
-    for the query of the same id.
+    ties go to the smallest speaker; the best is accepted only above ``threshold`` (strictly). Where
+    prototypes have an id, one is no match for the query of the same id.
     """
     channels = prototypes.groupBy("speaker_id").agg(F.collect_set("channel").alias("c_channels"))
-    c = prototypes.join(channels, "speaker_id").select(F.col("speaker_id").alias("c_id"), F.col("id").alias("c_key"), F.col("channel").alias("c_channel"), "c_channels", F.col("embedding").alias("c_vec"))
+    key = F.col("id") if "id" in prototypes.columns else F.lit(None).cast("long")
+    c = prototypes.join(channels, "speaker_id").select(F.col("speaker_id").alias("c_id"), key.alias("c_key"), F.col("channel").alias("c_channel"), "c_channels", F.col("embedding").alias("c_vec"))
     q = queries.select("q_id", F.col("q_id").alias("q_own"), "q_channel", "q_vec")
     return best_pairs(q, c).select("q_id", F.col("c_id").alias("speaker_id"), "score").where(F.col("score") > threshold)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import intervals as iv
 from ..session import table
 from ..sources import views
 from ..sources.views import oracle
@@ -18,12 +19,22 @@ def _span_stream(spark, d):
     return e.select((F.col("user_id") % 100).alias("meeting_id"), "event_id", F.col("event_type").alias("label"), start.alias("start_ms"), (start + F.round(F.col("value") * 60000).cast("long")).alias("end_ms"))
 
 
+_GAP, _JITTER, _LATE = 600_000, 32, 3_600_000
+
+
 def stream_gap_flush(spark, d):
-    return runner.run_now(live.pending_segments(_span_stream(spark, d), "meeting_id", 600_000, 1 << 60)).drop("closed_by")
+    return runner.run_now(live.pending_segments(_span_stream(spark, d), "meeting_id", _GAP, 1 << 60, 0, _JITTER, "1 hour")).drop("closed_by")
 
 
-register("stream_gap_flush", stream_gap_flush, oracle("select meeting_id, min(start_ms) as start_ms, max(end_ms) as end_ms, count(*) as n_merged from (select *, max(i) over (partition by meeting_id) as last_i from (select *, sum(f) over (partition by meeting_id order by start_ms, end_ms) as i from (select *, case when max(end_ms) over w is null or start_ms - max(end_ms) over w >= 600000 then 1 else 0 end as f from t_spans window w as (partition by meeting_id order by start_ms, end_ms rows between unbounded preceding and 1 preceding)))) where i < last_i group by meeting_id, i", "t_spans"))
-register("stream_pending", lambda spark, d: runner.run_now(live.pending_segments(_span_stream(spark, d), "meeting_id", 600_000, 7_200_000)))
+register("stream_gap_flush", stream_gap_flush, oracle(f"select meeting_id, min(start_ms) as start_ms, max(end_ms) as end_ms, count(*) as n_merged from (select *, max(i) over (partition by meeting_id) as last_i from (select *, sum(f) over (partition by meeting_id order by start_ms, end_ms) as i from (select *, case when max(end_ms) over w is null or start_ms - max(end_ms) over w >= {_GAP} then 1 else 0 end as f from t_spans window w as (partition by meeting_id order by start_ms, end_ms rows between unbounded preceding and 1 preceding)))) group by meeting_id, i having any_value(i < last_i) or max(end_ms) + {_GAP + _JITTER + _LATE} < (select max(start_ms) from t_spans)", "t_spans"))
+_MOST, _LEAST = 7_200_000, 1_800_000
+# One row a step: what is pending after it, and what it closed by a gap and by its length.
+_STEPS = f"""n as (select meeting_id, start_ms, end_ms, row_number() over (partition by meeting_id order by start_ms, end_ms) as i from t_spans),
+st as (select meeting_id, 0::bigint as i, null::bigint as s, null::bigint as e, 0::bigint as n, [null]::struct(s bigint, e bigint, n bigint, why varchar)[] as done from (select distinct meeting_id from n)
+union all select meeting_id, i, case when full_ then null else s end, case when full_ then null else e end, case when full_ then 0 else n end, [case when gap then {{'s': ps, 'e': pe, 'n': pn, 'why': 'gap'}} end, case when full_ then {{'s': s, 'e': e, 'n': n, 'why': 'length'}} end]
+from (select *, e - s > {_MOST} as full_ from (select n.meeting_id, n.i, st.s as ps, st.e as pe, st.n as pn, coalesce(n.start_ms - st.e >= {_GAP}, false) as gap, case when st.s is null or gap then n.start_ms else st.s end as s, case when st.s is null or gap then n.end_ms else greatest(st.e, n.end_ms) end as e, case when st.s is null or gap then 1 else st.n + 1 end as n from st join n on n.meeting_id = st.meeting_id and n.i = st.i + 1))),
+x as (select meeting_id, unnest(done) as c from st union all select meeting_id, {{'s': s, 'e': e, 'n': n, 'why': 'silence'}} from st where s is not null and (meeting_id, i) in (select meeting_id, max(i) from n group by meeting_id) and e + {_GAP + _JITTER + _LATE} < (select max(start_ms) from t_spans))"""
+register("stream_pending", lambda spark, d: runner.run_now(live.pending_segments(_span_stream(spark, d), "meeting_id", _GAP, _MOST, _LEAST, _JITTER, "1 hour")), oracle(f"select meeting_id, c.s as start_ms, c.e as end_ms, c.n as n_merged, c.why as closed_by from x where c is not null and c.e - c.s >= {_LEAST}", "t_spans", ctes=_STEPS).replace("with t_spans", "with recursive t_spans", 1))
 
 
 def _tagged(s):
@@ -37,6 +48,39 @@ register("batch_live_labels", lambda spark, d: live.live_labels_batch(_tagged(vi
 register("latest_revision", lambda spark, d: live.live_labels_batch(_tagged(views.spans(spark, d))).groupBy("key", "block_id").agg(F.max_by("label", F.struct("revision", "final")).alias("label"), F.max("revision").alias("revision"), F.bool_or("final").alias("final")))
 
 
+def _shown(spark, d):
+    """What blocks show before the end: the stable turn of largest overlap; decided once a stable turn starts behind them."""
+    e = views.emissions(spark, d).withColumnRenamed("meeting_id", "key")
+    turns = e.where("stable and label in ('view', 'purchase')")
+    blocks = e.where("label in ('click', 'error')").select("key", F.col("event_id").alias("block_id"), "start_ms", "end_ms")
+    r = turns.select("key", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "label")
+    best = iv.max_overlap(blocks, r, ["key"], ["block_id"], ["r_start", "r_end"]).select("key", "block_id", "label")
+    last = turns.groupBy("key").agg(F.max("start_ms").alias("high"))
+    out = blocks.join(best, ["key", "block_id"], "left").join(last, "key", "left")
+    return out.select("key", "block_id", "start_ms", "end_ms", "label", F.when(F.col("label").isNull(), 0).otherwise(1).alias("revision"), F.coalesce(F.col("high") >= F.col("end_ms"), F.lit(False)).alias("decided"), (F.col("block_id") % 11 == 0).alias("by_user"))
+
+
+def finalize_blocks(spark, d):
+    s = views.spans(spark, d).withColumnRenamed("meeting_id", "key")
+    return live.finalize(_shown(spark, d), s.where("label in ('view', 'purchase')"), s.where("label = 'signup' and event_id % 3 = 0"))
+
+
+_SHOWN = """tu as (select * from t_emissions where stable and label in ('view', 'purchase')), bl as (select meeting_id, event_id, start_ms, end_ms from t_spans where label in ('click', 'error')),
+be as (select b.event_id, t.label from bl b join tu t on t.meeting_id = b.meeting_id and t.start_ms < b.end_ms and b.start_ms < t.end_ms qualify row_number() over (partition by b.event_id order by least(b.end_ms, t.end_ms) - greatest(b.start_ms, t.start_ms) desc, t.start_ms, t.end_ms) = 1),
+sh as (select bl.*, be.label, case when be.label is null then 0 else 1 end as revision, coalesce((select max(start_ms) from tu where tu.meeting_id = bl.meeting_id) >= bl.end_ms, false) as decided, bl.event_id % 11 = 0 as by_user from bl left join be using (event_id))"""
+_FINAL = _SHOWN + """, fr as (select * from sh where not exists (select 1 from t_spans p where p.label = 'signup' and p.event_id % 3 = 0 and p.meeting_id = sh.meeting_id and p.start_ms < sh.end_ms and sh.start_ms < p.end_ms)),
+rf as (select fr.*, t.label as refined from fr join t_spans t on t.label in ('view', 'purchase') and t.meeting_id = fr.meeting_id and t.start_ms < fr.end_ms and fr.start_ms < t.end_ms qualify row_number() over (partition by fr.event_id order by least(fr.end_ms, t.end_ms) - greatest(fr.start_ms, t.start_ms) desc, t.start_ms, t.end_ms) = 1)"""
+register("finalize_blocks", finalize_blocks, oracle("select meeting_id as key, event_id as block_id, revision + 1 as revision, refined as label from rf where not (by_user and label is distinct from refined) and (label is distinct from refined or not decided)", "t_emissions", ctes=_FINAL))
+
+
+def rebind_blocks(spark, d):
+    names = views.spans(spark, d).where("label in ('view', 'purchase')").groupBy(F.col("meeting_id").alias("key")).agg(F.max_by("label", F.struct("end_ms", "event_id")).alias("label")).withColumn("display_name", F.concat(F.lit("Guest "), "key"))
+    return live.rebind(_shown(spark, d), names)
+
+
+register("rebind_blocks", rebind_blocks, oracle("select s.meeting_id as key, event_id as block_id, revision + 1 as revision, label, 'Guest ' || s.meeting_id as display_name, 'user' as matched_by, null::double as match_score from sh s join (select meeting_id, max_by(label, (end_ms, event_id)) as label from t_spans where label in ('view', 'purchase') group by meeting_id) n using (meeting_id, label)", "t_emissions", ctes=_SHOWN))
+
+
 def stream_windows(spark, d):
     e = runner.source(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
     w = e.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))

@@ -1,8 +1,8 @@
 """Live labels on Structured Streaming: pending segments, and revisioned attribution of blocks to turns.
 
 Each stateful operator is one Python function over (state, ordered rows of a key), used by the stream and by its batch
-twin, so tests can hold one against the other. State is bounded: a pending segment; at most ``TURNS`` turns and
-``HELD`` undecided blocks of a key.
+twin, so tests can hold one against the other. A key's state is a pending segment; or a recording's turns with at most
+``HELD`` undecided and ``SETTLED`` decided blocks. The end of a recording and renames are joins over a snapshot.
 """
 
 from __future__ import annotations
@@ -12,9 +12,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-TURNS, HELD = 4096, 256
+from ..operators import intervals as iv
+
+HELD, SETTLED = 256, 4096
+#: Added to all event times: Spark takes what lies at its own epoch for late.
+_EPOCH = 86_400_000
 
 
 # -- pending segments --------------------------------------------------------------------------------------------------
@@ -38,79 +43,95 @@ def flush(state: tuple | None, rows: list[tuple[int, int]], gap_ms: int, most_ms
     return state, out
 
 
-def pending_segments(spans: DataFrame, key: str, gap_ms: int, most_ms: int) -> DataFrame:
+def pending_segments(spans: DataFrame, key: str, gap_ms: int, most_ms: int, least_ms: int = 0, jitter_ms: int = 32, late: str = "1 minute") -> DataFrame:
     """Closed segments of a stream of spans (key long, start_ms, end_ms). A null start closes what is pending (stop).
 
-    Rows of a key are taken in the order of their start inside a micro-batch; a late row extends what is pending.
+    Rows of a key are taken in the order of their start inside a micro-batch; a late row extends what is pending, and
+    rows that come more than ``late`` behind the latest start of earlier batches are dropped by the watermark. What is pending is also closed (silence) once event time, which all keys advance, has passed its end by the gap and the
+    jitter: then no new span could join it. Segments shorter than ``least_ms`` are dropped.
     """
     names = [key, "start_ms", "end_ms", "n_merged", "closed_by"]
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches))
-        stop = pdf["start_ms"].isna().any()
-        rows = pdf.dropna(subset=["start_ms"]).sort_values(["start_ms", "end_ms"])
-        now, out = flush(state.getOption, list(zip(rows["start_ms"].astype(int), rows["end_ms"].astype(int), strict=True)), gap_ms, most_ms, bool(stop))
+        if state.hasTimedOut:
+            now, out = None, [(*state.get, "silence")]
+        else:
+            pdf = pd.concat(list(batches))
+            stop = pdf["start_ms"].isna().any()
+            rows = pdf.dropna(subset=["start_ms"]).sort_values(["start_ms", "end_ms"])
+            now, out = flush(state.getOption, list(zip(rows["start_ms"].astype(int), rows["end_ms"].astype(int), strict=True)), gap_ms, most_ms, bool(stop))
         if now is None:
             if state.exists:
                 state.remove()
         else:
             state.update(tuple(int(x) for x in now))
-        yield pd.DataFrame([(k[0], *r) for r in out], columns=names)
+            state.setTimeoutTimestamp(max(int(now[1]) + gap_ms + jitter_ms + _EPOCH, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(k[0], *r) for r in out if r[1] - r[0] >= least_ms], columns=names)
 
-    return spans.select(key, "start_ms", "end_ms").groupBy(key).applyInPandasWithState(run, f"{key} long, start_ms long, end_ms long, n_merged long, closed_by string", "s long, e long, n long", "append", GroupStateTimeout.NoTimeout)
+    timed = spans.select(key, "start_ms", "end_ms", F.timestamp_millis(F.col("start_ms") + _EPOCH).alias("_at")).withWatermark("_at", late)
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} long, start_ms long, end_ms long, n_merged long, closed_by string", "s long, e long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # -- revisioned attribution --------------------------------------------------------------------------------------------
 
 
-def _label(turns: list, block: dict) -> tuple[str | None, float]:
-    """The turn of largest overlap with a block, the first of equals."""
-    best, label = 0, None
-    for start, end, name in turns:
-        o = min(end, block["end"]) - max(start, block["start"])
-        if o > best:
-            best, label = o, name
-    return label, best
+def _turn_over(block: dict, turn: list) -> bool:
+    """Takes the turn for the block's best if it overlaps more than any before it."""
+    o = min(turn[1], block["end"]) - max(turn[0], block["start"])
+    if o > block["overlap"]:
+        block["overlap"], block["best"] = o, turn[2]
+    return o > 0
 
 
 def reconcile(state: dict | None, rows: list[tuple]) -> tuple[dict, list[tuple]]:
     """New state and the revisions to send, after rows (kind, id, start, end, label) in arrival order.
 
-    A turn is kept (the oldest goes beyond TURNS) and all held blocks are attributed again; a revision is sent only when
-    a block's label changes. A block can be decided once a turn starts at or after its end; it is then final and let go.
-    A turn that starts before an earlier one marks the key as out of order for good, but still counts. Beyond HELD
-    blocks the oldest is let go with what it shows. A stop row makes every held block final.
+    A block shows the turn of largest overlap, the first of equals. A turn is kept and every held block looks at it; a
+    revision is sent only when a block's label changes. A block can be decided once a turn starts at or after its end;
+    it is then final and settled. A turn that starts or ends before the last one marks the key as out of order for good,
+    but still counts; revisions carry that mark. Beyond HELD blocks the oldest is settled undecided, with what it shows;
+    beyond SETTLED the oldest settled block is forgotten. A stop row makes every held block final.
     """
-    s = state or {"turns": [], "held": [], "high": -1, "odd": False}
+    s = state or {"turns": [], "held": [], "settled": [], "high": -1, "last": None, "odd": False}
     out = []
 
     def settle(block: dict, final: bool) -> bool:
-        label, _ = _label(s["turns"], block)
+        label = block["best"]
         if label is not None and label != block["label"]:
             block["label"], block["revision"] = label, block["revision"] + 1
-            out.append((block["id"], block["revision"], label, final))
+            out.append((block["id"], block["revision"], label, final, s["odd"]))
         elif final and block["label"] is not None:
-            out.append((block["id"], block["revision"], block["label"], True))
+            out.append((block["id"], block["revision"], block["label"], True, s["odd"]))
+        if final:
+            keep(block, True)
         return final
 
+    def keep(block: dict, decided: bool) -> None:
+        s["settled"] = (s["settled"] + [[block["id"], block["revision"], block["label"], decided]])[-SETTLED:]
+
     for kind, ident, start, end, label in rows:
         if kind == "turn":
-            s["odd"] |= start < s["high"]
-            s["high"] = max(s["high"], start)
-            s["turns"] = (s["turns"] + [[start, end, label]])[-TURNS:]
+            s["odd"] |= s["last"] is not None and (start < s["last"][0] or end < s["last"][1])
+            s["last"], s["high"] = [start, end], max(s["high"], start)
+            s["turns"].append([start, end, label])
+            for b in s["held"]:
+                _turn_over(b, s["turns"][-1])
             s["held"] = [b for b in s["held"] if not settle(b, s["high"] >= b["end"])]
         elif kind == "block":
-            b = {"id": ident, "start": start, "end": end, "label": None, "revision": 0}
+            b = {"id": ident, "start": start, "end": end, "label": None, "revision": 0, "best": None, "overlap": 0}
+            for turn in s["turns"]:
+                _turn_over(b, turn)
             if not settle(b, s["high"] >= end):
                 s["held"].append(b)
                 if len(s["held"]) > HELD:
-                    settle(s["held"].pop(0), True)
+                    keep(s["held"].pop(0), False)
         else:
             s["held"] = [b for b in s["held"] if not settle(b, True)]
     return s, out
 
 
-OUT = "key long, block_id long, revision int, label string, final boolean"
+OUT = "key long, block_id long, revision int, label string, final boolean, out_of_order boolean"
+_NAMES = ["key", "block_id", "revision", "label", "final", "out_of_order"]
 
 
 def live_labels(rows: DataFrame) -> DataFrame:
@@ -121,7 +142,7 @@ def live_labels(rows: DataFrame) -> DataFrame:
         old = json.loads(state.get[0]) if state.exists else None
         new, out = reconcile(old, list(zip(pdf["kind"], pdf["id"].tolist(), pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["label"], strict=True)))
         state.update((json.dumps(new),))
-        yield pd.DataFrame([(k[0], *r) for r in out], columns=["key", "block_id", "revision", "label", "final"])
+        yield pd.DataFrame([(k[0], *r) for r in out], columns=_NAMES)
 
     return rows.groupBy("key").applyInPandasWithState(run, OUT, "state string", "append", GroupStateTimeout.NoTimeout)
 
@@ -132,6 +153,36 @@ def live_labels_batch(rows: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("arrival")
         _, out = reconcile(None, list(zip(pdf["kind"], pdf["id"].tolist(), pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["label"], strict=True)))
-        return pd.DataFrame([(pdf["key"].iloc[0], *r) for r in out], columns=["key", "block_id", "revision", "label", "final"])
+        return pd.DataFrame([(pdf["key"].iloc[0], *r) for r in out], columns=_NAMES)
 
     return rows.groupBy("key").applyInPandas(run, OUT)
+
+
+# -- the end of a recording, and renames: joins over a snapshot ---------------------------------------------------------
+
+
+def finalize(shown: DataFrame, turns: DataFrame, protected: DataFrame, relabel_all: bool = False) -> DataFrame:
+    """The last revisions: key, block_id, revision, label of every block whose final rendering is sent.
+
+    ``shown``: key, block_id, start_ms, end_ms, label (null: never rendered), revision, decided, by_user. ``turns`` (key,
+    start_ms, end_ms, label): the refined timeline. A block that a protected window (key, start_ms, end_ms) overlaps, or
+    that no refined turn overlaps, keeps what it shows; so does one that a user named, where the refined label differs.
+    Of the others those go out that were never decided or whose label changed, or all of them.
+    """
+    r = turns.select("key", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.col("label").alias("refined"))
+    windows = protected.select("key", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    free = iv.without_overlap(shown, windows, ["key"])
+    best = iv.max_overlap(free.select("key", "block_id", "start_ms", "end_ms"), r, ["key"], ["block_id"], ["r_start", "r_end"]).select("key", "block_id", "refined")
+    joined = free.join(best, ["key", "block_id"])
+    changed = ~F.col("label").eqNullSafe(F.col("refined"))
+    sent = joined.where(~(F.col("by_user") & changed) & (F.lit(relabel_all) | changed | ~F.col("decided")))
+    return sent.select("key", "block_id", (F.col("revision") + 1).alias("revision"), F.col("refined").alias("label"))
+
+
+def rebind(shown: DataFrame, names: DataFrame) -> DataFrame:
+    """Rendered blocks of a renamed label (names: key, label, display_name) once more, under the user's name.
+
+    key, block_id, revision, label, display_name, matched_by (user), match_score (null): visible rows change at once.
+    """
+    hit = shown.where("label is not null").join(names, ["key", "label"])
+    return hit.select("key", "block_id", (F.col("revision") + 1).alias("revision"), "label", "display_name", F.lit("user").alias("matched_by"), F.lit(None).cast("double").alias("match_score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -119,7 +120,7 @@ def test_clusters_by_average_linkage():
 def test_text_functions(spark):
     df = spark.createDataFrame([("go go home home now",), ("so we go so we go on on",), ("aaaaaaaaaaaa",), ("",)], "t string")
     assert [r[0] for r in df.select(x.collapse_repeated_words(F.col("t"))).collect()] == ["go home now", "so we go so we go on", "aaaaaaaaaaaa", ""]
-    assert [r[0] for r in df.select(x.collapse_repeated_phrases("t")).collect()][1] == "so we go on on"
+    assert [r[0] for r in df.select(x.collapse_repeated_phrases(F.col("t"))).collect()][1] == "so we go on on"
     assert [r[0] for r in df.select(x.is_meaningless(F.col("t"))).collect()] == [False, False, True, False]
     assert [round(r[0], 3) for r in df.select(x.repetition_ratio(F.col("t"))).collect()] == [0.4, 0.5, 0.0, 0.0]
     assert df.limit(1).select(x.fnv1a_64(F.lit("a"))).first()[0] == 0xAF63DC4C8601EC8C - (1 << 64)
@@ -259,7 +260,62 @@ def test_flush_rules():
 
 def test_reconcile_revisions():
     s, out = live.reconcile(None, [("turn", 0, 0, 50, "a"), ("block", 1, 0, 100, ""), ("turn", 2, 40, 99, "b"), ("turn", 3, 100, 120, "c"), ("block", 4, 500, 600, ""), ("turn", 5, 90, 95, "a"), ("stop", 0, 0, 0, "")])
-    assert out == [(1, 1, "a", False), (1, 2, "b", False), (1, 2, "b", True)] and s["odd"] and not s["held"]
+    assert [r[:4] for r in out] == [(1, 1, "a", False), (1, 2, "b", False), (1, 2, "b", True)] and s["odd"] and not s["held"]
+    assert s["settled"] == [[1, 2, "b", True], [4, 0, None, True]] and not out[0][4]
+
+
+def test_held_and_settled_blocks_overflow(monkeypatch):
+    monkeypatch.setattr(live, "HELD", 2)
+    monkeypatch.setattr(live, "SETTLED", 3)
+    s, out = live.reconcile(None, [("turn", 0, 0, 50, "a")] + [("block", i, 10 * i, 10 * i + 10, "") for i in range(1, 7)])
+    assert [r[0] for r in out] == [1, 2, 3, 4] and [b["id"] for b in s["held"]] == [5, 6]
+    assert s["settled"] == [[2, 1, "a", False], [3, 1, "a", False], [4, 1, "a", False]]
+
+
+def test_silence_closes_what_other_channels_leave_behind(spark, tmp_path):
+    parts = [[(1, 0, 100), (2, 0, 150)], [(2, 400, 1000)], [(2, 5000, 5100)]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, "k long, start_ms long, end_ms long").coalesce(1).write.parquet(str(tmp_path / f"in/part={k}"))
+        time.sleep(1.1)  # files come in the order of their times
+    stream = spark.readStream.schema("k long, start_ms long, end_ms long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = runner.run_now(live.pending_segments(stream, "k", 500, 10_000, late="0 seconds"))
+    assert rows(got, *got.columns) == [(1, 0, 100, 1, "silence"), (2, 0, 1000, 2, "gap")] or rows(got, *got.columns) == [(1, 0, 100, 1, "silence"), (2, 0, 1000, 2, "silence")]
+    assert rows(runner.run_now(live.pending_segments(stream, "k", 500, 10_000, 500, late="0 seconds")), "k") == [(2,)]
+
+
+def test_finalize_and_rebind(spark):
+    S = "key long, block_id long, start_ms long, end_ms long, label string, revision int, decided boolean, by_user boolean"
+    shown = spark.createDataFrame([(1, 1, 0, 10, "a", 1, True, False), (1, 2, 10, 20, "a", 1, True, False), (1, 3, 20, 30, "b", 2, False, False), (1, 4, 30, 40, "a", 1, True, True), (1, 5, 40, 50, "a", 1, True, False), (1, 6, 90, 95, None, 0, False, False), (1, 7, 60, 70, None, 0, False, False)], S)
+    turns = spark.createDataFrame([(1, 0, 10, "a"), (1, 10, 60, "b"), (1, 60, 70, "c")], "key long, start_ms long, end_ms long, label string")
+    windows = spark.createDataFrame([(1, 45, 46)], "key long, start_ms long, end_ms long")
+    got = live.finalize(shown, turns, windows)
+    assert rows(got, "block_id", "revision", "label") == [(2, 2, "b"), (3, 3, "b"), (7, 1, "c")]
+    assert [r[0] for r in rows(live.finalize(shown, turns, windows, True), "block_id")] == [1, 2, 3, 7]
+    names = spark.createDataFrame([(1, "a", "Ann")], "key long, label string, display_name string")
+    assert rows(live.rebind(shown, names), "block_id", "revision", "display_name", "matched_by", "match_score") == [(i, 2, "Ann", "user", None) for i in (1, 2, 4, 5)]
+
+
+def test_one_copy_of_a_phrase_goes(spark):
+    cases = {"a b a b a b c": "a b a b c", "x a b a b y": "x a b y", "a b c d e a b c d e": "a b c d e", "one two one two": "one two", "go on go": "go on go", "ab abab ab": "ab abab ab", "a bc a b c": "a bc a b c", "": ""}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", x.collapse_repeated_phrases(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in got} == cases
+
+
+def test_error_rate_words(spark):
+    cases = {"Ё-моё, 31 535 руб.": "е мое тридцать одна тысяча пятьсот тридцать пять руб", "1.234.567 эм 21": "один миллион двести тридцать четыре тысячи пятьсот шестьдесят семь двадцать один", "[неразб] 0 и 100": "<unk> ноль и сто", "5 12000": "пять двенадцать тысяч", "v2": "v два", "2000000 1002": "два миллиона одна тысяча два"}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", x.normalize_words(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in got} == cases
+
+
+def test_palette_keys(spark):
+    got = spark.createDataFrame([("",), ("a",), (" Foobar ",)], "t string").select("t", x.fnv1a_32(F.lower(F.trim("t"))).alias("h")).collect()
+    assert {r.t: r.h for r in got} == {"": 0x811C9DC5, "a": 0xE40C292C, " Foobar ": 0xBF9CF968}
+
+
+def test_rows_with_nulls_are_demoted_too(spark):
+    left = spark.createDataFrame([(1, None, 0, 10), (1, "x", 0, 10), (1, None, 50, 60)], "k long, v string, start_ms long, end_ms long")
+    right = spark.createDataFrame([(1, 5, 6)], "k long, r_start long, r_end long")
+    assert [tuple(r) for r in intervals.without_overlap(left, right, ["k"]).collect()] == [(1, None, 50, 60)]
 
 
 def test_stream_equals_its_batch_twin(spark, tmp_path):
