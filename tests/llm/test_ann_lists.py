@@ -27,11 +27,41 @@ def test_recall_above_the_sample_with_skewed_norms(spark, sigma):
     assert hits / 20 / len(asked) > 0.95
 
 
-def test_rows_of_lists_that_are_not_probed_are_no_hits(spark):
-    rng = np.random.default_rng(3)
-    x = rng.standard_normal((2000, 8))
+def _recall(x, got, asked):
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    hits = 0
+    for q, s in zip(asked, score, strict=True):
+        part = got[got.query_id == q]
+        assert len(part) == 20 and q not in set(part.vec_id)
+        hits += len(set(np.lexsort((np.arange(len(x)), -s))[:20]) & set(part.vec_id))
+    return hits / 20 / len(asked)
+
+
+@pytest.mark.parametrize("spread", [0.1, 3.0])
+def test_a_small_sample_supplies_no_rows(spark, monkeypatch, spread):
+    """With 300 sampled rows of 8000 nearly all neighbours lie outside the sample; units and lists are many."""
+    monkeypatch.setattr(ann, "SAMPLE", 300)
+    monkeypatch.setattr(ann, "BLOCK", 500)
+    monkeypatch.setattr(ann, "QUERIES", 40)
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal((40, 24))[rng.integers(0, 40, 8000)] * 4 + rng.standard_normal((8000, 24)) * spread).astype(float)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    one = ann.nearest(df, df.where("vec_id < 50"), probe=0.01).toPandas()  # a single list of eleven
-    want = np.argsort(-(x[:50] @ x.T), axis=1)
-    hits = sum(len(set([i for i in want[q] if i != q][:20]) & set(one[one.query_id == q].vec_id)) for q in range(50))
-    assert len(one) == 1000 and hits < 950
+    got = ann.nearest(df, df.where("vec_id % 80 = 0")).toPandas()
+    assert _recall(x, got, np.arange(0, 8000, 80)) > 0.95
+    exact = ann.nearest(df, df.where("vec_id % 800 = 0"), epsilon=None).toPandas()
+    assert _recall(x, exact, np.arange(0, 8000, 800)) == 1.0
+
+
+def test_no_query_comes_back_short_and_copies_count_once(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, epsilon=-3.0).toPandas()  # tests that reject nearly everything
+    assert (got.groupby("query_id").size() == 20).all() and got.groupby("query_id").vec_id.nunique().eq(20).all() and got.query_id.nunique() == 20
+
+
+def test_units_hold_every_list():
+    units = ann._units({0: 10, 1: ann.BLOCK - 5, 2: 3 * ann.BLOCK + 1, 4: 1, 5: 2})
+    assert units == {0: [0], 1: [1], 2: [2, 3, 4, 5], 4: [6], 5: [6]}
