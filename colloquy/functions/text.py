@@ -310,6 +310,16 @@ def word_errors(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions", "n_ref"]).astype("int32")
 
 
+@arrow("substitutions int, deletions int, insertions int, n_ref int")
+def fragment_errors(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    """As ``word_errors`` of a fragment inside a longer text; unheard words of the fragment match anything and do not count."""
+    rows = []
+    for r, h in zip(ref, hyp, strict=True):
+        a, b = (r or "").split(), (h or "").split()
+        rows.append((*edit_counts(a, b, True, WILD), sum(w != WILD for w in a)))
+    return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions", "n_ref"]).astype("int32")
+
+
 def confusion_vote(pivot: list[str], others: list[list[str]]) -> list[str]:
     """Each pivot word replaced by the majority of the words aligned with it; the pivot breaks ties, blanks drop out."""
     import difflib

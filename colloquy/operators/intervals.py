@@ -133,6 +133,13 @@ def union_spans(df: DataFrame, keys: list[str]) -> DataFrame:
     return merge_gaps(df.where("end_ms > start_ms"), keys, 1, ["start_ms", "end_ms"], "max").drop("n_merged")
 
 
+def crop(df: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
+    """The parts of spans inside the regions (keys, start_ms, end_ms) of their key, one row for each region met."""
+    r = union_spans(regions, keys).select(*keys, F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    inside = overlap_join(df, r, keys).withColumn("start_ms", F.greatest("start_ms", "r_start")).withColumn("end_ms", F.least("end_ms", "r_end"))
+    return inside.select(*df.columns)
+
+
 def subtract(left: DataFrame, cutters: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
     """What is left of each left span once the cutters (r_start, r_end) of its key are taken out; no empty pieces."""
     cuts = union_spans(cutters.select(*keys, F.col("r_start").alias("start_ms"), F.col("r_end").alias("end_ms")), keys)

@@ -68,3 +68,17 @@ def match_or_name(meetings: DataFrame, hits: DataFrame, tag_names: DataFrame, te
     found = meetings.join(hits.select("meeting_id").distinct().withColumn("hit", F.lit(True)), "meeting_id", "left").join(tag_names, "meeting_id", "left")
     by_tag = F.coalesce(F.exists("names", lambda x: F.contains(F.lower(x), F.lit(term))), F.lit(False))
     return found.where(F.coalesce("hit", F.lit(False)) | F.contains(F.lower("title"), F.lit(term)) | by_tag)
+
+
+def optional_filters(df: DataFrame, channel: str | None = None, window: tuple[int, int] | None = None) -> DataFrame:
+    """Rows of a channel and of a time window, where these are asked for; rows without times lie in no window."""
+    if channel is not None:
+        df = df.where(F.col("channel") == channel)
+    if window is not None:
+        df = df.where((F.col("start_ms") < window[1]) & (F.col("end_ms") > window[0]))
+    return df
+
+
+def in_order(ids: DataFrame, keys: list[str], array: str, table: DataFrame, key: str) -> DataFrame:
+    """Rows of ``table`` for each id of an array, in the array's order (column pos); unknown ids are dropped."""
+    return ids.select(*keys, F.posexplode(array).alias("pos", key)).join(table, key)

@@ -51,6 +51,14 @@ def split_rows(tokens: DataFrame, row: list[str], least: int = 2) -> DataFrame:
     return tokens.groupBy(*row).applyInPandas(run, schema)
 
 
+def expand_rows(blocks: DataFrame, row: str, sequence: str) -> DataFrame:
+    """Derived ids of split rows: block 0 keeps its row's own, block n is ``{id}_split{n}`` behind it in the sequence."""
+    first = F.col("block") == 0
+    ident = F.when(first, F.col(row)).otherwise(F.concat(F.col(row), F.lit("_split"), F.col("block").cast("string")))
+    place = F.when(first, F.col(sequence)).otherwise(F.col(sequence) + F.col("block") * 10_000 + 1000)
+    return blocks.withColumn(row, ident).withColumn(sequence, place)
+
+
 def greedy_matches(shared: DataFrame, keys: list[str], left: str, right: str, weight: str) -> DataFrame:
     """One-to-one pairs by falling weight (ties by ids); left labels without one come with a null."""
     types = dict(shared.dtypes)

@@ -6,7 +6,7 @@ Line parsers work on a frame of lines, so they are tested without files and run
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIDECAR = "uri string, index long, start double, end double, speaker string, stable boolean, display_name string, matched_by string, match_score double"
@@ -107,3 +107,34 @@ def preferred_files(names: DataFrame) -> DataFrame:
     n = names.select("name", F.regexp_extract("name", r"^(.*)_(\d+)\.(flac|mp4)$", 1).alias("stem"), F.regexp_extract("name", r"^(.*)_(\d+)\.(flac|mp4)$", 2).try_cast("int").alias("number"), F.regexp_extract("name", r"\.(flac|mp4)$", 1).alias("ext")).where("number is not null")
     best = n.groupBy("stem").agg(F.min("ext").alias("ext"))
     return n.join(best, ["stem", "ext"]).orderBy("stem", "number")
+
+
+def present_only(lines: DataFrame, durations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SPEAKER lines of recordings (uri, seconds) that are there, and a UEM line over the whole of each recording."""
+    f = F.split(F.trim("value"), r"\s+")
+    speaker = lines.where(F.try_element_at(f, F.lit(1)) == "SPEAKER").withColumn("uri", F.try_element_at(f, F.lit(2)))
+    return speaker.join(durations.select("uri"), "uri", "left_semi"), durations.select("uri", F.format_string("%s 1 0.0 %.3f", "uri", "seconds").alias("value"))
+
+
+#: Fixed value: how recordings of a meeting corpus are named (a session letter, where the series has sessions).
+MEETING_NAME = r"^(?:((?:es|en|st)\d{4}|ibi?\d{4})([a-f])|(ic\d{3}|is\d{4}))[._]"
+
+
+def meeting_name(file: Column) -> Column:
+    """The meeting of a corpus file, series in capitals, or null."""
+    part = lambda k: F.regexp_extract(F.lower(file), MEETING_NAME, k)
+    return F.nullif(F.concat(F.upper(part(1)), part(2), F.upper(part(3))), F.lit(""))
+
+
+def report_lines(scores: DataFrame, key: str, baseline: str) -> DataFrame:
+    """Rows of a Markdown table (pos, value): header, then a line for each row by key: rate, its parts, baseline, difference.
+
+    ``scores``: key, der, fa, miss, conf and the baseline, in percent; a missing baseline and its difference read n/a.
+    """
+    head = ["| Dataset | DER % | FA % | Miss % | Conf % | Baseline % | Difference |", "| --- | ---: | ---: | ---: | ---: | ---: | ---: |"]
+    lines = scores.sparkSession.createDataFrame([(k - len(head), h) for k, h in enumerate(head)], "pos long, value string")
+    base = F.when(F.col(baseline).isNull(), "n/a").otherwise(F.format_string("%.1f", F.col(baseline)))
+    delta = F.when(F.col(baseline).isNull(), "n/a").otherwise(F.format_string("%+.2f", F.col("der") - F.col(baseline)))
+    cells = [F.format_string("%.2f", c) for c in ("der", "fa", "miss", "conf")]
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col(key).cast("string"), *cells, base, delta), F.lit(" |"))
+    return lines.unionByName(scores.select(F.col(key).cast("long").alias("pos"), row.alias("value")))
