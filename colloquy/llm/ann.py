@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import below, cut, ship
 
 NEAREST, SAMPLE, BLOCK, QUERIES, CHUNK = 20, 20_000, 16_384, 4096, 1024
 FIRST, COLUMNS, EPSILON, SEED = 32, 16, 2.1, 7
@@ -207,11 +207,8 @@ def nearest(embeddings: DataFrame, queries: DataFrame | None = None, k: int = NE
         return spark.createDataFrame([], schema)
     d, n, largest = lengths[0].d, lengths[0].n, float(np.sqrt(lengths[0].m)) * (1 + 1e-12)
     rows, asked = rows.where(F.size("v") == d), asked.where(F.size("v") == d).dropDuplicates(["vec_id"])
-    # About twice the sample by a threshold on the hash, so that no task gathers more than that from all partitions.
-    share = min(1.0, 2 * SAMPLE / n + 1e-3)
     low = F.xxhash64("vec_id")
-    few = rows.where(low <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
-    sample = few.orderBy(low, "vec_id").limit(SAMPLE).select("vec_id", "v").toArrow()
+    sample = rows.where(below(low, SAMPLE, n)).orderBy(low, "vec_id").limit(SAMPLE).select("vec_id", "v").toArrow()
     sample_ids, first = np.unique(sample.column("vec_id").to_numpy(), return_index=True)
     x = np.asarray(sample.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, d)[first]
     lists = int(min(max(1, np.sqrt(n) / 4), max(1, len(x) // 20), 1024))

@@ -106,8 +106,15 @@ def text_turns(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.array(part).alias("content"))
 
 
-def _format(batches):
+def _parts(batches, rows: int = 256):
+    """Slices of so many rows, so that what is formatted at once stays small beside its batch."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _format(batches):
+    for batch in _parts(batches):
         done = [format_one(r, c) for r, c in zip(batch.column("role").to_pylist(), batch.column("content").to_pylist(), strict=True)]
         spans = pa.array([[{"start": a, "length": n} for a, n in d[1]] for d in done], pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))
         cols = [batch.column("conv_id"), batch.column("turn"), batch.column("role"), pa.array([d[0] for d in done], pa.string()), spans, pa.array([d[2] for d in done], pa.list_(pa.string())), pa.array([d[3] for d in done], pa.int64())]
@@ -137,7 +144,7 @@ def _back(batches):
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [x.split()[0] for x in BACK.split(", ")])
 
-    for batch in batches:
+    for batch in _parts(batches):
         out = []
         for conv, s, spans in zip(batch.column("conv_id").to_pylist(), batch.column("formatted").to_pylist(), batch.column("loss").to_pylist(), strict=True):
             if state is None or conv != now:

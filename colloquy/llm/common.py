@@ -10,7 +10,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -23,12 +24,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a new local folder; on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -45,6 +51,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def below(key: Column, most: int, n: int) -> Column:
+    """Whether a row's hash lies in the lowest part that holds about twice ``most`` of ``n`` rows.
+
+    A sample of the ``most`` lowest hashes is then taken from these alone, not from ``most`` rows of every partition.
+    """
+    share = 2 * most / max(n, 1) + 1e-3
+    return F.lit(True) if share >= 1 else key <= F.lit(int(-(2**63) + share * 2**64))
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame that ``cut`` returned, once nothing reads them any more."""
     spark = df.sparkSession

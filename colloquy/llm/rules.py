@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, slices
+from .common import below, cut, ship, slices
 
 SAMPLE, TREES, DEPTH, CUTS, STEP, PENALTY, ROUNDS = 20_000, 24, 3, 32, 0.3, 1e-3, 400
 STATISTICS = ("words", "mean_word", "upper", "digit", "symbol", "exclaim", "other_mark", "space", "high_byte", "line_words", "repeated_lines", "distinct_words", "top_word", "short_words", "period_words")
@@ -155,7 +155,8 @@ def classify(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """
     measured = cut(measure(documents))
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y")).where(~held_out(F.col("doc_id")))
-    train = known.join(measured, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
+    both, low = known.join(measured, "doc_id"), F.xxhash64("doc_id")
+    train = both.where(below(low, sample, both.count())).orderBy(low, "doc_id").limit(sample).toPandas()
     model = fit(train[list(STATISTICS)].to_numpy(dtype=np.float64), train["y"].to_numpy(dtype=np.float64))
     scored = measured.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
