@@ -6,8 +6,8 @@ overlaps count, and strings are judged on the input.
 1. Anchors. A window of LENGTH bytes picks the leftmost of its ``GRAM``-byte grams of least hash. Equal windows pick the
    same gram at the same place, so a window can only be repeated by windows of the same gram. A run of windows that
    pick the same gram is a segment (its windows' bytes together); an anchor comes about every LENGTH / 2 bytes.
-2. Equal segments of a gram are a class; in a class of two or more every window is repeated. Counting classes is a
-   pre-aggregated sum, whatever the size of a group of copies.
+2. Equal segments of a gram are a class; in a class of two or more every window is repeated. Classes are counted inside
+   each part of the documents before they are shuffled, whatever the size of a group of copies.
 3. Grams with several classes are contested: one exemplar of each class goes, with its bytes, to a shard. A shard is
    a number of grams, or a part of the classes of a gram that has many.
 4. In each shard a suffix array is built by Larsson-Sadakane refinement in numpy (ranks double their depth; only
@@ -190,19 +190,30 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.nonzero(step == 1)[0].tolist(), (np.nonzero(step == -1)[0] - 1).tolist(), strict=True))
 
 
+_ROWS = "gram long, cls long, spots array<struct<doc_id:long,mark:long,lo:int,hi:int>>"
+
+
 def _anchor_rows(length: int, gram: int):
+    """Classes of a part of the documents with the places of their segments: copies inside a part are one row."""
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1024, 4 << 20):
-                cols = [[] for _ in range(6)]
-                for doc, mark, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
+                row, cols = [], [[] for _ in range(4)]
+                for k, text in enumerate(part.column("text").to_pylist()):
                     found = anchors((text or "").encode("utf-8", "surrogatepass"), length, gram)
                     if found:
-                        cols[0] += [doc] * len(found)
-                        cols[1] += [mark] * len(found)
-                        for k, c in enumerate(zip(*found, strict=True)):
-                            cols[k + 2] += c
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.int32()] * 2, strict=True)], ["doc_id", "mark", "gram", "cls", "lo", "hi"])
+                        row += [k] * len(found)
+                        for k_, c in enumerate(zip(*found, strict=True)):
+                            cols[k_] += c
+                key, cls, lo, hi = (np.array(c, t) for c, t in zip(cols, (np.int64, np.int64, np.int32, np.int32), strict=True))
+                order = np.lexsort((cls, key))
+                key, cls = key[order], cls[order]
+                first = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]))[0] if len(key) else np.zeros(0, np.int64)
+                of = pa.array(np.array(row, np.int64)[order])
+                spots = pa.StructArray.from_arrays([part.column("doc_id").take(of), part.column("mark").take(of), pa.array(lo[order]), pa.array(hi[order])], ["doc_id", "mark", "lo", "hi"])
+                listed = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), spots)
+                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(cls[first]), listed], ["gram", "cls", "spots"])
                 give_back()
 
     return run
@@ -276,14 +287,13 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
 
     ``mark`` tells rows of one doc_id apart. Ranges may overlap and come in no order.
     """
-    rows = cut(documents.mapInArrow(_anchor_rows(length, gram), "doc_id long, mark long, gram long, cls long, lo int, hi int"))
-    spot = F.struct("doc_id", "mark", "lo", "hi")
-    classes = rows.groupBy("gram", "cls").agg(F.count("*").alias("n"), F.min(spot).alias("at"))
+    rows = cut(documents.mapInArrow(_anchor_rows(length, gram), _ROWS))
+    classes = rows.groupBy("gram", "cls").agg(F.sum(F.size("spots")).alias("n"), F.min(F.element_at("spots", 1)).alias("at"))
     grams = classes.groupBy("gram").agg(F.sum("n").alias("all"), F.count("*").alias("classes")).where("all > 1")
     grams = cut(grams.select("gram", "classes", F.ceil(F.col("classes") / SHARD).cast("int").alias("parts")))
     classes = cut(classes.join(grams, "gram").select("gram", "cls", "n", "at", "classes", "parts"))
     copies = cut(classes.where("n > 1").select("gram", "cls"))
-    whole = rows.join(copies, ["gram", "cls"]).select("doc_id", "mark", "lo", (F.col("hi") + length).alias("to"))
+    whole = rows.join(copies, ["gram", "cls"]).select(F.inline("spots")).select("doc_id", "mark", "lo", (F.col("hi") + length).alias("to"))
 
     contested = classes.where("classes > 1").select("at.doc_id", "at.mark", F.struct("gram", "cls", "n", "parts", "at.lo", "at.hi").alias("w"))
     wanted = contested.groupBy("doc_id", "mark").agg(F.collect_list("w").alias("wanted"))
