@@ -173,15 +173,23 @@ def test_removal_equals_brute_force(spark, odd_texts, monkeypatch, shard):
 
 def test_removal_of_nothing(spark, empty):
     assert suffix.remove_repeats(empty).count() == 0
-    names = ["_d", "_m", "_mark", "_spans", "mark", "spans", "row", "d", "m", "gram", "a.b", "_n_bytes"]
-    odd = spark.createDataFrame(rows, "doc_id long, text string")
-    for n in names:
-        odd = odd.withColumn(n, F.lit("own"))
-    clash = suffix.remove_repeats(odd, 100, 24).collect()
-    assert sorted((r.doc_id, r._n_removed, r["a.b"]) for r in clash if r.doc_id is not None) == sorted((r.doc_id, r._n_removed, "own") for r in done if r.doc_id is not None)
     assert suffix.remove_repeats(spark.createDataFrame([(1, "short"), (2, "short")], "doc_id long, text string")).agg(F.sum("_n_removed")).first()[0] == 0
 
 
+def test_removal_under_clashing_names(spark):
+    rng = random.Random(14)
+    passage = prose(rng, 60)
+    plain = [(i, prose(rng, 30) + passage * (i % 2) + prose(rng, 30)) for i in range(8)] + [(None, passage), (3, None)]
+    odd = spark.createDataFrame(plain, "doc_id long, text string")
+    for n in ("_d", "_m", "_mark", "_spans", "mark", "spans", "row", "d", "m", "gram", "cls", "spots", "a.b", "_n_bytes"):
+        odd = odd.withColumn(n, F.lit("own"))
+    got = suffix.remove_repeats(odd, 100, 24).collect()
+    want = suffix.brute_force([t for _, t in plain], 100)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r._n_bytes, r._n_removed, bytes(r._kept), r["a.b"]) for r in got), key=key) == sorted(((i, n, removed, kept, "own") for (i, _), (n, removed, _, kept) in zip(plain, want, strict=True)), key=key)
+    assert sum(r._n_removed for r in got) > 4 * len(passage)
+
+
 # -- mixing ------------------------------------------------------------------------------------------------------------
 
 
