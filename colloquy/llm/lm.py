@@ -1,20 +1,21 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, one of target documents and one of all documents, share one vocabulary (the ``VOCABULARY`` most
-frequent lower-cased words of the corpus, ties by word; all others are one unknown word), one order and one smoothing,
-so their losses are comparable word by word:
+Two bigram models, one of target documents and one of all documents, share one vocabulary (every lower-cased word of the
+corpus), one order and one smoothing, so their losses are comparable word by word:
 
     p(w | v) = (c(v, w) + PRIOR * p(w)) / (c(v) + PRIOR),   p(w) = (c(w) + 1) / (n + words in the vocabulary)
 
-c(v, w) is counted in ``BUCKETS`` hash buckets, which bounds what is gathered and sent to tasks (2 * BUCKETS counts);
-every word of every document is counted. A document's score is its mean loss under the background model minus that
-under the target model: positive means more like the target.
+Every word and every pair of words is counted by itself. A document's score is its mean loss under the background model
+minus that under the target model: positive means more like the target.
+
+Documents are held in blocks of bounded size, whatever the corpus. A block numbers its own words; words and then word
+pairs are dealt by hash into as many buckets as the corpus needs, packed as one row a (block, bucket), counted there
+over all blocks, and the counts go back to each block. A block names a pair once, however often it holds it, so no
+pair is hot.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,9 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, mix64, ship, slices
+from .common import cut, mix64, ship, slices
 
-VOCABULARY, BUCKETS, PRIOR = 32_768, 1 << 20, 20.0
+PRIOR = 20.0
+SCHEMA = "doc_id long, n_words long, background_loss double, target_loss double, score double"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -33,119 +35,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _count_words(batches):
-    for batch in batches:
-        for part in slices(batch, 4096, 8 << 20):
-            n = Counter()
-            for t in part.column("text").to_pylist():
-                n.update(words_of(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
-
-
-def _bucket(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return (mix64(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
-
-
-def _ids(text: str | None, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids (0: unknown) and those before them (the first word follows id len(known) + 1, the start)."""
-    get = known.get
-    ids = np.array([get(w, 0) for w in words_of(text)], dtype=np.int64)
-    return ids, np.concatenate([[len(known) + 1], ids[:-1]]) if len(ids) else ids
-
-
-def _counter(shared):
-    def run(batches):
-        known = shared.value
-        size = len(known) + 2
-        # rows: 0 bigram buckets, 1 words, 2 words as contexts; columns: all documents, target documents
-        totals = [np.zeros((2, n), dtype=np.int64) for n in (BUCKETS, size, size)]
-        for batch in batches:
-            for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                ids, before = _ids(text, known)
-                for total, at in zip(totals, (_bucket(before, ids), ids, before), strict=True):
-                    at, n = np.unique(at, return_counts=True)
-                    total[0, at] += n
-                    if target:
-                        total[1, at] += n
-        for kind, total in enumerate(totals):
-            at = np.nonzero(total[0])[0]
-            for a in range(0, len(at), 1 << 16):
-                k = at[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.int32)), pa.array(total[0, k]), pa.array(total[1, k])], ["kind", "place", "n", "target"])
-
-    return run
-
-
-class Model:
-    """Log probabilities of one side."""
-
-    def __init__(self, pairs: np.ndarray, words: np.ndarray, contexts: np.ndarray):
-        self.pairs, self.contexts = pairs, contexts
-        self.p = (words + 1.0) / (words.sum() + len(words))
-
-    def losses(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return -np.log((self.pairs[_bucket(before, ids)] + PRIOR * self.p[ids]) / (self.contexts[before] + PRIOR))
-
-
-SCHEMA = "doc_id long, n_words long, background_loss double, target_loss double, score double"
-
-
-def _scorer(shared_words, shared_models):
-    def run(batches):
-        known, (background, target) = shared_words.value, shared_models.value
-        for batch in batches:
-            for part in slices(batch, 4096, 8 << 20):
-                rows = []
-                for text in part.column("text").to_pylist():
-                    ids, before = _ids(text, known)
-                    if len(ids):
-                        b, t = background.losses(ids, before), target.losses(ids, before)
-                        rows.append((len(ids), float(b.mean()), float(t.mean()), float((b - t).mean())))
-                    else:
-                        rows.append((0, None, None, None))
-                kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_words", "background_loss", "target_loss", "score"])
-
-    return run
-
-
-def score(documents: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """doc_id, n_words, background_loss, target_loss (nats a word) and score of every row of documents.
-
-    ``target_ids`` (doc_id) names the target documents; its nulls and repeats do not count, and no target leaves the
-    target model with its prior alone. A text without words (null, empty) has null losses and score. Rows that repeat
-    an id count and are scored each. Other columns are ignored; an empty table gives no rows.
-    """
-    spark = documents.sparkSession
-    ship(spark)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = texts.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word").toArrow().column("word").to_pylist()
-    known = spark.sparkContext.broadcast({w: k + 1 for k, w in enumerate(top)})
-    marks = target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    # The marks grow with the corpus, so they are joined by shuffles at every size.
-    marked = texts.join(marks.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = cut(marked.mapInArrow(_counter(known), "kind int, place int, n long, target long").groupBy("kind", "place").agg(F.sum("n").alias("n"), F.sum("target").alias("target")))
-    table = counts.toArrow()  # at most BUCKETS + 2 * (VOCABULARY + 2) rows
-    drop_cut(counts)
-    kind, place = table.column("kind").to_numpy(), table.column("place").to_numpy()
-    models = []
-    for side in ("n", "target"):
-        full, value = [], table.column(side).to_numpy()
-        for k, size in enumerate((BUCKETS, len(top) + 2, len(top) + 2)):
-            full.append(np.zeros(size, dtype=np.float32 if k == 0 else np.float64))
-            full[-1][place[kind == k]] = value[kind == k]
-        models.append(Model(*full))
-    return texts.mapInArrow(_scorer(known, spark.sparkContext.broadcast(models)), SCHEMA)
-
-
-# -- the exact scorer ----------------------------------------------------------------------------------------------------
-#
-# Documents are held in blocks of bounded size, whatever the corpus. A block numbers its own words; words and then word
-# pairs are dealt by hash into as many buckets as the corpus needs, packed as one row a (block, bucket), counted there
-# over all blocks, and the counts go back to each block. A block names a pair once, however often it holds it, so no
-# pair is hot.
-
 BLOCK_BYTES, BLOCK_ROWS, BUCKET = 16 << 20, 1 << 16, 2_000_000
 #: Word ids begin at 1; 0 stands for the start of a text, _NONE for what is no word.
 _START, _NONE, _HALF = np.uint64(0), np.uint64(2**32 - 1), np.uint64(32)
@@ -327,7 +216,11 @@ def _score_block(buckets: int, vocabulary: int):
 
 
 def score_exact(documents: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """As ``score``, but with every word of the corpus in the vocabulary and every pair of words counted by itself.
+    """doc_id, n_words, background_loss, target_loss (nats a word) and score of every row of documents.
+
+    ``target_ids`` (doc_id) names the target documents; its nulls and repeats do not count, and no target leaves the
+    target model with its prior alone. A text without words (null, empty) has null losses and score. Rows that repeat
+    an id count and are scored each. Other columns are ignored; an empty table gives no rows.
 
     No size is fixed: blocks hold at most about ``BLOCK_BYTES`` of text, buckets about ``BUCKET`` words or pairs, and
     their numbers grow with the corpus.

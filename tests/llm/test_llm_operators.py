@@ -274,31 +274,12 @@ def test_chat_reads_back(spark):
 # -- language-model scoring --------------------------------------------------------------------------------------------
 
 
-def test_lm_scores_equal_brute_force(spark, docs, empty):
-    targets = spark.createDataFrame([(3,), (7,), (7,), (None,)], "doc_id long")
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    words = {}
-    for _, t in rows:
-        for w in lm.words_of(t):
-            words[w] = words.get(w, 0) + 1
-    known = {w: k + 1 for k, w in enumerate(sorted(words, key=lambda w: (-words[w], w))[: lm.VOCABULARY])}
-    sides = []
-    for chosen in (rows, [r for r in rows if r[0] in (3, 7)]):
-        counts = [np.zeros(lm.BUCKETS), np.zeros(len(known) + 2), np.zeros(len(known) + 2)]
-        for _, t in chosen:
-            ids, before = lm._ids(t, known)
-            for c, at in zip(counts, (lm._bucket(before, ids), ids, before), strict=True):
-                np.add.at(c, at, 1)
-        sides.append(lm.Model(*counts))
-    got = lm.score(docs, targets).collect()
-    for r, (i, t) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0)), sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)), strict=True):
-        ids, before = lm._ids(t, known)
-        if len(ids):
-            b, g = (m.losses(ids, before).mean() for m in sides)
-            assert abs(r.background_loss - b) < 1e-5 and abs(r.score - (b - g)) < 1e-5
-        else:
-            assert r.score is None and r.n_words == 0
-    assert lm.score(empty, targets).count() == 0
+def test_lm_scores_favour_the_target(spark, empty):
+    rows = [(i, ("the cat sat on the mat " if i < 20 else "buy cheap pills online now ") * 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("own"))
+    got = {r.doc_id: r.score for r in lm.score_exact(df, df.where("doc_id < 10").select("doc_id")).collect()}
+    assert min(got[i] for i in range(20)) > 0 > max(got[i] for i in range(20, 40))
+    assert lm.score_exact(empty, df.select("doc_id")).count() == 0
 
 
 # -- token files -------------------------------------------------------------------------------------------------------
