@@ -77,7 +77,7 @@ def without_overlap(left: DataFrame, right: DataFrame, keys: list[str], bucket_m
     return left.join(hit, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_hit_{c}")) for c in left.columns]), "left_anti")
 
 
-def merge_gaps(df: DataFrame, keys: list[str], gap_ms: int, order: list[str], end: str = "last") -> DataFrame:
+def merge_gaps(df: DataFrame, keys: list[str], gap_ms: int | Column, order: list[str], end: str = "last") -> DataFrame:
     """Spans merged while the next starts less than ``gap_ms`` after the previous one's end (strictly).
 
     ``end``: "last" gives the end of the last span, "max" the largest end, and compares with it.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
@@ -116,16 +114,20 @@ def report_rows(spark, d):
 register("report_rows", report_rows, oracle("select meeting_id, meeting_id % 3 = 0 as no_base, case when meeting_id % 3 <> 0 then round(value * 0.5, 6) end as base from mt where metric = 'mean_minutes'", "t_spans", ctes=_METRIC))
 
 
+_GAPS, _LEASTS = (60_000, 300_000, 600_000, 1_200_000), (0, 1_800_000, 3_600_000)
+
+
 def sweep_ranking(spark, d):
-    """A grid of gap thresholds; merged spans per setting, ranked, the best two re-evaluated on held-out meetings."""
-    s = views.spans(spark, d)
-    tries = [iv.merge_gaps(s, KEY, gap, ["start_ms", "event_id"]).withColumn("gap_ms", F.lit(gap)) for gap in (60_000, 300_000, 600_000)]
-    runs = reduce(lambda a, b: a.unionByName(b), tries).withColumn("held", F.col("meeting_id") % 4 == 0)
-    mean = runs.groupBy("gap_ms").agg(F.avg(F.when(~F.col("held"), F.col("n_merged"))).alias("dev"), F.avg(F.when(F.col("held"), F.col("n_merged"))).alias("test"))
-    return mean.orderBy(F.desc("dev"), "gap_ms").limit(2).select("gap_ms", F.round("dev", 6).alias("dev"), F.round("test", 6).alias("test"))
+    """A grid of gap thresholds and least lengths; merged spans per setting, ranked on most meetings, the best two with
+    their result on the held-out ones."""
+    s = views.spans(spark, d).withColumn("gap_ms", F.explode(F.array(*map(F.lit, _GAPS))))
+    runs = iv.merge_gaps(s, [*KEY, "gap_ms"], F.col("gap_ms"), ["start_ms", "event_id"]).withColumn("least_ms", F.explode(F.array(*map(F.lit, _LEASTS))))
+    runs = runs.where("end_ms - start_ms >= least_ms").withColumn("held", F.col("meeting_id") % 4 == 0)
+    mean = runs.groupBy("gap_ms", "least_ms").agg(F.avg(F.when(~F.col("held"), F.col("n_merged"))).alias("dev"), F.avg(F.when(F.col("held"), F.col("n_merged"))).alias("test"))
+    return mean.orderBy(F.desc("dev"), "gap_ms", "least_ms").limit(2).select("gap_ms", "least_ms", F.round("dev", 6).alias("dev"), F.round("test", 6).alias("test"))
 
 
-register("sweep_ranking", sweep_ranking, oracle("select gap_ms, round(avg(n) filter (meeting_id % 4 <> 0), 6) as dev, round(avg(n) filter (meeting_id % 4 = 0), 6) as test from (select gap_ms, meeting_id, i, count(*) as n from (select *, sum(f) over (partition by gap_ms, meeting_id order by start_ms, event_id) as i from (select *, case when lag(end_ms) over w is null or start_ms - lag(end_ms) over w >= gap_ms then 1 else 0 end as f from t_spans cross join (values (60000), (300000), (600000)) g(gap_ms) window w as (partition by gap_ms, meeting_id order by start_ms, event_id))) group by all) group by gap_ms order by dev desc, gap_ms limit 2", "t_spans"))
+register("sweep_ranking", sweep_ranking, oracle(f"select gap_ms, least_ms, round(avg(n) filter (meeting_id % 4 <> 0), 6) as dev, round(avg(n) filter (meeting_id % 4 = 0), 6) as test from (select gap_ms, meeting_id, i, count(*) as n, max_by(end_ms, (start_ms, event_id)) - min(start_ms) as len from (select *, sum(f) over (partition by gap_ms, meeting_id order by start_ms, event_id) as i from (select *, case when lag(end_ms) over w is null or start_ms - lag(end_ms) over w >= gap_ms then 1 else 0 end as f from t_spans cross join (select unnest({list(_GAPS)})) g(gap_ms) window w as (partition by gap_ms, meeting_id order by start_ms, event_id))) group by all) join (select unnest({list(_LEASTS)})) l(least_ms) on len >= least_ms group by gap_ms, least_ms order by dev desc, gap_ms, least_ms limit 2", "t_spans"))
 register("chunk_statistics", lambda spark, d: views.transcripts(spark, d).groupBy("meeting_id").agg(F.count("*").alias("n"), F.count_if(F.col("dur_ms") < 1500).alias("n_short"), F.expr("element_at(array_sort(collect_list(dur_ms)), int(count(*) div 2) + 1)").alias("upper_median"), F.avg(F.when(F.col("dur_ms") > 60000, F.col("dur_ms"))).alias("mean_long")), oracle("select meeting_id, count(*) as n, count(*) filter (dur_ms < 1500) as n_short, list_sort(list(dur_ms))[count(*) // 2 + 1] as upper_median, avg(dur_ms) filter (dur_ms > 60000) as mean_long from t_transcripts group by meeting_id", "t_transcripts"))
 register("batches_of_fifty", lambda spark, d: views.emissions(spark, d).withColumn("batch", F.expr("(idx - 1) div 50")).groupBy("meeting_id", "batch").agg(F.count("*").alias("n"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("sum_ms"), (F.max("start_ms") - F.min("start_ms")).alias("span_ms")).withColumn("per_hour", F.round(F.when(F.col("span_ms") > 0, F.col("n") * 3600000 / F.col("span_ms")).otherwise(0.0), 6)), oracle("select *, round(case when span_ms > 0 then n * 3600000 / span_ms else 0.0 end, 6) as per_hour from (select meeting_id, (idx - 1) // 50 as batch, count(*) as n, sum(end_ms - start_ms)::bigint as sum_ms, max(start_ms) - min(start_ms) as span_ms from t_emissions group by all)", "t_emissions"))
 register("gap_warning", lambda spark, d: views.transcripts(spark, d).groupBy("meeting_id").agg(F.max("end_ms").alias("e"), F.sum(F.when(F.col("speaker") != "system", F.col("dur_ms")).otherwise(0)).alias("kept"), F.count_if(F.col("speaker") == "system").alias("failures")).select("meeting_id", F.when((F.col("e") - F.col("kept") > 30000) & ((F.col("e") - F.col("kept")) * 20 > F.col("e")), "gap").when(F.col("failures") > 0, "failures").otherwise("none").alias("warning")), oracle("select meeting_id, case when e - kept > 30000 and (e - kept) * 20 > e then 'gap' when failures > 0 then 'failures' else 'none' end as warning from (select meeting_id, max(end_ms) as e, sum(case when speaker <> 'system' then dur_ms else 0 end) as kept, count(*) filter (speaker = 'system') as failures from t_transcripts group by meeting_id)", "t_transcripts"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Window
@@ -15,6 +16,7 @@ from ..operators import vectors as v
 from ..session import table
 from ..sources import files, views
 from ..sources.views import oracle
+from ..streaming import runner
 from .evaluation import _DER
 from .registry import register
 
@@ -184,6 +186,17 @@ def corpus_names(spark, d):
 register("corpus_names", corpus_names, r"select p_partkey, f as file, nullif(upper(regexp_extract(lower(f), p, 1)) || regexp_extract(lower(f), p, 2) || upper(regexp_extract(lower(f), p, 3)), '') as meeting from (select p_partkey, '^(?:((?:es|en|st)\d{4}|ibi?\d{4})([a-f])|(ic\d{3}|is\d{4}))[._]' as p, (['es', 'IS', 'ib', 'ibi', 'EN', 'ic', 'st', 'zz'])[p_partkey % 8 + 1] || lpad((p_partkey % 10000)::varchar, 4, '0') || (['a', '', 'c', 'x'])[p_size % 4 + 1] || case p_size % 5 when 0 then '.wav' when 1 then '_mix.wav' else '.Mix-Headset.wav' end as f from part)")
 
 
+def script_file(spark, d):
+    """Turns written as a CSV script and read back: a text column is needed, blank texts are dropped."""
+    folder = f"{runner.shared_folder(spark)}/script-{uuid.uuid4().hex}"
+    t = views.transcripts(spark, d).select("meeting_id", "seq", F.when(F.col("seq") % 4 == 3, F.lit("  ")).otherwise(F.col("text")).alias("text"))
+    t.write.option("header", True).option("escape", '"').csv(folder)
+    return files.read_script(spark, folder).select(F.col("meeting_id").cast("long").alias("meeting_id"), F.col("seq").cast("long").alias("seq"), F.sha2("text", 256).alias("text_sha256"))
+
+
+register("script_file", script_file, oracle("select meeting_id, seq::bigint as seq, sha256(text) as text_sha256 from t_transcripts where seq % 4 <> 3 and trim(text) <> ''", "t_transcripts"))
+
+
 def report_lines(spark, d):
     """A Markdown table of the error rates by meeting, with the baselines that are known."""
     c = m.error_components(views.reference(spark, d), views.spans(spark, d), KEY)

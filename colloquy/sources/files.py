@@ -82,7 +82,7 @@ def explode_speakers(rows: DataFrame) -> DataFrame:
 
 def read_script(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a CSV with a header and a text column; blank texts go."""
-    df = spark.read.option("header", True).option("multiLine", True).csv(path)
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(path)
     if "text" not in df.columns:
         raise ValueError(f"{path} has no text column")
     return df.where(F.trim("text") != "")
