@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import below, cut, ship
 
 NEAREST, SAMPLE, BLOCK, QUERIES, CHUNK = 20, 20_000, 16_384, 4096, 1024
-FIRST, COLUMNS, EPSILON, SEED = 32, 16, 2.1, 7
+FIRST, COLUMNS, EPSILON, SEED = 16, 8, 1.5, 7
 
 
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
