@@ -50,9 +50,12 @@ def greedy_labels(spark, d):
     return sq.greedy_matches(shared, ["meeting_id"], "label", "live", "w")
 
 
-register("greedy_labels", greedy_labels)
+# Each step takes the largest weight whose labels are both free.
+_GREEDY = """w as (select r.meeting_id, r.label, h.label as live, sum(least(r.end_ms, h.end_ms) - greatest(r.start_ms, h.start_ms)) as w from t_reference r join t_spans h on h.meeting_id = r.meeting_id and h.start_ms < r.end_ms and r.start_ms < h.end_ms group by all),
+g as (select distinct meeting_id, []::varchar[] as ls, []::varchar[] as rs, null::varchar as label, null::varchar as live from w union all select g.meeting_id, list_append(ls, w.label), list_append(rs, w.live), w.label, w.live from g join w on w.meeting_id = g.meeting_id and not list_contains(ls, w.label) and not list_contains(rs, w.live) qualify row_number() over (partition by g.meeting_id order by w desc, w.label, w.live) = 1)"""
+register("greedy_labels", greedy_labels, oracle("select meeting_id, label, g.live from (select distinct meeting_id, label from w) left join g using (meeting_id, label)", "t_spans", "t_reference", ctes=_GREEDY).replace("with t_spans", "with recursive t_spans", 1))
 register("cluster_vectors", lambda spark, d: sq.cluster_vectors(views.prototypes(spark, d), ["meeting_id", "channel"], "id", "embedding", 0.25).select("meeting_id", "channel", "id", "cluster"))
-register("pack_spans", lambda spark, d: sq.pack_spans(views.transcripts(spark, d).select("meeting_id", "seq", "start_ms", "end_ms"), ["meeting_id"], ["seq"], 250_000, 300))
+register("pack_spans", lambda spark, d: sq.pack_spans(views.transcripts(spark, d).select("meeting_id", "seq", "start_ms", "end_ms"), ["meeting_id"], ["seq"], 250_000, 300), oracle("select meeting_id, seq, start_ms, end_ms, pack from p", "t_transcripts", ctes="n as (select meeting_id, seq, start_ms, end_ms, end_ms - start_ms as len, row_number() over (partition by meeting_id order by seq) as i from t_transcripts), p as (select *, 0 as pack, len as used from n where i = 1 union all select n.*, case when used + 300 + n.len > 250000 then pack + 1 else pack end, case when used + 300 + n.len > 250000 then n.len else used + 300 + n.len end from p join n on n.meeting_id = p.meeting_id and n.i = p.i + 1)").replace("with t_transcripts", "with recursive t_transcripts", 1))
 
 
 register("quiet_cuts", lambda spark, d: views.prototypes(spark, d).select("id", sq.quiet_cut_places(24, 4, 1)("embedding").alias("cuts")).select("id", F.array_join(F.transform("cuts", lambda c: c.cast("string")), ",").alias("cuts")))

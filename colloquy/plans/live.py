@@ -43,9 +43,21 @@ def _tagged(s):
     return s.select(F.col("meeting_id").alias("key"), F.col("event_id").alias("arrival"), F.when(turn, "turn").otherwise("block").alias("kind"), F.col("event_id").alias("id"), "start_ms", "end_ms", "label")
 
 
-register("stream_live_labels", lambda spark, d: runner.run_now(live.live_labels(_tagged(_span_stream(spark, d)))))
-register("batch_live_labels", lambda spark, d: live.live_labels_batch(_tagged(views.spans(spark, d))))
-register("latest_revision", lambda spark, d: live.live_labels_batch(_tagged(views.spans(spark, d))).groupBy("key", "block_id").agg(F.max_by("label", F.struct("revision", "final")).alias("label"), F.max("revision").alias("revision"), F.bool_or("final").alias("final")))
+# A block looks at the turns that came before it at once, then at each that comes until a turn starts behind it.
+_REVISIONS = """t as (select meeting_id as key, event_id as arrival, start_ms, end_ms, label, lag(start_ms) over w as ls, lag(end_ms) over w as le from t_spans where label in ('view', 'purchase') window w as (partition by meeting_id order by event_id)),
+odd as (select key, min(arrival) as odd_at from t where start_ms < ls or end_ms < le group by key),
+b as (select meeting_id as key, event_id as a, start_ms as s, end_ms as e from t_spans where label not in ('view', 'purchase')),
+d1 as (select b.a, max(t.start_ms) as high from b join t on t.key = b.key and t.arrival < b.a group by b.a), d2 as (select b.a, min(t.arrival) as nxt from b join t on t.key = b.key and t.arrival > b.a and t.start_ms >= b.e group by b.a),
+dc as (select b.*, case when high >= e then b.a else nxt end as d from b left join d1 using (a) left join d2 using (a)),
+c as (select dc.*, t.arrival, t.label, least(t.end_ms, e) - greatest(t.start_ms, s) as o, greatest(t.arrival, a) as r from dc join t on t.key = dc.key and t.start_ms < e and s < t.end_ms and (d is null or t.arrival <= d)),
+c1 as (select *, max(o) over (partition by a order by arrival rows between unbounded preceding and 1 preceding) as before from c),
+c2 as (select * from c1 where before is null or o > before qualify row_number() over (partition by a, r order by arrival desc) = 1),
+c3 as (select *, label is distinct from lag(label) over (partition by a order by r) as new from c2), c4 as (select *, sum(new::int) over (partition by a order by r) as rev from c3),
+em as (select key, a as block_id, rev, label, coalesce(r = d, false) as final, r as sent_at from c4 where new union all select key, a, max_by(rev, r), max_by(label, r), true, d from c4 where d is not null group by key, a, d having not bool_or(new and r = d)),
+rv as (select key, block_id, rev::int as revision, label, final, coalesce(odd_at <= sent_at, false) as out_of_order from em left join odd using (key))"""
+register("stream_live_labels", lambda spark, d: runner.run_now(live.live_labels(_tagged(_span_stream(spark, d)))), oracle("select * from rv", "t_spans", ctes=_REVISIONS))
+register("batch_live_labels", lambda spark, d: live.live_labels_batch(_tagged(views.spans(spark, d))), oracle("select * from rv", "t_spans", ctes=_REVISIONS))
+register("latest_revision", lambda spark, d: live.live_labels_batch(_tagged(views.spans(spark, d))).groupBy("key", "block_id").agg(F.max_by("label", F.struct("revision", "final")).alias("label"), F.max("revision").alias("revision"), F.bool_or("final").alias("final")), oracle("select key, block_id, max_by(label, (revision, final)) as label, max(revision) as revision, bool_or(final) as final from rv group by all", "t_spans", ctes=_REVISIONS))
 
 
 def _shown(spark, d):

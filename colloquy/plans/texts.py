@@ -50,7 +50,7 @@ for _ in range(2):  # neighbouring groups share their boundary, so every second
 _SAID = rf"list_transform(regexp_split_to_array(replace(regexp_replace(replace({_JOINED}, chr(1), ''), '(\d+)', ' \1 ', 'g'), '-', ' '), '[^\pL\pN_<>]+'), lambda y: case when regexp_matches(y, '^[0-9]+$') then {_NUMBER} else y end)"
 register("normalize_words", lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2(x.normalize_words(F.col("text")), 256).alias("words_sha256")), f"select doc_id, sha256(array_to_string(list_filter({_SAID}, lambda y: y <> '' and y not in {x.FILLERS}), ' ')) as words_sha256 from documents")
 register("speech_loops", lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", x.has_loop(F.col("text")).alias("loops")))
-register("fingerprint", lambda spark, d: table(spark, d, "documents").select("doc_id", F.concat(F.lower(F.hex(x.fnv1a_64("text"))), F.lit(":"), F.octet_length("text").cast("string")).alias("fingerprint")))
+register("fingerprint", lambda spark, d: table(spark, d, "documents").select("doc_id", F.concat(F.lower(F.hex(x.fnv1a_64("text"))), F.lit(":"), F.octet_length("text").cast("string")).alias("fingerprint")), "select doc_id, lower(hex(list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda y: ('0x' || y)::int::hugeint)), lambda h, y: (xor(h, y) * 1099511628211::hugeint) % 18446744073709551616::hugeint)::ubigint)) || ':' || strlen(text) as fingerprint from documents")
 register("clock_labels", lambda spark, d: views.transcripts(spark, d).select("meeting_id", "seq", x.clock(F.when(F.col("seq") > 1, F.col("start_ms"))).alias("label")), oracle("select meeting_id, seq, case when seq > 1 then printf('[%02d:%02d]', start_ms // 60000, start_ms // 1000 % 60) else '[--:--]' end as label from t_transcripts", "t_transcripts"))
 register("term_hits", lambda spark, d: table(spark, d, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit("th[aeiou]")).alias("n_hits"), F.round(F.coalesce(F.size(F.filter(x.words(F.col("text")), lambda w: w.rlike("^[A-Za-z]+[.,]?$"))) / F.nullif(F.size(x.words(F.col("text"))), F.lit(0)), F.lit(0.0)), 9).alias("latin_share")), f"select doc_id, len(regexp_extract_all(lower(text), 'th[aeiou]'))::int as n_hits, round(coalesce(len(list_filter(w, lambda y: regexp_matches(y, '^[A-Za-z]+[.,]?$'))) / nullif(len(w), 0), 0.0), 9) as latin_share from (select *, {_TW} as w from documents)")
 register("ordered_labels", lambda spark, d: views.transcripts(spark, d).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("seq", "speaker"))).alias("s")).select("meeting_id", F.array_join(x.ordered_unique(F.transform("s", lambda y: y["speaker"]), 2), ",").alias("speakers")), oracle("select meeting_id, string_agg(speaker, ',' order by s) as speakers from (select * from (select meeting_id, speaker, min(seq) as s from t_transcripts where trim(speaker) <> '' group by all) qualify row_number() over (partition by meeting_id order by s) <= 2) group by meeting_id", "t_transcripts"))

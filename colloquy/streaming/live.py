@@ -148,14 +148,21 @@ def live_labels(rows: DataFrame) -> DataFrame:
 
 
 def live_labels_batch(rows: DataFrame) -> DataFrame:
-    """The batch twin of ``live_labels``: the same function over all rows of a key in arrival order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("arrival")
-        _, out = reconcile(None, list(zip(pdf["kind"], pdf["id"].tolist(), pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["label"], strict=True)))
-        return pd.DataFrame([(pdf["key"].iloc[0], *r) for r in out], columns=_NAMES)
-
-    return rows.groupBy("key").applyInPandas(run, OUT)
+    """The batch twin of ``live_labels``: the same function over the rows of a key in arrival order, as they stream by."""
+    columns = ["kind", "id", "start_ms", "end_ms", "label"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for pdf in batches:
+            out = []
+            for key, part in pdf.groupby("key", sort=False):
+                if key != now:
+                    now, state = key, None
+                state, sent = reconcile(state, list(zip(*(part[c].tolist() for c in columns), strict=True)))
+                out += [(key, *r) for r in sent]
+            yield pd.DataFrame(out, columns=_NAMES)
+
+    return rows.repartition("key").sortWithinPartitions("key", "arrival").mapInPandas(run, OUT)
 
 
 # -- the end of a recording, and renames: joins over a snapshot ---------------------------------------------------------
