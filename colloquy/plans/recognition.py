@@ -19,6 +19,7 @@ from ..sources.views import oracle
 from ..streaming import runner
 from .evaluation import _DER
 from .registry import register
+from .texts import CHUNKS_SQL
 
 KEY = ["meeting_id"]
 
@@ -217,7 +218,7 @@ def combined_summaries(spark, d, summarise=lambda chunk: F.substring(chunk, 1, 6
     return parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("p")).select("doc_id", F.array_join(F.transform("p", lambda y: y["s"]), "\n---\n").alias("combined"))
 
 
-register("combined_summaries", combined_summaries)
+register("combined_summaries", combined_summaries, CHUNKS_SQL + "select doc_id, string_agg(s, chr(10) || '---' || chr(10) order by k) as combined from (select doc_id, k, trim(substring(text, a + 1, least(60, e - a))) as s from ch) where s <> '' group by doc_id")
 
 
 def fragment_errors(spark, d):

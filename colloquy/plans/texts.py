@@ -29,7 +29,19 @@ def clean_chain(spark, d):
 
 register("clean_chain", clean_chain)
 register("drop_invented", lambda spark, d: table(spark, d, "documents").select("doc_id", x.drop_invented("text").alias("r")).select("doc_id", "r.kept", "r.n_removed"))
-register("overlap_text_chunks", lambda spark, d: table(spark, d, "documents").select("doc_id", F.posexplode(x.overlap_chunks(1400, 140)("text")).alias("k", "c")).select("doc_id", "k", "c.from_char", "c.to_char", F.sha2("c.chunk", 256).alias("chunk_sha256")))
+
+
+def _end_sql(at: str) -> str:
+    """Where a chunk of 1400 characters from ``at`` ends: behind the last full stop and space, else space, beyond the overlap."""
+    sub = f"substring(text, {at} + 1, 1400)"
+    behind = lambda mark: f"1401 - nullif(instr(reverse({sub}), '{mark}'), 0)"
+    return f"case when {at} + 1400 >= n then n when {behind(' .')} > 140 then {at} + {behind(' .')} when {behind(' ')} > 140 then {at} + {behind(' ')} else {at} + 1400 end"
+
+
+CHUNKS_SQL = f"""with recursive ch as (select doc_id, text, n, 0 as k, 0::bigint as a, {_end_sql('0')} as e from (select doc_id, text, length(text) as n from documents where text <> '')
+union all select doc_id, text, n, k + 1, b, {_end_sql('b')} from (select *, greatest(e - 140, a + 1) as b from ch where e < n))
+"""
+register("overlap_text_chunks", lambda spark, d: table(spark, d, "documents").select("doc_id", F.posexplode(x.overlap_chunks(1400, 140)("text")).alias("k", "c")).select("doc_id", "k", "c.from_char", "c.to_char", F.sha2("c.chunk", 256).alias("chunk_sha256")), CHUNKS_SQL + "select doc_id, k, a::int as from_char, e::int as to_char, sha256(substring(text, a + 1, e - a)) as chunk_sha256 from ch")
 register("strip_reasoning", lambda spark, d: table(spark, d, "pages").select("page_id", F.sha2(x.strip_reasoning(F.concat(F.lit("<think>a\nb</think>"), F.regexp_replace("url", "/", "\n"))), 256).alias("clean_sha256")), "select page_id, sha256(trim(regexp_replace(regexp_replace('<think>a' || chr(10) || 'b</think>' || replace(url, '/', chr(10)), '(?is)<think(?:ing)?>.*?</think(?:ing)?>', '', 'g'), '(?m)^```[a-z]*\\s*$', '', 'g'))) as clean_sha256 from pages")
 register("title_script", lambda spark, d: table(spark, d, "documents").select("doc_id", x.title_script(F.col("text")).alias("script")), "select doc_id, case when regexp_matches(text, '[\\x{0400}-\\x{04FF}]') then 'ru' when regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]') then 'zh' else 'en' end as script from documents")
 _HUNDREDS, _TENS, _ONES = ([*w] for w in (x.HUNDREDS, x.TENS, x.ONES))
