@@ -5,9 +5,11 @@ A group is one turn's tokens, one meeting's labels or one meeting and channel of
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,20 +37,22 @@ def token_blocks(tokens: list[tuple[str, int, int, str | None]], least: int = 2)
 
 def split_rows(tokens: DataFrame, row: list[str], least: int = 2) -> DataFrame:
     """Rows (row keys, pos, text, start_ms, end_ms, speaker) of tokens to rows of blocks: block 0 is the row itself,
-    block n is its n-th split."""
-    types = dict(tokens.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in row) + ", block int, speaker string, start_ms long, end_ms long, text string"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        who = [None if w is None or w != w else w for w in pdf["speaker"]]
-        found = token_blocks(list(zip(pdf["text"], pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), who, strict=True)), least)
-        out = pd.DataFrame([(i, b["speaker"], b["start"], b["end"], b["text"]) for i, b in enumerate(found)], columns=["block", "speaker", "start_ms", "end_ms", "text"])
-        for c in reversed(row):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
-
-    return tokens.groupBy(*row).applyInPandas(run, schema)
+    block n is its n-th split.
+
+    As ``token_blocks``, by windows: the speaker in force is that of the last place where ``least`` tokens in a row, or
+    the first token with a speaker at all, named one; a block begins where it changes.
+    """
+    w = Window.partitionBy(*row).orderBy("pos")
+    so_far = F.count("speaker").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    sure = reduce(lambda a, k: a & F.coalesce(F.lead("speaker", k).over(w) == F.col("speaker"), F.lit(False)), range(1, least), F.col("speaker").isNotNull())
+    t = tokens.withColumn("_named", F.when(sure | (F.col("speaker").isNotNull() & (so_far == 1)), F.col("speaker")))
+    before = F.last("_named", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("_new", (F.col("_named").isNotNull() & ~F.col("_named").eqNullSafe(before)).cast("int"))
+    t = t.withColumn("block", (F.sum("_new").over(w) - 1).cast("int")).where("block >= 0")
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
+    blocks = t.groupBy(*row, "block").agg(F.min_by("speaker", "pos").alias("speaker"), F.min_by("start_ms", "pos").alias("start_ms"), F.max("end_ms").alias("_end"), words.alias("text"))
+    follows = F.lead("start_ms").over(Window.partitionBy(*row).orderBy("block"))
+    return blocks.withColumn("end_ms", F.coalesce(follows, "_end")).select(*row, "block", "speaker", "start_ms", "end_ms", "text")
 
 
 def expand_rows(blocks: DataFrame, row: str, sequence: str) -> DataFrame:

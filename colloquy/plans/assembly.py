@@ -30,7 +30,28 @@ def token_split(spark, d):
     return sq.split_rows(_tokens_with_speakers(spark, d), ["meeting_id", "seq"]).select("meeting_id", "seq", "block", "speaker", "start_ms", "end_ms", F.sha2("text", 256).alias("text_sha256"))
 
 
-register("token_split", token_split)
+_SAID = "sp as (select meeting_id, start_ms + 1300 as r_start, end_ms + 1300 as r_end, speaker as r_label, seq as r_id from t_transcripts where seq % 3 <> 2)"
+
+
+def _attribute_sql(name: str, rows: str, ident: str, most: int) -> str:
+    """{name}: rows with the label of the span they overlap most, else of their meeting's only one, else of the nearest."""
+    return f"""{name}_p as (select {ident}, r_label, r_start, r_id, least(end_ms, r_end) - greatest(start_ms, r_start) as ov, greatest(start_ms - r_end, r_start - end_ms, 0) as gap from {rows} join sp using (meeting_id)),
+{name}_h as (select {ident}, r_label as hit from {name}_p where ov > 0 qualify row_number() over (partition by {ident} order by ov desc, r_start, r_id) = 1),
+{name}_o as (select meeting_id, min(r_label) as lone from sp group by meeting_id having min(r_label) = max(r_label)),
+{name}_g as (select {ident}, r_label as near from {name}_p where gap <= {most} qualify row_number() over (partition by {ident} order by gap, r_start, r_id) = 1),
+{name} as (select r.*, coalesce(hit, lone, near) as assigned, case when hit is not null then 'overlap' when lone is not null then 'only' when near is not null then 'nearest' end as how from {rows} r left join {name}_h using ({ident}) left join {name}_o using (meeting_id) left join {name}_g using ({ident}))"""
+
+
+_SPLIT = _SAID + r""",
+tk as (select meeting_id, seq, pos, w[pos + 1] as text, start_ms + (end_ms - start_ms) * pos // len(w) as start_ms, start_ms + (end_ms - start_ms) * (pos + 1) // len(w) as end_ms, meeting_id * 1000000000 + seq * 1000000 + pos as tid from (select *, unnest(range(len(w)))::bigint as pos from (select *, regexp_extract_all(text, '[^ \t\r\n\f\x0B]+') as w from t_transcripts))),
+""" + _attribute_sql("ta", "tk", "tid", 1500) + """,
+t1 as (select *, count(assigned) over (w rows between unbounded preceding and current row) as so_far, lead(assigned) over w as nxt from ta window w as (partition by meeting_id, seq order by pos)),
+t2 as (select *, case when assigned is not null and (so_far = 1 or nxt = assigned) then assigned end as named from t1),
+t3 as (select *, named is not null and named is distinct from last_value(named ignore nulls) over (partition by meeting_id, seq order by pos rows between unbounded preceding and 1 preceding) as new from t2),
+t4 as (select *, sum(new::int) over (partition by meeting_id, seq order by pos) - 1 as block from t3),
+bk as (select meeting_id, seq, block::int as block, min_by(assigned, pos) as speaker, min(start_ms) as start_ms, max(end_ms) as last_ms, string_agg(text, ' ' order by pos) as text from t4 where block >= 0 group by meeting_id, seq, block),
+b2 as (select *, coalesce(lead(start_ms) over (partition by meeting_id, seq order by block), last_ms) as end_ms from bk)"""
+register("token_split", token_split, oracle("select meeting_id, seq, block, speaker, start_ms, end_ms, sha256(text) as text_sha256 from b2", "t_transcripts", ctes=_SPLIT))
 
 
 def split_expansion(spark, d):
@@ -41,7 +62,8 @@ def split_expansion(spark, d):
     return iv.attribute(rows, _said_spans(t), ["meeting_id"], ["id"], ["r_start", "r_id"], "r_label", 30_000).select("id", "seq", "assigned", "how")
 
 
-register("split_expansion", split_expansion)
+_EXPANDED = _SPLIT + ", ex as (select meeting_id, start_ms, end_ms, meeting_id || '/' || seq || case when block > 0 then '_split' || block else '' end as id, seq + case when block > 0 then block * 10000 + 1000 else 0 end as place from b2),\n" + _attribute_sql("ea", "ex", "id", 30_000)
+register("split_expansion", split_expansion, oracle("select id, place as seq, assigned, how from ea", "t_transcripts", ctes=_EXPANDED))
 
 
 def greedy_labels(spark, d):

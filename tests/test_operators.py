@@ -295,6 +295,17 @@ def test_finalize_and_rebind(spark):
     assert rows(live.rebind(shown, names), "block_id", "revision", "display_name", "matched_by", "match_score") == [(i, 2, "Ann", "user", None) for i in (1, 2, 4, 5)]
 
 
+def test_split_rows_equal_the_scan(spark):
+    rng = random.Random(12)
+    data, want = [], []
+    for r in range(60):
+        tokens = [(f"w{k}", 10 * k, 10 * k + rng.randint(1, 25), rng.choice(["a", "a", "b", None]) if rng.random() < 0.8 else "c") for k in range(rng.randint(1, 25))]
+        data += [(r, k, *t) for k, t in enumerate(tokens)]
+        want += [(r, n, b["speaker"], b["start"], b["end"], b["text"]) for n, b in enumerate(sequences.token_blocks(tokens))]
+    df = spark.createDataFrame(data, "row long, pos long, text string, start_ms long, end_ms long, speaker string")
+    assert rows(sequences.split_rows(df, ["row"]), "row", "block", "speaker", "start_ms", "end_ms", "text") == sorted(want)
+
+
 def test_one_copy_of_a_phrase_goes(spark):
     cases = {"a b a b a b c": "a b a b c", "x a b a b y": "x a b y", "a b c d e a b c d e": "a b c d e", "one two one two": "one two", "go on go": "go on go", "ab abab ab": "ab abab ab", "a bc a b c": "a bc a b c", "": ""}
     got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", x.collapse_repeated_phrases(F.col("t")).alias("c")).collect()
