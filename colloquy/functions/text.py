@@ -160,6 +160,17 @@ def clock(ms: Column) -> Column:
     return F.when(ms.isNull(), F.lit("[--:--]")).otherwise(F.format_string("[%02d:%02d]", F.floor(s / 60), s % 60))
 
 
+def wall_clock(seconds: Column) -> Column:
+    """HH:MM:SS of the day of an epoch time."""
+    part = lambda unit, most: F.pmod(F.floor(seconds / unit), F.lit(most))
+    return F.format_string("%02d:%02d:%02d", part(3600, 24), part(60, 60), part(1, 60))
+
+
+def minute_stamp(written: Column) -> Column:
+    """yyyy-MM-dd HH:mm of a written time, or -- where it is none."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(written), "yyyy-MM-dd HH:mm"), F.lit("--"))
+
+
 def ordered_unique(items: Column, most: int) -> Column:
     """Trimmed items, blanks dropped, first occurrences, at most so many."""
     return F.slice(F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")), 1, most)

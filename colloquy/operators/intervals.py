@@ -77,17 +77,18 @@ def without_overlap(left: DataFrame, right: DataFrame, keys: list[str], bucket_m
     return left.join(hit, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_hit_{c}")) for c in left.columns]), "left_anti")
 
 
-def merge_gaps(df: DataFrame, keys: list[str], gap_ms: int | Column, order: list[str], end: str = "last") -> DataFrame:
+def merge_gaps(df: DataFrame, keys: list[str], gap_ms: int | Column, order: list[str], end: str = "last", lowest: tuple[str, ...] = ()) -> DataFrame:
     """Spans merged while the next starts less than ``gap_ms`` after the previous one's end (strictly).
 
-    ``end``: "last" gives the end of the last span, "max" the largest end, and compares with it.
+    ``end``: "last" gives the end of the last span, "max" the largest end, and compares with it. Of the columns in
+    ``lowest`` (a confidence) a merged span has the smallest value.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     reach = F.lag("end_ms").over(w) if end == "last" else F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col("start_ms") - reach >= gap_ms), 1).otherwise(0)
     islands = df.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     last = F.max_by("end_ms", F.struct(*order)) if end == "last" else F.max("end_ms")
-    return islands.groupBy(*keys, "_island").agg(F.min("start_ms").alias("start_ms"), last.alias("end_ms"), F.count("*").alias("n_merged")).drop("_island")
+    return islands.groupBy(*keys, "_island").agg(F.min("start_ms").alias("start_ms"), last.alias("end_ms"), F.count("*").alias("n_merged"), *(F.min(c).alias(c) for c in lowest)).drop("_island")
 
 
 def bridge_same_label(df: DataFrame, keys: list[str], window_ms: int, order: list[str]) -> DataFrame:

@@ -15,6 +15,12 @@ def display_name(override: Column, user_bound: Column, auto: Column, cluster: Co
     return name, source
 
 
+def display_score(overridden: Column, user_bound: Column, row_matched: Column, row_score: Column, cluster_score: Column) -> Column:
+    """The score of the level that gives the shown name: the row's own where its match shows, else the cluster's."""
+    own = ~overridden & ~F.coalesce(user_bound, F.lit(False)) & row_matched
+    return F.when(own, row_score).otherwise(cluster_score)
+
+
 def page(df: DataFrame, order: list, offset: int, size: int) -> DataFrame:
     """One page with the total and whether more follows; the total rides along as a one-row join."""
     total = df.agg(F.count("*").alias("total"))

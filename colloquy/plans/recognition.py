@@ -230,3 +230,66 @@ def fragment_errors(spark, d):
 
 
 register("fragment_errors", fragment_errors)
+
+
+# -- small rules -------------------------------------------------------------------------------------------------------
+
+
+def channel_state(available, efficient, system, has_system_device, engine_disabled, chunks, turns, ordered):
+    """The state that a channel's counters and its session show, the first that applies."""
+    return F.when(~available, "unavailable").when(system & ~has_system_device, "inactive").when(engine_disabled & (chunks > 0), "error").when(efficient, "deferred").when((turns > 0) & ordered, "healthy").when(turns > 0, "warning").otherwise("accumulating")
+
+
+def session_states(spark, d):
+    """Both channels of every user's session: clicks and views come over the microphone, the rest over the system."""
+    e = table(spark, d, "events")
+    w = Window.partitionBy("user_id", "system").orderBy("event_id")
+    e = e.withColumn("system", ~F.col("event_type").isin("click", "view")).withColumn("back", F.lag("ts").over(w) > F.col("ts"))
+    c = e.groupBy("user_id", "system").agg(F.count("*").alias("chunks"), F.count_if(F.col("event_type").isin("view", "purchase")).alias("turns"), (~F.coalesce(F.bool_or("back"), F.lit(False))).alias("ordered"))
+    u = F.col("user_id")
+    state = channel_state(u % 13 != 0, u % 5 == 1, F.col("system"), u % 7 != 0, u % 11 == 0, F.col("chunks"), F.col("turns"), F.col("ordered"))
+    return c.select("user_id", "system", state.alias("state"))
+
+
+register("session_states", session_states, "select user_id, system, case when user_id % 13 = 0 then 'unavailable' when system and user_id % 7 = 0 then 'inactive' when user_id % 11 = 0 and chunks > 0 then 'error' when user_id % 5 = 1 then 'deferred' when turns > 0 and ordered then 'healthy' when turns > 0 then 'warning' else 'accumulating' end as state from (select user_id, system, count(*) as chunks, count(*) filter (event_type in ('view', 'purchase')) as turns, not coalesce(bool_or(back), false) as ordered from (select *, lag(ts) over (partition by user_id, system order by event_id) > ts as back from (select *, event_type not in ('click', 'view') as system from events)) group by all)")
+register("gap_merge_confidence", lambda spark, d: iv.merge_gaps(views.spans(spark, d).withColumn("confidence", F.col("event_id") % 101), KEY, 600_000, ["start_ms", "event_id"], lowest=("confidence",)), oracle("select meeting_id, min(start_ms) as start_ms, max_by(end_ms, (start_ms, event_id)) as end_ms, count(*) as n_merged, min(event_id % 101) as confidence from (select *, sum(f) over (partition by meeting_id order by start_ms, event_id) as i from (select *, case when lag(end_ms) over w is null or start_ms - lag(end_ms) over w >= 600000 then 1 else 0 end as f from t_spans window w as (partition by meeting_id order by start_ms, event_id))) group by meeting_id, i", "t_spans"))
+register("clock_formats", lambda spark, d: table(spark, d, "events").select("event_id", x.wall_clock(F.expr("unix_micros(cast(ts as timestamp)) div 1000000")).alias("clock"), x.minute_stamp(F.when(F.col("event_id") % 6 != 0, F.col("ts").cast("string")).otherwise(F.col("event_type"))).alias("minute")), "select event_id, strftime(ts, '%H:%M:%S') as clock, case when event_id % 6 <> 0 then strftime(ts, '%Y-%m-%d %H:%M') else '--' end as minute from events")
+register("fresh_levels", lambda spark, d: views.prototypes(spark, d).select("id", F.when(F.col("id") * 37 % 1000 > 500, 0.0).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (20 * F.log10(F.sqrt(v.dot(F.col("embedding"), F.col("embedding")) / F.size("embedding"))) + 60) / 60)), 6)).alias("level")), oracle("select id, case when id * 37 % 1000 > 500 then 0.0 else round(least(1.0, greatest(0.0, (20 * log10(sqrt(list_dot_product(embedding::double[], embedding::double[]) / len(embedding))) + 60) / 60)), 6) end as level", "t_prototypes").replace("end as level", "end as level from t_prototypes"))
+
+
+def dropped_by_coherence(spark, d):
+    """How many of each speaker's reachable rows the pick leaves out."""
+    p = views.prototypes(spark, d)
+    reach = p.groupBy("speaker_id").agg(F.least(F.count("*"), F.lit(16)).alias("reach"))
+    picked = v.coherent_pick(p, "speaker_id", "id", "embedding", "duration", 16, 8, -0.05).groupBy("speaker_id").agg(F.count("*").alias("picked"))
+    return reach.join(picked, "speaker_id", "left").select("speaker_id", (F.col("reach") - F.coalesce("picked", F.lit(0))).alias("dropped"))
+
+
+_POOL = """tp as (select *, embedding::double[] as e from t_prototypes qualify row_number() over (partition by speaker_id order by duration desc, id) <= 16),
+un as (select id, speaker_id, list_transform(e, lambda q: q / sqrt(list_dot_product(e, e))) as u from tp),
+sm as (select speaker_id, max(n) as n, list(s order by pos) as total from (select speaker_id, pos, sum(q) as s, count(*) as n from (select speaker_id, unnest(u) as q, generate_subscripts(u, 1) as pos from un) group by all) group by speaker_id),
+ow as (select id, speaker_id, n, list_dot_product(u, o) / sqrt(list_dot_product(o, o)) as own from (select un.*, n, list_transform(list_zip(total, u), lambda z: z[1] - z[2]) as o from un join sm using (speaker_id)))"""
+register("dropped_by_coherence", dropped_by_coherence, oracle("select speaker_id, count(*) - least(8, count(*) filter (n < 3 or own >= -0.05)) as dropped from ow group by speaker_id", "t_prototypes", ctes=_POOL))
+
+
+def mode_deltas(spark, d):
+    """Metrics of the whole timeline (offline) and of what was stable live (online), and by how much they differ."""
+    one = lambda rows, name: rows.groupBy("meeting_id").agg((F.avg(F.col("end_ms") - F.col("start_ms")) / 60000).alias("mean_minutes"), F.nullif(F.count_if(F.col("label") == "click"), F.lit(0)).cast("double").alias("clicks")).unpivot("meeting_id", ["mean_minutes", "clicks"], "metric", name)
+    e = views.emissions(spark, d)
+    j = one(e, "offline").join(one(e.where("stable"), "online"), ["meeting_id", "metric"], "full")
+    return j.select("meeting_id", "metric", F.round("offline", 6).alias("offline"), F.round("online", 6).alias("online"), F.round(F.col("online") - F.col("offline"), 6).alias("delta"))
+
+
+_MODES = ", ".join(f"m{k} as (select meeting_id, unnest(['mean_minutes', 'clicks']) as metric, unnest([avg(end_ms - start_ms) / 60000, nullif(count(*) filter (label = 'click'), 0)::double]) as v from t_emissions where {w} group by meeting_id)" for k, w in enumerate(("true", "stable")))
+register("mode_deltas", mode_deltas, oracle("select meeting_id, metric, round(m0.v, 6) as offline, round(m1.v, 6) as online, round(m1.v - m0.v, 6) as delta from m0 full join m1 using (meeting_id, metric)", "t_emissions", ctes=_MODES))
+
+
+def display_scores(spark, d):
+    """The score of the level that names each turn: the row's own match, or its cluster's."""
+    t = views.transcripts(spark, d)
+    s = F.col("seq")
+    score = relational.display_score(s % 7 == 0, F.when(s % 3 != 2, F.col("meeting_id") % 2 == 0), s % 2 == 0, s / 100, F.when(F.col("meeting_id") % 5 != 0, F.col("meeting_id") / 1000))
+    return t.select("meeting_id", "seq", F.round(score, 6).alias("score"))
+
+
+register("display_scores", display_scores, oracle("select meeting_id, seq, round(case when seq % 7 <> 0 and not coalesce(case when seq % 3 <> 2 then meeting_id % 2 = 0 end, false) and seq % 2 = 0 then seq / 100 else case when meeting_id % 5 <> 0 then meeting_id / 1000 end end, 6) as score from t_transcripts", "t_transcripts"))
