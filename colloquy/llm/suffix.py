@@ -219,67 +219,85 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
+_CONTENT = "gram long, parts int, unit_class long, only boolean, known boolean, doc_id long, mark long, lo int, content binary"
+
+
 def _content(length: int):
+    """The bytes of wanted segments with their places; ``only``: no other segment equals it, so its marks are still to be found."""
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, 256, 4 << 20):
                 rows = []
-                for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
+                for doc, mark, text, wanted in zip(*(part.column(c).to_pylist() for c in ("doc_id", "mark", "text", "wanted")), strict=True):
                     raw = (text or "").encode("utf-8", "surrogatepass")
-                    rows += [(w["gram"], w["cls"], w["n"], w["parts"], raw[w["lo"] : w["hi"] + length]) for w in wanted]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["gram", "cls", "n", "parts", "content"])
+                    rows += [(w["gram"], w["parts"], w["cls"], w["n"] == 1, doc is not None, doc or 0, mark, w["lo"], raw[w["lo"] : w["hi"] + length]) for w in wanted]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [c.split()[0] for c in _CONTENT.split(", ")])
 
     return run
 
 
-_SHARD_OUT = "gram long, cls long, lo int, hi int, range int, prints binary, classes binary, places binary"
+#: A null id is not known and stands as 0, so that no id passes through a column with gaps, which pandas makes inexact.
+_SHARD_OUT = "gram long, range int, known boolean, doc_id long, mark long, lo int, to int, prints binary, places binary"
+#: What stands behind each fingerprint: whether its segment is the only one of its class, where it is, and the window's place.
+_PLACE = np.dtype([("only", "?"), ("known", "?"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i4")])
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in _SHARD_OUT.split(", ")])
 
 
 def _shard(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Marked runs of windows of the shard; of a gram in parts also its windows' fingerprints, sorted, by range."""
-        grams, classes, parts, content = (pdf[c].tolist() for c in ("gram", "cls", "parts", "content"))
+        """Marked byte ranges of the shard; of a gram in parts also its windows' fingerprints, sorted, by range."""
+        grams, parts, only, known, docs, marks, los, content = (pdf[c].tolist() for c in ("gram", "parts", "only", "known", "doc_id", "mark", "lo", "content"))
         out = []
-        for g, c, marks in zip(grams, classes, repeated_windows(content, length), strict=True):
-            out += [(g, c, a, b, -1, None, None, None) for a, b in _runs(marks)]
+        for g, alone, k, doc, mark, lo, hits in zip(grams, only, known, docs, marks, los, repeated_windows(content, length), strict=True):
+            if alone:
+                out += [(g, -1, k, doc, mark, lo + a, lo + b + length, None, None) for a, b in _runs(hits)]
         if parts and parts[0] > 1:
             prints = [gram_hashes(np.frombuffer(x, np.uint8), length) for x in content]
-            flat = np.concatenate(prints)
-            cls = np.repeat(np.array(classes, dtype=np.int64), [len(p) for p in prints])
-            place = np.concatenate([np.arange(len(p), dtype=np.int32) for p in prints])
+            flat, n = np.concatenate(prints), [len(p) for p in prints]
+            place = np.zeros(len(flat), dtype=_PLACE)
+            for name, values in (("only", only), ("known", known), ("doc", docs), ("mark", marks)):
+                place[name] = np.repeat(np.array(values, dtype=_PLACE[name]), n)
+            place["at"] = np.concatenate([lo + np.arange(k, dtype=np.int32) for lo, k in zip(los, n, strict=True)])
             by = np.argsort(flat, kind="stable")
-            flat, cls, place = flat[by], cls[by], place[by]
+            flat, place = flat[by], place[by]
             bounds = np.searchsorted(flat, np.array([((1 << 64) * k) // parts[0] for k in range(1, parts[0])], dtype=np.uint64))
             for k, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(flat)], strict=True)):
                 if b > a:
-                    out.append((grams[0], 0, 0, 0, k, flat[a:b].tobytes(), cls[a:b].tobytes(), place[a:b].tobytes()))
+                    out.append((grams[0], k, False, 0, 0, 0, 0, flat[a:b].tobytes(), place[a:b].tobytes()))
         give_back()
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _SHARD_OUT.split(", ")])
+        return _frame(out)
 
     return run
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Windows whose fingerprints stand in several shards' sorted runs of one range, found by binary search."""
-    runs = [(np.frombuffer(p, np.uint64), np.frombuffer(c, np.int64), np.frombuffer(o, np.int32)) for p, c, o in zip(pdf["prints"], pdf["classes"], pdf["places"], strict=True)]
-    merged = np.unique(np.concatenate([np.unique(r[0]) for r in runs]))
-    seen = np.zeros(len(merged), dtype=np.int64)
-    for prints, _, _ in runs:
-        seen[np.searchsorted(merged, np.unique(prints))] += 1
-    shared = merged[seen > 1]
-    out = []
-    for prints, cls, place in runs:
-        if len(shared):
-            at = np.minimum(np.searchsorted(shared, prints), len(shared) - 1)
-            hit = shared[at] == prints
-            out.append(pd.DataFrame({"cls": cls[hit], "lo": place[hit], "hi": place[hit]}))
-    done = pd.concat(out) if out else pd.DataFrame({"cls": np.zeros(0, np.int64), "lo": np.zeros(0, np.int32), "hi": np.zeros(0, np.int32)})
-    done.insert(0, "gram", np.int64(pdf["gram"].iloc[0]))
-    # Neighbouring windows of a class become one row.
-    done = done.sort_values(["cls", "lo"]).drop_duplicates(["cls", "lo"])
-    fresh = (done["cls"].diff() != 0) | (done["lo"].diff() != 1)
-    return done.groupby(fresh.cumsum()).agg(gram=("gram", "first"), cls=("cls", "first"), lo=("lo", "min"), hi=("hi", "max")).reset_index(drop=True)
+def _merge(length: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Byte ranges of windows whose fingerprints stand in several shards' sorted runs of one range, found by binary search."""
+        runs = [(np.frombuffer(p, np.uint64), np.frombuffer(o, _PLACE)) for p, o in zip(pdf["prints"], pdf["places"], strict=True)]
+        merged = np.unique(np.concatenate([np.unique(r[0]) for r in runs]))
+        seen = np.zeros(len(merged), dtype=np.int64)
+        for prints, _ in runs:
+            seen[np.searchsorted(merged, np.unique(prints))] += 1
+        shared = merged[seen > 1]
+        if not len(shared):
+            return _frame([])
+        hits = [place[(shared[np.minimum(np.searchsorted(shared, prints), len(shared) - 1)] == prints) & place["only"]] for prints, place in runs]
+        # Neighbouring windows of a document become one row.
+        done = np.unique(np.concatenate(hits))
+        if not len(done):
+            return _frame([])
+        same = (done["known"][1:] == done["known"][:-1]) & (done["doc"][1:] == done["doc"][:-1]) & (done["mark"][1:] == done["mark"][:-1])
+        first = np.nonzero(np.concatenate([[True], ~same | (done["at"][1:] != done["at"][:-1] + 1)]))[0]
+        last = np.append(first[1:], len(done)) - 1
+        g = int(pdf["gram"].iloc[0])
+        return _frame([(g, -1, bool(x["known"]), int(x["doc"]), int(x["mark"]), int(x["at"]), int(y["at"]) + length, None, None) for x, y in zip(done[first], done[last], strict=True)])
+
+    return run
 
 
 def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -300,13 +318,11 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     units = max(1, classes.where("classes > 1 and parts = 1").count() // SHARD)
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
     # What is wanted, and the ranges below, grow with the corpus: joined by shuffles at every size.
-    found = documents.join(wanted.hint("merge"), same(documents, wanted)).select("text", "wanted").mapInArrow(_content(length), "gram long, cls long, n long, parts int, content binary")
-    unit = F.when(F.col("parts") > 1, F.struct(F.col("gram"), F.pmod(F.col("cls"), F.col("parts").cast("long")))).otherwise(F.struct(F.pmod(F.xxhash64("gram"), F.lit(units)).alias("gram"), F.lit(-1).cast("long")))
+    found = documents.join(wanted.hint("merge"), same(documents, wanted)).select(documents["doc_id"], documents["mark"], "text", "wanted").mapInArrow(_content(length), _CONTENT)
+    unit = F.when(F.col("parts") > 1, F.struct(F.col("gram"), F.pmod(F.col("unit_class"), F.col("parts").cast("long")))).otherwise(F.struct(F.pmod(F.xxhash64("gram"), F.lit(units)).alias("gram"), F.lit(-1).cast("long")))
     sharded = cut(found.withColumn("unit", unit).groupBy("unit").applyInPandas(_shard(length), _SHARD_OUT))
-    merged = sharded.where("range >= 0").groupBy("gram", "range").applyInPandas(_merge, "gram long, cls long, lo int, hi int")
-    marked = sharded.where("range < 0").select("gram", "cls", "lo", "hi").unionByName(merged)
-    single = classes.where("n = 1").select("gram", "cls", "at")
-    partly = marked.join(single, ["gram", "cls"]).select("at.doc_id", "at.mark", (F.col("at.lo") + F.col("lo")).alias("lo"), (F.col("at.lo") + F.col("hi") + length).alias("to"))
+    merged = sharded.where("range >= 0").groupBy("gram", "range").applyInPandas(_merge(length), _SHARD_OUT)
+    partly = sharded.where("range < 0").unionByName(merged).select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "mark", "lo", "to")
     out = cut(whole.unionByName(partly).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "to")).alias("spans")))
     for x in (rows, grams, classes, copies, sharded):
         drop_cut(x)
