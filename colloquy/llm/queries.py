@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, lm, minhash, mixing, quality, rules, suffix, tokenfile
+from . import ann, bpe, chat, codes, lexical, lm, minhash, mixing, quality, rules, suffix, tokenfile, urls
 from .common import shared_folder
 
 
@@ -77,3 +77,18 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
     digest = [F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256")]
     return done.select("doc_id", *digest, F.make_valid_utf8(F.col("_kept").cast("string")).alias("text"))
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings by codebooks of 64 entries for each of 16 parts."""
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages' URLs to allow or block, by rules and else by a regression on n-grams."""
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for every benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
