@@ -149,7 +149,7 @@ def compress(embeddings: DataFrame) -> DataFrame:
     schema = f"vec_id {kinds['vec_id']}, label {kinds['label']}, code string, error long"
     lengths = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("x", lambda c: F.abs(c.cast("decimal(38,0)"))))).alias("most")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
     if not lengths:
-        return spark.createDataFrame([], schema + ", label_error long, codebooks_sha256 string")
+        return spark.createDataFrame([], f"vec_id {kinds['vec_id']}, code string, error long, label_error long, codebooks_sha256 string")
     d = lengths[0].d
     if d * 4 * int(lengths[0].most or 0) ** 2 >= 1 << 63:
         raise ValueError("squared distances of these vectors do not fit into 64 bits")

@@ -19,28 +19,30 @@ LENGTHS, FEATURES, PENALTY, ROUNDS, MOST_LABELLED = (3, 4, 5), 1 << 14, 2e-3, 10
 #: (verdict, host, path) of the contract.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: Labelled URLs: what is to be blocked (advertising, gambling, adult pages, sham shops, link farms), and ordinary pages.
-BLOCKED = """
-http://www.casino-royal.example/play/slots  https://lucky-casino.example/bonus  http://m.casino-star.example/en/12  https://online-casino.example/win
-http://poker-win.example/table/5  https://jackpot-win.example/now  https://win-big.example/prize.html  http://blog.slots-win.example/de/7
-http://sport-bets.example/odds  https://www.bets-online.example/en/88  http://best-bets.example/live  https://m.live-bets.example/fr/9
-https://free-coins.example/get  http://www.free-gift.example/claim  https://free-money.example/en/3.html  http://blog.free-prize.example/es/4
-http://adult-video.example/watch  https://www.adult-chat.example/cam  https://m.adult-site.example/en/21  http://x-adult.example/es/8  https://xxx-tube.example/top
-http://spam-link.example/out  https://www.link-farm.example/en/2  http://blog.spam-page.example/de/31  https://seo-farm.example/fr/6  http://spam-blast.example/en/77
-http://diet-pills.example/order  https://www.cheap-drugs.example/buy  http://buy-pills.example/en/40  https://m.pills-shop.example/de/16  http://cheap-watch.example/sale  https://blog.cheap-meds.example/fr/71
-http://ads-server.example/banner  https://www.track-user.example/pixel  http://ads-click.example/en/5  https://m.click-track.example/es/13  https://ads-banner.example/fr/28  http://pop-ads.example/de/90
+#: Hosts of labelled URLs: advertising, gambling, adult pages, sham shops and link farms; and ordinary ones.
+BLOCKED_HOSTS = """
+casino-royal.example lucky-casino.example m.casino-star.example www.casino-luck.example poker-win.example jackpot-win.example win-big.example blog.slots-win.example
+sport-bets.example www.bets-online.example free-spins.example m.live-bets.example free-coins.example www.free-gift.example free-money.example blog.free-prize.example
+adult-video.example www.adult-chat.example m.adult-site.example adult-world.example x-adult.example xxx-tube.example
+spam-link.example www.link-farm.example blog.spam-page.example seo-farm.example spam-ring.example m.spam-blast.example
+diet-pills.example www.cheap-drugs.example buy-pills.example m.pills-shop.example cheap-watch.example blog.cheap-meds.example cheap-loans.example
+ads-server.example www.track-user.example ads-click.example m.click-track.example blog.ads-banner.example pop-ads.example ads-stream.example
 """.split()
-ALLOWED = """
-http://www.city-news.example/world/2021  https://news.harbour.example/en/14  http://m.evening.example/fr/52  https://daily.mountain.example/de/8
-https://library.example/catalogue/9  http://www.museum.example/en/31  https://blog.garden.example/roses.html  http://blog.kitchen.example/es/27
-https://docs.python.example/tutorial  http://wiki.forest.example/en/Oak  https://www.school.example/maths/3  https://m.weather.example/de/60
-https://www.railway.example/times  http://theatre.example/en/45  https://orchestra.example/season  http://thunder.example/en/7  https://www.lantern.example/fr/33
-http://nation.example/es/5  https://blog.station.example/en/17  https://m.tradition.example/de/24  http://section.example/en/98.html
-https://www.shelter.example/help  http://weather.example/en/63  https://together.example/en/2  http://blog.feather.example/fr/80  https://leather.example/de/6
-http://rinse.example/en/36  https://inland.example/es/11  http://www.ermine.example/en/72  https://heron.example/birds  http://m.handle.example/en/4  https://restore.example/de/15
-http://thanks.example/en/50  https://blog.threshold.example/fr/21  https://ondine.example/en/9  http://www.thimble.example/es/68  https://m.thousand.example/en/3  http://history.example/en/100
+ALLOWED_HOSTS = """
+www.city-news.example news.harbour.example m.evening.example daily.mountain.example library.example www.museum.example blog.garden.example blog.kitchen.example
+docs.python.example wiki.forest.example www.school.example m.weather.example www.railway.example theatre.example orchestra.example thunder.example www.lantern.example
+nation.example blog.station.example m.tradition.example section.example ration.example blog.motion.example fashion.example british.example
+www.shelter.example together.example blog.feather.example leather.example other.example m.whether.example this-that.example
+rinse.example inland.example www.ermine.example heron.example m.handle.example restore.example trash-sort.example www.fresh.example
+thanks.example blog.threshold.example ondine.example www.thimble.example m.thousand.example history.example wishing.example blog.shining.example table.example
+www.tool-shop.example chess-online.example live-music.example home-page.example data-server.example m.camp-site.example watch-maker.example sheep-farm.example royal-park.example
 """.split()
-LABELLED = [(u, 1.0) for u in BLOCKED] + [(u, 0.0) for u in ALLOWED]
+#: Paths that say nothing: every host above has each of them. Then paths that tell, on hosts that do not.
+PATHS = ("", "/", "/en/12", "/fr/345.html", "/de/6789/", "/es/0")
+BLOCKED_PATHS = "/casino/slots /bets/odds /free/prize /adult/cam /cheap/pills /ads/banner /track/pixel /spam/links".split()
+ALLOWED_PATHS = "/news/world /library/books /garden/roses /wiki/Oak /weather/today /school/maths /docs/guide /museum/hours".split()
+LABELLED = [(f"https://{h}{p}", y) for hosts, y in ((BLOCKED_HOSTS, 1.0), (ALLOWED_HOSTS, 0.0)) for h in hosts for p in PATHS]
+LABELLED += [(f"http://{h}{p}", y) for paths, y in ((BLOCKED_PATHS, 1.0), (ALLOWED_PATHS, 0.0)) for h in ("site.example", "www.page.example") for p in paths]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
