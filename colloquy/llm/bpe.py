@@ -3,9 +3,12 @@
 Encoding: a text is cut into parts (``pieces``) and these into the matches of the vocabulary's pattern. Each distinct
 match that is no token itself becomes rows (word, position, token) of one token a byte. A recursive query joins the
 rows of neighbouring positions to the merge table (left, right -> token, whose id is its rank) and contracts in every
-word its leftmost pair of least rank, until no word has a pair. For words of over ``LONG`` bytes the recursive query
-contracts all occurrences of that pair in a round where no token that extends the new one ranks before it, which gives
-the same result in fewer rounds.
+word its leftmost pair of least rank, until no word has a pair.
+A word of over ``LONG`` bytes is cut into windows of ``WINDOW`` bytes, whatever its length. Tokens are the encoding of
+what they spell exactly if every two neighbours are the encoding of what these two spell: merging goes by least rank
+and leftmost first, so the first merge over a border would also be the next one with these two tokens alone. So the
+encodings of neighbouring windows are joined by encoding the two tokens at their border again, and then, where these
+change, those next to them. Every encoding is one of short strings by the recursive query, many to a query.
 Decoding: rows (document, position, token) are aggregated in the order of positions and looked up in the vocabulary.
 
 Every Spark task works on Arrow batches in bounded parts, with one DuckDB connection of one thread; encodings of
@@ -25,13 +28,15 @@ from pyspark.sql import DataFrame
 from .common import give_back, ship, slices
 from .pieces import Memory, binary_column, column_bytes
 
-LONG = 64
+LONG, WINDOW, WIDE, LOOKS = 64, 32, 1000, 24
 REMEMBERED = 1_000_000
 WORDS_AT_ONCE = 10_000
 BYTES_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 2_000_000
 TOKENS_AT_ONCE = 250_000
 
-#: A row's key is its word and position; each round emits what is left of the words that it contracts.
+#: A row's key is its word and position; each round emits what is left of the words that it contracts. All rounds of a
+#: query are kept, at most about half the square of a word's bytes.
 _ROUNDS = """
 with recursive st(i, k, tok) as (
   select 0, (w::bigint << 10) | p, tok from words
@@ -48,20 +53,16 @@ with recursive st(i, k, tok) as (
 select w, list(tok order by k) as ids from st join last on st.k >> 10 = last.w and st.i = last.i group by w order by w
 """
 
-#: Rows are replaced by their key, so that many rounds take no more room than one; -1 marks what is contracted away.
-_LONG_ROUNDS = """
-with recursive st(w, p, tok) using key (w, p) as (
-  select w, p, tok from words
+#: The same of one word whose rows are replaced by their key; -1 marks what is contracted away.
+_WIDE_ROUNDS = """
+with recursive st(k, tok) using key (k) as (
+  select k, tok from given
   union all
-  (with s as (select w, p, tok, lead(tok) over g as nxt, lead(p) over g as after, row_number() over g as i from st where tok >= 0 window g as (partition by w order by p)),
-   pair as (select s.*, m.new, m.free, min(m.new) over (partition by w) as best from s join merges m on m.l = s.tok and m.r = s.nxt),
-   least as (select *, i - row_number() over (partition by w order by i) as run from pair where new = best),
-   odd as (select *, row_number() over (partition by w, run order by i) % 2 = 1 as take, i = min(i) over (partition by w) as first from least),
-   hit as (select w, p, after, new from odd where take and (free or first)),
-   change as (select w, p, new as tok from hit union all select w, after, -1 from hit)
-   select s.w, s.p, coalesce(c.tok, s.tok) from s join (select distinct w from hit) using (w) left join change c on c.w = s.w and c.p = s.p)
+  (with s as (select k, tok, lead(tok) over (order by k) as nxt, lead(k) over (order by k) as after from recurring.st where tok >= 0),
+   best as (select k, after, new from s join merges m on m.l = s.tok and m.r = s.nxt order by new, k limit 1)
+   select k, new from best union all select after, -1 from best)
 )
-select w, list(tok order by p) as ids from st where tok >= 0 group by w order by w
+select tok from st where tok >= 0 order by k
 """
 
 
@@ -87,17 +88,14 @@ class Vocabulary:
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), new.append(rank)
-        first: dict[int, int] = {}
-        for a, b, n in zip(left, right, new, strict=True):
-            for part in (a, b):
-                first[part] = min(first.get(part, n), n)
         self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
-        self.sql.register("m", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "new": pa.array(new, pa.int32()), "free": [first.get(n, n + 1) > n for n in new]}))
+        self.sql.register("m", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "new": pa.array(new, pa.int32())}))
         self.sql.execute("create table merges as select * from m")
         self.sql.unregister("m")
         self.sql.register("v", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "part": [k.decode("latin-1") for k in self.ranks]}))
         self.sql.execute("create table vocab as select list(part order by i) as parts from range((select max(tok) + 1 from v)) t(i) left join v on tok = i")
         self.sql.unregister("v")
+        self.parts = {rank: token for token, rank in self.ranks.items()}
         self.named = np.zeros(max(self.ranks.values()) + 1, dtype=bool)
         self.named[list(self.ranks.values())] = True
         self.memory = Memory(REMEMBERED)
@@ -110,30 +108,102 @@ class Vocabulary:
         self.sql.register("given", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "p": at.astype(np.int32), "tok": flat}))
         self.sql.execute("create or replace temp table words as select * from given")
         self.sql.unregister("given")
-        ids = self.sql.sql(_LONG_ROUNDS if size.max() > LONG else _ROUNDS).to_arrow_table().column("ids").combine_chunks()
+        ids = self.sql.sql(_ROUNDS).to_arrow_table().column("ids").combine_chunks()
         values, ends = ids.values.to_numpy().astype(np.uint32), ids.offsets.to_numpy()
         return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
+    def _merge_wide(self, word: bytes) -> np.ndarray:
+        """The ids of one word of any length; its rows are kept once, and a round each contracts one pair."""
+        self.sql.register("given", pa.table({"k": np.arange(len(word), dtype=np.int32), "tok": self.byte[np.frombuffer(word, dtype=np.uint8)]}))
+        ids = self.sql.sql(_WIDE_ROUNDS).to_arrow_table().column("tok").to_numpy().astype(np.uint32)
+        self.sql.unregister("given")
+        return ids
+
+    def _encode_short(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
+        """The ids of distinct words by the recursive query, all in one piece."""
+        out, todo, start = {}, sorted(words, key=len), 0
+        while start < len(todo):
+            end, rows = start, 0
+            while end < len(todo) and end - start < WORDS_AT_ONCE and len(todo[end]) < WIDE and (end == start or rows + len(todo[end]) ** 2 // 2 <= ROWS_AT_ONCE):
+                rows += len(todo[end]) ** 2 // 2
+                end += 1
+            if end > start:
+                out.update(zip(todo[start:end], self._merge(todo[start:end]), strict=True))
+            else:
+                out[todo[start]], end = self._merge_wide(todo[start]), start + 1
+            start = end
+        return out
+
     def _encode_words(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
         """The ids of each distinct match of the pattern."""
-        out, todo = {}, []
-        for raw in words:
-            rank = self.ranks.get(raw)
-            if rank is None:
-                todo.append(raw)
-            else:
-                out[raw] = np.array([rank], dtype=np.uint32)
-        todo.sort(key=len)
-        start = 0
+        out = {x: np.array([self.ranks[x]], dtype=np.uint32) for x in words if x in self.ranks}
+        out.update(self._encode_short([x for x in words if len(x) <= LONG and x not in out]))
+        todo, start = [x for x in words if x not in out], 0
         while start < len(todo):
             end, total = start, 0
-            while end < len(todo) and end - start < WORDS_AT_ONCE and (len(todo[end]) > LONG) == (len(todo[start]) > LONG) and (end == start or total + len(todo[end]) <= BYTES_AT_ONCE):
+            while end < len(todo) and (end == start or total + len(todo[end]) <= BYTES_AT_ONCE):
                 total += len(todo[end])
                 end += 1
-            out.update(zip(todo[start:end], self._merge(todo[start:end]), strict=True))
+            out.update(zip(todo[start:end], self._encode_long(todo[start:end]), strict=True))
             start = end
         return out
 
+    def _encode_long(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of words of any length, by windows."""
+        known: dict[bytes, list[int]] = {}
+
+        def learn(texts) -> None:
+            new = list(dict.fromkeys(t for t in texts if t not in known))
+            if new:
+                known.update((t, ids.tolist()) for t, ids in self._encode_short(new).items())
+
+        def look(text: bytes) -> list[int]:
+            learn([text])
+            return known[text]
+
+        cut = [[word[k : k + WINDOW] for k in range(0, len(word), WINDOW)] for word in words]
+        learn(c for some in cut for c in some)
+        # What the borders will need is mostly known from the windows on either side of each, so it is encoded together.
+        open_ = {(a, b): None for some in cut for a, b in zip(some, some[1:])}
+        asks = [[self._join(list(known[a]), known[b]), None] for a, b in open_]
+        for _ in range(LOOKS):
+            asks = [[join, text] for join, text in ((join, next(join, None) if text is None else join.send(known[text])) for join, text in asks) if text is not None]
+            if not asks:
+                break
+            learn(text for _, text in asks)
+        out = []
+        for some in cut:
+            ids: list[int] = []
+            for window in some:
+                join = self._join(ids, known[window])
+                text = next(join, None)
+                while text is not None:
+                    text = join.send(look(text))
+            out.append(np.array(ids, dtype=np.uint32))
+        return out
+
+    def _join(self, ids: list[int], more: list[int]):
+        """Appends ``more`` to ``ids``, both encodings of what they spell, so that all is one: yields each text whose
+        encoding it needs to know, then None."""
+        spell = lambda some: b"".join(self.parts[t] for t in some)
+        at, reach = 0, 1
+        while ids and at < len(more):
+            reach = min(reach, len(ids))
+            held = [*ids[-reach:], more[at]]
+            new = yield spell(held)
+            if reach < len(ids) and new[0] != held[0]:
+                pair = [ids[-reach - 1], new[0]]
+                if (yield spell(pair)) != pair:
+                    reach *= 2
+                    continue
+            # The border is behind ``new`` now, and is one no more if its last token was there before.
+            ids[-reach:] = new
+            at, reach = at + 1, 1
+            if new[-1] == held[-1]:
+                break
+        ids += more[at:]
+        yield None
+
     def _matches(self, part: bytes) -> list[bytes]:
         text = part.decode("utf-8")
         word = text[1:] if text[0] == " " else text
