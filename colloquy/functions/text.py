@@ -286,55 +286,6 @@ def fnv1a_64(text: pd.Series) -> pd.Series:
     return pd.Series(h.view(np.int64))
 
 
-def edit_counts(ref: list[str], hyp: list[str], free_end: bool = False, wild: str | None = None) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions) of the cheapest alignment; with ``free_end`` words of the hypothesis before
-    and behind it cost nothing; a reference word ``wild`` matches any word."""
-    n, m = len(ref), len(hyp)
-    ids = {w: k for k, w in enumerate(dict.fromkeys([*ref, *hyp]))}
-    h = np.array([ids[w] for w in hyp], dtype=np.int64)
-    cost = np.empty((n + 1, m + 1), dtype=np.int32)
-    step = np.arange(m + 1, dtype=np.int32)
-    cost[0] = 0 if free_end else step
-    for i, w in enumerate(ref, 1):
-        row = cost[i - 1] + 1
-        if w != wild:
-            row[1:] = np.minimum(row[1:], cost[i - 1, :-1] + (h != ids[w]))
-        else:
-            row[1:] = np.minimum(row[1:], cost[i - 1, :-1])
-        cost[i] = np.minimum.accumulate(row - step) + step  # insertions
-    i, j = n, int(cost[n].argmin()) if free_end else m
-    sub = dele = ins = 0
-    while i > 0 or (j > 0 and not free_end):
-        miss = i > 0 and j > 0 and int(hyp[j - 1] != ref[i - 1] and ref[i - 1] != wild)
-        if i > 0 and j > 0 and cost[i, j] == cost[i - 1, j - 1] + miss:
-            sub, i, j = sub + miss, i - 1, j - 1
-        elif i > 0 and cost[i, j] == cost[i - 1, j] + 1:
-            dele, i = dele + 1, i - 1
-        else:
-            ins, j = ins + 1, j - 1
-    return sub, dele, ins
-
-
-@arrow("substitutions int, deletions int, insertions int, n_ref int")
-def word_errors(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    """Edit counts of two normalized texts, word by word."""
-    rows = []
-    for r, h in zip(ref, hyp, strict=True):
-        a, b = (r or "").split(), (h or "").split()
-        rows.append((*edit_counts(a, b), len(a)))
-    return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions", "n_ref"]).astype("int32")
-
-
-@arrow("substitutions int, deletions int, insertions int, n_ref int")
-def fragment_errors(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    """As ``word_errors`` of a fragment inside a longer text; unheard words of the fragment match anything and do not count."""
-    rows = []
-    for r, h in zip(ref, hyp, strict=True):
-        a, b = (r or "").split(), (h or "").split()
-        rows.append((*edit_counts(a, b, True, WILD), sum(w != WILD for w in a)))
-    return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions", "n_ref"]).astype("int32")
-
-
 def confusion_vote(pivot: list[str], others: list[list[str]]) -> list[str]:
     """Each pivot word replaced by the majority of the words aligned with it; the pivot breaks ties, blanks drop out."""
     import difflib

@@ -184,7 +184,7 @@ def corpus_names(spark, d):
     return table(spark, d, "part").select("p_partkey", name.alias("file"), files.meeting_name(name).alias("meeting"))
 
 
-register("corpus_names", corpus_names, r"select p_partkey, f as file, nullif(upper(regexp_extract(lower(f), p, 1)) || regexp_extract(lower(f), p, 2) || upper(regexp_extract(lower(f), p, 3)), '') as meeting from (select p_partkey, '^(?:((?:es|en|st)\d{4}|ibi?\d{4})([a-f])|(ic\d{3}|is\d{4}))[._]' as p, (['es', 'IS', 'ib', 'ibi', 'EN', 'ic', 'st', 'zz'])[p_partkey % 8 + 1] || lpad((p_partkey % 10000)::varchar, 4, '0') || (['a', '', 'c', 'x'])[p_size % 4 + 1] || case p_size % 5 when 0 then '.wav' when 1 then '_mix.wav' else '.Mix-Headset.wav' end as f from part)")
+register("corpus_names", corpus_names, r"select p_partkey, f as file, nullif(upper(regexp_extract(lower(f), p, 1)) || regexp_extract(lower(f), p, 2) || upper(regexp_extract(lower(f), p, 3)), '') as meeting from (select p_partkey, '^(es\d{4}|ibi?\d{4}|en\d{4}|st\d{4})([a-f])[._]|^(ic\d{3}|is\d{4})[._]' as p, (['es', 'IS', 'ib', 'ibi', 'EN', 'ic', 'st', 'zz'])[p_partkey % 8 + 1] || lpad((p_partkey % 10000)::varchar, 4, '0') || (['a', '', 'c', 'x'])[p_size % 4 + 1] || case p_size % 5 when 0 then '.wav' when 1 then '_mix.wav' else '.Mix-Headset.wav' end as f from part)")
 
 
 def script_file(spark, d):
@@ -221,17 +221,6 @@ def combined_summaries(spark, d, summarise=lambda chunk: F.substring(chunk, 1, 6
 register("combined_summaries", combined_summaries, CHUNKS_SQL + "select doc_id, string_agg(s, chr(10) || '---' || chr(10) order by k) as combined from (select doc_id, k, trim(substring(text, a + 1, least(60, e - a))) as s from ch) where s <> '' group by doc_id")
 
 
-def fragment_errors(spark, d):
-    """Error counts of the first turn of a conversation inside all that was said there: what lies around it is free."""
-    t = views.transcripts(spark, d).withColumn("said", x.normalize_words(F.col("text")))
-    ref = t.groupBy("meeting_id").agg(F.min_by("said", "seq").alias("ref"))
-    hyp = t.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("seq", "said"))).alias("s")).select("meeting_id", F.regexp_replace(F.array_join(F.transform("s", lambda y: y["said"]), " "), r"\bth(\w)\w*", "th$1").alias("hyp"))
-    return ref.join(hyp, "meeting_id").select("meeting_id", x.fragment_errors("ref", "hyp").alias("e")).select("meeting_id", "e.*")
-
-
-register("fragment_errors", fragment_errors)
-
-
 # -- small rules -------------------------------------------------------------------------------------------------------
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import alignment as al
 from ..functions import text as x
 from ..session import table
 from ..sources import views
 from ..sources.views import oracle
 from .registry import register
+from .scoring import alignment_sql
 
 _W = r"regexp_extract_all({}, '[^ \t\r\n\f\x0B]+')"
 _TW = _W.format("text")
@@ -74,12 +76,16 @@ register("json_names", lambda spark, d: table(spark, d, "events").select("event_
 def wer_by_speaker(spark, d):
     t = table(spark, d, "conversations").withColumn("ref", x.normalize_words(F.col("text")))
     t = t.withColumn("hyp", F.regexp_replace("ref", r"\bth(\w)\w*", "th$1"))
-    e = t.select("role", x.word_errors("ref", "hyp").alias("e"))
+    e = t.select("role", al.word_errors("ref", "hyp").alias("e"))
     s = e.groupBy("role").agg(*[F.sum(f"e.{c}").alias(c) for c in ("substitutions", "deletions", "insertions", "n_ref")])
     return s.withColumn("wer", F.round((F.col("substitutions") + F.col("deletions") + F.col("insertions")) / F.col("n_ref"), 6))
 
 
-register("wer_by_speaker", wer_by_speaker)
+# Normalized turns of the conversations, and what a listener makes of them: one rendering a row.
+_TURNS = f"""tn as (select conv_id, turn, role, list_filter({_SAID}, lambda y: y <> '' and y not in {x.FILLERS}) as words from conversations),
+ab as (select *, array_to_string(words, ' ') as a, regexp_replace(array_to_string(words, ' '), '\\bth(\\w)\\w*', 'th\\1', 'g') as b, replace(array_to_string(words, ' '), ' on ', ' ') as c from tn)"""
+_WORDS = "list_filter(string_split({}, ' '), lambda y: y <> '')"
+register("wer_by_speaker", wer_by_speaker, f"with recursive {_TURNS}, fr as (select row_number() over () as f, role, {_WORDS.format('a')} as r, {_WORDS.format('b')} as h from ab),\n{alignment_sql(False)},\nct as (select f, count(*) filter (step = 'S' and hyp is not null) as s, count(*) filter (step = 'D') as d, count(*) filter (step = 'I') as i from pr group by f)\nselect role, sum(coalesce(s, 0))::bigint as substitutions, sum(coalesce(d, 0))::bigint as deletions, sum(coalesce(i, 0))::bigint as insertions, sum(len(r))::bigint as n_ref, round(sum(coalesce(s + d + i, 0)) / sum(len(r)), 6) as wer from fr left join ct using (f) group by role")
 
 
 def pairwise_wer(spark, d):
@@ -87,10 +93,15 @@ def pairwise_wer(spark, d):
     t = table(spark, d, "conversations").withColumn("ref", x.normalize_words(F.col("text")))
     said = t.select("conv_id", "turn", F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col("ref").alias("w")), F.struct(F.lit("b").alias("s"), F.regexp_replace("ref", r"\bth(\w)\w*", "th$1").alias("w")), F.struct(F.lit("c").alias("s"), F.regexp_replace("ref", r" on ", " ").alias("w")))).alias("v")).select("conv_id", "turn", "v.s", "v.w")
     other = said.select("conv_id", "turn", F.col("s").alias("other"), F.col("w").alias("o"))
-    pairs = said.join(other, ["conv_id", "turn"]).where("s <> other").select("s", "other", x.word_errors("w", "o").alias("e"))
+    pairs = said.join(other, ["conv_id", "turn"]).where("s <> other").select("s", "other", al.word_errors("w", "o").alias("e"))
     rate = pairs.groupBy("s", "other").agg(F.round(F.sum(F.col("e.substitutions") + F.col("e.deletions") + F.col("e.insertions")) / F.sum("e.n_ref"), 6).alias("wer"))
-    return rate.groupBy("s").pivot("other", ["a", "b", "c"]).agg(F.first("wer")).join(rate.groupBy("s").agg(F.round(F.avg("wer"), 6).alias("mean_wer")), "s")
+    return rate.groupBy("s").pivot("other", ["a", "b", "c"]).agg(F.first("wer")).join(rate.groupBy("s").agg(F.round(F.avg("wer"), 9).alias("mean_wer")), "s")
 
 
-register("pairwise_wer", pairwise_wer)
+# All renderings against all others; the last cell of each cost table is the number of errors.
+_PAIRS = f"""with recursive {_TURNS}, rd as (select conv_id, turn, unnest(['a', 'b', 'c']) as s, unnest([{_WORDS.format('a')}, {_WORDS.format('b')}, {_WORDS.format('c')}]) as w from ab),
+fr as (select row_number() over () as f, x.s, y.s as o, x.w as r, y.w as h from rd x join rd y using (conv_id, turn) where x.s <> y.s),
+{alignment_sql(False).split("en as materialized")[0].rstrip().rstrip(",")},
+rt as (select s, o, round(sum(c[-1]) / sum(len(r)), 6) as wer from fr join co on co.f = fr.f and co.i = len(r) group by s, o)"""
+register("pairwise_wer", pairwise_wer, _PAIRS + " select s, max(wer) filter (o = 'a') as a, max(wer) filter (o = 'b') as b, max(wer) filter (o = 'c') as c, round(avg(wer), 9) as mean_wer from rt group by s")
 register("tidy_text", lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2(x.tidy(F.col("text")), 256).alias("tidy_sha256")), f"select doc_id, sha256(upper(substring(j, 1, 1)) || substring(j, 2)) as tidy_sha256 from (select doc_id, regexp_replace(array_to_string(list_filter({_TW}, lambda w: lower(regexp_replace(w, '[^A-Za-z]', '', 'g')) not in {x.SOUNDS}), ' '), ' +([,.!?])', '\\1', 'g') as j from documents)")

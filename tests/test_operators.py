@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.functions import alignment as al
 from colloquy.functions import text as x
 from colloquy.operators import changes, intervals, metrics, relational, sequences, vectors
 from colloquy.sources import files
@@ -137,9 +138,9 @@ def test_chunks_cover_and_advance():
 
 
 def test_edit_counts_and_votes():
-    assert x.edit_counts("a b c d".split(), "a x c".split()) == (1, 1, 0)
-    assert x.edit_counts("a b".split(), "z z a b z".split(), free_end=False) == (0, 0, 3)
-    assert x.edit_counts(["*"], ["w"], wild="*") == (0, 0, 0)
+    assert al.edit_counts("a b c d".split(), "a x c".split()) == (1, 1, 0)
+    assert al.edit_counts("a b".split(), "z z a b z".split(), free_end=False) == (0, 0, 3)
+    assert al.edit_counts(["*"], ["w"], wild="*") == (0, 0, 0)
     assert x.confusion_vote("a b c".split(), ["a x c".split(), "a x".split()]) == ["a", "x", "c"]
 
 
