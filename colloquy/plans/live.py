@@ -8,7 +8,7 @@ from ..operators import intervals as iv
 from ..session import table
 from ..sources import views
 from ..sources.views import oracle
-from ..streaming import live, runner
+from ..streaming import live, runner, sinks, stateful
 from .registry import register
 
 
@@ -55,7 +55,7 @@ c2 as (select * from c1 where before is null or o > before qualify row_number()
 c3 as (select *, label is distinct from lag(label) over (partition by a order by r) as new from c2), c4 as (select *, sum(new::int) over (partition by a order by r) as rev from c3),
 em as (select key, a as block_id, rev, label, coalesce(r = d, false) as final, r as sent_at from c4 where new union all select key, a, max_by(rev, r), max_by(label, r), true, d from c4 where d is not null group by key, a, d having not bool_or(new and r = d)),
 rv as (select key, block_id, rev::int as revision, label, final, coalesce(odd_at <= sent_at, false) as out_of_order from em left join odd using (key))"""
-register("stream_live_labels", lambda spark, d: runner.run_now(live.live_labels(_tagged(_span_stream(spark, d)))), oracle("select * from rv", "t_spans", ctes=_REVISIONS))
+register("stream_live_labels", lambda spark, d: runner.run_now(stateful.live_labels(_tagged(_span_stream(spark, d)))), oracle("select * from rv", "t_spans", ctes=_REVISIONS))
 register("batch_live_labels", lambda spark, d: live.live_labels_batch(_tagged(views.spans(spark, d))), oracle("select * from rv", "t_spans", ctes=_REVISIONS))
 register("latest_revision", lambda spark, d: live.live_labels_batch(_tagged(views.spans(spark, d))).groupBy("key", "block_id").agg(F.max_by("label", F.struct("revision", "final")).alias("label"), F.max("revision").alias("revision"), F.bool_or("final").alias("final")), oracle("select key, block_id, max_by(label, (revision, final)) as label, max(revision) as revision, bool_or(final) as final from rv group by all", "t_spans", ctes=_REVISIONS))
 
@@ -102,3 +102,25 @@ def stream_windows(spark, d):
 register("stream_windows", stream_windows, "select epoch_us(date_trunc('day', ts)) as day_us, event_type, count(*) as n from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 1 hour group by all")
 register("channel_states", lambda spark, d: views.spans(spark, d).groupBy("meeting_id").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "view").alias("v"), F.count_if(F.col("label") == "error").alias("e"), F.max("end_ms").alias("last")).select("meeting_id", F.when(F.col("n") < 20, "starting").when(F.col("e") * 2 > F.col("n"), "failing").when(F.col("v") == 0, "silent").when(F.col("e") > F.col("v"), "degraded").otherwise("live").alias("state")), oracle("select meeting_id, case when n < 20 then 'starting' when e * 2 > n then 'failing' when v = 0 then 'silent' when e > v then 'degraded' else 'live' end as state from (select meeting_id, count(*) as n, count(*) filter (label = 'view') as v, count(*) filter (label = 'error') as e from t_spans group by meeting_id)", "t_spans"))
 register("fixed_windows", lambda spark, d: views.spans(spark, d).groupBy("meeting_id", F.expr("start_ms div 30000 * 30000").alias("window_ms")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels")), oracle("select meeting_id, start_ms // 30000 * 30000 as window_ms, count(*) as n, count(distinct label) as n_labels from t_spans group by all", "t_spans"))
+
+
+def stream_batches(spark, d):
+    """Events of a kind in batches of at most 50, closed earlier by an hour without any."""
+    e = runner.source(spark, d, "events").select("event_type", "event_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("at_ms"), "value")
+    b = runner.run_now(stateful.count_or_time(e, "event_type", "event_id", "at_ms", 50, 3_600_000, "1 hour"))
+    return b.select("event_type", "first_ms", "last_ms", F.size("ids").alias("n"), F.array_max("ids").alias("last_id"), "closed_by")
+
+
+_BATCHES = """q as (select event_type, event_id, epoch_us(ts) // 1000 as at_ms from events), q1 as (select *, sum(new) over (partition by event_type order by at_ms, event_id) as s from (select *, case when at_ms - lag(at_ms) over (partition by event_type order by at_ms, event_id) >= 3600000 then 1 else 0 end as new from q)),
+q2 as (select *, (row_number() over (partition by event_type, s order by at_ms, event_id) - 1) // 50 as k, max(at_ms) over (partition by event_type, s) as quiet, max(s) over (partition by event_type) as tail from q1),
+q3 as (select event_type, min(at_ms) as first_ms, max(at_ms) as last_ms, count(*) as n, max(event_id) as last_id, any_value(quiet) as quiet, any_value(s = tail) as open from q2 group by event_type, s, k)"""
+register("stream_batches", stream_batches, f"with {_BATCHES} select event_type, first_ms, last_ms, n::int as n, last_id, case when n = 50 then 'count' else 'time' end as closed_by from q3 where n = 50 or not open or quiet + 3600000 + 3600000 < (select max(at_ms) from q)")
+
+
+def stream_upserts(spark, d):
+    """Revisions of live labels upserted from a stream of four batches, the second of them twice: the latest a block."""
+    revisions = live.live_labels_batch(_tagged(views.spans(spark, d)))
+    return sinks.replayed(revisions, "block_id", ["key", "block_id"], ["revision", "final"], batches=4, again=1)
+
+
+register("stream_upserts", stream_upserts, oracle("select key, block_id, max(revision) as revision, max_by(label, (revision, final)) as label, bool_or(final) as final, max_by(out_of_order, (revision, final)) as out_of_order from rv group by all", "t_spans", ctes=_REVISIONS))

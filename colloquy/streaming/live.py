@@ -1,13 +1,13 @@
 """Live labels on Structured Streaming: pending segments, and revisioned attribution of blocks to turns.
 
 Each stateful operator is one Python function over (state, ordered rows of a key), used by the stream and by its batch
-twin, so tests can hold one against the other. A key's state is a pending segment; or a recording's turns with at most
-``HELD`` undecided and ``SETTLED`` decided blocks. The end of a recording and renames are joins over a snapshot.
+twin, so tests can hold one against the other. A key's state is a pending segment; or a recording's undecided blocks, at
+most ``HELD``, the turns that a further block can still overlap, and at most ``SETTLED`` decided blocks. The end of a
+recording and renames are joins over a snapshot.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import intervals as iv
 
 HELD, SETTLED = 256, 4096
+#: How far behind the latest start of its recording a block may start.
+LATE_MS = 3_600_000
 #: Added to all event times: Spark takes what lies at its own epoch for late.
 _EPOCH = 86_400_000
 
@@ -83,16 +85,19 @@ def _turn_over(block: dict, turn: list) -> bool:
     return o > 0
 
 
-def reconcile(state: dict | None, rows: list[tuple]) -> tuple[dict, list[tuple]]:
+def reconcile(state: dict | None, rows: list[tuple], late_ms: int = LATE_MS) -> tuple[dict, list[tuple]]:
     """New state and the revisions to send, after rows (kind, id, start, end, label) in arrival order.
 
-    A block shows the turn of largest overlap, the first of equals. A turn is kept and every held block looks at it; a
-    revision is sent only when a block's label changes. A block can be decided once a turn starts at or after its end;
-    it is then final and settled. A turn that starts or ends before the last one marks the key as out of order for good,
-    but still counts; revisions carry that mark. Beyond HELD blocks the oldest is settled undecided, with what it shows;
-    beyond SETTLED the oldest settled block is forgotten. A stop row makes every held block final.
+    A block shows the turn of largest overlap, the first of equals. Every held block looks at a new turn, a new block at
+    the turns before it; a revision is sent only when a block's label changes. A block can be decided once a turn starts
+    at or after its end; it is then final and settled. A turn that starts or ends before the last one marks the
+    key as out of order for good, but still counts; revisions carry that mark. Beyond HELD blocks the oldest is
+    settled undecided, with what it shows; beyond SETTLED the oldest settled block is forgotten. A stop row makes every held block final.
+
+    A turn leaves the state once it ends more than ``late_ms`` before the latest start of any row: blocks that start
+    later than that cannot overlap it, and one that comes later still sees the turns that are left.
     """
-    s = state or {"turns": [], "held": [], "settled": [], "high": -1, "last": None, "odd": False}
+    s = state or {"turns": [], "held": [], "settled": [], "high": -1, "last": None, "odd": False, "latest": -1}
     out = []
 
     def settle(block: dict, final: bool) -> bool:
@@ -110,6 +115,8 @@ def reconcile(state: dict | None, rows: list[tuple]) -> tuple[dict, list[tuple]]
         s["settled"] = (s["settled"] + [[block["id"], block["revision"], block["label"], decided]])[-SETTLED:]
 
     for kind, ident, start, end, label in rows:
+        if kind != "stop":
+            s["latest"] = max(s["latest"], start)
         if kind == "turn":
             s["odd"] |= s["last"] is not None and (start < s["last"][0] or end < s["last"][1])
             s["last"], s["high"] = [start, end], max(s["high"], start)
@@ -119,6 +126,7 @@ def reconcile(state: dict | None, rows: list[tuple]) -> tuple[dict, list[tuple]]
             s["held"] = [b for b in s["held"] if not settle(b, s["high"] >= b["end"])]
         elif kind == "block":
             b = {"id": ident, "start": start, "end": end, "label": None, "revision": 0, "best": None, "overlap": 0}
+            s["turns"] = [t for t in s["turns"] if t[1] > s["latest"] - late_ms]
             for turn in s["turns"]:
                 _turn_over(b, turn)
             if not settle(b, s["high"] >= end):
@@ -127,6 +135,7 @@ def reconcile(state: dict | None, rows: list[tuple]) -> tuple[dict, list[tuple]]
                     keep(s["held"].pop(0), False)
         else:
             s["held"] = [b for b in s["held"] if not settle(b, True)]
+    s["turns"] = [t for t in s["turns"] if t[1] > s["latest"] - late_ms]
     return s, out
 
 
@@ -134,21 +143,8 @@ OUT = "key long, block_id long, revision int, label string, final boolean, out_o
 _NAMES = ["key", "block_id", "revision", "label", "final", "out_of_order"]
 
 
-def live_labels(rows: DataFrame) -> DataFrame:
-    """Revisions from a stream of rows: key long, arrival long, kind (turn, block, stop), id, start_ms, end_ms, label."""
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("arrival")
-        old = json.loads(state.get[0]) if state.exists else None
-        new, out = reconcile(old, list(zip(pdf["kind"], pdf["id"].tolist(), pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["label"], strict=True)))
-        state.update((json.dumps(new),))
-        yield pd.DataFrame([(k[0], *r) for r in out], columns=_NAMES)
-
-    return rows.groupBy("key").applyInPandasWithState(run, OUT, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
 def live_labels_batch(rows: DataFrame) -> DataFrame:
-    """The batch twin of ``live_labels``: the same function over the rows of a key in arrival order, as they stream by."""
+    """The batch twin of ``stateful.live_labels``: the same function over the rows of a key in arrival order, as they stream by."""
     columns = ["kind", "id", "start_ms", "end_ms", "label"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

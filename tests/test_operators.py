@@ -14,7 +14,7 @@ from colloquy.functions import alignment as al
 from colloquy.functions import text as x
 from colloquy.operators import changes, intervals, metrics, relational, sequences, vectors
 from colloquy.sources import files
-from colloquy.streaming import live, runner
+from colloquy.streaming import live, runner, stateful
 
 SPAN = "k long, i long, label string, start_ms long, end_ms long"
 
@@ -340,5 +340,5 @@ def test_stream_equals_its_batch_twin(spark, tmp_path):
         spark.createDataFrame(data[data.arrival // 100 == k]).coalesce(1).write.parquet(str(tmp_path / f"in/part={k}"))
     batch = spark.read.parquet(str(tmp_path / "in")).drop("part")
     parts = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(*[str(tmp_path / "in/*")])
-    got = runner.run_now(live.live_labels(parts))
+    got = runner.run_now(stateful.live_labels(parts))
     assert rows(got, *got.columns) == rows(live.live_labels_batch(batch), *got.columns) and got.count() > 20
