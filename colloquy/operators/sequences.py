@@ -84,15 +84,69 @@ def greedy_matches(shared: DataFrame, keys: list[str], left: str, right: str, we
     return shared.groupBy(*keys).applyInPandas(run, schema)
 
 
-def agglomerate(x: np.ndarray, threshold: float, most: int = 128) -> np.ndarray:
+def with_fresh(matches: DataFrame, keys: list[str], left: str, right: str, mark: str = "new-") -> DataFrame:
+    """Left labels that found no partner get names of their own: numbered in a group in the order of the labels."""
+    nth = F.count_if(F.col(right).isNull()).over(Window.partitionBy(*keys).orderBy(left))
+    return matches.withColumn(right, F.coalesce(right, F.concat(F.lit(mark), nth.cast("string"))))
+
+
+def best_apart(weight: dict, apart: set) -> dict:
+    """left -> right of the greatest sum of positive weights (left, right) where no two lefts of ``apart`` share a right.
+
+    Others may share one. Of equal sums the one whose rights come first, in the order of the lefts, none last. Branch and
+    bound: what is open can add no more than each left's best weight.
+    """
+    lefts = sorted({a for a, _ in weight})
+    options = {a: sorted(((w, b) for (x, b), w in weight.items() if x == a and w > 0), key=lambda o: o[1]) for a in lefts}
+    room = [0] * (len(lefts) + 1)
+    for k in range(len(lefts) - 1, -1, -1):
+        room[k] = room[k + 1] + max((w for w, _ in options[lefts[k]]), default=0)
+    best: list = [-1, {}]
+
+    def go(k: int, total, got: dict) -> None:
+        if total + room[k] <= best[0]:
+            return
+        if k == len(lefts):
+            best[:] = [total, dict(got)]
+            return
+        a = lefts[k]
+        for w, b in options[a]:
+            if not any(got.get(c) == b and ((a, c) in apart or (c, a) in apart) for c in lefts[:k]):
+                go(k + 1, total + w, got | {a: b})
+        go(k + 1, total, got)
+
+    go(0, 0, {})
+    return best[1]
+
+
+def matches_apart(shared: DataFrame, apart: DataFrame, keys: list[str], left: str, right: str, weight: str) -> DataFrame:
+    """The best assignment (keys, left, right) of local to global labels where ``apart`` (keys, a, b) lists the local ones
+    that may not share a global one; a local label without one comes with a null. A group is what one window holds."""
+    types = dict(shared.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, left, right))
+
+    def run(some: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        got = best_apart({(a, b): w for a, b, w in zip(some[left], some[right], some[weight], strict=True)}, set(zip(pairs["a"], pairs["b"], strict=True)))
+        out = pd.DataFrame([(a, got.get(a)) for a in sorted(some[left].unique())], columns=[left, right])
+        for k in reversed(keys):
+            out.insert(0, k, some[k].iloc[0] if len(some) else None)
+        return out
+
+    return shared.groupBy(*keys).cogroup(apart.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def agglomerate(x: np.ndarray, threshold: float, most: int = 128, size: np.ndarray | None = None) -> np.ndarray:
     """Cluster numbers by average linkage on cosine: the closest pair merges while its cosine is at least ``threshold``, or
     while there are more than ``most`` clusters. Numbers follow first members. (Our own choice of linkage.)
 
+    With ``size`` the rows are sums of so many unit vectors each: clusters that were found apart are merged further.
+
     The mean cosine of two clusters is the product of their sums of unit vectors over their sizes, so no matrix of pairs is
     held. Chains of nearest neighbours find all merges, which are then taken from the closest on."""
     n = len(x)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    sums, size, alive = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0), np.ones(n), np.ones(n, bool)
+    sums = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0) if size is None else x.copy()
+    size, alive = np.ones(n) if size is None else size.astype(float), np.ones(n, bool)
     height, merges, chain = np.full(n, np.inf), [], []
     while len(merges) < n - 1:
         chain = chain or [int(alive.argmax())]
@@ -120,20 +174,113 @@ def agglomerate(x: np.ndarray, threshold: float, most: int = 128) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def cluster_vectors(df: DataFrame, keys: list[str], row: str, vector: str, threshold: float) -> DataFrame:
-    """Cluster number of each vector in its group (a meeting's channel, which bounds a group)."""
+def dissolve(x: np.ndarray, label: np.ndarray, least: int) -> np.ndarray:
+    """Members of clusters under ``least`` go to the cluster whose centroid is nearest by cosine, the first of equals.
+
+    Where no cluster has enough members all stay. Numbers follow first members.
+    """
+    n = np.bincount(label)
+    if (n >= least).all() or not (n >= least).any():
+        return label
+    unit = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=np.linalg.norm(x, axis=1, keepdims=True) > 0)
+    centre = np.zeros((len(n), x.shape[1]))
+    np.add.at(centre, label, unit)
+    centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-300)
+    near = unit @ centre.T
+    near[:, n < least] = -np.inf
+    out = np.where(n[label] < least, near.argmax(axis=1), label)
+    _, first, where = np.unique(out, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[where]
+
+
+def cluster_vectors(df: DataFrame, keys: list[str], row: str, vector: str, threshold: float, least: int = 1) -> DataFrame:
+    """Cluster number of each vector in its group (a meeting's channel, which bounds a group); clusters under ``least``
+    members are dissolved."""
     types = dict(df.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in (*keys, row)) + ", cluster int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(row)
-        out = pdf[[*keys, row]].copy()
-        out["cluster"] = agglomerate(np.stack(pdf[vector]).astype(float), threshold).astype("int32")
+        out, x = pdf[[*keys, row]].copy(), np.stack(pdf[vector]).astype(float)
+        out["cluster"] = dissolve(x, agglomerate(x, threshold), least).astype("int32")
         return out
 
     return df.select(*keys, row, vector).groupBy(*keys).applyInPandas(run, schema)
 
 
+def cluster_in_blocks(df: DataFrame, keys: list[str], row: str, vector: str, threshold: float, block: int = 2048) -> DataFrame:
+    """As ``cluster_vectors`` for groups of any size: blocks of about so many rows are clustered apart, and then their
+    clusters by sums and sizes. A group of one block has the clusters of ``cluster_vectors``; in a larger one members of
+    different blocks join only as clusters. Numbers follow the smallest row of each cluster."""
+    types = dict(df.dtypes)
+    n = df.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    dealt = df.select(*keys, row, vector).join(n, keys).withColumn("_block", F.pmod(F.xxhash64(row), F.col("_blocks")))
+    kept = ", ".join(f"{k} {types[k]}" for k in keys)
+
+    def apart(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(row)
+        x = np.stack(pdf[vector]).astype(float)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        label = agglomerate(x, threshold)
+        sums = np.zeros((label.max() + 1, x.shape[1]))
+        np.add.at(sums, label, unit)
+        out = pdf[[*keys, row, "_block"]].copy()
+        out["part"], first = label.astype("int32"), np.unique(label, return_index=True)[1]
+        size = np.bincount(label)
+        out["sums"] = [sums[c] if k == first[c] else None for k, c in enumerate(label)]
+        out["size"] = size[label]
+        return out
+
+    parts = dealt.groupBy(*keys, "_block").applyInPandas(apart, f"{kept}, {row} {types[row]}, _block long, part int, sums array<double>, size long")
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(row)
+        out = pdf[[*keys, "_block", "part"]].copy()
+        out["cluster"] = agglomerate(np.stack(pdf["sums"]).astype(float), threshold, size=pdf["size"].to_numpy()).astype("int32")
+        return out
+
+    whole = parts.where("sums is not null").groupBy(*keys).applyInPandas(together, f"{kept}, _block long, part int, cluster int")
+    return parts.select(*keys, row, "_block", "part").join(whole, [*keys, "_block", "part"]).select(*keys, row, "cluster")
+
+
+def near_cuts(samples: np.ndarray, most: int, radius: int, window: int, step: int, least: int, quiet: float, overlap: int) -> list[tuple[int, int]]:
+    """Pieces (from, to) of at most about ``most`` samples, cut in the middle of the quietest window near each target.
+
+    Windows start ``step`` apart from ``radius`` before the target (``least`` behind the piece's start, if later) to
+    ``radius`` behind it; the first of equally quiet ones counts. Where its root mean square is above ``quiet`` the piece
+    runs on by ``overlap``, and where no window fits it ends there. Energies come from prefix sums.
+    """
+    total = len(samples)
+    energy = np.concatenate([[0], np.cumsum(samples * samples)])
+    out, at = [], 0
+    while total - at > most:
+        target = at + most
+        low, high = max(target - radius, at + least), min(target + radius, total - window)
+        starts = np.arange(low, high - window + 1, step) if low + window <= high else np.zeros(0, np.int64)
+        cut, loud = target, True
+        if len(starts):
+            sums = energy[starts + window] - energy[starts]
+            k = int(sums.argmin())
+            cut, loud = int(starts[k]) + window // 2, sums[k] > quiet * quiet * window
+        end = min(cut + overlap, total) if loud else cut
+        out.append((at, end))
+        at = end
+    return [*out, (at, total)] if total > at else out
+
+
+def pieces_near(most: int, radius: int, window: int, step: int, least: int, quiet: float, overlap: int):
+    """``near_cuts`` as a column function over arrays of samples."""
+    from ..functions.text import arrow
+
+    @arrow("array<struct<from_sample:int,to_sample:int>>")
+    def run(samples: pd.Series) -> pd.Series:
+        cut = lambda x: [{"from_sample": a, "to_sample": b} for a, b in near_cuts(np.asarray(x, dtype=np.float64), most, radius, window, step, least, quiet, overlap)]
+        return samples.map(lambda x: None if x is None else cut(x))
+
+    return run
+
+
 def pack_pieces(lengths: list[int], most: int, pause: int) -> list[int]:
     """Pack number of consecutive pieces: a pack holds at most ``most`` with ``pause`` between pieces (one piece at least)."""
     out, pack, used = [], -1, 0

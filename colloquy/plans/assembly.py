@@ -76,6 +76,53 @@ def greedy_labels(spark, d):
 _GREEDY = """w as (select r.meeting_id, r.label, h.label as live, sum(least(r.end_ms, h.end_ms) - greatest(r.start_ms, h.start_ms)) as w from t_reference r join t_spans h on h.meeting_id = r.meeting_id and h.start_ms < r.end_ms and r.start_ms < h.end_ms group by all),
 g as (select distinct meeting_id, []::varchar[] as ls, []::varchar[] as rs, null::varchar as label, null::varchar as live from w union all select g.meeting_id, list_append(ls, w.label), list_append(rs, w.live), w.label, w.live from g join w on w.meeting_id = g.meeting_id and not list_contains(ls, w.label) and not list_contains(rs, w.live) qualify row_number() over (partition by g.meeting_id order by w desc, w.label, w.live) = 1)"""
 register("greedy_labels", greedy_labels, oracle("select meeting_id, label, g.live from (select distinct meeting_id, label from w) left join g using (meeting_id, label)", "t_spans", "t_reference", ctes=_GREEDY).replace("with t_spans", "with recursive t_spans", 1))
+
+
+def _shared_labels(spark, d, live_labels):
+    h = views.spans(spark, d).where(F.col("label").isin(*live_labels)).select("meeting_id", F.col("label").alias("live"), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    return iv.overlap_join(views.reference(spark, d).select("meeting_id", "label", "start_ms", "end_ms"), h, ["meeting_id"]).groupBy("meeting_id", "label", "live").agg(F.sum("overlap_ms").alias("w"))
+
+
+_LIVE = ("click", "purchase", "view")
+_LIVE_SQL = _GREEDY.replace("join t_spans h on", f"join t_spans h on h.label in {_LIVE} and")
+register("greedy_fresh", lambda spark, d: sq.with_fresh(sq.greedy_matches(_shared_labels(spark, d, _LIVE), ["meeting_id"], "label", "live", "w"), ["meeting_id"], "label", "live"), oracle("select meeting_id, label, coalesce(live, 'new-' || count(*) filter (live is null) over (partition by meeting_id order by label)) as live from (select meeting_id, label, g.live from (select distinct meeting_id, label from w) left join g using (meeting_id, label))", "t_spans", "t_reference", ctes=_LIVE_SQL).replace("with t_spans", "with recursive t_spans", 1))
+
+
+def labels_apart(spark, d):
+    """Reference labels to three live ones: those that overlap each other in a meeting may not share one; the rest gets new names."""
+    r = views.reference(spark, d).where("event_id % 3 = 0").select("meeting_id", F.col("label").alias("a"), "start_ms", "end_ms")
+    other = r.select("meeting_id", F.col("a").alias("b"), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    apart = iv.overlap_join(r, other, ["meeting_id"]).where("a < b").select("meeting_id", "a", "b").distinct()
+    return sq.with_fresh(sq.matches_apart(_shared_labels(spark, d, _LIVE), apart, ["meeting_id"], "label", "live", "w").where("meeting_id is not null"), ["meeting_id"], "label", "live")
+
+
+# Every mapping of a meeting's labels to the live ones or none, without those that let two labels meet that must not.
+_APART = _LIVE_SQL.split(",\ng as (")[0] + f""",
+ap as (select distinct x.meeting_id, x.label as a, y.label as b from t_reference x join t_reference y on x.event_id % 3 = 0 and y.event_id % 3 = 0 and x.meeting_id = y.meeting_id and x.label < y.label and x.start_ms < y.end_ms and y.start_ms < x.end_ms),
+ll as (select meeting_id, label, row_number() over (partition by meeting_id order by label) as k from (select distinct meeting_id, label from w)),
+mp as (select meeting_id, 0 as k, []::varchar[] as ls, []::varchar[] as gs, 0::hugeint as s from (select distinct meeting_id from w)
+  union all select mp.meeting_id, mp.k + 1, list_append(ls, ll.label), list_append(gs, o.g), s + coalesce((select w.w from w where w.meeting_id = mp.meeting_id and w.label = ll.label and w.live = o.g), 0)
+  from mp join ll on ll.meeting_id = mp.meeting_id and ll.k = mp.k + 1, (select unnest(['click', 'purchase', 'view', '~']) as g) o
+  where o.g = '~' or (exists (select 1 from w where w.meeting_id = mp.meeting_id and w.label = ll.label and w.live = o.g) and not exists (select 1 from ap where ap.meeting_id = mp.meeting_id and ap.b = ll.label and list_contains(ls, ap.a) and gs[list_position(ls, ap.a)] = o.g))),
+bm as (select meeting_id, unnest(ls) as label, nullif(unnest(gs), '~') as live from (select * from mp where k = (select max(k) from ll where ll.meeting_id = mp.meeting_id) qualify row_number() over (partition by meeting_id order by s desc, array_to_string(gs, ',')) = 1))"""
+register("labels_apart", labels_apart, oracle("select meeting_id, label, coalesce(live, 'new-' || count(*) filter (live is null) over (partition by meeting_id order by label)) as live from bm", "t_spans", "t_reference", ctes=_APART).replace("with t_spans", "with recursive t_spans", 1))
+register("cluster_least", lambda spark, d: sq.cluster_vectors(views.prototypes(spark, d), ["meeting_id", "channel"], "id", "embedding", 0.25, least=2).select("meeting_id", "channel", "id", "cluster"))
+register("cluster_blocks", lambda spark, d: sq.cluster_in_blocks(views.prototypes(spark, d), ["channel"], "id", "embedding", 0.25).select("channel", "id", "cluster"))
+
+
+def level_pieces(spark, d):
+    """The levels of each kind of event in their order, cut near every 400th where they are lowest."""
+    e = table(spark, d, "events").groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("v")))).alias("s"))
+    pieces = sq.pieces_near(400, 60, 4, 1, 20, 1500.0, 20)(F.transform("s", lambda x: x["v"]))
+    return e.select("event_type", F.posexplode(pieces).alias("k", "p")).select("event_type", "k", "p.from_sample", "p.to_sample")
+
+
+_PIECES = """ev as (select event_type, row_number() over (partition by event_type order by ts, event_id) - 1 as i, round(value * 100)::bigint as v from events), n as (select event_type, count(*) as n from ev group by event_type),
+en as (select event_type, i, sum(v * v) over (partition by event_type order by i rows between current row and 3 following) as e from ev),
+ct as (select event_type, 0 as k, 0::bigint as a, null::bigint as b from n
+  union all select event_type, k + 1, b, b from (select q.event_type, q.k, case when q.n - q.a <= 400 then q.n when q.i is null or q.e > 1500.0 * 1500.0 * 4 then least(coalesce(q.i + 2, q.a + 400) + 20, q.n) else q.i + 2 end as b
+    from (select ct.event_type, ct.k, ct.a, n.n, en.i, en.e from ct join n using (event_type) left join en on en.event_type = ct.event_type and en.i >= greatest(ct.a + 340, ct.a + 20) and en.i + 4 <= least(ct.a + 460, n.n - 4) where ct.a < n.n qualify row_number() over (partition by ct.event_type order by en.e, en.i) = 1) q))"""
+register("level_pieces", level_pieces, f"with recursive {_PIECES} select x.event_type, x.k, x.a::int as from_sample, y.a::int as to_sample from ct x join ct y on y.event_type = x.event_type and y.k = x.k + 1")
 register("cluster_vectors", lambda spark, d: sq.cluster_vectors(views.prototypes(spark, d), ["meeting_id", "channel"], "id", "embedding", 0.25).select("meeting_id", "channel", "id", "cluster"))
 register("pack_spans", lambda spark, d: sq.pack_spans(views.transcripts(spark, d).select("meeting_id", "seq", "start_ms", "end_ms"), ["meeting_id"], ["seq"], 250_000, 300), oracle("select meeting_id, seq, start_ms, end_ms, pack from p", "t_transcripts", ctes="n as (select meeting_id, seq, start_ms, end_ms, end_ms - start_ms as len, row_number() over (partition by meeting_id order by seq) as i from t_transcripts), p as (select *, 0 as pack, len as used from n where i = 1 union all select n.*, case when used + 300 + n.len > 250000 then pack + 1 else pack end, case when used + 300 + n.len > 250000 then n.len else used + 300 + n.len end from p join n on n.meeting_id = p.meeting_id and n.i = p.i + 1)").replace("with t_transcripts", "with recursive t_transcripts", 1))
 

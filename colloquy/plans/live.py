@@ -34,6 +34,15 @@ st as (select meeting_id, 0::bigint as i, null::bigint as s, null::bigint as e,
 union all select meeting_id, i, case when full_ then null else s end, case when full_ then null else e end, case when full_ then 0 else n end, [case when gap then {{'s': ps, 'e': pe, 'n': pn, 'why': 'gap'}} end, case when full_ then {{'s': s, 'e': e, 'n': n, 'why': 'length'}} end]
 from (select *, e - s > {_MOST} as full_ from (select n.meeting_id, n.i, st.s as ps, st.e as pe, st.n as pn, coalesce(n.start_ms - st.e >= {_GAP}, false) as gap, case when st.s is null or gap then n.start_ms else st.s end as s, case when st.s is null or gap then n.end_ms else greatest(st.e, n.end_ms) end as e, case when st.s is null or gap then 1 else st.n + 1 end as n from st join n on n.meeting_id = st.meeting_id and n.i = st.i + 1))),
 x as (select meeting_id, unnest(done) as c from st union all select meeting_id, {{'s': s, 'e': e, 'n': n, 'why': 'silence'}} from st where s is not null and (meeting_id, i) in (select meeting_id, max(i) from n group by meeting_id) and e + {_GAP + _JITTER + _LATE} < (select max(start_ms) from t_spans))"""
+_SHORT = "gap:600000,short:3600000<1800000"
+
+
+def _steps(gap: str) -> str:
+    return _STEPS.replace(f"n.start_ms - st.e >= {_GAP}", f"n.start_ms - st.e >= {gap.format(s='st.s', e='st.e')}").replace(f"e + {_GAP + _JITTER + _LATE}", f"e + {gap.format(s='s', e='e')} + {_JITTER + _LATE}")
+
+
+_SHORT_SQL = "(case when {e} - {s} < 1800000 then 3600000 else 600000 end)"
+register("stream_short_turns", lambda spark, d: runner.run_now(live.pending_segments(_span_stream(spark, d), "meeting_id", live.policy(_SHORT), _MOST, _LEAST, _JITTER, "1 hour")), oracle(f"select meeting_id, c.s as start_ms, c.e as end_ms, c.n as n_merged, c.why as closed_by from x where c is not null and c.e - c.s >= {_LEAST}", "t_spans", ctes=_steps(_SHORT_SQL)).replace("with t_spans", "with recursive t_spans", 1))
 register("stream_pending", lambda spark, d: runner.run_now(live.pending_segments(_span_stream(spark, d), "meeting_id", _GAP, _MOST, _LEAST, _JITTER, "1 hour")), oracle(f"select meeting_id, c.s as start_ms, c.e as end_ms, c.n as n_merged, c.why as closed_by from x where c is not null and c.e - c.s >= {_LEAST}", "t_spans", ctes=_STEPS).replace("with t_spans", "with recursive t_spans", 1))
 
 
@@ -85,6 +94,19 @@ rf as (select fr.*, t.label as refined from fr join t_spans t on t.label in ('vi
 register("finalize_blocks", finalize_blocks, oracle("select meeting_id as key, event_id as block_id, revision + 1 as revision, refined as label from rf where not (by_user and label is distinct from refined) and (label is distinct from refined or not decided)", "t_emissions", ctes=_FINAL))
 
 
+def finalize_sequences(spark, d):
+    shown = _shown(spark, d)
+    stable = views.emissions(spark, d).withColumnRenamed("meeting_id", "key").where("stable and label in ('view', 'purchase')")
+    before = live.label_sequence(shown, stable, ["key", "block_id"])
+    s = views.spans(spark, d).withColumnRenamed("meeting_id", "key")
+    sent = live.finalize_sequences(shown.join(before, ["key", "block_id"], "left"), s.where("label in ('view', 'purchase')"), s.where("label = 'signup' and event_id % 3 = 0"))
+    return sent.withColumn("labels", F.array_join("labels", ">"))
+
+
+_SEQUENCE = "(select string_agg(label, '>' order by start_ms, end_ms, label) from (select *, label is distinct from lag(label) over (order by start_ms, end_ms, label) as fresh from {turns} t where t.label in ('view', 'purchase') and t.meeting_id = b.meeting_id and t.start_ms < b.end_ms and b.start_ms < t.end_ms) where fresh)"
+register("finalize_sequences", finalize_sequences, oracle(f"select meeting_id as key, event_id as block_id, revision + 1 as revision, refined as labels from (select b.*, {_SEQUENCE.format(turns='tu')} as shown, {_SEQUENCE.format(turns='t_spans')} as refined from fr b) where refined is not null and not (by_user and shown is distinct from refined) and (shown is distinct from refined or not decided)", "t_emissions", ctes=_FINAL))
+
+
 def rebind_blocks(spark, d):
     names = views.spans(spark, d).where("label in ('view', 'purchase')").groupBy(F.col("meeting_id").alias("key")).agg(F.max_by("label", F.struct("end_ms", "event_id")).alias("label")).withColumn("display_name", F.concat(F.lit("Guest "), "key"))
     return live.rebind(_shown(spark, d), names)

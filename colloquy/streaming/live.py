@@ -8,6 +8,7 @@ recording and renames are joins over a snapshot.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,12 +28,31 @@ _EPOCH = 86_400_000
 # -- pending segments --------------------------------------------------------------------------------------------------
 
 
-def flush(state: tuple | None, rows: list[tuple[int, int]], gap_ms: int, most_ms: int, stop: bool = False) -> tuple[tuple | None, list[tuple]]:
-    """New pending segment (start, end, n) and the closed ones: closed by a gap of at least ``gap_ms``, by a length over
-    ``most_ms``, or by the end of input."""
+#: The gap of a policy, and with ``short`` (gap, below) another gap while what is pending is shorter than below.
+Gap = tuple[int, tuple[int, int] | None]
+
+
+def policy(text: str) -> Gap:
+    """``gap:<ms>`` or ``gap:<ms>,short:<ms><<ms>``: the second gap holds while what is pending is shorter than the third."""
+    found = re.fullmatch(r"gap:\s*(\d+)\s*(?:,short:\s*(\d+)\s*<\s*(\d+)\s*)?", text)
+    if not found:
+        raise ValueError(f"not a gap policy: {text}")
+    gap, short, below = found.groups()
+    return int(gap), None if short is None else (int(short), int(below))
+
+
+def gap_for(state: tuple, gap: int | Gap) -> int:
+    """The gap that closes a pending segment; a short one may wait longer (or less) for its successor."""
+    usual, short = gap if isinstance(gap, tuple) else (gap, None)
+    return short[0] if short and state[1] - state[0] < short[1] else usual
+
+
+def flush(state: tuple | None, rows: list[tuple[int, int]], gap: int | Gap, most_ms: int, stop: bool = False) -> tuple[tuple | None, list[tuple]]:
+    """New pending segment (start, end, n) and the closed ones: closed by a gap of at least ``gap`` (``gap_for``), by a
+    length over ``most_ms``, or by the end of input."""
     out = []
     for start, end in rows:
-        if state is not None and start - state[1] >= gap_ms:
+        if state is not None and start - state[1] >= gap_for(state, gap):
             out.append((*state, "gap"))
             state = None
         state = (start, end, 1) if state is None else (state[0], max(state[1], end), state[2] + 1)
@@ -45,7 +65,7 @@ def flush(state: tuple | None, rows: list[tuple[int, int]], gap_ms: int, most_ms
     return state, out
 
 
-def pending_segments(spans: DataFrame, key: str, gap_ms: int, most_ms: int, least_ms: int = 0, jitter_ms: int = 32, late: str = "1 minute") -> DataFrame:
+def pending_segments(spans: DataFrame, key: str, gap_ms: int | Gap, most_ms: int, least_ms: int = 0, jitter_ms: int = 32, late: str = "1 minute") -> DataFrame:
     """Closed segments of a stream of spans (key long, start_ms, end_ms). A null start closes what is pending (stop).
 
     Rows of a key are taken in the order of their start inside a micro-batch; a late row extends what is pending, and
@@ -67,7 +87,7 @@ def pending_segments(spans: DataFrame, key: str, gap_ms: int, most_ms: int, leas
                 state.remove()
         else:
             state.update(tuple(int(x) for x in now))
-            state.setTimeoutTimestamp(max(int(now[1]) + gap_ms + jitter_ms + _EPOCH, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(int(now[1]) + gap_for(now, gap_ms) + jitter_ms + _EPOCH, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(k[0], *r) for r in out if r[1] - r[0] >= least_ms], columns=names)
 
     timed = spans.select(key, "start_ms", "end_ms", F.timestamp_millis(F.col("start_ms") + _EPOCH).alias("_at")).withWatermark("_at", late)
@@ -182,6 +202,28 @@ def finalize(shown: DataFrame, turns: DataFrame, protected: DataFrame, relabel_a
     return sent.select("key", "block_id", (F.col("revision") + 1).alias("revision"), F.col("refined").alias("label"))
 
 
+def label_sequence(blocks: DataFrame, turns: DataFrame, ident: list[str]) -> DataFrame:
+    """ident and labels: the labels of the turns (key, start_ms, end_ms, label) over each block, in order, without repeats
+    of the one before. Blocks under no turn have no row."""
+    r = turns.select("key", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.col("label").alias("r_label"))
+    over = iv.overlap_join(blocks.select(*ident, "start_ms", "end_ms"), r, ["key"])
+    said = over.groupBy(*ident).agg(F.array_sort(F.collect_list(F.struct("r_start", "r_end", "r_label"))).alias("s"))
+    names = F.transform("s", lambda t: t["r_label"])
+    return said.withColumn("_n", names).select(*ident, F.filter("_n", lambda x, k: (k == 0) | ~x.eqNullSafe(F.get("_n", k - 1))).alias("labels"))
+
+
+def finalize_sequences(shown: DataFrame, turns: DataFrame, protected: DataFrame, relabel_all: bool = False) -> DataFrame:
+    """As ``finalize``, but what a block shows are its ``labels`` in their order: key, block_id, revision and labels of
+    those that go out. Boundaries that move and leave every label in its place are no change."""
+    windows = protected.select("key", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    free = iv.without_overlap(shown, windows, ["key"])
+    refined = label_sequence(free, turns, ["key", "block_id"]).withColumnRenamed("labels", "refined")
+    joined = free.join(refined, ["key", "block_id"])
+    changed = ~F.col("labels").eqNullSafe(F.col("refined"))
+    sent = joined.where(~(F.col("by_user") & changed) & (F.lit(relabel_all) | changed | ~F.col("decided")))
+    return sent.select("key", "block_id", (F.col("revision") + 1).alias("revision"), F.col("refined").alias("labels"))
+
+
 def rebind(shown: DataFrame, names: DataFrame) -> DataFrame:
     """Rendered blocks of a renamed label (names: key, label, display_name) once more, under the user's name.
 
