@@ -225,9 +225,11 @@ def nearest(embeddings: DataFrame, queries: DataFrame | None = None, k: int = NE
     dealt = placed.join(F.broadcast(home), "list").select("vec_id", "list", "v", unit.alias("unit"))  # a row a list: at most 1024
 
     def scanned(probes: DataFrame, epsilon: float | None) -> DataFrame:
-        asks = max(1, -(-probes.groupBy("unit").count().agg(F.max("count")).first()[0] // QUERIES))
-        left = probes.withColumn("ask", F.pmod(F.xxhash64("vec_id"), F.lit(asks)).cast("int"))
-        right = dealt.withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
+        # A row is copied as often as the queries of its own unit ask; units without queries take no part.
+        asks = cut(probes.groupBy("unit").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("asks")).coalesce(1))
+        left = probes.join(asks, "unit").select(*probes.columns, F.pmod(F.xxhash64("vec_id"), F.col("asks")).cast("int").alias("ask"))
+        copies = asks.select("unit", F.sequence(F.lit(0), F.col("asks") - 1).alias("copies"))
+        right = dealt.join(copies, "unit").select("vec_id", "list", "v", "unit", F.explode("copies").alias("ask"))
         return left.groupBy("unit", "ask").cogroup(right.groupBy("unit", "ask")).applyInPandas(_scanner(d, largest, k, epsilon), "query_id long, vec_id long, score double")
 
     if probes.isEmpty():

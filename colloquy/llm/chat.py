@@ -106,11 +106,17 @@ def text_turns(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.array(part).alias("content"))
 
 
-def _parts(batches, rows: int = 256):
-    """Slices of so many rows, so that what is formatted at once stays small beside its batch."""
+def _parts(batches, rows: int = 256, nbytes: int = 4 << 20):
+    """Slices of at most so many rows and about so many bytes (one row at least), so that what is formatted at once stays
+    small beside its batch."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            some = batch.slice(at, rows)
+            while some.num_rows > 1 and some.nbytes > nbytes:
+                some = batch.slice(at, some.num_rows // 2)
+            yield some
+            at += some.num_rows
 
 
 def _format(batches):

@@ -28,6 +28,8 @@ from .pieces import Memory, begins_with_space, binary_column, column_bytes, ragg
 
 STRIDE = 512
 SEGMENT = 1 << 20
+#: Text of a part, so that its tasks stay short at any size of the corpus.
+PART_BYTES = 256 << 20
 _MAGIC = b"DAC1"
 
 
@@ -189,13 +191,14 @@ def write(documents: DataFrame, folder: str, path: str, end: int = 2) -> None:
     """Encode documents (doc_id, text), close each with id ``end`` and write segments in ascending doc_id order.
 
     A null text has only the closing id. A row with a null doc_id cannot be addressed and is an error. Rows that repeat
-    a doc_id stand next to each other, in no fixed order. Other columns are ignored; an empty table writes no segment.
+    a doc_id stand next to each other, in the order of a hash of their texts. Parts hold about ``PART_BYTES`` of text. Other columns are ignored; an empty table writes no segment.
     """
     spark = documents.sparkSession
     ship(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.raise_error(F.lit("a document without doc_id has no address")).cast("long")).alias("doc_id"), "text")
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     done = rows.mapInArrow(_writer(path, end), "part int, number int, before long, n_tokens long, segment binary")
     done.write.option("compression", "zstd").parquet(folder)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import bpe, minhash, mixing, quality, suffix
-from colloquy.llm.common import cut, ship
+from colloquy.llm.common import cut, drop_cut, ship
 
 #: Shorter than 51 words of ordinary prose (266 bytes and more where passages repeat in the test tables), so that a
 #: repeated passage of over 50 words is found whatever its words.
@@ -28,14 +28,18 @@ REPEATED = 240
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the repetition rules keep. A null or empty text has no words and goes."""
     return quality.keep_good(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near-duplicates. Null, empty and wordless texts are in no group."""
     return minhash.near_dedup(docs, percent=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of ``REPEATED`` bytes that also start elsewhere; a document that they make up goes, one
+    whose text is null or empty from the start stays."""
     done = suffix.remove_repeats(docs, REPEATED, as_text=True)
     text = F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(F.col("_kept"))
     left = done.withColumn("text", text).where("_n_removed = 0 or text <> ''")
@@ -45,10 +49,13 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for every time the mix takes a document; null is a source of its own, the last one. Texts without words have
+    no size and are taken with their block."""
     return mixing.mix(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every row's text and a digest of what they decode to; a null text is empty. Words may have any length."""
     done = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ("doc_id", "source"))
     return done.select("doc_id", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -64,5 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        done = cut(stage(spark, docs, sf_dir))
+        drop_cut(docs)  # the stage before it, which is read no more
+        docs = done
     return docs
