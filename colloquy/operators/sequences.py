@@ -304,6 +304,25 @@ def pack_spans(df: DataFrame, keys: list[str], order: list[str], most_ms: int, p
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def placed(packs: DataFrame, keys: list[str], order: list[str], pause_ms: int) -> DataFrame:
+    """Packed spans with their place in the pack (at_start, at_end): one behind the other with pauses between."""
+    w = Window.partitionBy(*keys, "pack").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    length = F.col("end_ms") - F.col("start_ms")
+    p = packs.withColumn("at_start", F.coalesce(F.sum(length + pause_ms).over(w), F.lit(0)))
+    return p.withColumn("at_end", F.col("at_start") + length)
+
+
+def map_back(said: DataFrame, packs: DataFrame, keys: list[str], ident: list[str]) -> DataFrame:
+    """What was said at places of a pack (said_start, said_end) as times of the span there: that which holds the middle,
+    else the nearest, the first of equals; cut to the span. A pack's spans are few, so its pairs are too."""
+    middle = F.col("said_start") + F.col("said_end")
+    off = F.greatest(2 * F.col("at_start") - middle, middle - 2 * F.col("at_end") + 1, F.lit(0))
+    rest = [c for c in packs.columns if c not in keys]
+    near = said.join(packs, keys).groupBy(*keys, *ident, "said_start", "said_end").agg(F.min_by(F.struct(*rest), F.struct(off, "at_start")).alias("_p"))
+    inside = lambda c: F.col("_p.start_ms") + F.greatest(F.lit(0), F.least(F.col("_p.end_ms") - F.col("_p.start_ms"), F.col(c) - F.col("_p.at_start")))
+    return near.select(*keys, *ident, *[F.col(f"_p.{c}").alias(c) for c in rest if c not in ("start_ms", "end_ms")], inside("said_start").alias("start_ms"), inside("said_end").alias("end_ms"))
+
+
 def quiet_cuts(samples: np.ndarray, most: int, window: int, hop: int) -> list[int]:
     """Places where samples longer than ``most`` are cut: the quietest window off the first and last tenth, and so on in
     both parts; the middle if they are too short for a window."""

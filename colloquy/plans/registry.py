@@ -15,4 +15,4 @@ def register(name: str, query, oracle: str | None = None) -> None:
         ORACLES[name] = oracle
 
 
-from . import assembly, evaluation, lifecycle, live, meetings, recognition, scoring, search, texts, timelines, voiceprints, whole_files  # noqa: E402,F401
+from . import assembly, bindings, evaluation, lifecycle, live, meetings, recognition, scoring, search, texts, timelines, voiceprints, whole_files  # noqa: E402,F401

@@ -6,6 +6,8 @@ Line parsers work on a frame of lines, so they are tested without files and run
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,9 +146,16 @@ def report_lines(scores: DataFrame, key: str, baseline: str) -> DataFrame:
 
 
 def whole_files(spark: SparkSession, path: str, recurse: bool = False) -> DataFrame:
-    """path and value (all of its text) of each file that a path or pattern names, also of empty ones."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recurse)
-    return reader.load(path).select("path", F.decode("content", "UTF-8").alias("value"))
+    """path and value (all of its text) of each file that a path or pattern names.
+
+    Spark's scans pass over files of no length; those are taken from the listing that it makes for the scan.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", recurse).load(path)
+    plain = F.regexp_replace("path", "^file:/+", "file:/")
+    names = [(unquote(name),) for name in found.inputFiles()]
+    listed = spark.createDataFrame(names, "path string").select(plain.alias("path"))
+    read = found.select(plain.alias("path"), F.decode("content", "UTF-8").alias("value"))
+    return listed.join(read, "path", "left").select("path", F.coalesce("value", F.lit("")).alias("value"))
 
 
 def _lines(value: Column) -> Column:
