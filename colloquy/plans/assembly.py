@@ -83,14 +83,15 @@ def _shared_labels(spark, d, live_labels):
     return iv.overlap_join(views.reference(spark, d).select("meeting_id", "label", "start_ms", "end_ms"), h, ["meeting_id"]).groupBy("meeting_id", "label", "live").agg(F.sum("overlap_ms").alias("w"))
 
 
+_LONG_MS = 7_200_000
 _LIVE = ("click", "purchase", "view")
 _LIVE_SQL = _GREEDY.replace("join t_spans h on", f"join t_spans h on h.label in {_LIVE} and")
 register("greedy_fresh", lambda spark, d: sq.with_fresh(sq.greedy_matches(_shared_labels(spark, d, _LIVE), ["meeting_id"], "label", "live", "w"), ["meeting_id"], "label", "live"), oracle("select meeting_id, label, coalesce(live, 'new-' || count(*) filter (live is null) over (partition by meeting_id order by label)) as live from (select meeting_id, label, g.live from (select distinct meeting_id, label from w) left join g using (meeting_id, label))", "t_spans", "t_reference", ctes=_LIVE_SQL).replace("with t_spans", "with recursive t_spans", 1))
 
 
 def labels_apart(spark, d):
-    """Reference labels to three live ones: those that overlap each other in a meeting may not share one; the rest gets new names."""
-    r = views.reference(spark, d).where("event_id % 3 = 0").select("meeting_id", F.col("label").alias("a"), "start_ms", "end_ms")
+    """Reference labels to three live ones: those whose long turns overlap in a meeting may not share one; the rest gets new names."""
+    r = views.reference(spark, d).where(f"end_ms - start_ms >= {_LONG_MS}").select("meeting_id", F.col("label").alias("a"), "start_ms", "end_ms")
     other = r.select("meeting_id", F.col("a").alias("b"), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
     apart = iv.overlap_join(r, other, ["meeting_id"]).where("a < b").select("meeting_id", "a", "b").distinct()
     return sq.with_fresh(sq.matches_apart(_shared_labels(spark, d, _LIVE), apart, ["meeting_id"], "label", "live", "w").where("meeting_id is not null"), ["meeting_id"], "label", "live")
@@ -98,7 +99,7 @@ def labels_apart(spark, d):
 
 # Every mapping of a meeting's labels to the live ones or none, without those that let two labels meet that must not.
 _APART = _LIVE_SQL.split(",\ng as (")[0] + f""",
-ap as (select distinct x.meeting_id, x.label as a, y.label as b from t_reference x join t_reference y on x.event_id % 3 = 0 and y.event_id % 3 = 0 and x.meeting_id = y.meeting_id and x.label < y.label and x.start_ms < y.end_ms and y.start_ms < x.end_ms),
+ap as (select distinct x.meeting_id, x.label as a, y.label as b from t_reference x join t_reference y on x.end_ms - x.start_ms >= {_LONG_MS} and y.end_ms - y.start_ms >= {_LONG_MS} and x.meeting_id = y.meeting_id and x.label < y.label and x.start_ms < y.end_ms and y.start_ms < x.end_ms),
 ll as (select meeting_id, label, row_number() over (partition by meeting_id order by label) as k from (select distinct meeting_id, label from w)),
 mp as (select meeting_id, 0 as k, []::varchar[] as ls, []::varchar[] as gs, 0::hugeint as s from (select distinct meeting_id from w)
   union all select mp.meeting_id, mp.k + 1, list_append(ls, ll.label), list_append(gs, o.g), s + coalesce((select w.w from w where w.meeting_id = mp.meeting_id and w.label = ll.label and w.live = o.g), 0)

@@ -32,12 +32,12 @@ register("overlap_pairs", lambda spark, d: iv.overlap_join(_left(spark, d), _tur
 register("max_overlap", lambda spark, d: iv.max_overlap(_left(spark, d), _turns(spark, d), KEY, ["event_id"], ["r_start", "r_id"]).select("meeting_id", "event_id", "r_label", "r_id", "overlap_ms"), oracle("select meeting_id, event_id, r_label, r_id, overlap_ms from p qualify row_number() over (partition by event_id order by overlap_ms desc, r_start, r_id) = 1", "t_spans", ctes=_LR + _PAIRS))
 register(
     "nearest_fallback",
-    lambda spark, d: iv.attribute(_left(spark, d), _turns(spark, d).where("r_id % 4 = 0"), KEY, ["event_id"], ["r_start", "r_id"], "r_label", 600_000).select("meeting_id", "event_id", "assigned", "how"),
+    lambda spark, d: iv.attribute(_left(spark, d), _turns(spark, d), KEY, ["event_id"], ["r_start", "r_id"], "r_label", 600_000).select("meeting_id", "event_id", "assigned", "how"),
     oracle(
         "select l.meeting_id, l.event_id, coalesce(h.r_label, o.only_label, g.r_label) as assigned, case when h.r_label is not null then 'overlap' when o.only_label is not null then 'only' when g.r_label is not null then 'nearest' end as how from l left join h using (event_id) left join o on o.meeting_id = l.meeting_id left join g using (event_id)",
         "t_spans",
         ctes=_LR
-        + """, q as (select * from r where r_id % 4 = 0),
+        + """, q as (select * from r),
 p as (select l.meeting_id, event_id, r_label, r_start, r_id, least(end_ms, r_end) - greatest(start_ms, r_start) as ov, greatest(start_ms - r_end, r_start - end_ms, 0) as gap from l join q on l.meeting_id = q.meeting_id),
 h as (select event_id, r_label from p where ov > 0 qualify row_number() over (partition by event_id order by ov desc, r_start, r_id) = 1),
 o as (select meeting_id, min(r_label) as only_label from q group by meeting_id having min(r_label) = max(r_label)),

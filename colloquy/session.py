@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -27,9 +29,33 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+def packed(folder: str) -> str:
+    """The package's sources as a zip file in ``folder``."""
+    root, path = root_on_path(), os.path.join(folder, "colloquy.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(os.path.join(root, "colloquy")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.relpath(full, root))
+    return path
+
+
+_SENT: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, also when the driver was started elsewhere."""
-    env, root = spark.sparkContext.environment, root_on_path()
+    """Let Python workers import this package, also when the driver was started elsewhere.
+
+    Workers of a local master see the driver's folders; to those of a cluster Spark sends the package, once an application.
+    """
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        if sc.applicationId not in _SENT:
+            sc.addPyFile(packed(tempfile.mkdtemp(prefix="spark-")))
+            _SENT.add(sc.applicationId)
+        return
+    env, root = sc.environment, root_on_path()
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
