@@ -76,6 +76,24 @@ def title_and_body(text: Column) -> tuple[Column, Column]:
     return title, F.regexp_replace(text, r"(?s)\A(.*?)(?:^|(?<=\n))# [^\n]*\n?", "$1")
 
 
+def token_array(text: Column) -> Column:
+    """Tokens (text, start, end) of a JSON array; what does not parse has none."""
+    return F.coalesce(F.from_json(text, "array<struct<text:string,start:double,end:double>>"), F.array().cast("array<struct<text:string,start:double,end:double>>"))
+
+
+def cached_text(result: Column, source: Column, language: Column, field: str = "english_cache") -> Column:
+    """The English text that a result (JSON) has in its cache, for writing it in another language: only if it came from the
+    same ``source`` (JSON object), the language asked for is known and not English, and the cache is not in it already.
+
+    A blank text, a cache of another shape and JSON that does not parse give null.
+    """
+    cache = F.from_json(F.get_json_object(result, f"$.{field}"), "markdown string, source string, output_language string")
+    plain = lambda c: F.to_json(F.from_json(c, "map<string,string>"))
+    other = (language != "English") & ~F.coalesce(cache["output_language"] == language, F.lit(False))
+    usable = other & (plain(cache["source"]) == plain(source)) & (F.trim(cache["markdown"]) != "")
+    return F.when(usable, cache["markdown"])
+
+
 def title_script(text: Column) -> Column:
     """ru, zh or en by the scripts in a title."""
     return F.when(text.rlike(r"[\x{0400}-\x{04FF}]"), "ru").when(text.rlike(r"[\x{4E00}-\x{9FFF}]"), "zh").otherwise("en")

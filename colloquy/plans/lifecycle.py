@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as x
-from ..operators import changes, relational
+from ..operators import changes, relational, runs
 from ..operators import intervals as iv
 from ..operators import vectors as v
 from ..session import table
@@ -78,3 +78,23 @@ register("tag_create", tag_create, oracle(f"select tag_id, name, {_PALETTE_SQL}
 register("unused_tags", lambda spark, d: tag_create(spark, d).join(views.tag_links(spark, d), "tag_id", "left_anti").select("tag_id", "name"), oracle("select tag_id, name from made where tag_id not in (select tag_id from t_tag_links)", "t_tags", "t_tag_links", ctes=_FRESH_SQL))
 register("channel_gauge", lambda spark, d: views.spans(spark, d).groupBy("meeting_id").agg(F.count("*").alias("n"), F.max("end_ms").alias("e"), F.min("start_ms").alias("s")).select("meeting_id", F.least(F.lit(1.0), F.round(F.col("n") / 120, 6)).alias("filled"), F.round(1 - F.least(F.lit(1.0), F.col("n") / 120), 6).alias("rest"), (F.col("e") - F.col("s") > 2_505_600_350).alias("stuck")), oracle("select meeting_id, least(1.0, round(n / 120, 6)) as filled, round(1 - least(1.0, n / 120), 6) as rest, e - s > 2505600350 as stuck from (select meeting_id, count(*) as n, max(end_ms) as e, min(start_ms) as s from t_spans group by meeting_id)", "t_spans"))
 register("all_refined", lambda spark, d: views.spans(spark, d).groupBy("meeting_id", F.expr("start_ms div 86400000").alias("day")).agg(F.collect_list(F.col("event_id") % 7 != 0).alias("refined")).select("meeting_id", "day", (F.forall("refined", lambda r: r) & (F.size("refined") > 0)).alias("all_refined")), oracle("select meeting_id, start_ms // 86400000 as day, bool_and(event_id % 7 <> 0) as all_refined from t_spans group by all", "t_spans"))
+
+
+def _started(spark, d):
+    """Runs of all meetings; those with an open order start again, and with them some meetings that had none."""
+    m = views.meetings(spark, d)
+    old = m.where("meeting_id % 4 <> 1").select("meeting_id", F.when(F.col("status") == "P", "failed").otherwise("completed").alias("status"), F.lit(1).alias("start_time"), F.when(F.col("meeting_id") % 3 != 0, F.col("title")).alias("result"), F.lit(None).cast("string").alias("backup"), F.when(F.col("status") == "P", "old").alias("error"))
+    return m, runs.start(old, m.where("status <> 'F'").select("meeting_id", F.lit(2).alias("start_time")), "meeting_id")
+
+
+def run_outcomes(spark, d):
+    """Ends of the started runs: some complete, fail or are cancelled, some ends are of an earlier start; the rest was interrupted."""
+    m, state = _started(spark, d)
+    k = F.col("meeting_id") % 5
+    ends = m.where("meeting_id % 5 < 4").select("meeting_id", F.when(k == 3, 1).otherwise(2).alias("start_time"), F.when(k == 0, "completed").when(k == 1, "failed").when(k == 2, "cancelled").otherwise("completed").alias("outcome"), F.concat(F.lit("new "), "title").alias("result"), F.when(k != 0, F.lit("why")).alias("error"))
+    return runs.fail_interrupted(runs.finish(state, ends, "meeting_id"), "meeting_id", "interrupted")
+
+
+_RUNS = """o as (select meeting_id, case status when 'P' then 'failed' else 'completed' end as status, case when meeting_id % 3 <> 0 then title end as result, case when status = 'P' then 'old' end as error from t_meetings where meeting_id % 4 <> 1),
+s as (select m.meeting_id, m.title, m.status <> 'F' as started, o.status, o.result, o.error, m.meeting_id % 5 as k from t_meetings m left join o using (meeting_id) where m.status <> 'F' or o.meeting_id is not null)"""
+register("run_outcomes", run_outcomes, oracle("select meeting_id, case when not started then status when k = 0 then 'completed' when k = 2 then 'cancelled' else 'failed' end as status, case when started then 2 else 1 end as start_time, case when started and k = 0 then 'new ' || title else result end as result, null::varchar as backup, case when not started then error when k = 0 then null when k in (1, 2) then 'why' else 'interrupted' end as error from s", "t_meetings", ctes=_RUNS))

@@ -34,6 +34,19 @@ st as (select meeting_id, 0::bigint as i, null::bigint as s, null::bigint as e,
 union all select meeting_id, i, case when full_ then null else s end, case when full_ then null else e end, case when full_ then 0 else n end, [case when gap then {{'s': ps, 'e': pe, 'n': pn, 'why': 'gap'}} end, case when full_ then {{'s': s, 'e': e, 'n': n, 'why': 'length'}} end]
 from (select *, e - s > {_MOST} as full_ from (select n.meeting_id, n.i, st.s as ps, st.e as pe, st.n as pn, coalesce(n.start_ms - st.e >= {_GAP}, false) as gap, case when st.s is null or gap then n.start_ms else st.s end as s, case when st.s is null or gap then n.end_ms else greatest(st.e, n.end_ms) end as e, case when st.s is null or gap then 1 else st.n + 1 end as n from st join n on n.meeting_id = st.meeting_id and n.i = st.i + 1))),
 x as (select meeting_id, unnest(done) as c from st union all select meeting_id, {{'s': s, 'e': e, 'n': n, 'why': 'silence'}} from st where s is not null and (meeting_id, i) in (select meeting_id, max(i) from n group by meeting_id) and e + {_GAP + _JITTER + _LATE} < (select max(start_ms) from t_spans))"""
+
+
+def stream_stops(spark, d):
+    """As stream_pending, but every second recording in which something failed is stopped at the end of the batch."""
+    s = _span_stream(spark, d)
+    stop = F.when((F.col("label") == "error") & (F.col("meeting_id") % 2 == 0), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = s.select("meeting_id", "start_ms", "end_ms", F.explode(stop).alias("stop"))
+    rows = rows.select("meeting_id", F.when(~F.col("stop"), F.col("start_ms")).alias("start_ms"), "end_ms")
+    return runner.run_now(live.pending_segments(rows, "meeting_id", _GAP, _MOST, _LEAST, _JITTER, "1 hour"))
+
+
+_STOPPED = "meeting_id % 2 = 0 and meeting_id in (select meeting_id from t_spans where label = 'error')"
+register("stream_stops", stream_stops, oracle(f"select meeting_id, c.s as start_ms, c.e as end_ms, c.n as n_merged, c.why as closed_by from x where c is not null and c.e - c.s >= {_LEAST}", "t_spans", ctes=_STEPS.replace("'why': 'silence'}", f"'why': case when {_STOPPED} then 'stop' else 'silence' end}}").replace(f"and e + {_GAP + _JITTER + _LATE} <", f"and case when {_STOPPED} then 0 else e + {_GAP + _JITTER + _LATE} end <")).replace("with t_spans", "with recursive t_spans", 1))
 _SHORT = "gap:600000,short:3600000<1800000"
 
 

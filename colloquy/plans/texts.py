@@ -105,3 +105,27 @@ fr as (select row_number() over () as f, x.s, y.s as o, x.w as r, y.w as h from
 rt as (select s, o, round(sum(c[-1]) / sum(len(r)), 6) as wer from fr join co on co.f = fr.f and co.i = len(r) group by s, o)"""
 register("pairwise_wer", pairwise_wer, _PAIRS + " select s, max(wer) filter (o = 'a') as a, max(wer) filter (o = 'b') as b, max(wer) filter (o = 'c') as c, round(avg(wer), 9) as mean_wer from rt group by s")
 register("tidy_text", lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2(x.tidy(F.col("text")), 256).alias("tidy_sha256")), f"select doc_id, sha256(upper(substring(j, 1, 1)) || substring(j, 2)) as tidy_sha256 from (select doc_id, regexp_replace(array_to_string(list_filter({_TW}, lambda w: lower(regexp_replace(w, '[^A-Za-z]', '', 'g')) not in {x.SOUNDS}), ' '), ' +([,.!?])', '\\1', 'g') as j from documents)")
+
+
+def cached_results(spark, d):
+    """Cached English of results whose cache is missing, of another source, in the language asked for, blank, or fit."""
+    t = table(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("print"))
+    k = F.col("doc_id") % 6
+    source = lambda p: F.struct(F.lit("a").alias("template"), p.alias("print"))
+    cache = F.struct(F.when(k == 2, " ").otherwise(F.col("print")).alias("markdown"), source(F.when(k == 3, F.lit("x")).otherwise(F.col("print"))).alias("source"), F.when(k == 4, "German").otherwise("French").alias("output_language"))
+    result = F.when(k == 1, F.lit('{"markdown":"only"}')).when(k == 5, F.lit('{"english_cache":"no')).otherwise(F.to_json(F.struct(F.lit("m").alias("markdown"), cache.alias("english_cache"))))
+    asked = F.when(F.col("lang") == "en", "English").when(F.col("lang") == "de", "German").when(F.col("lang") == "es", "Spanish")
+    return t.select("doc_id", x.cached_text(result, F.to_json(source(F.col("print"))), asked).alias("english"))
+
+
+register("cached_results", cached_results, "select doc_id, case when (lang = 'de' and doc_id % 6 = 0) or (lang = 'es' and doc_id % 6 in (0, 4)) then sha256(text) end as english from documents")
+
+
+def token_arrays(spark, d):
+    """Tokens of the turns as JSON arrays, some of them broken, parsed again: number, first and last token."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.transform(x.words(F.col("text")), lambda w, k: F.struct(w.alias("text"), (k * 0.5).alias("start"), (k * 0.5 + 0.25).alias("end"))).alias("w"))
+    raw = F.when(F.col("turn") % 4 == 3, F.concat(F.lit("x"), F.to_json("w"))).otherwise(F.to_json("w"))
+    return t.select("conv_id", "turn", x.token_array(raw).alias("t")).select("conv_id", "turn", F.size("t").alias("n"), F.get("t", F.lit(0))["text"].alias("first"), F.try_element_at("t", F.lit(-1))["end"].alias("ends"))
+
+
+register("token_arrays", token_arrays, f"select conv_id, turn, len(w)::int as n, w[1] as first, case when len(w) > 0 then len(w) * 0.5 - 0.25 end::double as ends from (select conv_id, turn, case when turn % 4 = 3 then [] else {_TW} end as w from conversations)")

@@ -86,3 +86,24 @@ def label_exports(spark, d):
 
 
 register("label_exports", label_exports, oracle("select 'meeting-' || meeting_id || '.v1' as uri, start_ms, end_ms, 'kind_' || label as label from t_spans where event_id % 13 <> 0 and event_id % 17 <> 0 and event_id % 9 <> 0 and end_ms > start_ms and meeting_id % 8 <> 0", "t_spans"))
+
+
+def transcript_files(spark, d):
+    """Every conversation as three files: own segments, another recognizer's, and a plain export; read back by their names."""
+    t = views.transcripts(spark, d).withColumn("text", F.trim(F.regexp_replace("text", "\\s+", " ")))
+    k, sec = F.col("meeting_id"), lambda c: (F.col(c) / 1000)
+    device = F.when(F.col("speaker") == "user", "Microphone").otherwise("System")
+    one = lambda *fields: F.transform(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("s")))), lambda x: x["s"])
+    own = t.groupBy("meeting_id").agg(F.to_json(F.struct(one(sec("start_ms").alias("audio_start_time"), sec("end_ms").alias("audio_end_time"), device.alias("source_device"), "text").alias("segments"))).alias("value"))
+    asr = t.groupBy("meeting_id").agg(F.to_json(F.struct(one(sec("start_ms").alias("start"), sec("end_ms").alias("end"), device.alias("source"), F.translate("text", "aeiou", "AEIOU").alias("text")).alias("segments"))).alias("value"))
+    line = F.concat(F.when(F.col("speaker") == "user", "Me").otherwise("Them"), F.lit(":"), F.col("text"))
+    txt = t.groupBy("meeting_id").agg(F.concat(F.lit("Notes: none\nTranscript:\n"), F.array_join(one(line.alias("l"))["l"], "\n")).alias("value"))
+    name = lambda prefix, end: F.concat(F.lit(f"/{prefix}"), k.cast("string"), F.lit(end))
+    written = [_written(f.select("meeting_id", "value", F.lit(True).alias("ended")), "meeting_id").select(name(p, e).alias("path"), "value") for f, p, e in ((own, "transcripts_", ".json"), (asr, "asr_r", ".json"), (txt, "export", ".txt"))]
+    read = files.transcript_sources(written[0].unionByName(written[1]).unionByName(written[2]))
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long").alias(f"{c}_ms")
+    return read.select("source", ms("start"), ms("end"), "channel", F.sha2("text", 256).alias("text_sha256"))
+
+
+_SAID = "tt as (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) as said, case when speaker = 'user' then 'Microphone' else 'System' end as device from t_transcripts)"
+register("transcript_files", transcript_files, oracle("select meeting_id::varchar as source, start_ms, end_ms, device as channel, sha256(said) as text_sha256 from tt union all select 'r' || meeting_id, start_ms, end_ms, device, sha256(translate(said, 'aeiou', 'AEIOU')) from tt union all select 'export' || meeting_id, null, null, device, sha256(said) from tt", "t_transcripts", ctes=_SAID))

@@ -216,3 +216,27 @@ def check_label_exports(files: DataFrame) -> DataFrame:
     r = rows.select(uri.alias("uri"), F.explode(last["result"]).alias("r")).where("r.from_name = 'labels' and size(r.value.labels) > 0")
     label = F.regexp_replace(F.lower(F.element_at("r.value.labels", 1)), " ", "_")
     return r.select("uri", F.col("r.value.start").alias("start"), F.col("r.value.end").alias("end"), label.alias("label")).where("end > start")
+
+
+def transcript_sources(files: DataFrame) -> DataFrame:
+    """source, start, end, channel, text of whole transcript files, told apart by their names.
+
+    ``transcripts*.json`` (segments with audio_start_time, audio_end_time, source_device; the source is what follows the
+    first word, or ``own``), ``asr_*.json`` (segments with start, end, source) and plain exports ``*.txt``: behind the
+    line ``Transcript:`` a ``Name: words`` line each, ``Me`` is the microphone. Broken JSON is an error; other files go.
+    """
+    named = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "value")
+    own = "segments array<struct<audio_start_time:double,audio_end_time:double,source_device:string,text:string>>"
+    asr = "segments array<struct<start:double,end:double,source:string,text:string>>"
+    strict = {"mode": "FAILFAST"}
+    columns = ["source", "start", "end", "channel", "text"]
+    a = named.where(F.col("name").rlike(r"^transcripts.*\.json$")).select("name", F.explode(F.from_json("value", own, strict)["segments"]).alias("s"))
+    a = a.select(F.coalesce(F.nullif(F.regexp_extract("name", r"^transcripts_?(.*)\.json$", 1), F.lit("")), F.lit("own")).alias("source"), F.col("s.audio_start_time").alias("start"), F.col("s.audio_end_time").alias("end"), F.col("s.source_device").alias("channel"), "s.text")
+    b = named.where(F.col("name").rlike(r"^asr_.*\.json$")).select(F.regexp_extract("name", r"^asr_(.*)\.json$", 1).alias("source"), F.explode(F.from_json("value", asr, strict)["segments"]).alias("s"))
+    b = b.select("source", "s.start", "s.end", F.col("s.source").alias("channel"), "s.text")
+    body = F.regexp_extract("value", r"(?s)Transcript:(.*)", 1)
+    c = named.where(F.col("name").rlike(r"\.txt$")).select(F.regexp_extract("name", r"^(.*)\.txt$", 1).alias("source"), F.explode(F.split(body, "\r\n|\n|\r")).alias("line")).where(F.contains("line", F.lit(":")))
+    me = F.trim(F.substring_index("line", ":", 1)) == "Me"
+    none = F.lit(None).cast("double")
+    c = c.select("source", none.alias("start"), none.alias("end"), F.when(me, "Microphone").otherwise("System").alias("channel"), F.regexp_extract("line", r"^[^:]*:(.*)$", 1).alias("text"))
+    return a.select(*columns).unionByName(b.select(*columns)).unionByName(c.select(*columns))
