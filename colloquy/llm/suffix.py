@@ -250,7 +250,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def _shard(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Marked byte ranges of the shard; of a gram in parts also its windows' fingerprints, sorted, by range."""
+        """Marked byte ranges of the shard; of a gram in parts also its windows' fingerprints, sorted, by range.
+
+        Each fingerprint goes out once: windows that the shard itself holds several times are marked here already, so
+        what other parts hold decides nothing for them.
+        """
         grams, parts, only, known, docs, marks, los, content = (pdf[c].tolist() for c in ("gram", "parts", "only", "known", "doc_id", "mark", "lo", "content"))
         out = []
         for g, alone, k, doc, mark, lo, hits in zip(grams, only, known, docs, marks, los, repeated_windows(content, length), strict=True):
@@ -264,7 +268,9 @@ def _shard(length: int):
                 place[name] = np.repeat(np.array(values, dtype=_PLACE[name]), n)
             place["at"] = np.concatenate([lo + np.arange(k, dtype=np.int32) for lo, k in zip(los, n, strict=True)])
             by = np.argsort(flat, kind="stable")
-            flat, place = flat[by], place[by]
+            flat, first, times = np.unique(flat[by], return_index=True, return_counts=True)
+            place = place[by][first]
+            place["only"] &= times == 1
             bounds = np.searchsorted(flat, np.array([((1 << 64) * k) // parts[0] for k in range(1, parts[0])], dtype=np.uint64))
             for k, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(flat)], strict=True)):
                 if b > a:
@@ -279,10 +285,7 @@ def _merge(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Byte ranges of windows whose fingerprints stand in several shards' sorted runs of one range, found by binary search."""
         runs = [(np.frombuffer(p, np.uint64), np.frombuffer(o, _PLACE)) for p, o in zip(pdf["prints"], pdf["places"], strict=True)]
-        merged = np.unique(np.concatenate([np.unique(r[0]) for r in runs]))
-        seen = np.zeros(len(merged), dtype=np.int64)
-        for prints, _ in runs:
-            seen[np.searchsorted(merged, np.unique(prints))] += 1
+        merged, seen = np.unique(np.concatenate([r[0] for r in runs]), return_counts=True)
         shared = merged[seen > 1]
         if not len(shared):
             return _frame([])
