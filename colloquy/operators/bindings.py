@@ -75,3 +75,46 @@ def delete_tags(tags: DataFrame, links: DataFrame, gone: DataFrame) -> tuple[Dat
     """Tags and links (tag_id) without those of ``gone`` (tag_id)."""
     left = changes.cascade_delete({"tags": tags, "links": links}, gone, "tag_id")
     return left["tags"], left["links"]
+
+
+# -- single voiceprints: rows (id, speaker_id, meeting_id, cluster, is_verified, ...) to the rows after a change ----------
+
+
+def reject(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """After rejecting ``gone`` (id, permanent): a speaker's row with a meeting and cluster becomes one that nobody owns; it
+    goes if that is asked for, if nobody owns it already, or if it does not say where it comes from."""
+    j = rows.join(gone.select("id", "permanent"), "id", "left")
+    named = F.col("permanent").isNotNull()
+    kept = ~F.col("permanent") & F.col("speaker_id").isNotNull() & F.col("meeting_id").isNotNull() & F.col("cluster").isNotNull()
+    owner = F.when(named, F.lit(None)).otherwise(F.col("speaker_id"))
+    return j.where(~named | kept).withColumn("speaker_id", owner).select(*rows.columns)
+
+
+def remaining(rows: DataFrame, after: DataFrame, gone: DataFrame) -> DataFrame:
+    """id, speaker_id and how many rows its owner has left (0 where nobody owned it) for each rejected row."""
+    owner = rows.join(gone.select("id"), "id").select("id", "speaker_id")
+    left = after.where("speaker_id is not null").groupBy("speaker_id").agg(F.count("*").alias("n"))
+    return owner.join(left, "speaker_id", "left").select("id", "speaker_id", F.coalesce("n", F.lit(0)).alias("n_left"))
+
+
+def reconfirm(rows: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """After giving rows (asked: id, new_owner) to a speaker, unverified; every speaker keeps its ``most`` longest."""
+    j = rows.join(asked.select("id", "new_owner"), "id", "left")
+    now = j.withColumns({"speaker_id": F.coalesce("new_owner", "speaker_id"), "is_verified": F.when(F.col("new_owner").isNull(), F.col("is_verified")).otherwise(False)}).select(*rows.columns)
+    best = relational.keep_best(now.where("speaker_id is not null"), ["speaker_id"], [F.desc("duration"), "id"], most)
+    return best.select(*rows.columns).unionByName(now.where("speaker_id is null"))
+
+
+def verify(rows: DataFrame, speakers: DataFrame, meetings: DataFrame) -> DataFrame:
+    """After verifying all rows of speakers (speaker_id), and of meetings (meeting_id) those that nobody owns."""
+    s = speakers.select("speaker_id", F.lit(True).alias("_s")).distinct()
+    m = meetings.select("meeting_id", F.lit(True).alias("_m")).distinct()
+    j = rows.join(s, "speaker_id", "left").join(m, "meeting_id", "left")
+    hit = F.coalesce("_s", F.lit(False)) | (F.coalesce("_m", F.lit(False)) & F.col("speaker_id").isNull())
+    return j.withColumn("is_verified", F.col("is_verified") | hit).select(*rows.columns)
+
+
+def purge(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Without the rows that nobody owns, and one row of what went: meetings, clusters and rows."""
+    gone = rows.where("speaker_id is null")
+    return rows.where("speaker_id is not null"), gone.agg(F.countDistinct("meeting_id").alias("n_meetings"), F.countDistinct("meeting_id", "cluster").alias("n_clusters"), F.count("*").alias("n_rows"))

@@ -124,3 +124,40 @@ p as (select *, 0 as pack, 0::bigint as a, len as used from n where i = 1 union
 th as (select meeting_id, pack, part, l * part // 3 as s, l * (part + 1) // 3 as e from (select meeting_id, pack, max(a + len) as l from p group by all), range(3) r(part)),
 mb as (select th.*, p.seq, p.start_ms, p.len, p.a, row_number() over (partition by th.meeting_id, th.pack, part order by greatest(2 * p.a - (s + e), (s + e) - 2 * (p.a + p.len) + 1, 0), p.seq) as k from th join p using (meeting_id, pack))"""
 register("unpacked_spans", unpacked_spans, oracle("select meeting_id, pack, part::int as part, seq, start_ms + greatest(0, least(len, s - a)) as start_ms, start_ms + greatest(0, least(len, e - a)) as end_ms from mb where k = 1", "t_transcripts", ctes=_PACKS).replace("with t_transcripts", "with recursive t_transcripts", 1))
+
+
+def _rows(spark, d):
+    """Voiceprints with a cluster; every ninth of nobody, every thirteenth without its cluster."""
+    k = F.col("id")
+    return views.prototypes(spark, d).select("id", F.when(k % 9 != 0, F.col("speaker_id")).alias("speaker_id"), "meeting_id", F.when(k % 13 != 0, F.col("channel")).alias("cluster"), "duration", "is_verified")
+
+
+def _rejected(spark, d):
+    rows = _rows(spark, d)
+    gone = rows.where("duration < 6").select("id", (F.col("id") % 2 == 0).alias("permanent"))
+    return rows, b.reject(rows, gone), gone
+
+
+_ROWS = """v as (select id, case when id % 9 <> 0 then speaker_id end as speaker_id, meeting_id, case when id % 13 <> 0 then channel end as cluster, duration, is_verified from t_prototypes),
+rj as (select id, case when duration < 6 then null else speaker_id end as speaker_id, meeting_id, cluster, is_verified from v where duration >= 6 or (id % 2 <> 0 and speaker_id is not null and cluster is not null))"""
+register("voiceprints_rejected", lambda spark, d: _rejected(spark, d)[1].select("id", "speaker_id", "meeting_id", "cluster", "is_verified"), oracle("select * from rj", "t_prototypes", ctes=_ROWS))
+register("rejection_counts", lambda spark, d: b.remaining(*_rejected(spark, d)), oracle("select id, speaker_id, coalesce(n, 0) as n_left from v left join (select speaker_id, count(*) as n from rj where speaker_id is not null group by 1) using (speaker_id) where duration < 6", "t_prototypes", ctes=_ROWS))
+
+
+def voiceprints_reconfirmed(spark, d):
+    """Rows of nobody go to the speaker of their meeting's number; every speaker keeps its thirty longest."""
+    rows = _rows(spark, d)
+    return b.reconfirm(rows, rows.where("speaker_id is null").select("id", (F.col("meeting_id") % 10).cast("int").alias("new_owner")), 30).select("id", "speaker_id", "is_verified")
+
+
+register("voiceprints_reconfirmed", voiceprints_reconfirmed, oracle("select id, speaker_id, is_verified from (select id, coalesce(speaker_id, (meeting_id % 10)::int) as speaker_id, duration, is_verified and speaker_id is not null as is_verified from v) qualify row_number() over (partition by speaker_id order by duration desc, id) <= 30", "t_prototypes", ctes=_ROWS))
+
+
+def voiceprints_verified(spark, d):
+    rows = _rows(spark, d)
+    speakers = rows.groupBy("speaker_id").agg(F.avg("duration").alias("a")).where("a > 12.5 and speaker_id is not null")
+    return b.verify(rows, speakers, rows.where("meeting_id < 10").select("meeting_id")).select("id", "speaker_id", "is_verified")
+
+
+register("voiceprints_verified", voiceprints_verified, oracle("select id, speaker_id, is_verified or coalesce(speaker_id in (select speaker_id from v where speaker_id is not null group by 1 having avg(duration) > 12.5), false) or (speaker_id is null and meeting_id < 10) as is_verified from v", "t_prototypes", ctes=_ROWS))
+register("voiceprints_purged", lambda spark, d: b.purge(_rows(spark, d))[1], oracle("select count(distinct meeting_id) as n_meetings, count(distinct (meeting_id, cluster)) filter (cluster is not null) as n_clusters, count(*) as n_rows from v where speaker_id is null", "t_prototypes", ctes=_ROWS))

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import metrics as m
 from ..sources import files, views
 from ..sources.views import oracle
 from ..streaming import runner
+from .evaluation import _DER
 from .registry import register
 
 
@@ -107,3 +109,44 @@ def transcript_files(spark, d):
 
 _SAID = "tt as (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) as said, case when speaker = 'user' then 'Microphone' else 'System' end as device from t_transcripts)"
 register("transcript_files", transcript_files, oracle("select meeting_id::varchar as source, start_ms, end_ms, device as channel, sha256(said) as text_sha256 from tt union all select 'r' || meeting_id, start_ms, end_ms, device, sha256(translate(said, 'aeiou', 'AEIOU')) from tt union all select 'export' || meeting_id, null, null, device, sha256(said) from tt", "t_transcripts", ctes=_SAID))
+
+
+def _lines_back(lines: DataFrame) -> DataFrame:
+    """Lines written as text and read again."""
+    at = f"{runner.shared_folder(lines.sparkSession)}/lines-{uuid.uuid4().hex}"
+    files.write_lines(lines, at)
+    return lines.sparkSession.read.text(at)
+
+
+def timing_files(spark, d):
+    """Timing files of all recordings, written and read back."""
+    t = views.transcripts(spark, d).groupBy("meeting_id").agg((F.max("end_ms") / 1000).alias("audio_secs"), (F.count("*") * 0.5).alias("wall_secs"), (F.sum("seq") * 0.25).alias("finalize_secs"))
+    rows = t.select(F.concat(F.lit("meeting-"), F.col("meeting_id").cast("string")).alias("uri"), F.when(F.col("meeting_id") % 10 != 0, F.col("audio_secs")).otherwise(0.0).alias("audio_secs"), "wall_secs", "finalize_secs")
+    return files.parse_timing(_lines_back(files.timing_lines(rows))).withColumn("real_time_factor", F.round("real_time_factor", 9))
+
+
+register("timing_files", timing_files, oracle("select uri, 'fast' as mode, a as audio_secs, w as wall_secs, round(case when a > 0 then w / a else 0 end, 9) as real_time_factor, f as finalize_secs from (select 'meeting-' || meeting_id as uri, case when meeting_id % 10 <> 0 then max(end_ms) / 1000 else 0 end::double as a, (count(*) * 0.5)::double as w, (sum(seq) * 0.25)::double as f from t_transcripts group by meeting_id)", "t_transcripts"))
+
+
+def score_files(spark, d):
+    """Score files of all recordings, written and read back: rates in percent and the baseline where there is one."""
+    c = m.error_components(views.reference(spark, d), views.spans(spark, d), ["meeting_id"])
+    share = lambda part: (part * 100 / F.col("total"))
+    s = c.select("meeting_id", share(F.col("miss") + F.col("false_alarm") + F.col("confusion")).alias("der"), share(F.col("false_alarm")).alias("fa"), share(F.col("miss")).alias("missed"), share(F.col("confusion")).alias("conf"), F.when(F.col("meeting_id") % 3 != 0, F.lit(25.3)).alias("baseline_der"))
+    back = _lines_back(files.score_lines(s)).select(F.from_json("value", "meeting_id long, der double, fa double, missed double, conf double, baseline_der double", {"mode": "FAILFAST"}).alias("j"), F.contains("value", F.lit('"baseline_der":null')).alias("no_baseline"))
+    return back.select("j.meeting_id", *[F.round(f"j.{x}", 6).alias(x) for x in ("der", "fa", "missed", "conf")], "j.baseline_der", "no_baseline")
+
+
+register("score_files", score_files, oracle("select meeting_id, round((miss + false_alarm + confusion) * 100 / total, 6) as der, round(false_alarm * 100 / total, 6) as fa, round(miss * 100 / total, 6) as missed, round(confusion * 100 / total, 6) as conf, case when meeting_id % 3 <> 0 then 25.3 end::double as baseline_der, meeting_id % 3 = 0 as no_baseline from der", "t_spans", "t_reference", ctes=_DER))
+
+
+def corpus_lines(spark, d):
+    """Lines of a corpus of which some are of another kind or too short, for the recordings that were transcribed."""
+    s = views.spans(spark, d).withColumn("uri", F.concat(F.lit("meeting-"), F.col("meeting_id").cast("string")))
+    k = F.col("event_id")
+    line = F.format_string("%s %s 1 %.3f %.3f <NA> <NA>%s", F.when(k % 7 == 0, "SPKR-INFO").otherwise("SPEAKER"), "uri", F.col("start_ms") / 1000, (F.col("end_ms") - F.col("start_ms")) / 1000, F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(" "), "label")))
+    known = views.transcripts(spark, d).where("seq > 2").select(F.concat(F.lit("meeting-"), F.col("meeting_id").cast("string")).alias("uri"))
+    return files.scored_lines(_lines_back(s.select(line.alias("value"))), known).groupBy("uri").agg(F.count("*").alias("n_lines"))
+
+
+register("corpus_lines", corpus_lines, oracle("select 'meeting-' || meeting_id as uri, count(*) as n_lines from t_spans where event_id % 7 <> 0 and event_id % 5 <> 0 and meeting_id in (select meeting_id from t_transcripts where seq > 2) group by meeting_id", "t_spans", "t_transcripts"))

@@ -240,3 +240,28 @@ def transcript_sources(files: DataFrame) -> DataFrame:
     none = F.lit(None).cast("double")
     c = c.select("source", none.alias("start"), none.alias("end"), F.when(me, "Microphone").otherwise("System").alias("channel"), F.regexp_extract("line", r"^[^:]*:(.*)$", 1).alias("text"))
     return a.select(*columns).unionByName(b.select(*columns)).unionByName(c.select(*columns))
+
+
+def timing_lines(runs: DataFrame) -> DataFrame:
+    """One JSON line for each run (uri, audio_secs, wall_secs, finalize_secs) with its real-time factor (0 without audio)."""
+    factor = F.when(F.col("audio_secs") > 0, F.col("wall_secs") / F.col("audio_secs")).otherwise(F.lit(0.0))
+    fields = ["uri", F.lit("fast").alias("mode"), "audio_secs", "wall_secs", factor.alias("real_time_factor"), "finalize_secs"]
+    return runs.select(F.to_json(F.struct(*fields)).alias("value"))
+
+
+def parse_timing(lines: DataFrame) -> DataFrame:
+    """The runs of timing lines; a line that does not parse is an error."""
+    schema = "uri string, mode string, audio_secs double, wall_secs double, real_time_factor double, finalize_secs double"
+    return lines.where(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("j")).select("j.*")
+
+
+def score_lines(scores: DataFrame) -> DataFrame:
+    """One JSON object a row of scores, nulls written out: the score file of a data set."""
+    return scores.select(F.to_json(F.struct(*scores.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def scored_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """Lines of recordings (known: uri) that are there: SPEAKER with eight fields at least, as corpora write them."""
+    f = F.split(F.trim("value"), r"\s+")
+    rows = lines.where((F.size(f) >= 8) & (F.get(f, F.lit(0)) == "SPEAKER")).withColumn("uri", F.get(f, F.lit(1)))
+    return rows.join(known.select("uri").distinct(), "uri", "left_semi").select("uri", "value")
