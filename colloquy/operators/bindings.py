@@ -61,13 +61,13 @@ def rename_tags(tags: DataFrame, asked: DataFrame) -> DataFrame:
     """tag_id, name, problem of every tag that ``asked`` (tag_id, new_name) names: the name trimmed, or the old one with
     the reason (empty, or taken by another tag in any case). Of several that ask for one name the smallest id gets it;
     a tag's own name in another case is free."""
-    trimmed = F.trim("new_name")
+    trimmed = F.coalesce(F.trim("new_name"), F.lit(""))
     a = asked.join(tags.select("tag_id", "name"), "tag_id").select("tag_id", "name", trimmed.alias("new"), F.lower(trimmed).alias("key"))
     first = a.groupBy("key").agg(F.min("tag_id").alias("first"))
     owner = tags.select(F.lower("name").alias("key"), F.col("tag_id").alias("owner"))
     j = a.join(owner, "key", "left").join(first, "key")
     taken = (F.col("owner").isNotNull() & (F.col("owner") != F.col("tag_id"))) | (F.col("owner").isNull() & (F.col("first") != F.col("tag_id")))
-    problem = F.when(F.coalesce("new", F.lit("")) == "", "empty").when(taken, "taken")
+    problem = F.when(F.col("new") == "", "empty").when(taken, "taken")
     return j.select("tag_id", F.when(problem.isNull(), F.col("new")).otherwise(F.col("name")).alias("name"), problem.alias("problem"))
 
 
