@@ -17,6 +17,9 @@ overlaps count, and strings are judged on the input.
    looks its runs up in each other by binary search.
 6. Marked windows become byte ranges of documents; their union is cut out.
 
+Two lengths at once: a repeated string holds only repeated strings of any smaller length, so it lies whole inside one
+maximal run of the smaller one's ranges. The larger length is searched in the bytes of those runs alone.
+
 No step holds more than a shard, a batch of documents or one document's ranges; text moves twice (exemplars, cutting).
 """
 
@@ -33,6 +36,8 @@ from pyspark.sql import types as T
 from .common import cut, drop_cut, give_back, mix64, ship, slices
 
 LENGTH, GRAM, SHARD = 400, 32, 512
+#: Shorter than 51 words of ordinary prose (see the README), so that a repeated passage of over 50 words is found.
+PASSAGE = 240
 _PIECE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -89,11 +94,18 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[in
 
 def _words(raw: np.ndarray) -> np.ndarray:
     """The eight bytes from each place as one big-endian number, zeros behind the end."""
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(raw), dtype=np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : k + len(raw)]
-    return out
+    padded = raw.tobytes() + bytes(8)
+    return np.ndarray(len(raw), dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """Stable order of keys (not negative) by one sort of keys and places in common numbers, where 63 bits hold both."""
+    n = len(key)
+    bits = n.bit_length()
+    if n and int(key.max()).bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    both = np.sort((key << np.int64(bits)) | np.arange(n, dtype=np.int64))
+    return both & np.int64((1 << bits) - 1)
 
 
 def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
@@ -103,8 +115,11 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(raw)
     key = _words(raw)
-    sa = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
+    sa = np.argsort(key)
+    key = key[sa]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    bits = np.int64(n.bit_length())
+    sa = np.sort((np.cumsum(new) << bits) | sa) & ((np.int64(1) << bits) - np.int64(1))  # equal keys by place
     rank = np.empty(n + 1, dtype=np.int64)
     rank[sa], rank[n] = np.maximum.accumulate(np.where(new, np.arange(n), 0)), -1
     slots, h = np.arange(n), 8
@@ -115,7 +130,7 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
             break
         member = sa[slots]
         pair = own * np.int64(n + 1) + rank[np.minimum(member + h, n)] + 1
-        order = np.argsort(pair, kind="stable")
+        order = _order(pair)
         member, pair = member[order], pair[order]
         sa[slots] = member
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
@@ -124,6 +139,9 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
     return sa
 
 
+_BYTES = np.array([1 << 8 * k for k in range(1, 8)], dtype=np.uint64)
+
+
 def _extend(word: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Common prefixes of the strings at two lists of places, up to ``most``, eight bytes at a time."""
     n = len(word) - 1
@@ -134,8 +152,7 @@ def _extend(word: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.nda
         diff = word[a[go] + common[go]] ^ word[b[go] + common[go]]
         odd = diff != 0
         rest, at = diff[odd], go[odd]
-        for k in range(1, 8):
-            common[at] += rest >> np.uint64(64 - 8 * k) == 0
+        common[at] += 7 - np.searchsorted(_BYTES, rest, side="right")
         go = go[~odd]
         common[go] += 8
         go = go[common[go] < room[go]]
@@ -190,6 +207,10 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.nonzero(step == 1)[0].tolist(), (np.nonzero(step == -1)[0] - 1).tolist(), strict=True))
 
 
+def _raw(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+
+
 _ROWS = "gram long, cls long, spots array<struct<doc_id:long,mark:long,lo:int,hi:int>>"
 
 
@@ -200,11 +221,12 @@ def _anchor_rows(length: int, gram: int):
         for batch in batches:
             for part in slices(batch, 1024, 4 << 20):
                 row, cols = [], [[] for _ in range(4)]
-                for k, text in enumerate(part.column("text").to_pylist()):
-                    found = anchors((text or "").encode("utf-8", "surrogatepass"), length, gram)
+                for k, (text, base) in enumerate(zip(part.column("text").to_pylist(), part.column("base").to_pylist(), strict=True)):
+                    found = anchors(_raw(text), length, gram)
                     if found:
                         row += [k] * len(found)
-                        for k_, c in enumerate(zip(*found, strict=True)):
+                        key, cls, lo, hi = zip(*found, strict=True)
+                        for k_, c in enumerate((key, cls, [x + base for x in lo], [x + base for x in hi]) if base else (key, cls, lo, hi)):
                             cols[k_] += c
                 key, cls, lo, hi = (np.array(c, t) for c, t in zip(cols, (np.int64, np.int64, np.int32, np.int32), strict=True))
                 order = np.lexsort((cls, key))
@@ -229,9 +251,10 @@ def _content(length: int):
         for batch in batches:
             for part in slices(batch, 256, 4 << 20):
                 rows = []
-                for doc, mark, text, wanted in zip(*(part.column(c).to_pylist() for c in ("doc_id", "mark", "text", "wanted")), strict=True):
-                    raw = (text or "").encode("utf-8", "surrogatepass")
-                    rows += [(w["gram"], w["parts"], w["cls"], w["n"] == 1, doc is not None, doc or 0, mark, w["lo"], raw[w["lo"] : w["hi"] + length]) for w in wanted]
+                for doc, mark, text, base, wanted in zip(*(part.column(c).to_pylist() for c in ("doc_id", "mark", "text", "base", "wanted")), strict=True):
+                    raw = _raw(text)
+                    here = [w for w in wanted if base <= w["lo"] and w["hi"] + length <= base + len(raw)]  # others lie in other parts of the document
+                    rows += [(w["gram"], w["parts"], w["cls"], w["n"] == 1, doc is not None, doc or 0, mark, w["lo"], raw[w["lo"] - base : w["hi"] - base + length]) for w in here]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [c.split()[0] for c in _CONTENT.split(", ")])
 
@@ -303,11 +326,17 @@ def _merge(length: int):
     return run
 
 
+def _same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
+
+
 def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, mark, spans: array of [from, to) byte ranges) of documents (doc_id, mark, text) with repeated strings.
 
-    ``mark`` tells rows of one doc_id apart. Ranges may overlap and come in no order.
+    ``mark`` tells rows of one doc_id apart. Ranges may overlap and come in no order. Where documents have a column
+    ``base``, a row is the part of its document's bytes that starts there, and no two rows of a document overlap.
     """
+    documents = documents if "base" in documents.columns else documents.withColumn("base", F.lit(0))
     rows = cut(documents.mapInArrow(_anchor_rows(length, gram), _ROWS))
     classes = rows.groupBy("gram", "cls").agg(F.sum(F.size("spots")).alias("n"), F.min(F.element_at("spots", 1)).alias("at"))
     grams = classes.groupBy("gram").agg(F.sum("n").alias("all"), F.count("*").alias("classes")).where("all > 1")
@@ -319,9 +348,8 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     contested = classes.where("classes > 1").select("at.doc_id", "at.mark", F.struct("gram", "cls", "n", "parts", "at.lo", "at.hi").alias("w"))
     wanted = contested.groupBy("doc_id", "mark").agg(F.collect_list("w").alias("wanted"))
     units = max(1, classes.where("classes > 1 and parts = 1").count() // SHARD)
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
     # What is wanted, and the ranges below, grow with the corpus: joined by shuffles at every size.
-    found = documents.join(wanted.hint("merge"), same(documents, wanted)).select(documents["doc_id"], documents["mark"], "text", "wanted").mapInArrow(_content(length), _CONTENT)
+    found = documents.join(wanted.hint("merge"), _same(documents, wanted)).select(documents["doc_id"], documents["mark"], "text", "base", "wanted").mapInArrow(_content(length), _CONTENT)
     unit = F.when(F.col("parts") > 1, F.struct(F.col("gram"), F.pmod(F.col("unit_class"), F.col("parts").cast("long")))).otherwise(F.struct(F.pmod(F.xxhash64("gram"), F.lit(units)).alias("gram"), F.lit(-1).cast("long")))
     sharded = cut(found.withColumn("unit", unit).groupBy("unit").applyInPandas(_shard(length), _SHARD_OUT))
     merged = sharded.where("range >= 0").groupBy("gram", "range").applyInPandas(_merge(length), _SHARD_OUT)
@@ -332,54 +360,105 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     return out
 
 
+def _union(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """The maximal runs that the ranges cover."""
+    out = []
+    for lo, to in sorted((s["lo"], s["to"]) for s in spans or []):
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], to)
+        else:
+            out.append((lo, to))
+    return out
+
+
+def _covered(length: int):
+    """The bytes of a document's maximal runs, as far as a string of ``length`` bytes fits in."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 256, 4 << 20):
+                rows = []
+                for doc, mark, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "mark", "text", "spans")), strict=True):
+                    raw = _raw(text)
+                    rows += [(doc, mark, lo, raw[lo:to]) for lo, to in _union(spans) if to - lo >= length]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "mark", "base", "text"])
+                give_back()
+
+    return run
+
+
+def repeated_within(documents: DataFrame, spans: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``repeated_ranges`` for the length, from those of a smaller one (``spans``)."""
+    covered = documents.join(spans.hint("merge"), _same(documents, spans)).select(documents["doc_id"], documents["mark"], "text", "spans")
+    parts = cut(covered.mapInArrow(_covered(length), "doc_id long, mark long, base int, text binary"))
+    out = repeated_ranges(parts, length, gram)
+    drop_cut(parts)
+    return out
+
+
 def _keep(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
     """What remains without the ranges, and the number of maximal removed runs."""
-    kept, at, runs = [], 0, 0
-    for lo, to in sorted((s["lo"], s["to"]) for s in spans or []):
-        if lo > at or not runs:
-            kept.append(raw[at:lo])
-            runs += 1
-        at = max(at, to)
+    kept, at, runs = [], 0, _union(spans)
+    for lo, to in runs:
+        kept.append(raw[at:lo])
+        at = to
     kept.append(raw[at:])
-    return b"".join(kept), runs
+    return b"".join(kept), len(runs)
 
 
 ADDED = ["_n_bytes", "_n_removed", "_n_spans", "_kept"]
+#: With a second, smaller length also what it removes, its runs and the text that remains.
+PASSAGES = ["_n_passage_bytes", "_n_passages", "_passage_text"]
 
 
-def _cutter(as_text: bool):
+def _cutter(as_text: bool, passages: bool):
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1024, 4 << 20):
-                done, size = [], []
-                for t, s in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                    raw = (t or "").encode("utf-8", "surrogatepass")
-                    size.append(len(raw))
-                    done.append(_keep(raw, s))
+                raws = [_raw(t) for t in part.column("text").to_pylist()]
+                size = [len(raw) for raw in raws]
+                done = [_keep(raw, s) for raw, s in zip(raws, part.column("spans").to_pylist(), strict=True)]
                 cols = [part.column("row"), pa.array(size, pa.int64()), pa.array([n - len(k) for n, (k, _) in zip(size, done, strict=True)], pa.int64()), pa.array([r for _, r in done], pa.int64())]
                 cols.append(pa.array([k.decode("utf-8", "ignore") for k, _ in done], pa.string()) if as_text else pa.array([k for k, _ in done], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, ["row", *ADDED])
+                if passages:
+                    wide = [_keep(raw, s) for raw, s in zip(raws, part.column("wide").to_pylist(), strict=True)]
+                    cols += [pa.array([n - len(k) for n, (k, _) in zip(size, wide, strict=True)], pa.int64()), pa.array([r for _, r in wide], pa.int64())]
+                    cols.append(pa.array([k.decode("utf-8", "ignore") for k, _ in wide], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, ["row", *ADDED, *(PASSAGES if passages else [])])
                 give_back()
 
     return run
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
-    """All columns of documents with _n_bytes, _n_removed, _n_spans (maximal removed runs) and _kept (bytes that remain).
+def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False, passage: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """All columns of documents (or ``columns`` of them) with _n_bytes, _n_removed, _n_spans (maximal removed runs) and _kept (bytes that remain).
 
     A null text counts as empty. Rows that repeat a doc_id, or have none, are documents of their own. Texts shorter
     than ``length`` lose nothing. With ``as_text`` _kept is a string, without the bytes of characters that a cut splits.
     A column of documents that bears one of the four names is replaced; all others pass through, whatever their names.
     An empty table gives no rows.
+
+    With ``passage``, a length from ``gram`` up to ``length``, also what repeats at that length: _n_passage_bytes,
+    _n_passages (maximal runs) and _passage_text, the text that remains without them, again as valid characters.
     """
+    if passage is not None and not gram <= passage <= length:
+        raise ValueError(f"passage must be from {gram} to {length} bytes, not {passage}")
     ship(documents.sparkSession)
-    kept = [c for c in documents.columns if c.lower() not in ADDED]
+    added = ADDED + (PASSAGES if passage else [])
+    kept = [c for c in (documents.columns if columns is None else columns) if c.lower() not in added]
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    spans = repeated_ranges(rows.select("doc_id", "mark", "text"), length, gram).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "spans")
-    joined = rows.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select("row", "text", "spans")
-    kinds = [T.LongType()] * 3 + [T.StringType() if as_text else T.BinaryType()]
-    schema = T.StructType([joined.schema["row"], *(T.StructField(n, t) for n, t in zip(ADDED, kinds, strict=True))])
-    return joined.mapInArrow(_cutter(as_text), schema).select("row.*", *ADDED)
+    texts = rows.select("doc_id", "mark", "text")
+    if passage is not None:
+        wide = repeated_ranges(texts, passage, gram)
+        spans = repeated_within(texts, wide, length, gram)
+        spans = wide.join(spans.hint("merge"), _same(wide, spans), "left").select(wide["doc_id"].alias("d"), wide["mark"].alias("m"), spans["spans"], wide["spans"].alias("wide"))
+    else:
+        spans = repeated_ranges(texts, length, gram).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "spans")
+    joined = rows.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select("row", "text", "spans", *(["wide"] if passage else []))
+    kinds = [T.LongType()] * 3 + [T.StringType() if as_text else T.BinaryType()] + [T.LongType()] * 2 + [T.StringType()]
+    schema = T.StructType([joined.schema["row"], *(T.StructField(n, t) for n, t in zip(added, kinds, strict=False))])
+    return joined.mapInArrow(_cutter(as_text, bool(passage)), schema).select("row.*", *added)
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, bytes]]:
