@@ -10,6 +10,8 @@ overlaps count, and strings are judged on the input.
    each part of the documents before they are shuffled, whatever the size of a group of copies.
 3. Grams with several classes are contested: one exemplar of each class goes, with its bytes, to a shard. A shard is
    a number of grams, or a part of the classes of a gram that has many.
+   There, only windows whose bytes on either side of the gram agree with some other segment's go on; the others cannot
+   be repeated.
 4. In each shard a suffix array is built by Larsson-Sadakane refinement in numpy (ranks double their depth; only
    groups not yet resolved are sorted again), to LENGTH bytes, and Kasai's common prefixes
    mark the windows that share LENGTH bytes with a neighbour in the array.
@@ -38,7 +40,7 @@ from .common import cut, drop_cut, give_back, mix64, ship, slices
 LENGTH, GRAM, SHARD = 400, 32, 512
 #: Shorter than 51 words of ordinary prose (see the README), so that a repeated passage of over 50 words is found.
 PASSAGE = 240
-_PIECE = 1 << 20
+_PIECE, _BLOCK = 1 << 20, 1 << 16
 _ODD = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -73,23 +75,43 @@ def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
-    """(gram hash, class hash, first window, last window) of every segment of a text."""
-    out = []
-    whole = np.frombuffer(raw, dtype=np.uint8)
-    for at in range(0, max(0, len(raw) - length + 1), _PIECE):
-        part = whole[at : at + _PIECE + length - 1]
-        h = gram_hashes(part, gram)
+def anchors_of(raws: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Row, gram hash, class hash, first window and last window of every segment of the texts, as columns.
+
+    Texts go through numpy in blocks of about ``_BLOCK`` bytes, longer ones in pieces of ``_PIECE`` windows.
+    """
+    pieces = [(k, at, raw[at : at + _PIECE + length - 1] if at or len(raw) > _PIECE else raw) for k, raw in enumerate(raws) for at in range(0, len(raw) - length + 1, _PIECE)]
+    out: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, np.int64) for _ in range(5))]
+    begin = 0
+    while begin < len(pieces):
+        end, total = begin, 0
+        while end < len(pieces) and (end == begin or total + len(pieces[end][2]) <= _BLOCK):
+            total += len(pieces[end][2])
+            end += 1
+        row, at = (np.array([p[k] for p in pieces[begin:end]], dtype=np.int64) for k in (0, 1))
+        flat = b"".join(p[2] for p in pieces[begin:end])
+        stop = np.cumsum([len(p[2]) for p in pieces[begin:end]])
+        h = gram_hashes(np.frombuffer(flat, np.uint8), gram)
         low = np.uint64((1 << 21) - 1)
         best = _sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
-        place = (best & low).astype(np.int64)
+        inside = np.ones(len(best), dtype=bool)
+        for x in stop[:-1].tolist():  # windows that reach over the end of a piece
+            inside[x - length + 1 : x] = False
+        window = np.nonzero(inside)[0]
+        place = (best[window] & low).astype(np.int64)
         first = np.concatenate([[0], np.nonzero(place[1:] != place[:-1])[0] + 1])
-        last = np.concatenate([first[1:], [len(place)]]) - 1
-        keys = h[place[first]].view(np.int64).tolist()
-        for key, x, lo, hi in zip(keys, place[first].tolist(), first.tolist(), last.tolist(), strict=True):
-            cls = xxhash.xxh3_64_intdigest(raw[at + lo : at + hi + length], seed=x - lo)
-            out.append((key, cls - (1 << 63), at + lo, at + hi))
-    return out
+        lo, hi, place = window[first], window[np.append(first[1:], len(place)) - 1], place[first]
+        cls = np.array([xxhash.xxh3_64_intdigest(flat[a : b + length], seed=x) for a, b, x in zip(lo.tolist(), hi.tolist(), (place - lo).tolist(), strict=True)], dtype=np.uint64)
+        of = np.searchsorted(stop, lo, side="right")
+        shift = at[of] - (np.concatenate([[0], stop[:-1]]))[of]
+        out.append((row[of], h[place].view(np.int64), (cls ^ np.uint64(1 << 63)).view(np.int64), lo + shift, hi + shift))
+        begin = end
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
+    """(gram hash, class hash, first window, last window) of every segment of a text."""
+    return list(zip(*(c.tolist() for c in anchors_of([raw], length, gram)[1:]), strict=True))
 
 
 def _words(raw: np.ndarray) -> np.ndarray:
@@ -119,7 +141,10 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
     key = key[sa]
     new = np.concatenate([[True], key[1:] != key[:-1]])
     bits = np.int64(n.bit_length())
-    sa = np.sort((np.cumsum(new) << bits) | sa) & ((np.int64(1) << bits) - np.int64(1))  # equal keys by place
+    # Equal keys by place; behind the last seven places the zeros are no bytes, so these are told from places before zeros.
+    both = np.sort((np.cumsum(new) << bits + 4) | (np.minimum(n - sa, 8) << bits) | sa)
+    sa, group = both & ((np.int64(1) << bits) - np.int64(1)), both >> bits
+    new = np.concatenate([[True], group[1:] != group[:-1]])
     rank = np.empty(n + 1, dtype=np.int64)
     rank[sa], rank[n] = np.maximum.accumulate(np.where(new, np.arange(n), 0)), -1
     slots, h = np.arange(n), 8
@@ -201,6 +226,57 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.nda
     return [hit[a : a + n - length + 1] for a, n in zip(start, size, strict=True)]
 
 
+def _neighbours(rows: np.ndarray) -> np.ndarray:
+    """For each row of bytes, how many it shares from its start with the row that shares most."""
+    n, width = rows.shape
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{width}").ravel(), kind="stable")
+    differ = rows[order[1:]] != rows[order[:-1]]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    out = np.zeros(n, dtype=np.int64)
+    out[order[1:]] = common
+    out[order[:-1]] = np.maximum(out[order[:-1]], common)
+    return out
+
+
+def possible_windows(segments: list[bytes], grams: list[int], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each segment that another segment of its gram may hold (last < first: none).
+
+    Equal windows have their gram at the same place. So a window needs a segment with the same bytes from the gram to
+    its end, and one with the same bytes from its start to the gram; sorting what stands behind the grams, and before
+    them backwards, tells how far any other segment agrees on either side. All segments of a gram have to be there.
+    """
+    size = np.array([len(s) for s in segments], dtype=np.int64)
+    raw = np.frombuffer(b"".join(segments), dtype=np.uint8)
+    start, windows, key = np.cumsum(size) - size, size - length + 1, np.array(grams, dtype=np.int64)
+    # A segment's gram is the first of its hash that lies in the last window.
+    h = gram_hashes(raw, gram).view(np.int64)
+    offset = np.arange(len(h)) - np.repeat(start, size)[: len(h)]
+    found = np.nonzero((h == np.repeat(key, size)[: len(h)]) & (offset >= np.repeat(windows - 1, size)[: len(h)]))[0]
+    of, at = np.unique(np.searchsorted(start, found, side="right") - 1, return_index=True)
+    assert len(of) == len(segments), "a segment without its gram"
+    x = found[at]
+    behind, before, reach = start + size - x, x - start, length - gram
+    padded = np.concatenate([raw, np.zeros(length, np.uint8)])
+    right = np.lib.stride_tricks.sliding_window_view(padded, length)[x]
+    right[np.arange(length) >= behind[:, None]] = 0
+    padded = np.concatenate([raw[::-1], np.zeros(reach + 1, np.uint8)])
+    left = np.lib.stride_tricks.sliding_window_view(padded, reach)[len(raw) - x] if reach else np.zeros((len(x), 0), np.uint8)
+    left[np.arange(reach) >= before[:, None]] = 0
+    left = np.concatenate([key.astype(">i8").view(np.uint8).reshape(-1, 8), left], axis=1)
+    agree, ahead = np.minimum(_neighbours(right), behind), np.minimum(np.maximum(_neighbours(left) - 8, 0), before)
+    return before - ahead, np.minimum(before + agree - length, windows - 1)
+
+
+def repeated_possible(segments: list[bytes], grams: list[int], length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
+    """``repeated_windows`` of segments with the hashes of their grams; only possible windows go into the suffix array."""
+    first, last = possible_windows(segments, grams, length, gram)
+    out, some = [np.zeros(len(s) - length + 1, dtype=bool) for s in segments], np.nonzero(first <= last)[0].tolist()
+    if some:
+        for k, hit in zip(some, repeated_windows([segments[k][first[k] : last[k] + length] for k in some], length), strict=True):
+            out[k][first[k] : last[k] + 1] = hit
+    return out
+
+
 def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
     """First and last place of every run of marks."""
     step = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))
@@ -220,19 +296,13 @@ def _anchor_rows(length: int, gram: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1024, 4 << 20):
-                row, cols = [], [[] for _ in range(4)]
-                for k, (text, base) in enumerate(zip(part.column("text").to_pylist(), part.column("base").to_pylist(), strict=True)):
-                    found = anchors(_raw(text), length, gram)
-                    if found:
-                        row += [k] * len(found)
-                        key, cls, lo, hi = zip(*found, strict=True)
-                        for k_, c in enumerate((key, cls, [x + base for x in lo], [x + base for x in hi]) if base else (key, cls, lo, hi)):
-                            cols[k_] += c
-                key, cls, lo, hi = (np.array(c, t) for c, t in zip(cols, (np.int64, np.int64, np.int32, np.int32), strict=True))
+                row, key, cls, lo, hi = anchors_of([_raw(t) for t in part.column("text").to_pylist()], length, gram)
+                base = part.column("base").to_numpy(zero_copy_only=False)[row]
+                lo, hi = ((x + base).astype(np.int32) for x in (lo, hi))
                 order = np.lexsort((cls, key))
                 key, cls = key[order], cls[order]
                 first = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]))[0] if len(key) else np.zeros(0, np.int64)
-                of = pa.array(np.array(row, np.int64)[order])
+                of = pa.array(row[order])
                 spots = pa.StructArray.from_arrays([part.column("doc_id").take(of), part.column("mark").take(of), pa.array(lo[order]), pa.array(hi[order])], ["doc_id", "mark", "lo", "hi"])
                 listed = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), spots)
                 yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(cls[first]), listed], ["gram", "cls", "spots"])
@@ -271,7 +341,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split()[0] for x in _SHARD_OUT.split(", ")])
 
 
-def _shard(length: int):
+def _shard(length: int, gram: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Marked byte ranges of the shard; of a gram in parts also its windows' fingerprints, sorted, by range.
 
@@ -280,7 +350,7 @@ def _shard(length: int):
         """
         grams, parts, only, known, docs, marks, los, content = (pdf[c].tolist() for c in ("gram", "parts", "only", "known", "doc_id", "mark", "lo", "content"))
         out = []
-        for g, alone, k, doc, mark, lo, hits in zip(grams, only, known, docs, marks, los, repeated_windows(content, length), strict=True):
+        for g, alone, k, doc, mark, lo, hits in zip(grams, only, known, docs, marks, los, repeated_possible(content, grams, length, gram), strict=True):
             if alone:
                 out += [(g, -1, k, doc, mark, lo + a, lo + b + length, None, None) for a, b in _runs(hits)]
         if parts and parts[0] > 1:
@@ -351,7 +421,7 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     # What is wanted, and the ranges below, grow with the corpus: joined by shuffles at every size.
     found = documents.join(wanted.hint("merge"), _same(documents, wanted)).select(documents["doc_id"], documents["mark"], "text", "base", "wanted").mapInArrow(_content(length), _CONTENT)
     unit = F.when(F.col("parts") > 1, F.struct(F.col("gram"), F.pmod(F.col("unit_class"), F.col("parts").cast("long")))).otherwise(F.struct(F.pmod(F.xxhash64("gram"), F.lit(units)).alias("gram"), F.lit(-1).cast("long")))
-    sharded = cut(found.withColumn("unit", unit).groupBy("unit").applyInPandas(_shard(length), _SHARD_OUT))
+    sharded = cut(found.withColumn("unit", unit).groupBy("unit").applyInPandas(_shard(length, gram), _SHARD_OUT))
     merged = sharded.where("range >= 0").groupBy("gram", "range").applyInPandas(_merge(length), _SHARD_OUT)
     partly = sharded.where("range < 0").unionByName(merged).select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "mark", "lo", "to")
     out = cut(whole.unionByName(partly).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "to")).alias("spans")))
