@@ -256,12 +256,13 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _LOADED[path, pattern]
 
 
-def _mapper(path: str, pattern: str, keep: list[str], mode: str):
+def _mapper(path: str, pattern: str, keep: list[str], mode: str, remembered: int, nbytes: int):
     def run(batches):
         v = vocabulary(path, pattern)
+        v.memory.most = remembered
         for batch in batches:
             column = "ids" if mode == "decode" else "text"
-            for part in slices(batch, 2048, 4 << 20, column):
+            for part in slices(batch, 2048, nbytes, column):
                 cols = [part.column(k) for k in keep]
                 names = list(keep)
                 if mode == "decode":
@@ -277,16 +278,17 @@ def _mapper(path: str, pattern: str, keep: list[str], mode: str):
                 done = pa.RecordBatch.from_arrays(cols, names)
                 for at in range(0, done.num_rows, 256):  # small batches keep the reader's buffers small
                     yield done.slice(at, 256)
-                del part, ids, cols, done
+                del part, ids, n, cols, done
+            del batch
             give_back()
 
     return run
 
 
-def _apply(df: DataFrame, path: str, pattern: str, mode: str, source: str, keep: list[str], added: str) -> DataFrame:
+def _apply(df: DataFrame, path: str, pattern: str, mode: str, source: str, keep: list[str], added: str, remembered: int = REMEMBERED, nbytes: int = 4 << 20) -> DataFrame:
     ship(df.sparkSession)
     fields = ", ".join(f"`{k}` {t}" for k, t in df.select(*keep).dtypes) if keep else ""
-    return df.select(*keep, source).mapInArrow(_mapper(path, pattern, keep, mode), ", ".join(x for x in (fields, added) if x))
+    return df.select(*keep, source).mapInArrow(_mapper(path, pattern, keep, mode, remembered, nbytes), ", ".join(x for x in (fields, added) if x))
 
 
 def encode(documents: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -302,6 +304,9 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
     return _apply(encoded, path, pattern, "decode", "ids", list(keep), "decoded binary")
 
 
-def round_trip(documents: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``encode`` and then ``decode`` of its ids in one pass over the rows."""
-    return _apply(documents, path, pattern, "both", "text", list(keep), "n_tokens long, ids binary, decoded binary")
+def round_trip(documents: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), remembered: int = REMEMBERED, nbytes: int = 4 << 20) -> DataFrame:
+    """``encode`` and then ``decode`` of its ids in one pass over the rows.
+
+    A worker remembers the encodings of so many parts and works on about so many bytes of text at once.
+    """
+    return _apply(documents, path, pattern, "both", "text", list(keep), "n_tokens long, ids binary, decoded binary", remembered, nbytes)

@@ -62,6 +62,13 @@ def drop_cut(df: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Let Spark send Python workers at most so many rows at once: whole texts are long, and both sides hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def give_back() -> None:
     """Return freed memory of this worker to the system, so that idle workers of earlier stages take little room."""
     pa.default_memory_pool().release_unused()

@@ -20,26 +20,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import bpe, minhash, mixing, quality, suffix
-from colloquy.llm.common import cut, drop_cut, ship
+from colloquy.llm.common import cut, drop_cut, ship, small_batches
 
 #: Shorter than 51 words of ordinary prose (266 bytes and more where passages repeat in the test tables), so that a
 #: repeated passage of over 50 words is found whatever its words.
 REPEATED = 240
+#: Executors have grown by the stages before the last one, so its workers remember and hold less than op2's.
+REMEMBERED, BYTES_AT_ONCE = 250_000, 1 << 20
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the repetition rules keep. A null or empty text has no words and goes."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near-duplicates. Null, empty and wordless texts are in no group."""
+    small_batches(spark)
     return minhash.near_dedup(docs, percent=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of ``REPEATED`` bytes that also start elsewhere; a document that they make up goes, one
     whose text is null or empty from the start stays."""
+    small_batches(spark)
     done = suffix.remove_repeats(docs, REPEATED, as_text=True)
     text = F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(F.col("_kept"))
     left = done.withColumn("text", text).where("_n_removed = 0 or text <> ''")
@@ -56,7 +61,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every row's text and a digest of what they decode to; a null text is empty. Words may have any length."""
-    done = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ("doc_id", "source"))
+    small_batches(spark)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    done = bpe.round_trip(docs, path, public_tokenizers.PATTERN, ("doc_id", "source"), REMEMBERED, BYTES_AT_ONCE)
     return done.select("doc_id", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
