@@ -35,11 +35,11 @@ class LiveLabels(StatefulProcessor):
     Settled blocks are only added and, beyond ``SETTLED``, removed: a micro-batch reads none of them.
 
     With ``idle_ms`` a recording is over once event time, which all recordings advance, has passed its latest start by so
-    much: its held blocks become final and its state goes.
+    much: its held blocks become final and its state goes. ``whole``: as for ``live.reconcile``.
     """
 
-    def __init__(self, late_ms: int, idle_ms: int | None):
-        self.late_ms, self.idle_ms = late_ms, idle_ms
+    def __init__(self, late_ms: int, idle_ms: int | None, whole: bool = False):
+        self.late_ms, self.idle_ms, self.whole = late_ms, idle_ms, whole
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -89,7 +89,7 @@ class LiveLabels(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pdf = pd.concat(list(rows)).sort_values("arrival")
         old, turns, held, at, done = self._read()
-        s, out = reconcile(old, list(zip(*(pdf[c].tolist() for c in ("kind", "id", "start_ms", "end_ms", "label")), strict=True)), self.late_ms)
+        s, out = reconcile(old, list(zip(*(pdf[c].tolist() for c in ("kind", "id", "start_ms", "end_ms", "label")), strict=True)), self.late_ms, self.whole)
         self._write(s, turns, held, at, done)
         if self.idle_ms is not None:
             _only_timer(self.handle, max(s["latest"] + _EPOCH + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
@@ -97,7 +97,7 @@ class LiveLabels(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         old, *_ = self._read()
-        out = reconcile(old, [("stop", None, None, None, None)], self.late_ms)[1] if old else []
+        out = reconcile(old, [("stop", None, None, None, None)], self.late_ms, self.whole)[1] if old else []
         for state in (self.marks, self.turns, self.held, self.settled):
             state.clear()
         yield pd.DataFrame([(key[0], *r) for r in out], columns=_NAMES)
@@ -106,15 +106,16 @@ class LiveLabels(StatefulProcessor):
         pass
 
 
-def live_labels(rows: DataFrame, late_ms: int = LATE_MS, idle_ms: int | None = None) -> DataFrame:
+def live_labels(rows: DataFrame, late_ms: int = LATE_MS, idle_ms: int | None = None, whole: bool = False) -> DataFrame:
     """Revisions from a stream of rows: key long, arrival long, kind (turn, block, stop), id, start_ms, end_ms, label.
 
-    With ``idle_ms`` rows that start more than ``late_ms`` behind the latest start of all recordings are dropped.
+    With ``idle_ms`` rows that start more than ``late_ms`` behind the latest start of all recordings are dropped. With
+    ``whole`` no block is given up and no turn forgotten, however many and late they are (``live.reconcile``).
     """
     prepare(rows.sparkSession)
     if idle_ms is not None:
         rows = rows.withColumn("_at", F.timestamp_millis(F.col("start_ms") + _EPOCH)).withWatermark("_at", f"{late_ms} milliseconds")
-    return rows.groupBy("key").transformWithStateInPandas(LiveLabels(late_ms, idle_ms), OUT, "append", "none" if idle_ms is None else "eventTime")
+    return rows.groupBy("key").transformWithStateInPandas(LiveLabels(late_ms, idle_ms, whole), OUT, "append", "none" if idle_ms is None else "eventTime")
 
 
 class CountOrTime(StatefulProcessor):
