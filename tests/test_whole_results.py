@@ -4,6 +4,12 @@ from __future__ import annotations
 
 import random
 
+import duckdb
+from pyspark.sql import functions as F
+
+from colloquy.functions import text as x
+from colloquy.operators import sequences
+from colloquy.plans import registry
 from colloquy.streaming import live, runner, stateful
 
 from test_stateful import ROWS, streamed
@@ -62,3 +68,10 @@ def test_a_stream_of_whole_labels_equals_its_rows(spark):
     want = sorted((1, *r) for r in revisions([r[2:] for r in rows]))
     assert sorted(tuple(r) for r in got.collect()) == want
     assert sorted(tuple(r) for r in live.live_labels_batch(spark.createDataFrame(rows, ROWS), whole=True).collect()) == want
+
+
+def test_a_capital_is_one_letter(spark):
+    words = ["ßa", "ﬁn", "ŉa", "ᾳx", "ǆx", "ƛx", "ıx", "éa", "uh", ""]
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k long, text string")
+    got = [r[0] for r in df.select("k", x.tidy(F.col("text")).alias("t")).orderBy("k").select("t").collect()]
+    assert got == ["ẞa", "ﬁn", "ŉa", "ᾼx", "Ǆx", "ƛx", "Ix", "Éa", "", ""]
