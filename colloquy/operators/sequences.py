@@ -5,6 +5,7 @@ A group is one turn's tokens, one meeting's labels or one meeting and channel of
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -378,11 +379,13 @@ def viterbi_align(log_p: np.ndarray, targets: list[int], blank: int = 0) -> list
 
 
 def weave_sources(df: DataFrame, key: str, source: str, text: str, pivot: str) -> DataFrame:
-    """One text a key: the pivot source's words, outvoted by the aligned words of the others."""
+    """One text a key: the pivot source's words, outvoted by the aligned words of the others. Words end at ASCII white space."""
     from ..functions.text import confusion_vote
 
+    space = re.compile(r"[ \t\n\r\f]+")
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        said = {r[0]: (r[1] or "").split() for r in pdf[[source, text]].itertuples(index=False)}
+        said = {r[0]: [w for w in space.split(r[1] or "") if w] for r in pdf[[source, text]].itertuples(index=False)}
         base = said.pop(pivot, [])
         return pd.DataFrame({key: [pdf[key].iloc[0]], "voted": [" ".join(confusion_vote(base, [said[k] for k in sorted(said)]))]})
 

@@ -75,3 +75,16 @@ def test_a_capital_is_one_letter(spark):
     df = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k long, text string")
     got = [r[0] for r in df.select("k", x.tidy(F.col("text")).alias("t")).orderBy("k").select("t").collect()]
     assert got == ["ẞa", "ﬁn", "ŉa", "ᾼx", "Ǆx", "ƛx", "Ix", "Éa", "", ""]
+
+
+def test_votes_of_texts_that_differ_in_many_places():
+    rng = random.Random(3)
+    for _ in range(200):
+        pivot = [rng.choice(["the", "de", "d", "a", "that", "dat"]) for _ in range(rng.randrange(12))]
+        other = [w.replace("th", "d") for w in pivot]
+        assert x.confusion_vote(pivot, [other, other]) == other
+
+
+def test_words_of_voted_texts_end_at_ascii_space(spark):
+    df = spark.createDataFrame([(1, s, "a\u00a0b\x0bc th") for s in "abc"], "k long, s string, t string")
+    assert sequences.weave_sources(df, "k", "s", "t", "a").first().voted == "a\u00a0b\x0bc th"
