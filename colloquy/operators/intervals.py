@@ -1,7 +1,8 @@
 """Interval algebra over labelled spans: frames with key columns, start_ms, end_ms (half-open) and usually a label.
 
 Overlap joins carry the keys and a time bucket as equi keys: a span goes to every bucket that it touches, and a pair is
-reported only in the first bucket that both touch, so no pair comes twice and a long key is many join groups.
+reported only in the first bucket that both touch, so no pair comes twice and a long key is many join groups. Where only
+the best of a row's pairs counts, or a sum over them, ``sweeps`` finds it without the pairs.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sweeps
+
 BUCKET_MS = 3_600_000
 
 
@@ -20,6 +23,12 @@ def _bucketed(df: DataFrame, start: str, end: str, bucket_ms: int, name: str) ->
     return df.withColumn(name, first).withColumn("_bucket", F.explode(F.sequence(first, last)))
 
 
+def in_buckets(df: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Spans cut to the buckets they lie in (``_bucket``); empty ones are dropped."""
+    cut = _bucketed(df.where("end_ms > start_ms"), "start_ms", "end_ms", bucket_ms, "_first").drop("_first")
+    return cut.withColumn("start_ms", F.greatest("start_ms", F.col("_bucket") * bucket_ms)).withColumn("end_ms", F.least("end_ms", (F.col("_bucket") + 1) * bucket_ms))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket_ms: int = BUCKET_MS) -> DataFrame:
     """All pairs of one key whose spans overlap by more than nothing, with overlap_ms.
 
@@ -31,7 +40,12 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket_ms:
 
 
 def max_overlap(left: DataFrame, right: DataFrame, keys: list[str], row: list[str], right_order: list) -> DataFrame:
-    """For each left row the right row of largest overlap (ties: first in ``right_order``); rows without one are absent."""
+    """For each left row the right row of largest overlap (ties: first in ``right_order``); rows without one are absent.
+
+    Where that order begins with r_start, no pairs are made (``sweeps.best_right``)."""
+    if right_order[0] == "r_start":
+        a, b = _bucketed(left, "start_ms", "end_ms", BUCKET_MS, "_first").drop("_first"), _bucketed(right, "r_start", "r_end", BUCKET_MS, "_first").drop("_first")
+        return sweeps.best_right(a, b, keys, row, right_order, None)
     w = Window.partitionBy(*keys, *row).orderBy(F.desc("overlap_ms"), *right_order)
     return overlap_join(left, right, keys).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
@@ -39,9 +53,13 @@ def max_overlap(left: DataFrame, right: DataFrame, keys: list[str], row: list[st
 def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], row: list[str], right_order: list, most_ms: int) -> DataFrame:
     """For each left row the right row of smallest gap, at most ``most_ms`` (ties: first in ``right_order``).
 
-    The left spans are widened by the limit for the bucket join; overlapping rows have gap 0.
+    The left spans are widened by the limit for their buckets; overlapping rows have gap 0. Where the order begins with
+    r_start, no pairs are made.
     """
     wide = left.withColumn("_s", F.col("start_ms")).withColumn("_e", F.col("end_ms")).withColumn("start_ms", F.col("start_ms") - most_ms - 1).withColumn("end_ms", F.col("end_ms") + most_ms + 1)
+    if right_order[0] == "r_start":
+        a = _bucketed(wide, "start_ms", "end_ms", BUCKET_MS, "_first").withColumn("start_ms", F.col("_s")).withColumn("end_ms", F.col("_e")).drop("_s", "_e", "_first")
+        return sweeps.best_right(a, _bucketed(right, "r_start", "r_end", BUCKET_MS, "_first").drop("_first"), keys, row, right_order, most_ms)
     near = overlap_join(wide, right, keys).withColumn("start_ms", F.col("_s")).withColumn("end_ms", F.col("_e")).drop("_s", "_e", "overlap_ms")
     near = near.withColumn("gap_ms", F.greatest(F.col("start_ms") - F.col("r_end"), F.col("r_start") - F.col("end_ms"), F.lit(0))).where(F.col("gap_ms") <= most_ms)
     w = Window.partitionBy(*keys, *row).orderBy("gap_ms", *right_order)
@@ -71,9 +89,10 @@ def overlap_vote(left: DataFrame, right: DataFrame, keys: list[str], row: list[s
 def without_overlap(left: DataFrame, right: DataFrame, keys: list[str], bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Left rows that no right span (r_start, r_end) of their key overlaps: an anti join on key and bucket.
 
-    Left rows are joined once for each bucket they touch, and rows equal to a hit one, nulls included, are taken out.
+    A left row is tried once for each bucket it touches, and rows equal to a hit one, nulls included, are taken out.
     """
-    hit = overlap_join(left, right, keys, bucket_ms).select(*[F.col(c).alias(f"_hit_{c}") for c in left.columns]).distinct()
+    a, b = _bucketed(left, "start_ms", "end_ms", bucket_ms, "_first").drop("_first"), _bucketed(right.select(*keys, "r_start", "r_end"), "r_start", "r_end", bucket_ms, "_first").drop("_first")
+    hit = sweeps.best_right(a, b, keys, [c for c in left.columns if c not in keys], ["r_start", "r_end"], None).select(*[F.col(c).alias(f"_hit_{c}") for c in left.columns])
     return left.join(hit, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_hit_{c}")) for c in left.columns]), "left_anti")
 
 
