@@ -140,10 +140,7 @@ def elementary(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def last_writer_timeline(df: DataFrame, keys: list[str], index: str) -> DataFrame:
     """The timeline in which a later index overwrites: adjacent pieces of one label are joined. Empty spans count nothing."""
-    df = df.where("end_ms > start_ms")
-    pieces = elementary(df, keys).select(*keys, F.col("p_start").alias("start_ms"), F.col("p_end").alias("end_ms"))
-    cover = overlap_join(pieces, df.select(*keys, F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "label", index), keys)
-    top = cover.groupBy(*keys, "start_ms", "end_ms").agg(F.max_by("label", index).alias("label"))
+    top = sweeps.top_labels(in_buckets(df), keys, index)
     hole = F.lag("end_ms").over(Window.partitionBy(*keys).orderBy("start_ms")) != F.col("start_ms")
     return label_runs(top, keys, ["start_ms"], hole).drop("run", "n_rows")
 
