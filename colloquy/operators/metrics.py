@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals as iv
+from . import sweeps
+
+#: Spans are cut to buckets of this length where only sums over time count.
+WIDE_MS = 21_600_000
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -44,13 +48,19 @@ def assign(weights: np.ndarray) -> list[tuple[int, int]]:
     return [(j, i) if flip else (i, j) for i, j in pairs]
 
 
+def _sides(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFrame:
+    """The spans of both sides (0: reference, 1: hypothesis) in one frame, cut to buckets."""
+    side = lambda df, n: df.select(*keys, "label", "start_ms", "end_ms", F.lit(n).alias("side"))
+    return iv.in_buckets(side(ref, 0).unionByName(side(hyp, 1)).dropna(subset=keys), WIDE_MS)
+
+
 def label_mapping(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFrame:
     """keys, h_label, r_label: the one-to-one mapping of labels with the largest shared time in each key.
 
-    Shared times are summed in Spark; a key's table of labels (labels x labels) goes to one small task.
+    Shared times are counted by buckets of time (``sweeps.shared_time``) and summed; a key's table of labels (labels x
+    labels) goes to one small task.
     """
-    h = hyp.select(*keys, F.col("label").alias("h_label"), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
-    shared = iv.overlap_join(ref.select(*keys, "label", "start_ms", "end_ms"), h, keys).groupBy(*keys, "label", "h_label").agg(F.sum("overlap_ms").alias("w"))
+    shared = sweeps.shared_time(_sides(ref, hyp, keys), keys).groupBy(*keys, "label", "h_label").agg(F.sum("w").alias("w"))
     types = dict(ref.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", h_label string, r_label string"
 
