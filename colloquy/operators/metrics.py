@@ -77,21 +77,16 @@ def label_mapping(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def error_components(ref: DataFrame, hyp: DataFrame, keys: list[str], mapping: DataFrame | None = None) -> DataFrame:
-    """total, miss, false_alarm and confusion (ms) of each key, by elementary pieces, overlaps counted, no collar.
+    """total, miss, false_alarm and confusion (ms) of each key, by elementary pieces of its buckets of time, overlaps counted,
+    no collar.
 
     ``mapping`` (keys, h_label, r_label) renames hypothesis labels; unmapped ones match nothing.
     """
     h = hyp.select(*keys, "label", "start_ms", "end_ms")
     if mapping is not None:
         h = h.join(mapping.withColumnRenamed("h_label", "label"), [*keys, "label"], "left").withColumn("label", F.coalesce("r_label", F.concat(F.lit("hyp "), "label"))).drop("r_label")
-    both = ref.select(*keys, "label", "start_ms", "end_ms", F.lit(0).alias("side")).unionByName(h.withColumn("side", F.lit(1))).where("end_ms > start_ms")
-    pieces = iv.elementary(both, keys).select(*keys, F.col("p_start").alias("start_ms"), F.col("p_end").alias("end_ms"))
-    cover = iv.overlap_join(pieces, both.select(*keys, "label", "side", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")), keys)
-    per_label = cover.groupBy(*keys, "start_ms", "end_ms", "label").agg(F.max(F.col("side") == 0).alias("r"), F.max(F.col("side") == 1).alias("h"))
-    n = per_label.groupBy(*keys, "start_ms", "end_ms").agg(F.count_if("r").alias("nr"), F.count_if("h").alias("nh"), F.count_if(F.col("r") & F.col("h")).alias("nc"))
-    d = F.col("end_ms") - F.col("start_ms")
-    total = lambda c, name: F.sum(d * c).cast("long").alias(name)
-    return n.groupBy(*keys).agg(total(F.col("nr"), "total"), total(F.greatest(F.lit(0), F.col("nr") - F.col("nh")), "miss"), total(F.greatest(F.lit(0), F.col("nh") - F.col("nr")), "false_alarm"), total(F.least("nr", "nh") - F.col("nc"), "confusion"))
+    sums = sweeps.error_sums(_sides(ref, h, keys), keys)
+    return sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("total", "miss", "false_alarm", "confusion")])
 
 
 def _named(spans: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:

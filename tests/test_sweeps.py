@@ -56,3 +56,40 @@ def test_best_rights(spark, monkeypatch, seed):
     assert not joins(near) and {r.i: (r.r_id, r.gap_ms) for r in near.collect()} == want
     free = iv.without_overlap(left, right.where("r_label = 'a'"), ["k"])
     assert sorted(r.i for r in free.collect()) == [x[1] for x in a if not any(x[0] == y[0] and y[2] == "a" and over(x, y) for y in b)]
+
+
+@pytest.mark.parametrize("rows", [1, 1 << 16])
+def test_timelines_and_sums(spark, monkeypatch, rows):
+    monkeypatch.setattr(sweeps, "ROWS", rows)
+    monkeypatch.setattr(sweeps, "CELLS", 16 if rows == 1 else 1 << 20)
+    a, b = spans(7, 120), spans(8, 100, "bcd")
+    left, right = spark.createDataFrame(a, SPAN), spark.createDataFrame(b, SPAN)
+    step = HOUR // 20
+    at = lambda rows, k, t: [x for x in rows if x[0] == k and x[3] <= t < x[4]]
+    shown = iv.last_writer_timeline(left, ["k"], "i")
+    runs = []
+    for k in (0, 1):
+        for t in range(0, 12 * HOUR, step):
+            now = max(at(a, k, t), key=lambda x: x[1], default=None)
+            if now and runs and runs[-1][0] == k and runs[-1][3] == t and runs[-1][1] == now[2]:
+                runs[-1][3] = t + step
+            elif now:
+                runs.append([k, now[2], t, t + step])
+    assert "r_start" not in shown._jdf.queryExecution().toString()
+    assert sorted(list(r) for r in shown.select("k", "label", "start_ms", "end_ms").collect()) == sorted(runs)
+    sums, shared = {}, {}
+    for k in (0, 1):
+        for t in range(0, 12 * HOUR, step):
+            x, y = at(a, k, t), at(b, k, t)
+            r, h = {z[2] for z in x}, {z[2] for z in y}
+            s = sums.setdefault(k, [0, 0, 0, 0])
+            for j, v in enumerate((len(r), max(0, len(r) - len(h)), max(0, len(h) - len(r)), min(len(r), len(h)) - len(r & h))):
+                s[j] += v * step
+            for p in x:
+                for q in y:
+                    shared[k, p[2], q[2]] = shared.get((k, p[2], q[2]), 0) + step
+    errors = m.error_components(left, right, ["k"])
+    assert not joins(errors) and {r.k: [r.total, r.miss, r.false_alarm, r.confusion] for r in errors.collect()} == sums
+    found = sweeps.shared_time(m._sides(left, right, ["k"]), ["k"]).groupBy("k", "label", "h_label").sum("w")
+    assert {tuple(r)[:3]: r[3] for r in found.collect()} == shared
+    assert not joins(m.label_mapping(left, right, ["k"]))
