@@ -93,3 +93,17 @@ def test_timelines_and_sums(spark, monkeypatch, rows):
     found = sweeps.shared_time(m._sides(left, right, ["k"]), ["k"]).groupBy("k", "label", "h_label").sum("w")
     assert {tuple(r)[:3]: r[3] for r in found.collect()} == shared
     assert not joins(m.label_mapping(left, right, ["k"]))
+
+
+def test_sequences_look_at_telling_turns_alone(spark):
+    turns = [x for x in spans(9, 80, "ab") for _ in range(4)]
+    blocks = spans(10, 60)
+    t = spark.createDataFrame(turns, SPAN).withColumnRenamed("k", "key")
+    got = live.label_sequence(spark.createDataFrame(blocks, SPAN).withColumnRenamed("k", "key").drop("label"), t, ["key", "i"])
+    want = {}
+    for x in blocks:
+        names = [y[2] for y in sorted((y for y in turns if y[0] == x[0] and over(x, y)), key=lambda y: (y[3], y[4], y[2]))]
+        if names:
+            want[x[1]] = [n for j, n in enumerate(names) if j == 0 or n != names[j - 1]]
+    assert {r.i: r.labels for r in got.collect()} == want
+    assert live._telling(t.select("key", "start_ms", "end_ms", "label")).count() <= 80
