@@ -62,6 +62,12 @@ def drop_cut(df: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that is never broadcast: what grows with the corpus does not pass the driver, however small its
+    files are."""
+    return df.hint("merge")
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Let Spark send Python workers at most so many rows at once: whole texts are long, and both sides hold a batch."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, shuffled
 
 
 def union_find(pairs) -> dict[int, int]:
@@ -49,10 +49,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     both = cut(both)
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("next"))
+        near = both.join(shuffled(labels.select(F.col("id").alias("b"), "component")), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        step = labels.join(shuffled(near), "id").select("id", "component", F.least("component", "near").alias("next"))
         hop = labels.select(F.col("id").alias("next"), F.col("component").alias("jump"))
-        after = cut(step.join(hop, "next", "left").select("id", F.least("next", F.coalesce("jump", "next")).alias("new"), F.col("component").alias("old")))
+        after = cut(step.join(shuffled(hop), "next", "left").select("id", F.least("next", F.coalesce("jump", "next")).alias("new"), F.col("component").alias("old")))
         moved = after.where("new <> old").limit(1).count()
         drop_cut(labels)
         labels = after.select("id", F.col("new").alias("component"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, give_back, mix64, ship, slices
+from .common import cut, drop_cut, give_back, mix64, ship, shuffled, slices
 from .components import connected_components
 
 WORDS, SLOTS, ROWS = 5, 120, 5
@@ -170,7 +170,7 @@ def _stars(members: DataFrame) -> DataFrame:
     keyed = members.select("id", F.explode("bands").alias("band"))
     hubs = keyed.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     hubs = cut(hubs)
-    return keyed.join(hubs, "band").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    return keyed.join(shuffled(hubs), "band").select(F.col("id").alias("a"), F.col("hub").alias("b"))
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -187,40 +187,40 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = cut(texts.mapInArrow(_sign, "doc_id long, n_shingles long, fingerprint binary, bands array<long>"))
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = cut(some.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")).where("id <> last").select("fingerprint", "id"))
-    class_of = some.select("doc_id", "fingerprint").join(classes, "fingerprint", "left").select("doc_id", F.coalesce("id", "doc_id").alias("id"))
+    class_of = some.select("doc_id", "fingerprint").join(shuffled(classes), "fingerprint", "left").select("doc_id", F.coalesce("id", "doc_id").alias("id"))
     class_of = cut(class_of)
-    reps = some.join(class_of.where("doc_id = id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "bands")
+    reps = some.join(shuffled(class_of.where("doc_id = id").select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "bands")
     reps = cut(reps)
 
     edges = _stars(reps)
     candidates = cut(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    chosen = texts.join(candidates.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    chosen = texts.join(shuffled(candidates.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
     sets = cut(chosen.mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"))
     own = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    sets = cut(sets.join(own, "id", "left").where(F.expr(f"100 * (size(shingles) - coalesce(own, 0)) >= {percent} * size(shingles)")).select("id", "shingles"))
+    sets = cut(sets.join(shuffled(own), "id", "left").where(F.expr(f"100 * (size(shingles) - coalesce(own, 0)) >= {percent} * size(shingles)")).select("id", "shingles"))
 
-    star = cut(_stars(reps.join(sets.select("id"), "id", "left_semi")).where("a <> b").distinct())
+    star = cut(_stars(reps.join(shuffled(sets.select("id")), "id", "left_semi")).where("a <> b").distinct())
     shared = F.size(F.array_intersect("sa", "sb"))
-    paired = star.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    paired = star.join(shuffled(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))), "a").join(shuffled(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))), "b")
     found = cut(paired.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
     first = connected_components(found)
 
     family = connected_components(star).select("id", F.col("component").alias("family"))
-    member = cut(family.join(first, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")))
+    member = cut(family.join(shuffled(first), "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")))
     sizes = member.groupBy("family", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", F.col("component").alias("main"))).alias("top")).where("top.n < all")
     split = cut(largest.select("family", F.col("top.main").alias("main"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("stray_blocks")))
-    loose = cut(member.join(split, "family"))
+    loose = cut(member.join(shuffled(split), "family"))
     one = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = loose.where("component <> main").select("family", "id", "component", one("stray_blocks", 1).alias("i"), F.lit(True).alias("stray"), every("blocks").alias("k"))
     right = loose.select("family", "id", "component", one("blocks", 2).alias("k"), F.lit(False).alias("stray"), every("stray_blocks").alias("i"))
-    blocks = left.unionByName(right).join(sets, "id").select("family", "i", "k", "stray", "id", "component", "shingles")
+    blocks = left.unionByName(right).join(shuffled(sets), "id").select("family", "i", "k", "stray", "id", "component", "shingles")
     more = cut(blocks.groupBy("family", "i", "k").applyInPandas(_links_between(percent), "a long, b long"))
 
     component = connected_components(found.unionByName(more))
-    component = cut(class_of.distinct().join(component.withColumnRenamed("id", "rep").withColumnRenamed("component", "c"), F.col("id") == F.col("rep"), "left").select("doc_id", F.coalesce("c", "id").alias("c")).where("doc_id <> c"))
-    out = signed.select("doc_id", "n_shingles").join(component, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    component = cut(class_of.distinct().join(shuffled(component.withColumnRenamed("id", "rep").withColumnRenamed("component", "c")), F.col("id") == F.col("rep"), "left").select("doc_id", F.coalesce("c", "id").alias("c")).where("doc_id <> c"))
+    out = signed.select("doc_id", "n_shingles").join(shuffled(component), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
     for x in (classes, reps, candidates, star, found, member, split, loose, more):
         drop_cut(x)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -229,7 +229,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 def near_dedup(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that ``near_duplicates`` keeps, with all their columns; repeated ids keep one row."""
     kept = cut(near_duplicates(documents, percent).where("kept").select("doc_id").distinct())
-    plain = documents.where("doc_id is not null").join(kept.where("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    plain = documents.where("doc_id is not null").join(shuffled(kept.where("doc_id is not null")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return plain.select(*documents.columns).unionByName(documents.where("doc_id is null"))
 
 
